@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -41,7 +42,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def row_groups(texts: pa.Array, most: int = GROUP_CHARS) -> Iterator[tuple[int, int]]:
     """Ranges of rows with about ``most`` characters each; a longer text makes a range of its own."""
-    sizes = pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     start, total = 0, 0
     for i, n in enumerate(sizes):
         if total and total + n > most:

@@ -19,10 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, numbered
+from .common import cut, numbered, row_groups
 
 #: Units remembered by one Python worker before its memory of them starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 800_000
 #: A unit is a run of plain white space and the word after it; text with other white space is encoded whole.
 UNIT = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
 OTHER_SPACE = re.compile(r"[^\S \t\n\r]")
@@ -34,7 +34,8 @@ class Encoder(dict):
     """Ids (little-endian 32-bit, as bytes) of a unit, computed by the tokenizers library when first met.
 
     The byte-level pre-tokenizer never joins a non-space to the white space after it, so a text's ids
-    are its units' ids in a row.
+    are its units' ids in a row. New units are encoded in a row too; as each id stands for a known number
+    of bytes, the units' lengths part the ids again.
     """
 
     def __init__(self, path: str):
@@ -43,26 +44,37 @@ class Encoder(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.widths = np.array([len(self.tokenizer.id_to_token(i)) for i in range(self.tokenizer.get_vocab_size())], np.int64)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def learn(self, units: set[str]) -> None:
-        if len(self) > REMEMBERED:
-            self.clear()
         new = [u for u in units if u not in self]
-        for unit, x in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            self[unit] = np.array(x.ids, "<u4").tobytes()
-
-    def encode(self, text: str) -> bytes:
-        if OTHER_SPACE.search(text):
-            return self.whole(text)
-        units = UNIT.findall(text)
+        if len(self) + len(new) > REMEMBERED:
+            self.clear()
+            new = list(units)
+        alone = [u for u in new if u[0] not in " \t\n\r" or u.isspace()]
+        for unit in alone:
+            self[unit] = self.whole(unit)
+        row = [u for u in new if u not in self]
+        for at in range(0, len(row), 2_000):
+            some = row[at : at + 2_000]
+            ids = np.array(self.tokenizer.encode("".join(some), add_special_tokens=False).ids, "<u4")
+            ends = np.searchsorted(np.cumsum(self.widths[ids]), np.cumsum([len(u.encode()) for u in some])) + 1
+            data, first = ids.tobytes(), 0
+            for unit, end in zip(some, ends.tolist()):
+                self[unit] = data[4 * first : 4 * end]
+                first = end
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text."""
+        parts = [None if OTHER_SPACE.search(t) else UNIT.findall(t) for t in texts]
         try:
-            return b"".join(map(self.__getitem__, units))
+            return [self.whole(t) if p is None else b"".join(map(self.__getitem__, p)) for t, p in zip(texts, parts)]
         except KeyError:
-            self.learn(set(units))
-            return b"".join(map(self.__getitem__, units))
+            self.learn({u for p in parts if p for u in p})
+            return [self.whole(t) if p is None else b"".join(map(self.__getitem__, p)) for t, p in zip(texts, parts)]
 
 
 def encoder(path: str) -> Encoder:
@@ -87,15 +99,17 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 1024, end_id: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for batch in batches:
-            rows, out = [], defaultdict(list)
-            for i, t in enumerate(batch.column(1)):
-                for k, x in enumerate(cut_pieces(enc.encode(t.as_py() or "") + tail, capacity)):
-                    rows.append(i)
-                    for name, v in zip(PIECES.names, (k, *x)):
-                        out[name].append(v)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *[pa.array(out[f.name], f.type) for f in PIECES]], names=[key, *PIECES.names])
-
-    return docs.select(key, text).mapInArrow(run, f"{key} {kind}, piece int, start long, length long, ids_crc32 long")
+            for first, end in row_groups(batch.column(1)):
+                rows, out = [], defaultdict(list)
+                texts = [t or "" for t in batch.column(1).slice(first, end - first).to_pylist()]
+                for i, ids in enumerate(enc.encode(texts), first):
+                    for k, x in enumerate(cut_pieces(ids + tail, capacity)):
+                        rows.append(i)
+                        for name, v in zip(PIECES.names, (k, *x)):
+                            out[name].append(v)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *[pa.array(out[f.name], f.type) for f in PIECES]], names=[key, *PIECES.names])
+
+    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, shards
+from . import exact, packing, pieces, secrets, shards, simhash
 from .common import documents
 
 
@@ -16,6 +16,18 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_confirmed_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_secrets(documents(spark, sf_dir))
+
+
+def op2_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_groups(documents(spark, sf_dir), words=4, distance=4, tables=3)
+
+
+def op5_polynomial_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_groups(documents(spark, sf_dir))
+
+
 def op7_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shards.shard_documents(documents(spark, sf_dir).select("doc_id", "text"), 40)
     return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
@@ -25,8 +37,22 @@ def op8_histogram_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"), 1024, 2)
 
 
+def op9_piece_agenda(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_documents(documents(spark, sf_dir), tokenizer("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_confirmed_secrets": op1_confirmed_secrets,
+    "op2_simhash_groups": op2_simhash_groups,
+    "op5_polynomial_dedup": op5_polynomial_dedup,
     "op7_jump_shards": op7_jump_shards,
     "op8_histogram_packing": op8_histogram_packing,
+    "op9_piece_agenda": op9_piece_agenda,
+}
+ORACLES: dict[str, str] = {
+    "op5_polynomial_dedup": """
+        WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS body FROM documents)
+        SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+               doc_id = max(doc_id) OVER same AS kept, sha256(body) AS text_sha256
+        FROM t WINDOW same AS (PARTITION BY body)""",
 }
-ORACLES: dict[str, str] = {}
