@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, packing, pieces, secrets, shards, simhash
+from . import exact, flac, langid, lbl, packing, pieces, secrets, shards, simhash, substrings
 from .common import documents
 
 
@@ -24,10 +24,22 @@ def op2_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(documents(spark, sf_dir), words=4, distance=4, tables=3)
 
 
+def op3_flac_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flac.media_digests(flac.encode_media(documents(spark, sf_dir)))
+
+
+def op4_viterbi_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.label_languages(documents(spark, sf_dir).select("doc_id", "text", "lang"))
+
+
 def op5_polynomial_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(documents(spark, sf_dir))
 
 
+def op6_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lbl.score_documents(documents(spark, sf_dir))
+
+
 def op7_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shards.shard_documents(documents(spark, sf_dir).select("doc_id", "text"), 40)
     return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
@@ -41,13 +53,21 @@ def op9_piece_agenda(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_documents(documents(spark, sf_dir), tokenizer("piece_bpe_32k.model"))
 
 
+def op10_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.drop_repeats(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_confirmed_secrets": op1_confirmed_secrets,
     "op2_simhash_groups": op2_simhash_groups,
+    "op3_flac_columns": op3_flac_columns,
+    "op4_viterbi_languages": op4_viterbi_languages,
     "op5_polynomial_dedup": op5_polynomial_dedup,
+    "op6_log_bilinear": op6_log_bilinear,
     "op7_jump_shards": op7_jump_shards,
     "op8_histogram_packing": op8_histogram_packing,
     "op9_piece_agenda": op9_piece_agenda,
+    "op10_repeated_windows": op10_repeated_windows,
 }
 ORACLES: dict[str, str] = {
     "op5_polynomial_dedup": """
