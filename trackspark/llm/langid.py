@@ -209,49 +209,56 @@ def spans(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
 _scorers: dict[str, Scorer] = {}
 
 
-def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", with_spans: bool = False) -> DataFrame:
-    """key, lang_pred, score, n_spans (and with ``with_spans``: spans, an array of first word, end word, lang).
-
-    lang_pred is ``und``, score 0, if text is null or has no letter. score is the share of the text's
-    letters in spans of lang_pred. Without a learned language every text is ``und``.
+def _labels(sent, name: str, texts: list, with_spans: bool) -> tuple[list, list, list, list]:
+    """lang_pred, score, spans' number and spans of each text, with the worker's scorer for this model."""
+    if name not in _scorers:
+        _scorers.clear()
+        _scorers[name] = Scorer(Model(*sent.value))
+    scorer = _scorers[name]
+    languages = scorer.model.languages
+    lists = [(t or "").lower().split() for t in texts]
+    scorer.learn({w for ws in lists for w in ws} or {"-"})
+    out: tuple = ([], [], [], [])
+    for ws in lists:
+        rows = scorer.of(ws)
+        letters = rows[:, -1]
+        if not letters.sum() or not languages:
+            found = (UND, 0.0, 0, [])
+        else:
+            path = spans(rows[:, :-1])
+            held = np.bincount(path, weights=letters, minlength=len(languages))
+            at = int(held.argmax())
+            bounds = [0, *(np.flatnonzero(np.diff(path)) + 1).tolist(), len(path)]
+            found = (languages[at], float(held[at] / held.sum()), len(bounds) - 1, [{"first": x, "end": y, "lang": languages[path[x]]} for x, y in zip(bounds, bounds[1:])] if with_spans else [])
+        for column, v in zip(out, found):
+            column.append(v)
+    return out
+
+
+def annotated(docs: DataFrame, model: Model, text: str = "text", with_spans: bool = False) -> DataFrame:
+    """All columns, and lang_pred, lang_score, n_spans (and with ``with_spans``: spans, an array of first word, end word, lang).
+
+    lang_pred is ``und``, score 0, if text is null or has no letter. lang_score is the share of the text's
+    letters in spans of lang_pred. Without a learned language every text is ``und``. Input columns with these names are replaced.
     """
-    spark, kind = docs.sparkSession, dict(docs.dtypes)[key]
+    made = ["lang_pred", "lang_score", "n_spans", *["spans"] * with_spans]
+    docs = docs.drop(*made)
     name = uuid.uuid4().hex
-    sent = spark.sparkContext.broadcast((model.languages, model.scores, model.candidates))
+    sent = docs.sparkSession.sparkContext.broadcast((model.languages, model.scores, model.candidates))
+    place = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _scorers:
-            _scorers.clear()
-            _scorers[name] = Scorer(Model(*sent.value))
-        scorer = _scorers[name]
-        languages = scorer.model.languages
         for batch in batches:
-            for a, b in row_groups(batch.column(1)):
-                lists = [(t or "").lower().split() for t in batch.column(1).slice(a, b - a).to_pylist()]
-                scorer.learn({w for ws in lists for w in ws} or {"-"})
-                out: tuple = ([], [], [], [])
-                for ws in lists:
-                    rows = scorer.of(ws)
-                    letters = rows[:, -1]
-                    if not letters.sum() or not languages:
-                        found = (UND, 0.0, 0, [])
-                    else:
-                        path = spans(rows[:, :-1])
-                        held = np.bincount(path, weights=letters, minlength=len(languages))
-                        at = int(held.argmax())
-                        bounds = [0, *(np.flatnonzero(np.diff(path)) + 1).tolist(), len(path)]
-                        found = (languages[at], float(held[at] / held.sum()), len(bounds) - 1, [{"first": x, "end": y, "lang": languages[path[x]]} for x, y in zip(bounds, bounds[1:])] if with_spans else [])
-                    for column, v in zip(out, found):
-                        column.append(v)
-                columns = [batch.column(0).slice(a, b - a), pa.array(out[0]), pa.array(out[1], pa.float64()), pa.array(out[2], pa.int32())]
-                names = [key, "lang_pred", "score", "n_spans"]
+            for a, b in row_groups(batch.column(place)):
+                part = batch.slice(a, b - a)
+                out = _labels(sent, name, part.column(place).to_pylist(), with_spans)
+                columns = [*part.columns, pa.array(out[0], pa.string()), pa.array(out[1], pa.float64()), pa.array(out[2], pa.int32())]
                 if with_spans:
                     columns.append(pa.array(out[3], pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))))
-                    names.append("spans")
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+                yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names, *made])
 
-    more = ", spans array<struct<first:int,end:int,lang:string>>" if with_spans else ""
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, lang_pred string, score double, n_spans int{more}")
+    ddl = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes) + ", lang_pred string, lang_score double, n_spans int"
+    return docs.mapInArrow(run, ddl + ", spans array<struct<first:int,end:int,lang:string>>" * with_spans)
 
 
 def label_languages(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", parts: int = 4, part: int = 2, most: int = TRAIN_DOCS) -> DataFrame:
@@ -260,5 +267,5 @@ def label_languages(docs: DataFrame, key: str = "doc_id", text: str = "text", la
     Held out are those whose crc32 of the key as text leaves ``part`` on division by ``parts`` (null key: of the empty text).
     """
     model = train(docs.where(~held_out(key, parts, part)), key, text, lang, most)
-    found = predict(docs, model, key, text)
-    return found.select(key, held_out(key, parts, part).alias("held_out"), "lang_pred", "score", "n_spans")
+    found = annotated(docs.select(key, text), model, text)
+    return found.select(key, held_out(key, parts, part).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), "n_spans")

@@ -143,3 +143,93 @@ def near_groups(docs: DataFrame, words: int = 4, distance: int = 4, tables: int
     named = placed.join(lows, "c").select("fp", "component_id")
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0")
     return marks.join(named, "fp").select(key, hexed.alias("fingerprint"), "component_id")
+
+
+#: Bits of the wide fingerprints of ``similar_groups``.
+WIDE = 256
+
+
+def wide_fingerprint(hashes: list[int]) -> np.ndarray:
+    """Majority bits (WIDE of them) of the hashes, each stretched to WIDE bits by a mixing step a word."""
+    if not hashes:
+        return np.zeros(WIDE, bool)
+    values = np.array(hashes, "<u8")
+    counts = np.zeros(WIDE, np.int64)
+    for at in range(0, len(values), UNPACKED // 4):
+        part = values[at : at + UNPACKED // 4]
+        stretched = np.empty((len(part), WIDE // 64), "<u8")
+        for i in range(WIDE // 64):
+            x = part + np.uint64((i + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
+            x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+            stretched[:, i] = x ^ x >> np.uint64(31)
+        counts += np.unpackbits(stretched.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return 2 * counts > len(values)
+
+
+def distance_for(similarity: float) -> int:
+    """Bits of WIDE that texts of this Jaccard similarity differ in, one standard deviation above the mean."""
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(WIDE * share + np.sqrt(WIDE * share * (1 - share)))
+
+
+def wide_entries(docs: DataFrame, words: int, width: int, key: str, text: str) -> DataFrame:
+    """key, w0..w3 (the fingerprint), rows: the value of each segment of ``width`` bits with its number above it. Texts without words are left out."""
+    kind = dict(docs.dtypes)[key]
+    names = [key, *[f"w{i}" for i in range(WIDE // 64)], "rows"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in row_groups(batch.column(1)):
+                hashed = [shingle_hashes((t.as_py() or "").encode(), words) for t in batch.column(1).slice(a, b - a)]
+                some = [i for i, h in enumerate(hashed) if h]
+                bits = np.array([wide_fingerprint(hashed[i]) for i in some], bool).reshape(-1, WIDE)
+                packed = np.packbits(bits, axis=1, bitorder="little").view("<i8").reshape(-1, WIDE // 64)
+                count = WIDE // width
+                values = bits[:, : count * width].reshape(-1, count, width) @ (1 << np.arange(width)) + (np.arange(count) << 40)
+                keys = batch.column(0).slice(a, b - a).take(pa.array(some, pa.int64()))
+                yield pa.RecordBatch.from_arrays([keys, *[pa.array(packed[:, i]) for i in range(WIDE // 64)], pa.array(values.tolist(), pa.list_(pa.int64()))], names=names)
+
+    ddl = ", ".join([f"`{key}` {kind}", *[f"w{i} long" for i in range(WIDE // 64)], "rows array<long>"])
+    return docs.select(key, text).mapInArrow(run, ddl)
+
+
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """node, component of the documents that have a near copy; component is the smallest key of a group.
+
+    Texts of such similarity differ in too many bits of 64 for small balls, so fingerprints are WIDE bits here, in
+    segments about as wide as the logarithm of the number of documents, each searched to one bit. Candidates are held
+    against one word of the fingerprint within the join, and pairs that pass against all of it. As in ``links``,
+    pivots come first. Null keys and texts without words take no part; equal fingerprints are one entry.
+    """
+    cutoff, one = distance_for(similarity), 20
+    n = max(2, docs.count())
+    width = min(32, max(12, int(np.ceil(np.log2(n)))))
+    whole = [f"w{i}" for i in range(WIDE // 64)]
+    made = cut(wide_entries(docs.where(F.col(key).isNotNull()), words, width, key, text))
+    entries = cut(made.groupBy(*whole).agg(F.min(key).alias("node"), F.count(F.lit(1)).alias("weight"), F.any_value("rows").alias("rows")))
+    same = made.select(*whole, F.col(key).alias("a")).join(entries.select(*whole, F.col("node").alias("b")), whole).select("a", "b").where("a <> b")
+
+    def apart(x: str, y: str) -> Column:
+        return sum((F.bit_count(F.col(f"{x}{w}").bitwiseXOR(F.col(f"{y}{w}"))) for w in whole[1:]), F.bit_count(F.col(f"{x}w0").bitwiseXOR(F.col(f"{y}w0"))))
+
+    rows = entries.select("node", "weight", *whole, F.explode("rows").alias("row"))
+    pivots = rows.groupBy("row").agg(F.max_by(F.struct("node", *whole), F.struct("weight", "node")).alias("p"), F.count(F.lit(1)).alias("n")).where("n > 1").select("row", F.col("p.node").alias("pivot"), *[F.col(f"p.{w}").alias(f"p{w}") for w in whole])
+    stars = cut(rows.join(pivots, "row").where((F.col("node") != F.col("pivot")) & (apart("", "p") <= cutoff)).select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct())
+    known = cut(entries.join(components(stars), "node", "left").select("node", "w0", "rows", F.coalesce("component", "node").alias("c")))
+    table = known.select(F.explode("rows").alias("row"), F.col("node").alias("a"), F.col("w0").alias("aw"), F.col("c").alias("ca"))
+    masks = F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(width)])
+    ball = F.flatten(F.transform("rows", lambda r: F.transform(masks, lambda m: r.bitwiseXOR(m))))
+    probes = known.select(F.explode(ball).alias("row"), F.col("node").alias("b"), F.col("w0").alias("bw"), F.col("c").alias("cb"))
+    near = [table["row"] == probes["row"], F.col("ca") < F.col("cb"), F.bit_count(F.col("aw").bitwiseXOR(F.col("bw"))) <= one]
+    pairs = table.join(probes, near).select("a", "b").distinct()
+    left = entries.select(F.col("node").alias("a"), *[F.col(w).alias(f"a{w}") for w in whole])
+    right = entries.select(F.col("node").alias("b"), *[F.col(w).alias(f"b{w}") for w in whole])
+    met = pairs.join(left, "a").join(right, "b").where(apart("a", "b") <= cutoff).select("a", "b")
+    return components(same.union(stars).union(met))
+
+
+def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows that stay: of each group of near copies the one with the smallest key, and all others."""
+    gone = similar_groups(docs, words, similarity, key, text).where("node <> component").select(F.col("node").alias("_gone"))
+    return docs.join(gone, docs[key] == F.col("_gone"), "left_anti")
