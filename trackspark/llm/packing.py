@@ -23,8 +23,8 @@ from .common import cut, numbered, row_groups
 
 #: Units remembered by one Python worker before its memory of them starts anew.
 REMEMBERED = 800_000
-#: A unit is a run of plain white space and the word after it; text with other white space is encoded whole.
-UNIT = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
+#: A unit is a run of plain white space and the word after it, or what follows a word of letters before more space; text with other white space is encoded whole.
+UNIT = re.compile(r"[ \t\n\r]*[A-Za-zÀ-ÖØ-öø-ÿ]+(?![^ \t\n\r.,;:|!?$&%*#])|[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
 OTHER_SPACE = re.compile(r"[^\S \t\n\r]")
 PIECES = pa.schema([("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 _encoders: dict[str, "Encoder"] = {}
@@ -33,8 +33,8 @@ _encoders: dict[str, "Encoder"] = {}
 class Encoder(dict):
     """Ids (little-endian 32-bit, as bytes) of a unit, computed by the tokenizers library when first met.
 
-    The byte-level pre-tokenizer never joins a non-space to the white space after it, so a text's ids
-    are its units' ids in a row. New units are encoded in a row too; as each id stands for a known number
+    The byte-level pre-tokenizer never joins a non-space to the white space after it, nor a letter to
+    the marks listed in UNIT, so a text's ids are its units' ids in a row. New units are encoded in a row too; as each id stands for a known number
     of bytes, the units' lengths part the ids again.
     """
 
