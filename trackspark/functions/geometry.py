@@ -127,7 +127,7 @@ def first_valid_position(frames: DataFrame, key: str = "ctr") -> DataFrame:
 
 def stimulus_scale(column: str = "stimulus") -> Column:
     """Share of the trial's maximum; a maximum of zero counts as one."""
-    top = F.max(column).over(TRIAL)
+    top = F.max(column).over(TRIAL())
     return F.col(column) / F.when(top == 0, F.lit(1.0)).otherwise(top)
 
 

@@ -13,7 +13,7 @@ from .geometry import Vector, norm
 
 def derivative(x: Column, points: int = 2) -> Column:
     """Per-frame derivative by 2, 3 or 5 points. Near the edges fewer points are used; the edges are told by frame number, as values may be missing."""
-    lag, lead = (lambda k: F.lag(x, k).over(W)), (lambda k: F.lead(x, k).over(W))
+    lag, lead = (lambda k: F.lag(x, k).over(W())), (lambda k: F.lead(x, k).over(W()))
     first, last = F.col("frame") == 0, is_last()
     if points == 2:
         return F.when(last, x - lag(1)).otherwise(lead(1) - x)
@@ -29,14 +29,14 @@ def derivative(x: Column, points: int = 2) -> Column:
 def unwrapped(frames: DataFrame, angle: str, out: str) -> DataFrame:
     """``out``: the angle without jumps of 2 pi, over the non-missing samples of a trial; missing ones stay missing."""
     known = F.when(F.col(angle).isNotNull(), F.col("frame"))
-    before = F.last(F.col(angle), ignorenulls=True).over(BEFORE)
+    before = F.last(F.col(angle), ignorenulls=True).over(BEFORE())
     d = F.col(angle) - before
     pi = F.lit(math.pi)
     wrapped = F.pmod(d + pi, 2 * pi) - pi
     wrapped = F.when((wrapped == -pi) & (d > 0), pi).otherwise(wrapped)
     step = F.when(F.abs(d) < pi, F.lit(0.0)).otherwise(wrapped - d)
     made = frames.withColumn("_step", F.when(known.isNotNull(), F.coalesce(step, F.lit(0.0))))
-    return made.withColumn(out, F.col(angle) + F.sum("_step").over(SO_FAR)).drop("_step")
+    return made.withColumn(out, F.col(angle) + F.sum("_step").over(SO_FAR())).drop("_step")
 
 
 def speed(key: str, fps: Column | float = 1.0, points: int = 2) -> Column:
@@ -53,7 +53,7 @@ def motion_vector(key: str = "ctr", points: int = 3) -> Vector:
 def delta_between(a: str, b: str | None = None, fps: float = 1.0) -> Column:
     """Way from ``a`` in the frame before to ``b`` in this one, times fps; null in frame 0."""
     (ax, ay), (bx, by) = xy(a), xy(b or a)
-    return norm((bx - F.lag(ax).over(W), by - F.lag(ay).over(W))) * F.lit(float(fps))
+    return norm((bx - F.lag(ax).over(W()), by - F.lag(ay).over(W()))) * F.lit(float(fps))
 
 
 def all_deltas(frames: DataFrame) -> DataFrame:
@@ -68,7 +68,7 @@ def local_tortuosity(frames: DataFrame, window: int = 30, key: str = "mid", step
     """
     hw = int(window) // step // 2
     x, y = xy(key)
-    wide = W.rowsBetween(-hw, hw)
+    wide = W().rowsBetween(-hw, hw)
     ends = norm((F.last(x).over(wide) - F.first(x).over(wide), F.last(y).over(wide) - F.first(y).over(wide)))
     net = F.when(ends == 0, F.lit(1e-4)).otherwise(ends)
     whole = F.count(x + y).over(wide) == F.count(F.lit(1)).over(wide)
@@ -76,7 +76,7 @@ def local_tortuosity(frames: DataFrame, window: int = 30, key: str = "mid", step
         return frames.withColumn(out, F.when(whole, F.lit(0.0)))
     if step == 1:
         made = frames.withColumn("_d", delta_between(key))
-        path = F.coalesce(F.sum(F.when(F.col("frame") > 0, F.col("_d"))).over(W.rowsBetween(-hw + 1, hw)), F.lit(0.0))
+        path = F.coalesce(F.sum(F.when(F.col("frame") > 0, F.col("_d"))).over(W().rowsBetween(-hw + 1, hw)), F.lit(0.0))
         return made.withColumn(out, F.when(whole, path / net)).drop("_d")
     points = F.collect_list(F.struct(x.alias("x"), y.alias("y"))).over(wide)
     made = frames.withColumn("_p", points).withColumn("_net", net).withColumn("_whole", whole)
@@ -91,12 +91,12 @@ def rolling(x: Column, window: int, how: str = "mean") -> Column:
     hw = window // 2
     if hw == 0:
         return F.lit(None).cast("double")
-    value, frame = F.when(F.col("frame") < n_frames() - 1, x), W.rowsBetween(-hw, hw - 1)
+    value, frame = F.when(F.col("frame") < n_frames() - 1, x), W().rowsBetween(-hw, hw - 1)
     return F.avg(value).over(frame) if how == "mean" else F.percentile(value, F.lit(0.5)).over(frame)
 
 
 def reorientation(angle: Column) -> Column:
     """Absolute change since the frame before."""
-    return F.abs(angle - F.lag(angle).over(W))
+    return F.abs(angle - F.lag(angle).over(W()))
 
 

@@ -16,14 +16,14 @@ def detect_stops(frames: DataFrame, speed: Column, min_speed: float, min_time: f
     """
     fps = fps if isinstance(fps, Column) else F.lit(float(fps))
     own = frames.select("trial_id", "frame", F.coalesce(speed < min_speed, F.lit(False)).alias("slow"), fps.alias("fps"))
-    own = own.withColumn("_new", F.when(F.lag("slow").over(W) == F.col("slow"), 0).otherwise(1)).withColumn("island", F.sum("_new").over(SO_FAR))
+    own = own.withColumn("_new", F.when(F.lag("slow").over(W()) == F.col("slow"), 0).otherwise(1)).withColumn("island", F.sum("_new").over(SO_FAR()))
     of_island = Window.partitionBy("trial_id", "island")
     size = F.count(F.lit(1)).over(of_island)
-    own = own.withColumn("size", size).withColumn("last", F.col("island") == F.max("island").over(TRIAL))
+    own = own.withColumn("size", size).withColumn("last", F.col("island") == F.max("island").over(TRIAL()))
     own = own.withColumn("stop", F.col("slow") & ~F.col("last") & (F.col("size") - 1 > F.lit(float(min_time)) * F.col("fps")))
     # Confirmed stops stand alone; all islands between two of them are one run.
-    own = own.withColumn("_new", F.when(F.lag("stop").over(W) == F.col("stop"), F.lit(0)).otherwise(1))
-    own = own.withColumn("_new", F.when(F.col("stop") & (F.lag("island").over(W) != F.col("island")), 1).otherwise(F.col("_new"))).withColumn("act", F.sum("_new").over(SO_FAR))
+    own = own.withColumn("_new", F.when(F.lag("stop").over(W()) == F.col("stop"), F.lit(0)).otherwise(1))
+    own = own.withColumn("_new", F.when(F.col("stop") & (F.lag("island").over(W()) != F.col("island")), 1).otherwise(F.col("_new"))).withColumn("act", F.sum("_new").over(SO_FAR()))
     first_of_island = F.row_number().over(Window.partitionBy("trial_id", "island").orderBy("frame")) == 1
     own = own.withColumn("_part", F.when(first_of_island & ~F.col("last"), F.col("size") - 1).otherwise(0))
     of_act = Window.partitionBy("trial_id", "act")

@@ -28,10 +28,10 @@ def remove_edge_frames(frames: DataFrame) -> DataFrame:
             same = same & (F.col(c) == F.col(names[0]))
     made = frames.withColumn("_bad", F.coalesce(same, F.lit(False)))
     good = F.when(F.col("_bad"), 0).otherwise(1)
-    lead = F.coalesce(F.sum(good).over(SO_FAR), F.lit(0)) == 0
-    trail = F.coalesce(F.sum(good).over(AFTER), F.lit(0)) + good == 0
+    lead = F.coalesce(F.sum(good).over(SO_FAR()), F.lit(0)) == 0
+    trail = F.coalesce(F.sum(good).over(AFTER()), F.lit(0)) + good == 0
     made = made.withColumn("_lead", lead).withColumn("_trail", trail)
-    gone = F.col("_lead") | F.col("_trail") | F.coalesce(F.lag("_lead").over(W), F.lit(False))
+    gone = F.col("_lead") | F.col("_trail") | F.coalesce(F.lag("_lead").over(W()), F.lit(False))
     return made.withColumn("_gone", gone).withColumns({c: F.when(~F.col("_gone"), F.col(c)) for c in POSITIONS}).select(*frames.columns)
 
 
@@ -57,7 +57,7 @@ def swap_segments(frames: DataFrame, ranges: DataFrame) -> DataFrame:
 def swap_parity(frames: DataFrame, flags: DataFrame) -> DataFrame:
     """Column ``swapped``: an odd number of distinct flags lies in (0, frame]."""
     marks = flags.where("frame > 0").select(*KEYS).distinct().withColumn("_flag", F.lit(1))
-    return frames.join(marks, KEYS, "left").withColumn("swapped", F.sum(F.coalesce("_flag", F.lit(0))).over(SO_FAR) % 2 == 1).drop("_flag")
+    return frames.join(marks, KEYS, "left").withColumn("swapped", F.sum(F.coalesce("_flag", F.lit(0))).over(SO_FAR()) % 2 == 1).drop("_flag")
 
 
 def correct_global_swap(frames: DataFrame) -> DataFrame:
@@ -68,26 +68,26 @@ def correct_global_swap(frames: DataFrame) -> DataFrame:
     own = filter_gaussian(frames, 3, prefix="_g")
     fast = {k: norm((derivative(F.col(f"_gx{k}")), derivative(F.col(f"_gy{k}")))) for k in ("head", "tail")}
     own = own.withColumns({f"_v{k}": v for k, v in fast.items()})
-    own = own.withColumn("_swap", F.coalesce(F.avg("_vtail").over(TRIAL) > F.avg("_vhead").over(TRIAL), F.lit(False)))
+    own = own.withColumn("_swap", F.coalesce(F.avg("_vtail").over(TRIAL()) > F.avg("_vhead").over(TRIAL()), F.lit(False)))
     return _swapped(own, F.col("_swap")).select(*frames.columns)
 
 
 def correct_tracking_errors(frames: DataFrame) -> DataFrame:
     """Parity of all swap flags, in the flags' own window pass, and then the global swap."""
     flagged = with_flags(frames).withColumn("_flag", F.when(F.expr(SWAP) & (F.col("frame") > 0), 1).otherwise(0))
-    by_parity = flagged.withColumn("_odd", F.sum("_flag").over(SO_FAR) % 2 == 1)
+    by_parity = flagged.withColumn("_odd", F.sum("_flag").over(SO_FAR()) % 2 == 1)
     return correct_global_swap(_swapped(by_parity, F.col("_odd")).select(*frames.columns))
 
 
 def remove_overlaps(frames: DataFrame, fps: float, speed_threshold: float = 20) -> DataFrame:
     """In each overlap run the head goes missing if it jumps at the run's first frame or the one after the run; likewise the tail."""
-    made = frames.withColumn("_over", overlaps("head", "tail")).withColumn("_begins", F.col("_over") & ~F.coalesce(F.lag("_over").over(W), F.lit(False)))
+    made = frames.withColumn("_over", overlaps("head", "tail")).withColumn("_begins", F.col("_over") & ~F.coalesce(F.lag("_over").over(W()), F.lit(False)))
     for k in ("head", "tail"):
         made = made.withColumn(f"_j{k}", F.coalesce(delta_between(k, fps=fps) > speed_threshold, F.lit(False)))
     gone = {}
     for k in ("head", "tail"):
-        begin = F.last(F.when(F.col("_begins"), F.col(f"_j{k}")), ignorenulls=True).over(SO_FAR)
-        after = F.first(F.when(~F.col("_over"), F.col(f"_j{k}")), ignorenulls=True).over(AFTER)
+        begin = F.last(F.when(F.col("_begins"), F.col(f"_j{k}")), ignorenulls=True).over(SO_FAR())
+        after = F.first(F.when(~F.col("_over"), F.col(f"_j{k}")), ignorenulls=True).over(AFTER())
         gone[f"_b{k}"] = F.col("_over") & (F.coalesce(begin, F.lit(False)) | F.coalesce(after, F.lit(False)))
     made = made.withColumns(gone)
     new = {f"{a}{k}": F.when(~F.col(f"_b{k}"), F.col(f"{a}{k}")) for k in ("head", "tail") for a in "xy"}
@@ -127,7 +127,7 @@ def validate_swaps(frames: DataFrame, fps: float = 30, **options) -> DataFrame:
 def _gap_lengths(c: str) -> tuple[Column, Column]:
     """Frames of the last known sample before and the next one after."""
     known = F.when(F.col(c).isNotNull(), F.col("frame"))
-    return F.last(known, ignorenulls=True).over(BEFORE), F.first(known, ignorenulls=True).over(AFTER)
+    return F.last(known, ignorenulls=True).over(BEFORE()), F.first(known, ignorenulls=True).over(AFTER())
 
 
 def interpolate_gaps(frames: DataFrame, method: str = "cubicspline", max_segment: int = 15) -> DataFrame:
@@ -143,8 +143,8 @@ def interpolate_gaps(frames: DataFrame, method: str = "cubicspline", max_segment
         new = {}
         for c in columns:
             a, b = _gap_lengths(c)
-            va = F.last(c, ignorenulls=True).over(BEFORE)
-            vb = F.first(c, ignorenulls=True).over(AFTER)
+            va = F.last(c, ignorenulls=True).over(BEFORE())
+            vb = F.first(c, ignorenulls=True).over(AFTER())
             fits = F.col(c).isNull() & (b - a - 2 <= max_segment)
             new[c] = F.when(fits, va + (vb - va) * (F.col("frame") - a) / (b - a)).otherwise(F.col(c))
         return frames.withColumns(new)

@@ -45,7 +45,7 @@ def flag_min_delta_mismatches(frames: DataFrame) -> DataFrame:
 def flag_sign_reversals(frames: DataFrame, threshold: float = math.pi / 2) -> DataFrame:
     """The bend's sign changes (also to or from zero) between two frames that are both bent by the threshold or more."""
     made = frames.withColumn("_z", ht_cross_sign()).withColumn("_v", within_angle(body(), body(True), threshold))
-    made = made.withColumn("_pz", F.lag("_z").over(W)).withColumn("_pv", F.lag("_v").over(W))
+    made = made.withColumn("_pz", F.lag("_z").over(W())).withColumn("_pv", F.lag("_v").over(W()))
     return made.where((F.abs(F.col("_z") - F.col("_pz")) > 0) & F.col("_v") & F.col("_pv")).select(*KEYS)
 
 
@@ -86,8 +86,8 @@ def with_flags(frames: DataFrame, threshold: float = math.pi / 4, bent: float =
     points = [f"{axis}{k}" for k in ("head", "tail") for axis in "xy"]
     here = F.struct(*points, F.col("_z").alias("z"), F.col("_w").alias("w"))
     made = made.withColumns({
-        "_pz": F.lag("_z").over(W), "_pv": F.lag("_v").over(W), "_po": no(F.lag("over").over(W)),
-        "_a": F.coalesce(F.last(F.when(~F.col("over"), here), ignorenulls=True).over(BEFORE), F.first(here).over(SO_FAR)),
+        "_pz": F.lag("_z").over(W()), "_pv": F.lag("_v").over(W()), "_po": no(F.lag("over").over(W())),
+        "_a": F.coalesce(F.last(F.when(~F.col("over"), here), ignorenulls=True).over(BEFORE()), F.first(here).over(SO_FAR())),
     })
     made = made.withColumn("_after", (~F.col("over") & F.col("_po")) | (F.col("over") & is_last()))
     way = lambda p, q: F.sqrt((F.col(f"x{q}") - F.col(f"_a.x{p}")) * (F.col(f"x{q}") - F.col(f"_a.x{p}")) + (F.col(f"y{q}") - F.col(f"_a.y{p}")) * (F.col(f"y{q}") - F.col(f"_a.y{p}")))

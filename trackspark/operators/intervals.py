@@ -6,21 +6,30 @@ rows partitioned by trial.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..schema import W
 
 BOUNDS = ["trial_id", "start_frame", "end_frame"]
-S = Window.partitionBy("trial_id").orderBy("start_frame", "end_frame")
-_S_BEFORE = S.rowsBetween(Window.unboundedPreceding, -1)
-_S_SO_FAR = S.rowsBetween(Window.unboundedPreceding, 0)
+
+
+def S() -> WindowSpec:
+    return Window.partitionBy("trial_id").orderBy("start_frame", "end_frame")
+
+
+def _S_BEFORE() -> WindowSpec:
+    return S().rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _S_SO_FAR() -> WindowSpec:
+    return S().rowsBetween(Window.unboundedPreceding, 0)
 
 
 def consecutive_ranges(flags: DataFrame) -> DataFrame:
     """Maximal runs of consecutive frames; repeated frames count once."""
     own = flags.select("trial_id", "frame").distinct()
-    island = F.col("frame") - F.row_number().over(W)
+    island = F.col("frame") - F.row_number().over(W())
     return own.withColumn("_i", island).groupBy("trial_id", "_i").agg(F.min("frame").alias("start_frame"), F.max("frame").alias("end_frame")).drop("_i")
 
 
@@ -32,8 +41,8 @@ def consecutive_values(flags: DataFrame) -> DataFrame:
 def value_segments(frames: DataFrame, condition: Column) -> DataFrame:
     """Runs of frames where the condition holds; missing does not hold."""
     own = frames.select("trial_id", "frame", F.coalesce(condition, F.lit(False)).alias("_on"))
-    changed = F.when(F.col("_on") == F.coalesce(F.lag("_on").over(W), ~F.col("_on")), 0).otherwise(1)
-    runs = own.withColumn("_changed", changed).withColumn("_run", F.sum("_changed").over(W.rowsBetween(Window.unboundedPreceding, 0)))
+    changed = F.when(F.col("_on") == F.coalesce(F.lag("_on").over(W()), ~F.col("_on")), 0).otherwise(1)
+    runs = own.withColumn("_changed", changed).withColumn("_run", F.sum("_changed").over(W().rowsBetween(Window.unboundedPreceding, 0)))
     return runs.where("_on").groupBy("trial_id", "_run").agg(F.min("frame").alias("start_frame"), F.max("frame").alias("end_frame")).drop("_run")
 
 
@@ -49,7 +58,7 @@ def ranges_to_edges(segments: DataFrame) -> DataFrame:
 def invert_ranges(segments: DataFrame, lengths: DataFrame, shared_ends: bool = False) -> DataFrame:
     """What the segments of each trial leave of frames 0 to n - 1; ``lengths`` has trial_id and n. With ``shared_ends`` the pieces include the segments' end frames."""
     inside = 0 if shared_ends else 1
-    nexts = segments.withColumn("_next", F.lead("start_frame").over(S)).withColumn("_first", F.row_number().over(S) == 1)
+    nexts = segments.withColumn("_next", F.lead("start_frame").over(S())).withColumn("_first", F.row_number().over(S()) == 1)
     n = F.col("n")
     whole = F.struct(F.lit(0).cast("long").alias("a"), (n - 1).alias("b"))
     lead = F.struct(F.lit(0).cast("long").alias("a"), (F.col("start_frame") - inside).alias("b"))
@@ -66,9 +75,9 @@ def fuse_ranges(*tables: DataFrame, adjacent: bool = True) -> DataFrame:
     own = tables[0].select(*BOUNDS)
     for t in tables[1:]:
         own = own.unionByName(t.select(*BOUNDS))
-    reach = F.max("end_frame").over(_S_BEFORE)
+    reach = F.max("end_frame").over(_S_BEFORE())
     new = F.when(F.col("start_frame") <= reach + (1 if adjacent else 0), 0).otherwise(1)
-    return own.withColumn("_new", new).withColumn("_g", F.sum("_new").over(_S_SO_FAR)).groupBy("trial_id", "_g").agg(F.min("start_frame").alias("start_frame"), F.max("end_frame").alias("end_frame")).drop("_g")
+    return own.withColumn("_new", new).withColumn("_g", F.sum("_new").over(_S_SO_FAR())).groupBy("trial_id", "_g").agg(F.min("start_frame").alias("start_frame"), F.max("end_frame").alias("end_frame")).drop("_g")
 
 
 def filter_ranges(base: DataFrame, remove: DataFrame) -> DataFrame:
@@ -96,7 +105,7 @@ def indices_to_segments(flags: DataFrame, lengths: DataFrame, bounds: bool = Tru
     if bounds:
         own = own.unionByName(lengths.select("trial_id", F.explode(F.array(F.lit(0).cast("long"), F.col("n"))).alias("frame")))
     own = own.distinct()
-    pieces = own.withColumn("_end", F.lead("frame").over(W)).withColumn("_k", F.row_number().over(W)).where("_end is not null")
+    pieces = own.withColumn("_end", F.lead("frame").over(W())).withColumn("_k", F.row_number().over(W())).where("_end is not null")
     if alternating:
         pieces = pieces.where(F.col("_k") % 2 == 0)
     return pieces.select("trial_id", F.col("frame").alias("start_frame"), (F.col("_end") - int(inclusive)).alias("end_frame"))

@@ -16,7 +16,6 @@ from ..functions.kinematics import delta_between, motion_vector, speed
 from ..schema import W, xy
 
 KEYS = ["trial_id", "start_frame", "end_frame"]
-_ORDER = Window.partitionBy("trial_id").orderBy("start_frame")
 
 
 def frames_of(segments: DataFrame, buffer: int = 0, closed: bool = False) -> DataFrame:
@@ -61,7 +60,7 @@ def cross_segment_delta_1d(frames: DataFrame, segments: DataFrame, value: str, o
 
 def _stepped(frames: DataFrame, segments: DataFrame, key: str, step: int, combined: bool, strict: bool) -> DataFrame:
     """dist: sum of the ways from frames start, start + step, ...; combined: median over the step's phases. strict: a missing way makes it null."""
-    made = frames.withColumn("_d", delta_between(key)).withColumn("_d", F.lead("_d").over(W))
+    made = frames.withColumn("_d", delta_between(key)).withColumn("_d", F.lead("_d").over(W()))
     rows = _sliced(made.withColumn("_n", F.max("frame").over(Window.partitionBy("trial_id"))), segments, {"d": F.col("_d"), "n": F.col("_n")})
     rows = rows.where(F.col("frame") < F.col("n")).withColumn("phase", (F.col("frame") - F.col("start_frame")) % step)
     if not combined or step == 1:
@@ -139,18 +138,18 @@ def flag_segment_metric(metric: Column, n: Column, low: float = 0.9, high: float
     return F.when(enough & (metric < low), 1).when(enough & (metric > high), -1).otherwise(0)
 
 
-def fill_ambiguous_following(flag: str = "flag", ignore_edges: bool = False, order=_ORDER) -> Column:
+def fill_ambiguous_following(flag: str = "flag", ignore_edges: bool = False) -> Column:
     """For flags of 0 the flag before; at the trial's start the next one, or 0 with ``ignore_edges``. 0 for other flags."""
-    known = F.nullif(F.col(flag), F.lit(0))
+    order, known = Window.partitionBy("trial_id").orderBy("start_frame"), F.nullif(F.col(flag), F.lit(0))
     before = F.last(known, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
     after = F.first(known, ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
     fill = F.coalesce(before, F.lit(0)) if ignore_edges else F.coalesce(before, after, F.lit(0))
     return F.when(F.col(flag) == 0, fill).otherwise(0)
 
 
-def merge_ambiguous(flag: str = "flag", ignore_edges: bool = False, order=_ORDER) -> Column:
+def merge_ambiguous(flag: str = "flag", ignore_edges: bool = False) -> Column:
     """For flags of 0 the sum of the next flags on both sides as -1, 0 or 1; with ``ignore_edges`` its half, rounded down."""
-    known = F.nullif(F.col(flag), F.lit(0))
+    order, known = Window.partitionBy("trial_id").orderBy("start_frame"), F.nullif(F.col(flag), F.lit(0))
     before = F.last(known, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
     after = F.first(known, ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
     total = F.coalesce(before, F.lit(0)) + F.coalesce(after, F.lit(0))

@@ -102,7 +102,7 @@ def filter_sgolay(frames: DataFrame, window: int = 45, order: int = 4) -> DataFr
     columns = [c for c in POSITIONS if c in frames.columns]
     kernels = frames.sparkSession.createDataFrame([(p, [float(x) for x in row]) for p, row in enumerate(sgolay_taps(window, order))], "_place long, _taps array<double>")
     reach = window - 1
-    rows = frames.withColumn("_n", n_frames()).withColumn("_near", F.collect_list(F.struct(*columns)).over(W.rowsBetween(-reach, reach)))
+    rows = frames.withColumn("_n", n_frames()).withColumn("_near", F.collect_list(F.struct(*columns)).over(W().rowsBetween(-reach, reach)))
     start = F.greatest(F.lit(0), F.least(F.col("frame") - window // 2, F.col("_n") - window))
     rows = rows.withColumn("_place", F.col("frame") - start).withColumn("_near", F.slice("_near", (start - F.greatest(F.lit(0), F.col("frame") - reach) + 1).cast("int"), F.lit(window)))
     rows = rows.join(F.broadcast(kernels), "_place", "left")

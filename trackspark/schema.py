@@ -7,18 +7,33 @@ trial, so one shuffle by ``trial_id`` serves a chain of operators.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from .names import BOX, KEYPOINTS, POSITIONS, RAW_COLUMNS, STIMULUS_COLUMNS
 
 __all__ = ["AFTER", "BEFORE", "BOX", "KEYPOINTS", "POSITIONS", "RAW_COLUMNS", "SO_FAR", "STIMULUS_COLUMNS", "TRIAL", "W", "is_last", "n_frames", "xy"]
 
-TRIAL = Window.partitionBy("trial_id")
-W = TRIAL.orderBy("frame")
-SO_FAR = W.rowsBetween(Window.unboundedPreceding, 0)
-BEFORE = W.rowsBetween(Window.unboundedPreceding, -1)
-AFTER = W.rowsBetween(1, Window.unboundedFollowing)
+
+def TRIAL() -> WindowSpec:
+    """The row's whole trial. Windows are functions, as a window needs a running session."""
+    return Window.partitionBy("trial_id")
+
+
+def W() -> WindowSpec:
+    return TRIAL().orderBy("frame")
+
+
+def SO_FAR() -> WindowSpec:
+    return W().rowsBetween(Window.unboundedPreceding, 0)
+
+
+def BEFORE() -> WindowSpec:
+    return W().rowsBetween(Window.unboundedPreceding, -1)
+
+
+def AFTER() -> WindowSpec:
+    return W().rowsBetween(1, Window.unboundedFollowing)
 
 
 def xy(key: str) -> tuple[Column, Column]:
@@ -27,7 +42,7 @@ def xy(key: str) -> tuple[Column, Column]:
 
 def n_frames() -> Column:
     """Frames of the row's trial."""
-    return F.count(F.lit(1)).over(TRIAL)
+    return F.count(F.lit(1)).over(TRIAL())
 
 
 def is_last() -> Column:
