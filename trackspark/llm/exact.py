@@ -93,12 +93,11 @@ def combined_chunks(chunks: DataFrame, key: str, fp: str, length: str, position:
     """
     p, r = PRIMES[which], BASES[which]
 
-    squares = [pow(r, 1 << i, p) for i in range(31)]
+    # r**n by the bits of n: each step of this fold multiplies by one square of r if its bit is set.
+    bits = F.array(*[F.struct(F.lit(1 << i).cast("long").alias("unit"), F.lit(pow(r, 1 << i, p)).cast("long").alias("square")) for i in range(31)])
 
     def shift(total, n):
-        for i, square in enumerate(squares):
-            total = F.when(F.shiftright(n, i).bitwiseAND(1) == 1, total * F.lit(square) % p).otherwise(total)
-        return total
+        return F.aggregate(bits, total, lambda t, b: F.when(F.floor(n / b["unit"]) % 2 == 1, t * b["square"] % p).otherwise(t))
 
     parts = F.sort_array(F.collect_list(F.struct(F.col(position).alias("at"), F.col(fp).cast("long").alias("fp"), F.col(length).cast("long").alias("n"))))
     return chunks.groupBy(key).agg(F.aggregate(parts, F.lit(0).cast("long"), lambda total, c: (shift(total, c["n"]) + c["fp"]) % p).alias(fp))
@@ -173,7 +172,7 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", carry
         out = out.withColumns({"group_size": F.coalesce("group_size", F.lit(1).cast("long")), "keep_id": F.when(F.col("group_size").isNull(), F.col(key)).otherwise(F.col("keep_id"))})
     else:
         finer = [*keys, "finer"]
-        rows = rows.join(differing.withColumn("met", F.lit(True)), keys, "left").withColumn("finer", F.when("met", F.col("text_sha256")).otherwise("")).drop("met")
+        rows = rows.join(differing.withColumn("met", F.lit(True)), keys, "left").withColumn("finer", F.when(F.col("met"), F.col("text_sha256")).otherwise("")).drop("met")
         out = rows.join(rows.groupBy(*finer).agg(F.count(F.lit(1)).alias("group_size"), F.max(key).alias("keep_id")), finer)
     return out.select(key, *carry, "keep_id", "group_size", F.col(key).eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
