@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 from .common import row_groups, shared_dir, stored
 
 #: Model classes (the last is for all rarer words), vector length, context words.
-CLASSES, WIDTH, CONTEXT = 1024, 24, 2
+CLASSES, WIDTH, CONTEXT = 1024, 16, 2
 #: Noise words that a minibatch shares, its size, and the Adagrad step.
-NOISE, BATCH, STEP = 48, 1024, 0.4
+NOISE, BATCH, STEP = 32, 1024, 0.4
 #: Words whose counts are sent to the tasks; the counts of others are joined by a shuffle.
 HEAD = 1 << 17
 #: Distinct tokens that a counting task holds before it hands them on.
@@ -36,9 +36,9 @@ END = ""
 LN10 = float(np.log(10))
 
 
-def tokens(text: str | None) -> list[str]:
+def tokens(text: str | None) -> list[bytes]:
     """Words of the text with A-Z in lower case, then the end token. Null counts as empty."""
-    return [*[w.decode() for w in (text or "").encode().lower().split()], END]
+    return [*(text or "").encode().lower().split(), END.encode()]
 
 
 def held_out(key: str, parts: int = 10, part: int = 0) -> Column:
@@ -69,7 +69,7 @@ def count_tokens(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 class Vocabulary(dict):
-    """Frequent token -> (class, count); unknown ones get the last class."""
+    """Frequent token, in UTF-8 -> (class, count); unknown ones get the last class."""
 
     def __init__(self, rows: list[tuple[str, int]], total: int, distinct: int, classes: int = CLASSES):
         super().__init__()
@@ -77,9 +77,9 @@ class Vocabulary(dict):
         named = [END, *[t for t, _ in rows if t != END][: classes - 2]]
         counts = dict(rows)
         for t, c in rows:
-            self[t] = (classes - 1, c)
+            self[t.encode()] = (classes - 1, c)
         for i, t in enumerate(named):
-            self[t] = (i, counts.get(t, 0))
+            self[t.encode()] = (i, counts.get(t, 0))
         by_class = np.array([counts.get(t, 0) for t in named], np.float64)
         self.rare_total = total - int(by_class.sum())
         self.rare_distinct = distinct - len([c for c in by_class if c])
@@ -150,7 +150,7 @@ def contexts(classes: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return out
 
 
-def _classes(vocabulary: Vocabulary, lists: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+def _classes(vocabulary: Vocabulary, lists: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     rare = (vocabulary.classes - 1, 0)
     get = vocabulary.get
     flat = np.fromiter((get(w, rare)[0] for ws in lists for w in ws), np.int64)
@@ -273,7 +273,7 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", pa
                 owner = np.repeat(np.arange(len(lists)), sizes)
                 at = np.flatnonzero(~known)
                 for i, t in zip(owner[at].tolist(), (at - first[owner[at]]).tolist()):
-                    tail[i].append(lists[i][t])
+                    tail[i].append(lists[i][t].decode())
                 n_known = np.add.reduceat(known.astype(np.int64), first)
                 columns = [batch.column(0).slice(a, b - a), pa.array(sizes, pa.int64()), pa.array(n_known), pa.array(base), pa.array(score), pa.array(left), pa.array(tail, pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays(columns, names=[key, "n_tokens", "n_known", "base", "score", "rare", "tail"])
