@@ -3,7 +3,7 @@
 First pass: every partition counts its windows of words in a sketch of two rows of cells, with counters
 that saturate at two; the sketches are merged block by block. A window's count is at most the least of its
 cells, so one with a cell below two occurs once and is passed over; no repeated window is. Second pass: the
-windows estimated repeated are grouped exactly by a 128-bit hash. Within a run of rows only the
+windows estimated repeated are grouped exactly by 96 bits of a 128-bit hash. Within a run of rows only the
 document with the smallest id of each window needs to ask the others; the rest are decided on the spot. So a window that a
 third of all documents share costs one row a run in the shuffle.
 """
@@ -30,13 +30,13 @@ CELLS = 1 << 28
 #: Cells of a block of the sketch, as it is shuffled and merged.
 BLOCK = 1 << 21
 #: Windows after which a task hands out what it has gathered.
-RUN = 2_000_000
+RUN = 1_500_000
 #: Windows that one group of the second pass is meant to hold.
 PART = 1_000_000
 #: Bytes of removal marks that may be broadcast to the texts; more are joined by a shuffle.
 BROADCAST_BYTES = 32 << 20
 #: Words remembered by one Python worker before its memory of them starts anew.
-REMEMBERED = 700_000
+REMEMBERED = 400_000
 #: Stands for a null id: larger than any other, so such a document yields to all with an id.
 NO_ID = np.iinfo(np.int64).max
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
@@ -237,7 +237,7 @@ def second_pass(docs: DataFrame, key: str, text: str, window: int, cells: int, b
             for a, b in zip(bounds.tolist(), [*bounds[1:].tolist(), len(part)]):
                 some = asks[a:b]
                 some = some[np.lexsort((first[some], doc[some]))]
-                row = [int(part[a]), None, None, b - a, h[some].tobytes(), own[some].tobytes(), texts[doc[some]].tobytes(), first[some].astype("<u4").tobytes(), None]
+                row = [int(part[a]), None, None, b - a, h[some, 0].tobytes() + h[some, 1].astype("<u4").tobytes(), own[some].tobytes(), texts[doc[some]].tobytes(), first[some].astype("<u4").tobytes(), None]
                 for name, v in zip(out, row):
                     out[name].append(v)
             kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * 5]
@@ -246,30 +246,77 @@ def second_pass(docs: DataFrame, key: str, text: str, window: int, cells: int, b
     return docs.select(key, text).mapInArrow(run, SECOND)
 
 
-def answered(rows: DataFrame) -> DataFrame:
-    """Marks of all removed windows: id, text_hash, runs; several rows a document."""
+# Marks on their way to their documents: rows of packed columns, one for each pair of a part and a bucket of documents.
+MARKS = "bucket int, n int, ids binary, text_hashes binary, firsts binary, runs_id long, runs_hash long, runs binary"
+
+
+def answered(rows: DataFrame, buckets: int) -> DataFrame:
+    """Marks of all removed windows; see MARKS. Decided marks pass through as they are."""
 
     def answer(table: pa.Table) -> pa.Table:
         asks = table.filter(pc.is_valid(table["hashes"]))
         done = table.filter(pc.is_valid(table["runs"]))
         join = lambda name, kind: np.frombuffer(b"".join(asks[name].to_pylist()), kind)
-        h = join("hashes", "<u8").reshape(-1, 2)
+        parts = [(b, 8 * n) for b, n in zip(asks["hashes"].to_pylist(), asks["n"].to_pylist())]
+        h = np.stack([np.frombuffer(b"".join(b[:n] for b, n in parts), "<u8"), np.frombuffer(b"".join(b[n:] for b, n in parts), "<u4").astype("<u8")], axis=1)
         order, is_later = later(h, join("ids", "<i8"))
         gone = order[is_later]
-        ids, texts, runs = marks_batch(join("ids", "<i8")[gone], join("text_hashes", "<i8")[gone], join("firsts", "<u4")[gone].astype(np.int64))
-        own = pa.table({"id": pa.array(ids, pa.int64()), "text_hash": pa.array(texts, pa.int64()), "runs": pa.array(runs, pa.binary())})
-        return pa.concat_tables([own, done.select(["id", "text_hash", "runs"])])
+        ids, texts, firsts = join("ids", "<i8")[gone], join("text_hashes", "<i8")[gone], join("firsts", "<u4")[gone]
+        bucket = bucket_of(ids, buckets)
+        order = np.lexsort((firsts, texts, ids, bucket))
+        bucket, ids, texts, firsts = bucket[order], ids[order], texts[order], firsts[order]
+        bounds = [*np.flatnonzero(np.diff(bucket, prepend=-1)).tolist(), len(bucket)]
+        spans = list(zip(bounds, bounds[1:]))
+        columns = [[int(bucket[a]) for a, _ in spans], [b - a for a, b in spans], *[[x[a:b].tobytes() for a, b in spans] for x in (ids, texts, firsts)]]
+        kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+        none = lambda n, kind: pa.nulls(n, kind)
+        names = [x.split()[0] for x in MARKS.split(", ")]
+        own = pa.table([*[pa.array(c, k) for c, k in zip(columns, kinds)], none(len(spans), pa.int64()), none(len(spans), pa.int64()), none(len(spans), pa.binary())], names=names)
+        n = done.num_rows
+        kept = pa.table([pa.array(bucket_of(done["id"].to_numpy(), buckets), pa.int32()), none(n, pa.int32()), none(n, pa.binary()), none(n, pa.binary()), none(n, pa.binary()), done["id"], done["text_hash"], done["runs"]], names=names)
+        return pa.concat_tables([own, kept.cast(own.schema)])
+
+    return rows.groupBy("part").applyInArrow(answer, MARKS)
+
+
+def bucket_of(ids: np.ndarray, buckets: int) -> np.ndarray:
+    mixed = ids.astype(np.int64).view(np.uint64) * MIX[0]
+    return (mixed >> np.uint64(33)).astype(np.int64) % buckets
+
+
+def by_document(marks: DataFrame) -> DataFrame:
+    """_id, _hash, _runs: one row a document that loses words, its removed windows as merged runs."""
+
+    def merge(table: pa.Table) -> pa.Table:
+        packed = table.filter(pc.is_valid(table["ids"]))
+        done = table.filter(pc.is_valid(table["runs"]))
+        join = lambda name, kind: np.frombuffer(b"".join(packed[name].to_pylist()), kind)
+        found: dict[tuple, list[bytes]] = {}
+        for i, t, r in zip(*marks_batch(join("ids", "<i8"), join("text_hashes", "<i8"), join("firsts", "<u4").astype(np.int64))):
+            found.setdefault((i, t), []).append(r)
+        for i, t, r in zip(done["runs_id"].to_pylist(), done["runs_hash"].to_pylist(), done["runs"].to_pylist()):
+            found.setdefault((i, t), []).append(r)
+        return pa.table({"_id": pa.array([i for i, _ in found], pa.int64()), "_hash": pa.array([t for _, t in found], pa.int64()), "_runs": pa.array([merged_runs(r) for r in found.values()], pa.binary())})
 
-    return rows.groupBy("part").applyInArrow(answer, "id long, text_hash long, runs binary")
+    return marks.groupBy("bucket").applyInArrow(merge, "_id long, _hash long, _runs binary")
 
 
-def kept_words(data: bytes, runs: list[bytes], window: int) -> tuple[int, int, bytes]:
+def merged_runs(runs: list[bytes]) -> bytes:
+    """Runs that touch or repeat made one; a document's rows of the second pass hold its windows in scattered pieces."""
+    spans = np.frombuffer(b"".join(runs), "<u4").reshape(-1, 2).astype(np.int64)
+    spans = spans[np.lexsort((spans[:, 1], spans[:, 0]))]
+    reach = np.maximum.accumulate(spans[:, 1])
+    first = np.flatnonzero(np.concatenate([[True], spans[1:, 0] > reach[:-1]]))
+    return np.stack([spans[first, 0], reach[np.append(first[1:] - 1, len(spans) - 1)]], axis=1).astype("<u4").tobytes()
+
+
+def kept_words(data: bytes, runs: bytes | None, window: int) -> tuple[int, int, bytes]:
     """(words, removed words, kept words joined by spaces) of a text."""
     words = data.split()
     if not runs:
         return len(words), 0, b" ".join(words)
     edges = np.zeros(len(words) + 1, np.int64)
-    spans = np.frombuffer(b"".join(runs), "<u4").reshape(-1, 2).astype(np.int64)
+    spans = np.frombuffer(runs, "<u4").reshape(-1, 2).astype(np.int64)
     np.add.at(edges, spans[:, 0], 1)
     np.add.at(edges, spans[:, 1] + window - 1, -1)
     gone = np.cumsum(edges)[:-1] > 0
@@ -289,8 +336,8 @@ def removal_marks(docs: DataFrame, key: str = "doc_id", text: str = "text", wind
     bits = spark.sparkContext.broadcast([bytes(r) for r in rows])
     del rows, blocks
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), windows // (2 * PART))
-    marks = answered(second_pass(docs, key, text, window, cells, bits, parts))
-    return cut(marks.groupBy(F.col("id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.collect_list("runs").alias("_runs")))
+    marks = answered(second_pass(docs, key, text, window, cells, bits, parts), parts)
+    return cut(by_document(marks))
 
 
 def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, cells: int = CELLS, texts: bool = False) -> DataFrame:
@@ -302,7 +349,7 @@ def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", windo
     """
     kind = dict(docs.dtypes)[key]
     marks = removal_marks(docs, key, text, window, cells)
-    size = marks.agg(F.sum(F.aggregate("_runs", F.lit(48), lambda n, r: n + F.octet_length(r)))).first()[0] or 0
+    size = marks.agg(F.sum(F.octet_length("_runs") + 48)).first()[0] or 0
     near = F.broadcast(marks) if size <= BROADCAST_BYTES else marks
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(key, body.alias("_text"), F.coalesce(F.col(key).cast("long"), F.lit(int(NO_ID))).alias("_key"), F.xxhash64(body).alias("_of"))
@@ -310,7 +357,7 @@ def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", windo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [kept_words(t.as_py().encode(), r.as_py() or [], window) for t, r in zip(batch.column(1), batch.column(2))]
+            out = [kept_words(t.as_py().encode(), r.as_py(), window) for t, r in zip(batch.column(1), batch.column(2))]
             columns = [batch.column(0), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([hashlib.sha256(x[2]).hexdigest() for x in out])]
             names = [key, "n_words", "n_removed", "kept_sha256"]
             if texts:
