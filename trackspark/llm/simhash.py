@@ -146,7 +146,7 @@ def near_groups(docs: DataFrame, words: int = 4, distance: int = 4, tables: int
 
 
 #: Bits of the wide fingerprints of ``similar_groups``.
-WIDE = 256
+WIDE = 192
 
 
 def wide_fingerprint(hashes: list[int]) -> np.ndarray:
@@ -198,11 +198,10 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, key
     """node, component of the documents that have a near copy; component is the smallest key of a group.
 
     Texts of such similarity differ in too many bits of 64 for small balls, so fingerprints are WIDE bits here, in
-    segments about as wide as the logarithm of the number of documents, each searched to one bit. Candidates are held
-    against one word of the fingerprint within the join, and pairs that pass against all of it. As in ``links``,
-    pivots come first. Null keys and texts without words take no part; equal fingerprints are one entry.
+    segments about as wide as the logarithm of the number of documents, each searched to one bit. Complete distances
+    are verified within the join. As in ``links``, pivots come first. Null keys and texts without words take no part; equal fingerprints are one entry.
     """
-    cutoff, one = distance_for(similarity), 20
+    cutoff = distance_for(similarity)
     n = max(2, docs.count())
     width = min(32, max(12, int(np.ceil(np.log2(n)))))
     whole = [f"w{i}" for i in range(WIDE // 64)]
@@ -216,17 +215,16 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, key
     rows = entries.select("node", "weight", *whole, F.explode("rows").alias("row"))
     pivots = rows.groupBy("row").agg(F.max_by(F.struct("node", *whole), F.struct("weight", "node")).alias("p"), F.count(F.lit(1)).alias("n")).where("n > 1").select("row", F.col("p.node").alias("pivot"), *[F.col(f"p.{w}").alias(f"p{w}") for w in whole])
     stars = cut(rows.join(pivots, "row").where((F.col("node") != F.col("pivot")) & (apart("", "p") <= cutoff)).select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct())
-    known = cut(entries.join(components(stars), "node", "left").select("node", "w0", "rows", F.coalesce("component", "node").alias("c")))
-    table = known.select(F.explode("rows").alias("row"), F.col("node").alias("a"), F.col("w0").alias("aw"), F.col("c").alias("ca"))
-    masks = F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(width)])
-    ball = F.flatten(F.transform("rows", lambda r: F.transform(masks, lambda m: r.bitwiseXOR(m))))
-    probes = known.select(F.explode(ball).alias("row"), F.col("node").alias("b"), F.col("w0").alias("bw"), F.col("c").alias("cb"))
-    near = [table["row"] == probes["row"], F.col("ca") < F.col("cb"), F.bit_count(F.col("aw").bitwiseXOR(F.col("bw"))) <= one]
-    pairs = table.join(probes, near).select("a", "b").distinct()
-    left = entries.select(F.col("node").alias("a"), *[F.col(w).alias(f"a{w}") for w in whole])
-    right = entries.select(F.col("node").alias("b"), *[F.col(w).alias(f"b{w}") for w in whole])
-    met = pairs.join(left, "a").join(right, "b").where(apart("a", "b") <= cutoff).select("a", "b")
-    return components(same.union(stars).union(met))
+    known = cut(entries.join(components(stars), "node", "left").select(*whole, "rows", F.coalesce("component", "node").alias("c")))
+    table = known.select(F.explode("rows").alias("row"), *[F.col(w).alias(f"a{w}") for w in whole], F.col("c").alias("ca"))
+    # Of two values one bit apart, the one with the bit set reaches the other by clearing it; so half a ball on either side will do.
+    masks = F.array(*[F.lit(1 << i).cast("long") for i in range(width)])
+    cleared = F.flatten(F.transform("rows", lambda r: F.transform(F.filter(masks, lambda m: r.bitwiseAND(m) != 0), lambda m: F.struct(r.bitwiseXOR(m).alias("row"), F.lit(False).alias("own")))))
+    own = F.transform("rows", lambda r: F.struct(r.alias("row"), F.lit(True).alias("own")))
+    probes = known.select(F.explode(F.concat(own, cleared)).alias("p"), *[F.col(w).alias(f"b{w}") for w in whole], F.col("c").alias("cb")).select("p.row", "p.own", *[f"b{w}" for w in whole], "cb")
+    near = [table["row"] == probes["row"], F.col("ca") != F.col("cb"), ~F.col("own") | (F.col("ca") < F.col("cb")), apart("a", "b") <= cutoff]
+    pairs = table.join(probes, near).select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
+    return components(same.union(stars).union(pairs))
 
 
 def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
