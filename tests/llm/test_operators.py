@@ -134,6 +134,32 @@ def test_near_copies_of_a_text_are_grouped(spark):
     assert kept == {i * 10 for i in range(6)} | {1000 + i for i in range(40)}
 
 
+def changed_pairs(rng, changes, n_words, count):
+    """(doc_id, text) of ``count`` pairs; the second text of each has words changed at these places."""
+    rows = []
+    for i in range(count):
+        t = [f"w{x}" for x in rng.integers(0, 10**6, n_words)]
+        rows.append((2 * i, " ".join(t)))
+        for at in changes:
+            t[at] = f"changed{i}"
+        rows.append((2 * i + 1, " ".join(t)))
+    return rows
+
+
+def five_word_jaccard(a, b):
+    a, b = (set(zip(*[t.split()[i:] for i in range(5)])) for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+@pytest.mark.parametrize("width", [17, 24])
+def test_no_pair_of_the_asked_similarity_is_lost(spark, width):
+    rng = np.random.default_rng(width)
+    rows = [*changed_pairs(rng, [20, 60], 94, 60), *[(d + 1000, t) for d, t in changed_pairs(rng, [20], 94, 20)], *[(d + 2000, t) for d, t in changed_pairs(rng, [], 3, 5)]]
+    assert {round(five_word_jaccard(a, b), 3) for (_, a), (_, b) in zip(rows[:160:2], rows[1:160:2])} == {0.8, 0.895}
+    found = {r["node"]: r["component"] for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), width=width).collect()}
+    assert found == {d: d - d % 2 for d, _ in rows}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 60)] + [(100, 101), (101, 102), (7, 7), (200, 201), (201, 200)]
     got = dict(common.components(spark.createDataFrame(edges, "a long, b long")).collect())

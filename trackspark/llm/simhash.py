@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, cut, row_groups
@@ -146,7 +146,9 @@ def near_groups(docs: DataFrame, words: int = 4, distance: int = 4, tables: int
 
 
 #: Bits of the wide fingerprints of ``similar_groups``.
-WIDE = 192
+WIDE = 256
+#: Shingles put last in the order of the exact search, the documents they are looked for in, and the fewest of those that must hold one.
+COMMON, COMMON_DOCS, COMMON_LEAST = 1 << 16, 20_000, 3
 
 
 def wide_fingerprint(hashes: list[int]) -> np.ndarray:
@@ -168,17 +170,39 @@ def wide_fingerprint(hashes: list[int]) -> np.ndarray:
 
 
 def distance_for(similarity: float) -> int:
-    """Bits of WIDE that texts of this Jaccard similarity differ in, one standard deviation above the mean."""
+    """Bits of WIDE that texts of this Jaccard similarity differ in, one standard deviation above the mean. Speeds the search up and decides nothing."""
     share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
     return int(WIDE * share + np.sqrt(WIDE * share * (1 - share)))
 
 
-def wide_entries(docs: DataFrame, words: int, width: int, key: str, text: str) -> DataFrame:
-    """key, w0..w3 (the fingerprint), rows: the value of each segment of ``width`` bits with its number above it. Texts without words are left out."""
+def common_shingles(docs: DataFrame, words: int, key: str, text: str) -> np.ndarray:
+    """Sorted hashes of shingles that many documents of a bounded sample hold. Any choice gives the same pairs; this one keeps their lists short."""
+    n = docs.count()
+    some = docs if n <= COMMON_DOCS else docs.where(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < int(1_000_000 * COMMON_DOCS / n))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in row_groups(batch.column(0)):
+                for t in batch.column(0).slice(a, b - a):
+                    own = np.array(sorted(set(shingle_hashes((t.as_py() or "").encode(), words))), "<u8").view("<i8")
+                    yield pa.RecordBatch.from_arrays([pa.array(own)], names=["h"])
+
+    counted = some.select(text).mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON_LEAST)
+    rows = counted.orderBy(F.desc("n"), "h").limit(COMMON).select("h").toArrow()
+    return np.sort(rows["h"].to_numpy())
+
+
+def wide_entries(docs: DataFrame, words: int, similarity: float, width: int, common: np.ndarray, key: str, text: str) -> DataFrame:
+    """key, n (distinct shingles), w0..w3 (the fingerprint), rows (the value of each segment of ``width`` bits with its
+    number above it), heads (the first shingles in the common order, so many that two texts as similar as asked must share one).
+    Texts without words are left out."""
     kind = dict(docs.dtypes)[key]
-    names = [key, *[f"w{i}" for i in range(WIDE // 64)], "rows"]
+    whole = [f"w{i}" for i in range(WIDE // 64)]
+    names = [key, "n", *whole, "rows", "heads"]
+    sent = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        late = sent.value
         for batch in batches:
             for a, b in row_groups(batch.column(1)):
                 hashed = [shingle_hashes((t.as_py() or "").encode(), words) for t in batch.column(1).slice(a, b - a)]
@@ -187,44 +211,96 @@ def wide_entries(docs: DataFrame, words: int, width: int, key: str, text: str) -
                 packed = np.packbits(bits, axis=1, bitorder="little").view("<i8").reshape(-1, WIDE // 64)
                 count = WIDE // width
                 values = bits[:, : count * width].reshape(-1, count, width) @ (1 << np.arange(width)) + (np.arange(count) << 40)
+                sizes, heads = [], []
+                for i in some:
+                    own = np.unique(np.array(hashed[i], "<u8").view("<i8"))
+                    ordered = own[np.argsort(np.isin(own, late), kind="stable")] if len(late) else own
+                    sizes.append(len(own))
+                    heads.append(ordered[: len(own) - least_overlap(similarity, len(own)) + 1])
                 keys = batch.column(0).slice(a, b - a).take(pa.array(some, pa.int64()))
-                yield pa.RecordBatch.from_arrays([keys, *[pa.array(packed[:, i]) for i in range(WIDE // 64)], pa.array(values.tolist(), pa.list_(pa.int64()))], names=names)
+                columns = [keys, pa.array(sizes, pa.int32()), *[pa.array(packed[:, i]) for i in range(WIDE // 64)], pa.array(values.tolist(), pa.list_(pa.int64())), pa.array(heads, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    ddl = ", ".join([f"`{key}` {kind}", *[f"w{i} long" for i in range(WIDE // 64)], "rows array<long>"])
+    ddl = ", ".join([f"`{key}` {kind}", "n int", *[f"{w} long" for w in whole], "rows array<long>", "heads array<long>"])
     return docs.select(key, text).mapInArrow(run, ddl)
 
 
-def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
+def least_overlap(similarity: float, n: int) -> int:
+    """Shingles that a text of ``n`` must share with any text as similar as that."""
+    return max(1, int(np.ceil(similarity * n - 1e-9)))
+
+
+def shingle_sets(docs: DataFrame, words: int, key: str, text: str) -> DataFrame:
+    """node, shingles: the distinct hashes of each text."""
+    kind = dict(docs.dtypes)[key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in row_groups(batch.column(1)):
+                sets = [np.unique(np.array(shingle_hashes((t.as_py() or "").encode(), words), "<u8").view("<i8")) for t in batch.column(1).slice(a, b - a)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+
+    return docs.select(key, text).mapInArrow(run, f"node {kind}, shingles array<long>")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets of distinct shingles have this Jaccard similarity at least."""
+    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
+    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
+    met = pairs.join(left, "a").join(right, "b").withColumn("both", F.size(F.array_intersect("sa", "sb")))
+    return cut(met.where(F.col("both") >= F.lit(similarity) * (F.size("sa") + F.size("sb") - F.col("both")) - 1e-9).select("a", "b").distinct())
+
+
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text", width: int | None = None) -> DataFrame:
     """node, component of the documents that have a near copy; component is the smallest key of a group.
 
-    Texts of such similarity differ in too many bits of 64 for small balls, so fingerprints are WIDE bits here, in
-    segments about as wide as the logarithm of the number of documents, each searched to one bit. Complete distances
-    are verified within the join. As in ``links``, pivots come first. Null keys and texts without words take no part; equal fingerprints are one entry.
+    Groups are the components of all pairs whose sets of distinct shingles are as similar as asked. Most copies are
+    found by SimHash: fingerprints of WIDE bits, each linked with the pivots of its segments. No balls of a payable radius hold all
+    pairs of such similarity, so the rest comes from a search that is complete at any number of rows: in one order of all shingles,
+    sets of n that are that similar share one of their first n - ceil(similarity * n) + 1. Documents are first linked with the pivots of these lists,
+    and only pairs of different components are then looked for. ``width`` of the segments: by default log2 of the number
+    of documents; the groups do not depend on it. Null keys and texts without words take no part.
     """
     cutoff = distance_for(similarity)
-    n = max(2, docs.count())
-    width = min(32, max(12, int(np.ceil(np.log2(n)))))
+    docs = docs.where(F.col(key).isNotNull())
+    width = width or min(32, max(12, int(np.ceil(np.log2(max(2, docs.count()))))))
     whole = [f"w{i}" for i in range(WIDE // 64)]
-    made = cut(wide_entries(docs.where(F.col(key).isNotNull()), words, width, key, text))
-    entries = cut(made.groupBy(*whole).agg(F.min(key).alias("node"), F.count(F.lit(1)).alias("weight"), F.any_value("rows").alias("rows")))
-    same = made.select(*whole, F.col(key).alias("a")).join(entries.select(*whole, F.col("node").alias("b")), whole).select("a", "b").where("a <> b")
+    made = cut(wide_entries(docs, words, similarity, width, common_shingles(docs, words, key, text), key, text).withColumnRenamed(key, "node"))
 
     def apart(x: str, y: str) -> Column:
         return sum((F.bit_count(F.col(f"{x}{w}").bitwiseXOR(F.col(f"{y}{w}"))) for w in whole[1:]), F.bit_count(F.col(f"{x}w0").bitwiseXOR(F.col(f"{y}w0"))))
 
-    rows = entries.select("node", "weight", *whole, F.explode("rows").alias("row"))
-    pivots = rows.groupBy("row").agg(F.max_by(F.struct("node", *whole), F.struct("weight", "node")).alias("p"), F.count(F.lit(1)).alias("n")).where("n > 1").select("row", F.col("p.node").alias("pivot"), *[F.col(f"p.{w}").alias(f"p{w}") for w in whole])
+    rows = made.select("node", *whole, F.explode("rows").alias("row"))
+    pivots = rows.groupBy("row").agg(F.min_by(F.struct("node", *whole), "node").alias("p"), F.count(F.lit(1)).alias("k")).where("k > 1").select("row", F.col("p.node").alias("pivot"), *[F.col(f"p.{w}").alias(f"p{w}") for w in whole])
     stars = cut(rows.join(pivots, "row").where((F.col("node") != F.col("pivot")) & (apart("", "p") <= cutoff)).select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct())
-    known = cut(entries.join(components(stars), "node", "left").select(*whole, "rows", F.coalesce("component", "node").alias("c")))
-    table = known.select(F.explode("rows").alias("row"), *[F.col(w).alias(f"a{w}") for w in whole], F.col("c").alias("ca"))
-    # Of two values one bit apart, the one with the bit set reaches the other by clearing it; so half a ball on either side will do.
-    masks = F.array(*[F.lit(1 << i).cast("long") for i in range(width)])
-    cleared = F.flatten(F.transform("rows", lambda r: F.transform(F.filter(masks, lambda m: r.bitwiseAND(m) != 0), lambda m: F.struct(r.bitwiseXOR(m).alias("row"), F.lit(False).alias("own")))))
-    own = F.transform("rows", lambda r: F.struct(r.alias("row"), F.lit(True).alias("own")))
-    probes = known.select(F.explode(F.concat(own, cleared)).alias("p"), *[F.col(w).alias(f"b{w}") for w in whole], F.col("c").alias("cb")).select("p.row", "p.own", *[f"b{w}" for w in whole], "cb")
-    near = [table["row"] == probes["row"], F.col("ca") != F.col("cb"), ~F.col("own") | (F.col("ca") < F.col("cb")), apart("a", "b") <= cutoff]
-    pairs = table.join(probes, near).select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
-    return components(same.union(stars).union(pairs))
+
+    # Lists of the documents that share one of their first shingles; ``at`` is its place in the order.
+    heads = made.select("node", "n", F.posexplode("heads").alias("at", "h"))
+    live = cut(heads.withColumn("_k", F.count(F.lit(1)).over(Window.partitionBy("h"))).where("_k > 1").drop("_k"))
+    some = live.select("node").union(stars.select("a")).union(stars.select("b")).distinct()
+    sets = cut(shingle_sets(docs.join(some.withColumnRenamed("node", key), key, "left_semi"), words, key, text))
+
+    # A pair that is similar enough passes at the first shingle it shares: what follows that one must make up the overlap.
+    needed = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("na") + F.col("nb")) - 1e-9)
+    enough = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) >= needed
+    sizes = F.least("na", "nb") >= F.lit(similarity) * F.greatest("na", "nb") - 1e-9
+
+    def placed(groups: DataFrame) -> DataFrame:
+        return live.join(groups, "node", "left").select("h", "node", "n", "at", F.coalesce("component", "node").alias("c"))
+
+    linked = stars
+    listed = placed(components(linked))
+    low = listed.groupBy("h").agg(F.min_by(F.struct("node", "n", "at", "c"), F.struct(-F.col("n"), "node")).alias("p"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1")
+    near = listed.join(low.select("h", "p"), "h").select(F.col("node").alias("a"), F.col("p.node").alias("b"), F.col("n").alias("na"), F.col("p.n").alias("nb"), F.col("at").alias("ia"), F.col("p.at").alias("ib"), "c", F.col("p.c").alias("pc"))
+    linked = linked.union(verified(near.where((F.col("c") != F.col("pc")) & enough & sizes).select("a", "b").distinct(), sets, similarity))
+
+    listed = cut(placed(components(linked)))
+    present = listed.select("h", "c").distinct()
+    ways = present.join(present.withColumnRenamed("c", "other"), "h").where("c < other")
+    left = listed.join(ways, ["h", "c"]).select("h", "other", F.col("node").alias("a"), F.col("n").alias("na"), F.col("at").alias("ia"))
+    right = listed.select("h", F.col("c").alias("other"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("at").alias("ib"))
+    cross = left.join(right, ["h", "other"]).where(enough & sizes).select("a", "b").distinct()
+    return components(linked.union(verified(cross, sets, similarity)))
 
 
 def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
