@@ -160,6 +160,14 @@ def test_no_pair_of_the_asked_similarity_is_lost(spark, width):
     assert found == {d: d - d % 2 for d, _ in rows}
 
 
+def test_pairs_below_the_asked_similarity_stay_apart(spark):
+    rng = np.random.default_rng(3)
+    rows = [*changed_pairs(rng, [9], 10, 30), *[(d + 1000, t) for d, t in changed_pairs(rng, [7], 8, 30)], *[(d + 2000, t) for d, t in changed_pairs(rng, [30, 60, 90, 120, 150, 180], 204, 30)]]
+    assert {round(five_word_jaccard(a, b), 3) for (_, a), (_, b) in zip(rows[::2], rows[1::2])} == {0.714, 0.6, 0.739}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert simhash.drop_near_copies(docs).count() == len(rows)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 60)] + [(100, 101), (101, 102), (7, 7), (200, 201), (201, 200)]
     got = dict(common.components(spark.createDataFrame(edges, "a long, b long")).collect())

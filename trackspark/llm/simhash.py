@@ -255,7 +255,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, key
     """node, component of the documents that have a near copy; component is the smallest key of a group.
 
     Groups are the components of all pairs whose sets of distinct shingles are as similar as asked. Most copies are
-    found by SimHash: fingerprints of WIDE bits, each linked with the pivots of its segments. No balls of a payable radius hold all
+    found by SimHash: fingerprints of WIDE bits, each linked with the pivots of its segments if their sets agree. No balls of a payable radius hold all
     pairs of such similarity, so the rest comes from a search that is complete at any number of rows: in one order of all shingles,
     sets of n that are that similar share one of their first n - ceil(similarity * n) + 1. Documents are first linked with the pivots of these lists,
     and only pairs of different components are then looked for. ``width`` of the segments: by default log2 of the number
@@ -288,7 +288,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, key
     def placed(groups: DataFrame) -> DataFrame:
         return live.join(groups, "node", "left").select("h", "node", "n", "at", F.coalesce("component", "node").alias("c"))
 
-    linked = stars
+    linked = verified(stars, sets, similarity)
     listed = placed(components(linked))
     low = listed.groupBy("h").agg(F.min_by(F.struct("node", "n", "at", "c"), F.struct(-F.col("n"), "node")).alias("p"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1")
     near = listed.join(low.select("h", "p"), "h").select(F.col("node").alias("a"), F.col("p.node").alias("b"), F.col("n").alias("na"), F.col("p.n").alias("nb"), F.col("at").alias("ia"), F.col("p.at").alias("ib"), "c", F.col("p.c").alias("pc"))
