@@ -13,14 +13,14 @@ from trackspark.llm.common import stored
 from trackspark.llm.queries import tokenizer
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Least share of a text's letters that its language must hold for the text to stay.
-LEAST_SHARE = 0.5
+#: Least score (see ``langid.annotated``) for a text to stay: held-out texts of learned languages lie above, nearly all of unlearned ones below.
+LEAST_SCORE = 0.75
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a learned language that holds at least half of their letters; null texts and texts without letters go."""
+    """Documents whose n-grams are likely in learned languages, one or several; null texts and texts without letters go."""
     found = langid.annotated(docs.select(*COLUMNS), langid.train(docs))
-    return found.where((F.col("lang_pred") != langid.UND) & (F.col("lang_score") >= LEAST_SHARE)).select(*COLUMNS)
+    return found.where((F.col("lang_pred") != langid.UND) & (F.col("lang_score") >= LEAST_SCORE)).select(*COLUMNS)
 
 
 def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

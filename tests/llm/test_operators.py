@@ -212,6 +212,20 @@ def test_languages(spark, docs):
     assert (row[1]["lang_pred"], row[1]["lang_score"]) == ("und", 0)
 
 
+def test_words_of_unlearned_scripts_are_evidence_for_no_language(spark):
+    train = [(i, t, l) for i, (t, l) in enumerate([("the house of the king and the sea", "en"), ("le roi et la mer et les eaux", "fr")] * 20)]
+    model = langid.train(spark.createDataFrame(train, "doc_id long, text string, lang string"))
+    texts = [(1, "царь и море и дом", None), (2, "the king and the sea", None), (3, "the king and the sea царь и море и дом и дом и море", None), (4, "xq zzvj kkw", None)]
+    row = langid.annotated(spark.createDataFrame(texts, "doc_id long, text string, lang string"), model, with_spans=True).orderBy("doc_id").collect()
+    assert [(r["lang_pred"], r["lang_score"]) for r in row if r["doc_id"] in (1, 3)] == [("und", 0), ("und", 0)]
+    assert row[1]["lang_pred"] == "en" and row[1]["lang_score"] > 0.9 and row[3]["lang_score"] < 0.3
+    assert [(s["first"], s["lang"]) for s in row[2]["spans"]] == [(0, "en"), (5, "und")]
+
+
+def test_every_language_has_its_quota():
+    assert langid.quotas({"a": 10**7, "b": 3, "c": 10**4, "d": 10**6}, 20_000) == {"b": 3, "c": 6665, "d": 6666, "a": 6666}
+
+
 def test_viterbi_shortcut_is_the_best_path():
     rng = np.random.default_rng(4)
     for _ in range(60):

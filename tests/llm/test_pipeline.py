@@ -2,6 +2,8 @@
 
 import collections
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as c
 from trackspark.llm import simhash
 
@@ -33,6 +35,20 @@ def test_stages(spark):
     assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == left
 
 
+def test_unlearned_languages_go_and_mixed_texts_stay(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    learned = docs.where("lang <> 'es'")
+    held = docs.where("lang = 'es' and n_chars > 200").withColumn("lang", F.lit(None).cast("string"))
+    one = {r["lang"]: r["text"] for r in learned.where("doc_id % 7 = 1 and n_chars between 600 and 1200").groupBy("lang").agg(F.max_by("text", "doc_id").alias("text")).collect()}
+    assert len(one) == 3
+    extra = [(10**6, "Сегодня утром президент встретился с министрами " * 5, None, "s", 240), (10**6 + 1, "Σήμερα το πρωί ο πρόεδρος " * 5, None, "s", 130), (10**6 + 2, "\n".join(t[:600] for t in one.values()), None, "s", 1802)]
+    left = {r["doc_id"] for r in c.identify(spark, learned.unionByName(held).unionByName(spark.createDataFrame(extra, docs.schema)), SMALL).select("doc_id").collect()}
+    assert left & {10**6, 10**6 + 1, 10**6 + 2} == {10**6 + 2}
+    foreign = {r["doc_id"] for r in held.collect()}
+    assert len(foreign & left) < 0.02 * len(foreign)
+    assert len(left - foreign) > 0.99 * learned.count()
+
+
 def test_run(spark):
     rows = c.run(spark, SMALL).collect()
     used = collections.Counter()

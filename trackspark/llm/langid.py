@@ -2,12 +2,13 @@
 
 A word's script narrows the languages to those learned in that script; its hashed character n-grams give
 each of them a score. Over a text's words, Viterbi with a penalty for each switch labels spans; a text's
-language is the one whose spans hold most letters. Counts are learned on Spark from a bounded, hash-chosen
+language is the one whose spans hold most letters. Words of a script that no language was learned in speak for none. Counts are learned on Spark from a bounded, hash-chosen
 sample of the labelled rows; the model is languages x BUCKETS numbers, whatever the input.
 """
 
 from __future__ import annotations
 
+import re
 import sys
 import uuid
 from collections import Counter
@@ -29,6 +30,7 @@ SWITCH, WEIGHT = 8.0, 0.4
 #: Words remembered by one Python worker before its memory of them starts anew.
 REMEMBERED = 500_000
 UND = "und"
+DIGIT = re.compile(r"\d")
 
 # First and last code points of scripts (blocks of letters), in code order.
 SCRIPTS = {
@@ -102,18 +104,28 @@ def held_out(key: str, parts: int, part: int) -> Column:
 
 
 class Model:
-    """Languages in order, log-probabilities (BUCKETS, languages), and which languages were learned in which script."""
+    """Languages in order, log-probabilities (BUCKETS, languages), which languages were learned in which script, and the
+    mean log-probabilities (2, languages) of a language's own n-grams and of n-grams drawn blindly."""
 
-    def __init__(self, languages: list[str], scores: np.ndarray, candidates: np.ndarray):
-        self.languages, self.scores, self.candidates = languages, scores, candidates
+    def __init__(self, languages: list[str], scores: np.ndarray, candidates: np.ndarray, levels: np.ndarray):
+        self.languages, self.scores, self.candidates, self.levels = languages, scores, candidates, levels
+
+
+def quotas(sizes: dict[str, int], most: int) -> dict[str, int]:
+    """Rows of each language in a sample of ``most``: equal parts, and what small languages leave goes to the others."""
+    out: dict[str, int] = {}
+    for i, (l, n) in enumerate(sorted(sizes.items(), key=lambda x: (x[1], x[0]))):
+        out[l] = min(n, max(1, (most - sum(out.values())) // (len(sizes) - i)))
+    return out
 
 
 def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", most: int = TRAIN_DOCS) -> Model:
-    """Fit on the rows with a label and a text, of which a hash of the key and text picks some ``most``."""
+    """Fit on the rows with a label and a text, of which a hash of the key and text picks some ``most``, with a quota for each language."""
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    n = rows.count()
-    if n > most:
-        rows = rows.where(F.pmod(F.xxhash64(key, F.length(text)), F.lit(1_000_000)) < int(1_000_000 * most / n))
+    sizes = {r[lang]: r["count"] for r in rows.groupBy(lang).count().collect()}
+    if sum(sizes.values()) > most:
+        limits = F.create_map(*[F.lit(x) for l, q in quotas(sizes, most).items() for x in (l, int(np.ceil(1_000_000 * q / sizes[l])))])
+        rows = rows.where(F.pmod(F.xxhash64(key, F.length(text)), F.lit(1_000_000)) < F.element_at(limits, F.col(lang)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
@@ -141,16 +153,17 @@ def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: st
     grams, scripts = table[:BUCKETS], table[BUCKETS:]
     scores = np.log((grams + 0.5) / (grams.sum(axis=0) + 0.5 * BUCKETS)) if languages else grams
     share = scripts / np.maximum(scripts.sum(axis=0), 1)
-    return Model(languages, scores.astype(np.float32), share >= 0.01)
+    own = (grams / np.maximum(grams.sum(axis=0), 1) * scores).sum(axis=0)
+    return Model(languages, scores.astype(np.float32), share >= 0.01, np.stack([own, scores.mean(axis=0)]))
 
 
 class Scorer(dict):
-    """word -> number of its row in ``rows``: scores of the languages, centred, and its letters."""
+    """word -> number of its row in ``rows``: scores of the languages, centred, and of none; log-probability of its n-grams in the best; their number; its letters."""
 
     def __init__(self, model: Model):
         super().__init__()
         self.model = model
-        self.rows = np.zeros((0, len(model.languages) + 1), np.float32)
+        self.rows = np.zeros((0, len(model.languages) + 4), np.float32)
 
     def learn(self, words: set[str]) -> None:
         new = [w for w in words if w not in self]
@@ -159,16 +172,22 @@ class Scorer(dict):
             self.rows, new = self.rows[:0], list(words)
         number, bucket, letters, scripts = word_grams(new)
         m, k = self.model, len(self.model.languages)
-        own = np.zeros((len(new), k + 1), np.float32)
+        own = np.zeros((len(new), k + 4), np.float32)
         for l in range(k):
             own[:, l] = WEIGHT * np.bincount(number, weights=m.scores[bucket, l], minlength=len(new))[: len(new)]
         allowed = m.candidates[scripts] & (scripts >= 0)[:, None]
         some = allowed.any(axis=1)
         top = np.where(allowed, own[:, :k], -np.inf).max(axis=1, initial=-np.inf)
-        # Languages not learned in the word's script trail the candidates; words of no learned script, or without letters, say nothing.
-        own[:, :k] = np.where(some[:, None], np.where(allowed, own[:, :k] - np.where(some, top, 0)[:, None], -4 * SWITCH), 0)
+        # Languages not learned in the word's script trail the candidates; words of no learned script speak against all languages, words without letters say nothing.
+        against = (-SWITCH / 2 * letters).clip(-4 * SWITCH)[:, None]
+        own[:, :k] = np.where(some[:, None], np.where(allowed, own[:, :k] - np.where(some, top, 0)[:, None], -4 * SWITCH), against)
         own[:, :k] = own[:, :k].clip(-4 * SWITCH)
-        own[:, k] = letters
+        own[:, k] = np.where(some, -4 * SWITCH, 0)
+        # Words with digits (keys, addresses) count in no likelihood.
+        plain = some & ~np.fromiter((DIGIT.search(w) is not None for w in new), bool, len(new))
+        own[:, k + 1] = np.where(plain, top, 0)
+        own[:, k + 2] = np.where(plain, np.bincount(number, minlength=len(new))[: len(new)], 0)
+        own[:, k + 3] = letters
         first = len(self.rows)
         self.rows = np.concatenate([self.rows, own])
         for i, w in enumerate(new, first):
@@ -215,7 +234,8 @@ def _labels(sent, name: str, texts: list, with_spans: bool) -> tuple[list, list,
         _scorers.clear()
         _scorers[name] = Scorer(Model(*sent.value))
     scorer = _scorers[name]
-    languages = scorer.model.languages
+    languages, (mean, blind) = scorer.model.languages, np.pad(scorer.model.levels, ((0, 0), (0, 1)))
+    names = [*languages, UND]
     lists = [(t or "").lower().split() for t in texts]
     scorer.learn({w for ws in lists for w in ws} or {"-"})
     out: tuple = ([], [], [], [])
@@ -225,11 +245,15 @@ def _labels(sent, name: str, texts: list, with_spans: bool) -> tuple[list, list,
         if not letters.sum() or not languages:
             found = (UND, 0.0, 0, [])
         else:
-            path = spans(rows[:, :-1])
-            held = np.bincount(path, weights=letters, minlength=len(languages))
+            path = spans(rows[:, :-3])
+            held = np.bincount(path, weights=letters, minlength=len(languages) + 1)
             at = int(held.argmax())
+            grams, inside = rows[:, -2], (path < len(languages)) & (rows[:, -2] > 0)
+            likely = (rows[:, -3] + rows[np.arange(len(path)), path]) / WEIGHT - grams * blind[path]
+            full = (grams * (mean - blind)[path])[inside].sum()
+            score = float(np.clip(likely[inside].sum() / full, 0, 1) * letters[inside].sum() / (letters[inside].sum() + held[-1])) if at < len(languages) and full > 0 else 0.0
             bounds = [0, *(np.flatnonzero(np.diff(path)) + 1).tolist(), len(path)]
-            found = (languages[at], float(held[at] / held.sum()), len(bounds) - 1, [{"first": x, "end": y, "lang": languages[path[x]]} for x, y in zip(bounds, bounds[1:])] if with_spans else [])
+            found = (names[at], score, len(bounds) - 1, [{"first": x, "end": y, "lang": names[path[x]]} for x, y in zip(bounds, bounds[1:])] if with_spans else [])
         for column, v in zip(out, found):
             column.append(v)
     return out
@@ -238,13 +262,14 @@ def _labels(sent, name: str, texts: list, with_spans: bool) -> tuple[list, list,
 def annotated(docs: DataFrame, model: Model, text: str = "text", with_spans: bool = False) -> DataFrame:
     """All columns, and lang_pred, lang_score, n_spans (and with ``with_spans``: spans, an array of first word, end word, lang).
 
-    lang_pred is ``und``, score 0, if text is null or has no letter. lang_score is the share of the text's
-    letters in spans of lang_pred. Without a learned language every text is ``und``. Input columns with these names are replaced.
+    lang_pred is ``und``, score 0, if text is null or has no letter, or if words of scripts that no language was learned in
+    hold most letters. lang_score is the mean log-probability of the text's n-grams in their spans' languages, from 0
+    for n-grams drawn blindly to 1 for the language's own, times the share of letters in spans of a learned language; words with digits are left out of both. Without a learned language every text is ``und``. Input columns with these names are replaced.
     """
     made = ["lang_pred", "lang_score", "n_spans", *["spans"] * with_spans]
     docs = docs.drop(*made)
     name = uuid.uuid4().hex
-    sent = docs.sparkSession.sparkContext.broadcast((model.languages, model.scores, model.candidates))
+    sent = docs.sparkSession.sparkContext.broadcast((model.languages, model.scores, model.candidates, model.levels))
     place = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
