@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, cut, row_groups
+from .common import components, cut, row_groups, stored
 
 BITS = 64
 SEED = 42
@@ -148,7 +148,9 @@ def near_groups(docs: DataFrame, words: int = 4, distance: int = 4, tables: int
 #: Bits of the wide fingerprints of ``similar_groups``.
 WIDE = 256
 #: Shingles put last in the order of the exact search, the documents they are looked for in, and the fewest of those that must hold one.
-COMMON, COMMON_DOCS, COMMON_LEAST = 1 << 16, 20_000, 3
+COMMON, COMMON_DOCS, COMMON_LEAST = 1 << 16, 5_000, 3
+#: Texts whose keys are broadcast to choose them for verification; the keys of more are joined by a shuffle.
+BROADCAST_KEYS = 500_000
 
 
 def wide_fingerprint(hashes: list[int]) -> np.ndarray:
@@ -214,7 +216,7 @@ def wide_entries(docs: DataFrame, words: int, similarity: float, width: int, com
                 sizes, heads = [], []
                 for i in some:
                     own = np.unique(np.array(hashed[i], "<u8").view("<i8"))
-                    ordered = own[np.argsort(np.isin(own, late), kind="stable")] if len(late) else own
+                    ordered = own[np.argsort(late[np.searchsorted(late, own).clip(max=len(late) - 1)] == own, kind="stable")] if len(late) else own
                     sizes.append(len(own))
                     heads.append(ordered[: len(own) - least_overlap(similarity, len(own)) + 1])
                 keys = batch.column(0).slice(a, b - a).take(pa.array(some, pa.int64()))
@@ -243,8 +245,12 @@ def shingle_sets(docs: DataFrame, words: int, key: str, text: str) -> DataFrame:
     return docs.select(key, text).mapInArrow(run, f"node {kind}, shingles array<long>")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sets of distinct shingles have this Jaccard similarity at least."""
+def verified(pairs: DataFrame, docs: DataFrame, words: int, similarity: float, key: str, text: str) -> DataFrame:
+    """The pairs (a, b) of keys whose texts' sets of distinct shingles have this Jaccard similarity at least."""
+    pairs = cut(pairs.select("a", "b").distinct())
+    some = cut(pairs.select("a").union(pairs.select("b")).distinct().toDF("_node"))
+    few = F.broadcast(some) if some.count() <= BROADCAST_KEYS else some
+    sets = stored(shingle_sets(docs.join(few, docs[key] == F.col("_node"), "left_semi"), words, key, text), "shingle-sets")
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     met = pairs.join(left, "a").join(right, "b").withColumn("both", F.size(F.array_intersect("sa", "sb")))
@@ -265,20 +271,19 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, key
     docs = docs.where(F.col(key).isNotNull())
     width = width or min(32, max(12, int(np.ceil(np.log2(max(2, docs.count()))))))
     whole = [f"w{i}" for i in range(WIDE // 64)]
-    made = cut(wide_entries(docs, words, similarity, width, common_shingles(docs, words, key, text), key, text).withColumnRenamed(key, "node"))
+    made = stored(wide_entries(docs, words, similarity, width, common_shingles(docs, words, key, text), key, text).withColumnRenamed(key, "node"), "wide-entries")
 
     def apart(x: str, y: str) -> Column:
         return sum((F.bit_count(F.col(f"{x}{w}").bitwiseXOR(F.col(f"{y}{w}"))) for w in whole[1:]), F.bit_count(F.col(f"{x}w0").bitwiseXOR(F.col(f"{y}w0"))))
 
     rows = made.select("node", *whole, F.explode("rows").alias("row"))
     pivots = rows.groupBy("row").agg(F.min_by(F.struct("node", *whole), "node").alias("p"), F.count(F.lit(1)).alias("k")).where("k > 1").select("row", F.col("p.node").alias("pivot"), *[F.col(f"p.{w}").alias(f"p{w}") for w in whole])
-    stars = cut(rows.join(pivots, "row").where((F.col("node") != F.col("pivot")) & (apart("", "p") <= cutoff)).select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct())
+    stars = rows.join(pivots, "row").where((F.col("node") != F.col("pivot")) & (apart("", "p") <= cutoff)).select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+    linked = verified(stars, docs, words, similarity, key, text)
 
     # Lists of the documents that share one of their first shingles; ``at`` is its place in the order.
     heads = made.select("node", "n", F.posexplode("heads").alias("at", "h"))
-    live = cut(heads.withColumn("_k", F.count(F.lit(1)).over(Window.partitionBy("h"))).where("_k > 1").drop("_k"))
-    some = live.select("node").union(stars.select("a")).union(stars.select("b")).distinct()
-    sets = cut(shingle_sets(docs.join(some.withColumnRenamed("node", key), key, "left_semi"), words, key, text))
+    live = stored(heads.withColumn("_k", F.count(F.lit(1)).over(Window.partitionBy("h"))).where("_k > 1").drop("_k"), "shared-heads")
 
     # A pair that is similar enough passes at the first shingle it shares: what follows that one must make up the overlap.
     needed = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("na") + F.col("nb")) - 1e-9)
@@ -288,19 +293,18 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, key
     def placed(groups: DataFrame) -> DataFrame:
         return live.join(groups, "node", "left").select("h", "node", "n", "at", F.coalesce("component", "node").alias("c"))
 
-    linked = verified(stars, sets, similarity)
     listed = placed(components(linked))
     low = listed.groupBy("h").agg(F.min_by(F.struct("node", "n", "at", "c"), F.struct(-F.col("n"), "node")).alias("p"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1")
     near = listed.join(low.select("h", "p"), "h").select(F.col("node").alias("a"), F.col("p.node").alias("b"), F.col("n").alias("na"), F.col("p.n").alias("nb"), F.col("at").alias("ia"), F.col("p.at").alias("ib"), "c", F.col("p.c").alias("pc"))
-    linked = linked.union(verified(near.where((F.col("c") != F.col("pc")) & enough & sizes).select("a", "b").distinct(), sets, similarity))
+    linked = linked.union(verified(near.where((F.col("c") != F.col("pc")) & enough & sizes), docs, words, similarity, key, text))
 
     listed = cut(placed(components(linked)))
     present = listed.select("h", "c").distinct()
     ways = present.join(present.withColumnRenamed("c", "other"), "h").where("c < other")
     left = listed.join(ways, ["h", "c"]).select("h", "other", F.col("node").alias("a"), F.col("n").alias("na"), F.col("at").alias("ia"))
     right = listed.select("h", F.col("c").alias("other"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("at").alias("ib"))
-    cross = left.join(right, ["h", "other"]).where(enough & sizes).select("a", "b").distinct()
-    return components(linked.union(verified(cross, sets, similarity)))
+    cross = left.join(right, ["h", "other"]).where(enough & sizes)
+    return components(linked.union(verified(cross, docs, words, similarity, key, text)))
 
 
 def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
