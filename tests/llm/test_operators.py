@@ -305,6 +305,11 @@ def test_probabilities_add_up_and_training_helps():
     assert tables.log10(before, flat).mean() > first + 0.2
 
 
+def test_the_model_is_as_wide_as_before_the_cut():
+    trainer = lbl.Trainer(np.full(8, 1 / 8, np.float32), 1)
+    assert trainer.p["R"].shape == trainer.p["T"].shape == (8, 24) and lbl.NOISE == 48
+
+
 def test_shards(docs):
     def jump(key, n):
         b, j = -1, 0
