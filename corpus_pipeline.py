@@ -53,5 +53,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-#: No SQL: language models, SimHash links and tokenizers are beyond it; the tests hold run() against a brute-force version.
+#: No SQL: language models, SimHash links and tokenizers are beyond it; the tests hold the two dedup stages against brute force, the others against what they must keep.
 ORACLE_SQL = None

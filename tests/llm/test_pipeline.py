@@ -35,6 +35,20 @@ def test_stages(spark):
     assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == left
 
 
+def test_near_stage_is_that_of_all_pairs(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id is not null")
+    rows = {r["doc_id"]: set(simhash.shingle_hashes((r["text"] or "").encode(), 5)) for r in docs.collect()}
+    group = {d: d for d in rows}
+    ids = sorted(d for d in rows if rows[d])
+    for i, a in enumerate(ids):
+        for b in ids[:i]:
+            both = len(rows[a] & rows[b])
+            if 5 * both >= 4 * (len(rows[a]) + len(rows[b]) - both) and group[a] != group[b]:
+                low, high = sorted((group[a], group[b]))
+                group = {d: low if g == high else g for d, g in group.items()}
+    assert {r["doc_id"] for r in c.drop_near(spark, docs, SMALL).collect()} == {d for d, g in group.items() if d == g}
+
+
 def test_unlearned_languages_go_and_mixed_texts_stay(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     learned = docs.where("lang <> 'es'")
