@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -12,7 +13,20 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Texts are handled in groups of about so many characters, which bounds the numpy work space of a task.
-GROUP_CHARS = 2_000_000
+GROUP_CHARS = 1_000_000
+#: Bytes that a Python worker's memory of words may take before it starts anew.
+MEMORY_BYTES = 48 << 20
+#: A key with over a thousandth of all rows is hot. There are fewer than a thousand of these, so their rows of a table by key may be broadcast.
+HOT_PARTS, HOT_LEAST = 1_000, 1_000
+_resident: dict[str, Any] = {}
+
+
+def resident(name: str, make: Callable[[], Any]) -> Any:
+    """The one object that this Python worker keeps between tasks; asking for another name lets go of it."""
+    if name not in _resident:
+        _resident.clear()
+        _resident[name] = make()
+    return _resident[name]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,11 +34,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where none is set, as in tests."""
+    """The folder named by spark.checkpoint.dir; a temporary one only where none is set and all runs in this process, as in tests."""
     sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+        if not named and not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
+    return named or sc.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -40,6 +57,26 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table that ``stored`` wrote and nothing will read again."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+
+
+def spread_join(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with ``groups``, one row a key, whose column ``size`` says how many of the ``total`` rows have the key.
+
+    The few hot keys are met by a broadcast, so their rows stay where they are; the others by a shuffle.
+    """
+    least = max(HOT_LEAST, total // HOT_PARTS)
+    hot, cold = groups.where(F.col(size) > least), groups.where(F.col(size) <= least)
+    marked = rows.join(F.broadcast(hot.select(*keys).withColumn("_hot", F.lit(True))), keys, "left")
+    near = marked.where("_hot").drop("_hot").join(F.broadcast(hot), keys)
+    return near.unionByName(marked.where("_hot is null").drop("_hot").join(cold, keys))
+
+
 def row_groups(texts: pa.Array, most: int = GROUP_CHARS) -> Iterator[tuple[int, int]]:
     """Ranges of rows with about ``most`` characters each; a longer text makes a range of its own."""
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)

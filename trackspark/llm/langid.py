@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_groups
+from .common import MEMORY_BYTES, resident, row_groups
 
 #: Labelled documents that the model is fitted on, chosen by a hash of the key; all if there are fewer.
 TRAIN_DOCS = 20_000
@@ -27,8 +27,6 @@ TRAIN_DOCS = 20_000
 BUCKETS = 1 << 16
 #: Log-probability that a change of language costs, and weight of a word's n-grams, which overlap.
 SWITCH, WEIGHT = 8.0, 0.4
-#: Words remembered by one Python worker before its memory of them starts anew.
-REMEMBERED = 500_000
 UND = "und"
 DIGIT = re.compile(r"\d")
 
@@ -162,14 +160,15 @@ class Scorer(dict):
 
     def __init__(self, model: Model):
         super().__init__()
-        self.model = model
+        self.model, self.held = model, 0
         self.rows = np.zeros((0, len(model.languages) + 4), np.float32)
 
     def learn(self, words: set[str]) -> None:
         new = [w for w in words if w not in self]
-        if len(self) + len(new) > REMEMBERED:
+        if self.held > MEMORY_BYTES:
             self.clear()
-            self.rows, new = self.rows[:0], list(words)
+            self.held, self.rows, new = 0, self.rows[:0].copy(), list(words)
+        self.held += sum(map(len, new)) + 250 * len(new)
         number, bucket, letters, scripts = word_grams(new)
         m, k = self.model, len(self.model.languages)
         own = np.zeros((len(new), k + 4), np.float32)
@@ -225,15 +224,9 @@ def spans(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     return np.array(path[::-1])
 
 
-_scorers: dict[str, Scorer] = {}
-
-
 def _labels(sent, name: str, texts: list, with_spans: bool) -> tuple[list, list, list, list]:
     """lang_pred, score, spans' number and spans of each text, with the worker's scorer for this model."""
-    if name not in _scorers:
-        _scorers.clear()
-        _scorers[name] = Scorer(Model(*sent.value))
-    scorer = _scorers[name]
+    scorer = resident(name, lambda: Scorer(Model(*sent.value)))
     languages, (mean, blind) = scorer.model.languages, np.pad(scorer.model.levels, ((0, 0), (0, 1)))
     names = [*languages, UND]
     lists = [(t or "").lower().split() for t in texts]
