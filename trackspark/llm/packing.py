@@ -19,15 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, numbered, row_groups
+from .common import MEMORY_BYTES, cut, numbered, resident, row_groups
 
-#: Units remembered by one Python worker before its memory of them starts anew.
-REMEMBERED = 800_000
 #: A unit is a run of plain white space and the word after it, or what follows a word of letters before more space; text with other white space is encoded whole.
 UNIT = re.compile(r"[ \t\n\r]*[A-Za-zÀ-ÖØ-öø-ÿ]+(?![^ \t\n\r.,;:|!?$&%*#])|[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
 OTHER_SPACE = re.compile(r"[^\S \t\n\r]")
 PIECES = pa.schema([("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
-_encoders: dict[str, "Encoder"] = {}
 
 
 class Encoder(dict):
@@ -43,7 +40,10 @@ class Encoder(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # The tokens that the library cuts out of a text before all else, such as an end-of-text mark; texts with one are encoded whole.
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)) if added else "(?!)")
+        self.held = 0
         self.widths = np.array([len(self.tokenizer.id_to_token(i)) for i in range(self.tokenizer.get_vocab_size())], np.int64)
 
     def whole(self, text: str) -> bytes:
@@ -51,9 +51,10 @@ class Encoder(dict):
 
     def learn(self, units: set[str]) -> None:
         new = [u for u in units if u not in self]
-        if len(self) + len(new) > REMEMBERED:
+        if self.held > MEMORY_BYTES:
             self.clear()
-            new = list(units)
+            self.held, new = 0, list(units)
+        self.held += sum(map(len, new)) + 250 * len(new)
         alone = [u for u in new if u[0] not in " \t\n\r" or u.isspace()]
         for unit in alone:
             self[unit] = self.whole(unit)
@@ -69,7 +70,7 @@ class Encoder(dict):
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text."""
-        parts = [None if OTHER_SPACE.search(t) else UNIT.findall(t) for t in texts]
+        parts = [None if OTHER_SPACE.search(t) or self.added.search(t) else UNIT.findall(t) for t in texts]
         try:
             return [self.whole(t) if p is None else b"".join(map(self.__getitem__, p)) for t, p in zip(texts, parts)]
         except KeyError:
@@ -78,9 +79,7 @@ class Encoder(dict):
 
 
 def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return resident(f"encoder {path}", lambda: Encoder(path))
 
 
 def cut_pieces(ids: bytes, capacity: int) -> Iterator[tuple[int, int, int]]:
