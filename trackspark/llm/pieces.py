@@ -3,7 +3,8 @@
 A unit's characters are symbols; an agenda holds adjacent pairs that form a piece, ordered by score and
 then by place. The best pair is merged and the pairs of the new symbol with its neighbours enter, until the agenda is empty.
 Symbols that are no piece fall back to bytes. Units are the text's stretches that no piece can
-cross. Every new unit is checked against the sentencepiece library, in one call an Arrow batch.
+cross. Every new unit is checked against the sentencepiece library, in one call an Arrow batch, and some texts
+as a whole. A text is decoded from all its ids, piece by piece.
 """
 
 from __future__ import annotations
@@ -16,20 +17,17 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import row_groups
+from .common import MEMORY_BYTES, resident, row_groups
 
 SPACE = "▁"
-#: Units remembered by one Python worker before its memory of them starts anew.
-REMEMBERED = 800_000
-#: One text in so many is also compared whole with the library's encode and decode.
+#: One text in so many is also compared whole with the library's encode and decode; a difference ends the job.
 CHECK_EVERY = 32
 #: Texts that any other normalisation would change: spaces in runs and at the ends, controls, ligatures, widths, composed and decomposed letters.
 PROBES = ["a", "  a  b ", "\ta\r\nb\u00a0c\u3000d\u200be\ufeff", "\ufb01\uff21\u2460\u00bd\u2126", "e\u0301 \u00e9 \uac00\u1100\u1161", "A\u0130\u00df", "\x00\x01\x7f\x85\u2028"]
-_coders: dict[str, "Coder"] = {}
 
 
 class Coder(dict):
-    """unit -> ids joined by commas, for one model file. Units have plain spaces; ``odd`` has the decoded text of those that do not decode to themselves."""
+    """unit -> ids joined by commas, for one model file. Units have plain spaces; ``unlike`` has those whose ids by the agenda are not the library's."""
 
     def __init__(self, path: str):
         import sentencepiece
@@ -52,9 +50,12 @@ class Coder(dict):
         self.unit = re.compile(r"\n| *[^ \n]+| +" if self.feed_parts else r" *[^ ]+| +")
         # A model that only marks spaces and puts one in front is spared the library's slower normalisation.
         self.marks_only = all(lib.normalize(t) == self.marked(t) for t in PROBES)
-        self.mismatches = 0
-
-        self.odd: dict[str, str] = {}
+        self.unlike: set[str] = set()
+        self.held = 0
+        # Text of each id, by its decimal digits; a byte stands as its escape until the text is whole.
+        self.spelled = {str(i): "" if lib.is_control(i) else " \u2047 " if lib.is_unknown(i) else p.replace(SPACE, " ") for i, p in enumerate(pieces)}
+        if self.bytes_fall_back:
+            self.spelled |= {str(i): bytes([b]).decode("ascii", "surrogateescape") for b, i in enumerate(self.byte_ids)}
 
     @staticmethod
     def marked(text: str) -> str:
@@ -88,12 +89,13 @@ class Coder(dict):
         return ids
 
     def learn(self, units: set[str]) -> None:
-        """Encode what is new; hold it against the library, whose answer counts where they differ."""
+        """Encode what is new; hold it against the library, whose ids count where they differ."""
         new = [u for u in units if u not in self]
-        if len(self) + len(new) > REMEMBERED:
+        if self.held > MEMORY_BYTES:
             self.clear()
-            self.odd.clear()
-            new = list(units)
+            self.unlike.clear()
+            self.held, new = 0, list(units)
+        self.held += sum(map(len, new)) + 250 * len(new)
         # The library puts a space in front of each text: take it from units that begin with one, else shield by a line feed.
         asked = [u[1:] if u[0] == " " else "\n" + u for u in new]
         for unit, theirs in zip(new, self.library.encode(asked, num_threads=1)):
@@ -103,14 +105,12 @@ class Coder(dict):
             elif len(unit) == 1:
                 theirs = ids
             if ids != theirs:
-                self.mismatches += 1
+                self.unlike.add(unit)
                 ids = theirs
             self[unit] = ",".join(map(str, ids))
-            if not self.bytes_fall_back and self.library.unk_id() in ids:
-                self.odd[unit] = self.library.decode(ids)
 
-    def encode(self, texts: list[str]) -> list[tuple[str, str]]:
-        """(ids joined by commas, decoded text) of each text."""
+    def encode(self, texts: list[str]) -> list[tuple[str, bool]]:
+        """(ids joined by commas, whether they are the agenda's own) of each text."""
         parts = []
         for t in texts:
             if self.marks_only and SPACE not in t:
@@ -118,70 +118,83 @@ class Coder(dict):
             else:
                 parts.append(None)
         try:
-            return [self.whole(t) if p is None else self.joined(p) for t, p in zip(texts, parts)]
+            return [(self.whole(t), False) if p is None else self.joined(p) for t, p in zip(texts, parts)]
         except KeyError:
             self.learn({u for p in parts if p for u in p})
-            return [self.whole(t) if p is None else self.joined(p) for t, p in zip(texts, parts)]
-
-    def joined(self, units: list[str]) -> tuple[str, str]:
-        ids = ",".join(map(self.__getitem__, units))
-        return ids, "".join([self.odd.get(u, u) for u in units] if self.odd else units)[1:]
-
-    def whole(self, text: str) -> tuple[str, str]:
-        """The same by the library alone, for texts or models with other marks."""
-        ids = self.library.encode(text)
-        return ",".join(map(str, ids)), self.library.decode(ids) if ids else ""
+            return [(self.whole(t), False) if p is None else self.joined(p) for t, p in zip(texts, parts)]
+
+    def joined(self, units: list[str]) -> tuple[str, bool]:
+        return ",".join(map(self.__getitem__, units)), not self.unlike or self.unlike.isdisjoint(units)
+
+    def whole(self, text: str) -> str:
+        """The ids by the library alone, for texts or models with other marks."""
+        return ",".join(map(str, self.library.encode(text)))
+
+    def decode(self, ids: str) -> str:
+        """The text that the ids stand for: their pieces in a row, without the mark that the library puts in front."""
+        if not ids:
+            return ""
+        numbers = ids.split(",")
+        text = "".join(map(self.spelled.__getitem__, numbers))
+        first = next((i for i in numbers if self.spelled[i]), "")
+        text = text[1:] if first and self.pieces[int(first)].startswith(SPACE) else text
+        if text.isascii() or not any("\udc80" <= c <= "\udcff" for c in set(text)):
+            return text
+        try:
+            return text.encode("utf-8", "surrogateescape").decode()
+        except UnicodeDecodeError:  # bytes that no text encodes to
+            return self.library.decode([int(i) for i in numbers])
 
 
 def coder(path: str) -> Coder:
-    if path not in _coders:
-        _coders[path] = Coder(path)
-    return _coders[path]
+    return resident(f"coder {path}", lambda: Coder(path))
 
 
 def encode_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", ids: bool = False, check_every: int = CHECK_EVERY) -> DataFrame:
-    """key, n_tokens, ids_sha256, decoded_sha256 (and with ``ids``: ids, decoded) of every whole text.
+    """key, n_tokens, ids_sha256, decoded_sha256, by_agenda (and with ``ids``: ids, decoded) of every whole text.
 
-    Null counts as empty: no ids, empty decoded text. Null keys and repeated rows give rows of their own; other columns are not read.
+    by_agenda says whether the agenda alone gave the ids; it is false where the library disagreed on a unit, so that its ids were taken, or where the text has
+    marks of its own and went to the library whole. Null counts as empty: no ids, empty decoded text. Null keys and repeated rows give rows of their own; other columns are not read.
     """
     kind = dict(docs.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = coder(path)
         for batch in batches:
-            n_tokens, digests, decoded_digests, lists, spelled = [], [], [], [], []
+            n_tokens, digests, decoded_digests, own_way, lists, spelled = [], [], [], [], [], []
             for first, end in row_groups(batch.column(1)):
                 texts = [t or "" for t in batch.column(1).slice(first, end - first).to_pylist()]
                 for k, (t, own) in enumerate(zip(texts, enc.encode(texts))):
-                    if k % check_every == 0 and own != (theirs := enc.whole(t)):
-                        enc.mismatches += 1
-                        own = theirs
-                    joined, decoded = own
+                    joined, by_agenda = own
+                    decoded = enc.decode(joined)
+                    if k % check_every == 0 and (joined != enc.whole(t) or decoded != enc.library.decode([int(i) for i in joined.split(",")] if joined else [])):
+                        raise ValueError("a text's ids or its decoded text are not those of the sentencepiece library")
+                    own_way.append(by_agenda)
                     n_tokens.append(joined.count(",") + 1 if joined else 0)
                     digests.append(hashlib.sha256(joined.encode()).hexdigest())
                     decoded_digests.append(hashlib.sha256(decoded.encode()).hexdigest())
                     if ids:
                         lists.append([int(i) for i in joined.split(",")] if joined else [])
                         spelled.append(decoded)
-            columns = [batch.column(0), pa.array(n_tokens, pa.int64()), pa.array(digests), pa.array(decoded_digests)]
-            names = [key, "n_tokens", "ids_sha256", "decoded_sha256"]
+            columns = [batch.column(0), pa.array(n_tokens, pa.int64()), pa.array(digests), pa.array(decoded_digests), pa.array(own_way, pa.bool_())]
+            names = [key, "n_tokens", "ids_sha256", "decoded_sha256", "by_agenda"]
             if ids:
                 columns += [pa.array(lists, pa.list_(pa.int32())), pa.array(spelled, pa.string())]
                 names += ["ids", "decoded"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     more = ", ids array<int>, decoded string" if ids else ""
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string{more}")
+    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, by_agenda boolean{more}")
 
 
 def decode_documents(docs: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """The rows with ``out``: the text of their ids; null ids give null, none an empty text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lib = coder(path).library
+        own = coder(path)
         for batch in batches:
             lists = batch.column(batch.schema.names.index(ids)).to_pylist()
-            texts = [None if x is None else lib.decode(x) if x else "" for x in lists]
+            texts = [None if x is None else own.decode(",".join(map(str, x))) for x in lists]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, out])
 
     docs = docs.drop(out)
