@@ -1,8 +1,8 @@
 """Operator 1: secret scans with structural confirmation.
 
 Pattern findings come first; then base64 and hex candidates are decoded, and only those whose bytes parse
-as a key (nested DER lengths, or the length-prefixed fields of an openssh-key-v1 blob) or as a signed
-token (three base64url segments, a JSON header that names an algorithm) are reported as spans of their own.
+as a private key (DER whose nested lengths fit and whose members are those of a private key, or the length-prefixed fields of an openssh-key-v1 blob) or as a signed
+token (three base64url segments, a JSON header that names an algorithm) are reported as spans of their own. Public keys and certificates are no secrets.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import by_groups
+from .common import by_groups, row_groups
 
 # Fixed patterns of the base kinds; case counts only where said.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -58,9 +58,38 @@ def der_lengths(data: bytes, at: int = 0, end: int | None = None, depth: int = 0
     return body + n
 
 
+def members(data: bytes) -> list[tuple[int, bytes]]:
+    """(tag, content) of the members of a sequence whose lengths ``der_lengths`` has found right."""
+
+    def element(at: int) -> tuple[int, int]:
+        n, body = data[at + 1], at + 2
+        if n & 0x80:
+            body += n & 0x7F
+            n = int.from_bytes(data[at + 2 : body], "big")
+        return body, body + n
+
+    at, end = element(0)
+    out = []
+    while at < end:
+        body, after = element(at)
+        out.append((data[at], data[body:after]))
+        at = after
+    return out
+
+
 def is_der_key(data: bytes) -> bool:
-    """A DER sequence that fills ``data``, whose first member is an integer or a sequence, and which holds a key's worth of bytes."""
-    return len(data) >= 32 and data[0] == 0x30 and der_lengths(data) == len(data) and data[2 if data[1] < 0x80 else 2 + (data[1] & 0x7F)] in (0x02, 0x30)
+    """A DER sequence that fills ``data`` and has the members of a private key.
+
+    After a version of 0 or 1 these are an algorithm and an octet string (PKCS 8), an octet string (elliptic curves), or five integers and more (RSA,
+    DSA); an encrypted key is an algorithm and an octet string. A public key has two integers, or an algorithm and a bit string; a certificate's first member holds its own.
+    """
+    if len(data) < 32 or data[0] != 0x30 or der_lengths(data) != len(data):
+        return False
+    parts = members(data)
+    tags = [t for t, _ in parts]
+    if tags[:1] == [0x02] and parts[0][1] in (b"\0", b"\1"):
+        return tags[1:3] == [0x30, 0x04] or tags[1:2] == [0x04] or (len(tags) >= 6 and set(tags[1:6]) == {0x02})
+    return tags == [0x30, 0x04] and parts[0][1][:1] == b"\x06"
 
 
 def is_openssh(data: bytes) -> bool:
@@ -175,18 +204,23 @@ def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
 
 def redact_secrets(docs: DataFrame, text: str = "text", length: str = "n_chars") -> DataFrame:
-    """The same rows with secrets replaced in the text and the length column set anew where text changed; null text stays null."""
+    """The same rows with secrets replaced in the text and the length column set anew where text changed; null text stays null.
+
+    All columns stay, repeated rows and null keys with them; an empty table gives an empty one.
+    """
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            old = batch.column(at).to_pylist()
-            new = [t if t is None else redacted(t, [x for part in scan(t) for x in part]) for t in old]
-            columns = list(batch.columns)
-            columns[at] = pa.array(new, pa.string())
-            if length in batch.schema.names:
-                k = batch.schema.names.index(length)
-                columns[k] = pa.array([n if a is b or a == b else len(b) for a, b, n in zip(old, new, batch.column(k).to_pylist())], batch.schema.field(k).type)
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+        for whole in batches:
+            for first, end in row_groups(whole.column(at)):
+                batch = whole.slice(first, end - first)
+                old = batch.column(at).to_pylist()
+                new = [t if t is None else redacted(t, [x for part in scan(t) for x in part]) for t in old]
+                columns = list(batch.columns)
+                columns[at] = pa.array(new, pa.string())
+                if length in batch.schema.names:
+                    k = batch.schema.names.index(length)
+                    columns[k] = pa.array([n if a == b else len(b) for a, b, n in zip(old, new, batch.column(k).to_pylist())], batch.schema.field(k).type)
+                yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
     return docs.mapInArrow(run, docs.schema)
