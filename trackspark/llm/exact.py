@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, stored
+from .common import cut, discard, row_groups, spread_join, stored
 
 # Two primes below 2**31, and a base for each.
 PRIMES = (2147483647, 2147483629)
@@ -110,9 +110,8 @@ def fingerprint_table(docs: DataFrame, key: str, text: str, others: list[str]) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            step = 2_000
-            for at in range(0, batch.num_rows, step):
-                part = batch.slice(at, step)
+            for first, end in row_groups(batch.column(len(names))):
+                part = batch.slice(first, end - first)
                 data = [(t or "").encode().lower() for t in part.column(len(names)).to_pylist()]
                 fps = fingerprints(data)
                 yield pa.RecordBatch.from_arrays(
@@ -131,7 +130,7 @@ def fingerprint_table(docs: DataFrame, key: str, text: str, others: list[str]) -
     return docs.select(*names, text).mapInArrow(run, f"{ddl}, fp1 long, fp2 long, n_bytes long, text_sha256 string, chunks array<binary>")
 
 
-def differing_keys(table: DataFrame, groups: DataFrame, key: str, small: bool) -> DataFrame:
+def differing_keys(table: DataFrame, groups: DataFrame, key: str, small: bool, total: int) -> DataFrame:
     """Keys (fp1, fp2, n_bytes) under which two texts differ, by comparing chunks with the text that stays.
 
     Only texts in groups of two or more are shuffled, as chunk rows. The chunks of the text that stays are
@@ -140,8 +139,8 @@ def differing_keys(table: DataFrame, groups: DataFrame, key: str, small: bool) -
     """
     keys = ["fp1", "fp2", "n_bytes"]
     replicas = F.ceil(F.col("group_size") / COPIES_A_REPLICA)
-    near = F.broadcast(groups) if small else groups
-    rows = table.select(key, *keys, "chunks").join(near, keys)
+    rows = table.select(key, *keys, "chunks")
+    rows = rows.join(F.broadcast(groups), keys) if small else spread_join(rows, groups, keys, "group_size", total)
     is_kept = F.col(key).eqNullSafe(F.col("keep_id"))
     copies = rows.where(~is_kept).select(*keys, F.pmod(F.xxhash64(key), replicas).alias("replica"), F.posexplode("chunks").alias("at", "chunk"))
     each = F.explode(F.sequence(F.lit(0).cast("long"), replicas - 1)).alias("replica")
@@ -150,6 +149,28 @@ def differing_keys(table: DataFrame, groups: DataFrame, key: str, small: bool) -
     return met.where("chunk <> kept_chunk").select(*keys).distinct()
 
 
+def _groups(table: DataFrame, key: str, carry: list[str]) -> DataFrame:
+    """The rows of a fingerprint table with keep_id and group_size, after comparing the texts of equal fingerprints."""
+    keys = ["fp1", "fp2", "n_bytes"]
+    sizes = table.groupBy(*keys).agg(F.count(F.lit(1)).alias("group_size"), F.max(key).alias("keep_id")).where("group_size > 1")
+    groups = cut(sizes)
+    small = groups.count() <= BROADCAST_GROUPS
+    total = table.count()
+    rows = table.select(key, *carry, *keys, "text_sha256")
+    differing = differing_keys(table, groups, key, small, total)
+    if differing.isEmpty():
+        if small:
+            met = rows.join(F.broadcast(groups), keys, "left")
+        else:
+            alone = rows.join(groups.select(*keys), keys, "left_anti").withColumns({"group_size": F.lit(None).cast("long"), "keep_id": F.lit(None).cast(dict(table.dtypes)[key])})
+            met = spread_join(rows, groups, keys, "group_size", total).unionByName(alone)
+        return met.withColumns({"group_size": F.coalesce("group_size", F.lit(1).cast("long")), "keep_id": F.when(F.col("group_size").isNull(), F.col(key)).otherwise(F.col("keep_id"))})
+    # Some fingerprint stands for two texts: rows under such a key are told apart by their digests.
+    finer = [*keys, "finer"]
+    rows = rows.join(differing.withColumn("met", F.lit(True)), keys, "left").withColumn("finer", F.when(F.col("met"), F.col("text_sha256")).otherwise("")).drop("met")
+    return spread_join(rows, rows.groupBy(*finer).agg(F.count(F.lit(1)).alias("group_size"), F.max(key).alias("keep_id")), finer, "group_size", total)
+
+
 def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """One row a document, dropped ones too: key, keep_id, group_size, kept, text_sha256 (and ``carry``).
 
@@ -159,26 +180,27 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", carry
     rows with the key that stays are all marked kept. An empty table gives an empty one.
     """
     carry = carry or []
-    keys = ["fp1", "fp2", "n_bytes"]
-    table = stored(fingerprint_table(docs, key, text, carry), "exact")
-    sizes = table.groupBy(*keys).agg(F.count(F.lit(1)).alias("group_size"), F.max(key).alias("keep_id")).where("group_size > 1")
-    groups = stored(sizes, "exact-groups")
-    small = groups.count() <= BROADCAST_GROUPS
-    differing = differing_keys(table, groups, key, small)
-    rows = table.select(key, *carry, *keys, "text_sha256")
-    if differing.isEmpty():
-        near = F.broadcast(groups) if small else groups
-        out = rows.join(near, keys, "left")
-        out = out.withColumns({"group_size": F.coalesce("group_size", F.lit(1).cast("long")), "keep_id": F.when(F.col("group_size").isNull(), F.col(key)).otherwise(F.col("keep_id"))})
-    else:
-        finer = [*keys, "finer"]
-        rows = rows.join(differing.withColumn("met", F.lit(True)), keys, "left").withColumn("finer", F.when(F.col("met"), F.col("text_sha256")).otherwise("")).drop("met")
-        out = rows.join(rows.groupBy(*finer).agg(F.count(F.lit(1)).alias("group_size"), F.max(key).alias("keep_id")), finer)
+    out = _groups(stored(fingerprint_table(docs, key, text, carry), "exact"), key, carry)
     return out.select(key, *carry, "keep_id", "group_size", F.col(key).eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def drop_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that stay, with all their columns."""
-    shared_dir(docs.sparkSession)
-    kept = exact_groups(docs.select(key, text), key, text).where("kept").select(F.col(key).alias("_kept")).distinct()
-    return docs.join(kept, docs[key].eqNullSafe(F.col("_kept")), "left_semi")
+    """One row for each text, with all its columns: the row with the largest key; rows with a null key yield to all others.
+
+    Rows are told apart by key and text, so a key that other texts have too keeps their rows, and of rows with one key and one
+    text any one stays. Null text counts as empty. The fingerprints and chunks are deleted before this returns.
+    """
+    table = stored(fingerprint_table(docs.select(key, text), key, text, []), "exact")
+    made = _groups(table, key, []).where(F.col(key).eqNullSafe(F.col("keep_id")))
+    kept = cut(made.groupBy(F.col(key).alias("_key"), F.col("text_sha256").alias("_digest")).agg(F.count(F.lit(1)).alias("_rows")))
+    discard(table)
+    named = docs.columns
+    # A-Z alone changes here; the letters are fixed values.
+    digest = F.sha2(F.translate(F.coalesce(F.col(text), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), 256)
+    rows = docs.withColumn("_digest", digest)
+    same = lambda k: rows[key].eqNullSafe(k["_key"]) & (rows["_digest"] == k["_digest"])
+    once, more = kept.where("_rows = 1"), kept.where("_rows > 1")
+    single = rows.join(once, same(once), "left_semi").select(*named)
+    if more.isEmpty():
+        return single
+    return single.unionByName(rows.join(more, same(more), "left_semi").dropDuplicates([key, "_digest"]).select(*named))
