@@ -16,10 +16,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, row_groups, stored
+from .common import components, cut, discard, row_groups, spread_join, stored
 
 BITS = 64
 SEED = 42
@@ -139,25 +139,26 @@ def near_groups(docs: DataFrame, words: int = 4, distance: int = 4, tables: int
     entries = cut(marks.groupBy("fp").agg(F.min(key).alias("low"), F.count(F.lit(1)).alias("weight")))
     found = components(links(entries.select("fp", "weight"), distance, tables))
     placed = entries.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("c", F.coalesce("component", "fp"))
-    lows = placed.groupBy("c").agg(F.min("low").alias("component_id"))
-    named = placed.join(lows, "c").select("fp", "component_id")
+    lows = placed.groupBy("c").agg(F.min("low").alias("component_id"), F.count(F.lit(1)).alias("_n"))
+    named = spread_join(placed, lows, ["c"], "_n", entries.count()).select("fp", "component_id", "weight")
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0")
-    return marks.join(named, "fp").select(key, hexed.alias("fingerprint"), "component_id")
+    return spread_join(marks, named, ["fp"], "weight", marks.count()).select(key, hexed.alias("fingerprint"), "component_id")
 
 
 #: Bits of the wide fingerprints of ``similar_groups``.
 WIDE = 256
 #: Shingles put last in the order of the exact search, the documents they are looked for in, and the fewest of those that must hold one.
 COMMON, COMMON_DOCS, COMMON_LEAST = 1 << 16, 5_000, 3
+#: Standard deviations above the mean distance of a pair at the asked similarity beyond which a candidate is not verified: one such pair in 10**9.
+MARGIN = 6
 #: Texts whose keys are broadcast to choose them for verification; the keys of more are joined by a shuffle.
 BROADCAST_KEYS = 500_000
+#: Fingerprint columns.
+WORDS = [f"w{i}" for i in range(WIDE // 64)]
 
 
-def wide_fingerprint(hashes: list[int]) -> np.ndarray:
-    """Majority bits (WIDE of them) of the hashes, each stretched to WIDE bits by a mixing step a word."""
-    if not hashes:
-        return np.zeros(WIDE, bool)
-    values = np.array(hashes, "<u8")
+def wide_fingerprint(values: np.ndarray) -> np.ndarray:
+    """Majority bits (WIDE of them) of distinct hashes, each stretched to WIDE bits by a mixing step a word."""
     counts = np.zeros(WIDE, np.int64)
     for at in range(0, len(values), UNPACKED // 4):
         part = values[at : at + UNPACKED // 4]
@@ -171,10 +172,15 @@ def wide_fingerprint(hashes: list[int]) -> np.ndarray:
     return 2 * counts > len(values)
 
 
-def distance_for(similarity: float) -> int:
-    """Bits of WIDE that texts of this Jaccard similarity differ in, one standard deviation above the mean. Speeds the search up and decides nothing."""
+def distance_for(similarity: float, margin: float = MARGIN) -> int:
+    """Bits of WIDE that texts of this Jaccard similarity differ in, ``margin`` standard deviations above the mean."""
     share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(WIDE * share + np.sqrt(WIDE * share * (1 - share)))
+    return int(WIDE * share + margin * np.sqrt(WIDE * share * (1 - share)))
+
+
+def distinct_shingles(text: str | None, words: int) -> np.ndarray:
+    """Sorted distinct shingle hashes of a text."""
+    return np.unique(np.array(shingle_hashes((text or "").encode(), words), "<u8"))
 
 
 def common_shingles(docs: DataFrame, words: int, key: str, text: str) -> np.ndarray:
@@ -186,45 +192,42 @@ def common_shingles(docs: DataFrame, words: int, key: str, text: str) -> np.ndar
         for batch in batches:
             for a, b in row_groups(batch.column(0)):
                 for t in batch.column(0).slice(a, b - a):
-                    own = np.array(sorted(set(shingle_hashes((t.as_py() or "").encode(), words))), "<u8").view("<i8")
-                    yield pa.RecordBatch.from_arrays([pa.array(own)], names=["h"])
+                    yield pa.RecordBatch.from_arrays([pa.array(distinct_shingles(t.as_py(), words).view("<i8"))], names=["h"])
 
     counted = some.select(text).mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON_LEAST)
     rows = counted.orderBy(F.desc("n"), "h").limit(COMMON).select("h").toArrow()
     return np.sort(rows["h"].to_numpy())
 
 
-def wide_entries(docs: DataFrame, words: int, similarity: float, width: int, common: np.ndarray, key: str, text: str) -> DataFrame:
-    """key, n (distinct shingles), w0..w3 (the fingerprint), rows (the value of each segment of ``width`` bits with its
-    number above it), heads (the first shingles in the common order, so many that two texts as similar as asked must share one).
-    Texts without words are left out."""
+def wide_entries(docs: DataFrame, words: int, similarity: float, common: np.ndarray, key: str, text: str) -> DataFrame:
+    """key, digest (of the text), n (distinct shingles), w0..w3 (the fingerprint), heads (the first shingles in the common order, so many
+    that two texts as similar as asked must share one). Texts without words are left out."""
     kind = dict(docs.dtypes)[key]
-    whole = [f"w{i}" for i in range(WIDE // 64)]
-    names = [key, "n", *whole, "rows", "heads"]
+    names = [key, "digest", "n", *WORDS, "heads"]
     sent = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late = sent.value
         for batch in batches:
-            for a, b in row_groups(batch.column(1)):
-                hashed = [shingle_hashes((t.as_py() or "").encode(), words) for t in batch.column(1).slice(a, b - a)]
-                some = [i for i, h in enumerate(hashed) if h]
-                bits = np.array([wide_fingerprint(hashed[i]) for i in some], bool).reshape(-1, WIDE)
-                packed = np.packbits(bits, axis=1, bitorder="little").view("<i8").reshape(-1, WIDE // 64)
-                count = WIDE // width
-                values = bits[:, : count * width].reshape(-1, count, width) @ (1 << np.arange(width)) + (np.arange(count) << 40)
-                sizes, heads = [], []
-                for i in some:
-                    own = np.unique(np.array(hashed[i], "<u8").view("<i8"))
-                    ordered = own[np.argsort(late[np.searchsorted(late, own).clip(max=len(late) - 1)] == own, kind="stable")] if len(late) else own
+            for a, b in row_groups(batch.column(2)):
+                rows, sizes, bits, heads = [], [], [], []
+                for i, t in enumerate(batch.column(2).slice(a, b - a).to_pylist(), a):
+                    own = distinct_shingles(t, words)
+                    if not len(own):
+                        continue
+                    rows.append(i)
                     sizes.append(len(own))
-                    heads.append(ordered[: len(own) - least_overlap(similarity, len(own)) + 1])
-                keys = batch.column(0).slice(a, b - a).take(pa.array(some, pa.int64()))
-                columns = [keys, pa.array(sizes, pa.int32()), *[pa.array(packed[:, i]) for i in range(WIDE // 64)], pa.array(values.tolist(), pa.list_(pa.int64())), pa.array(heads, pa.list_(pa.int64()))]
+                    bits.append(wide_fingerprint(own))
+                    own = own.view("<i8")
+                    own = own[np.argsort(late[np.searchsorted(late, own).clip(max=len(late) - 1)] == own, kind="stable")] if len(late) else own
+                    heads.append(own[: len(own) - least_overlap(similarity, len(own)) + 1])
+                packed = np.packbits(np.array(bits, bool).reshape(-1, WIDE), axis=1, bitorder="little").view("<i8").reshape(-1, WIDE // 64)
+                taken = pa.array(rows, pa.int64())
+                columns = [batch.column(0).take(taken), batch.column(1).take(taken), pa.array(sizes, pa.int32()), *[pa.array(packed[:, i]) for i in range(WIDE // 64)], pa.array(heads, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    ddl = ", ".join([f"`{key}` {kind}", "n int", *[f"{w} long" for w in whole], "rows array<long>", "heads array<long>"])
-    return docs.select(key, text).mapInArrow(run, ddl)
+    ddl = ", ".join([f"`{key}` {kind}", "digest long", "n int", *[f"{w} long" for w in WORDS], "heads array<long>"])
+    return docs.select(key, F.xxhash64(text).alias("digest"), text).mapInArrow(run, ddl)
 
 
 def least_overlap(similarity: float, n: int) -> int:
@@ -232,58 +235,80 @@ def least_overlap(similarity: float, n: int) -> int:
     return max(1, int(np.ceil(similarity * n - 1e-9)))
 
 
-def shingle_sets(docs: DataFrame, words: int, key: str, text: str) -> DataFrame:
+def shingle_sets(docs: DataFrame, words: int, text: str) -> DataFrame:
     """node, shingles: the distinct hashes of each text."""
-    kind = dict(docs.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in row_groups(batch.column(1)):
-                sets = [np.unique(np.array(shingle_hashes((t.as_py() or "").encode(), words), "<u8").view("<i8")) for t in batch.column(1).slice(a, b - a)]
+                sets = [distinct_shingles(t, words).view("<i8") for t in batch.column(1).slice(a, b - a).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
 
-    return docs.select(key, text).mapInArrow(run, f"node {kind}, shingles array<long>")
+    return docs.select("node", text).mapInArrow(run, "node long, shingles array<long>")
+
 
+def verified(pairs: DataFrame, entries: DataFrame, docs: DataFrame, words: int, similarity: float, key: str, text: str) -> DataFrame:
+    """The pairs (a, b) of nodes whose texts' sets of distinct shingles have this Jaccard similarity at least.
 
-def verified(pairs: DataFrame, docs: DataFrame, words: int, similarity: float, key: str, text: str) -> DataFrame:
-    """The pairs (a, b) of keys whose texts' sets of distinct shingles have this Jaccard similarity at least."""
-    pairs = cut(pairs.select("a", "b").distinct())
-    some = cut(pairs.select("a").union(pairs.select("b")).distinct().toDF("_node"))
-    few = F.broadcast(some) if some.count() <= BROADCAST_KEYS else some
-    sets = stored(shingle_sets(docs.join(few, docs[key] == F.col("_node"), "left_semi"), words, key, text), "shingle-sets")
+    Complete distances of the fingerprints come first; only pairs that may be as similar as asked have their sets built from the texts.
+    """
+    marks = entries.select("node", *WORDS)
+    pairs = pairs.select("a", "b").distinct()
+    for side in ("a", "b"):
+        pairs = pairs.join(marks.select(F.col("node").alias(side), *[F.col(w).alias(f"{side}{w}") for w in WORDS]), side)
+    apart = sum((distance_of(f"a{w}", f"b{w}") for w in WORDS[1:]), distance_of("aw0", "bw0"))
+    pairs = cut(pairs.where(apart <= distance_for(similarity)).select("a", "b"))
+    needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    named = cut(entries.select("node", F.col(key).alias("_key"), F.col("digest").alias("_digest"), "copies").join(needed, "node"))
+    few = F.broadcast(named) if named.count() <= BROADCAST_KEYS else named
+    body = docs.select(F.col(key).alias("_own"), F.col(text).alias("_text"))
+    met = body.join(few, body["_own"].eqNullSafe(few["_key"]) & (F.xxhash64("_text") == few["_digest"])).select("node", "_text", "copies")
+    met = met.where("copies = 1").unionByName(met.where("copies > 1").dropDuplicates(["node"]))
+    sets = stored(shingle_sets(met, words, "_text"), "shingle-sets")
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    met = pairs.join(left, "a").join(right, "b").withColumn("both", F.size(F.array_intersect("sa", "sb")))
-    return cut(met.where(F.col("both") >= F.lit(similarity) * (F.size("sa") + F.size("sb") - F.col("both")) - 1e-9).select("a", "b").distinct())
+    both = pairs.join(left, "a").join(right, "b").withColumn("both", F.size(F.array_intersect("sa", "sb")))
+    good = cut(both.where(F.col("both") >= F.lit(similarity) * (F.size("sa") + F.size("sb") - F.col("both")) - 1e-9).select("a", "b").distinct())
+    discard(sets)
+    return good
 
 
-def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text", width: int | None = None) -> DataFrame:
-    """node, component of the documents that have a near copy; component is the smallest key of a group.
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, digest (xxhash64 of the text), component, stays of the texts that have a near copy or stand in several rows, one row for each key and text.
 
-    Groups are the components of all pairs whose sets of distinct shingles are as similar as asked. Most copies are
-    found by SimHash: fingerprints of WIDE bits, each linked with the pivots of its segments if their sets agree. No balls of a payable radius hold all
-    pairs of such similarity, so the rest comes from a search that is complete at any number of rows: in one order of all shingles,
-    sets of n that are that similar share one of their first n - ceil(similarity * n) + 1. Documents are first linked with the pivots of these lists,
-    and only pairs of different components are then looked for. ``width`` of the segments: by default log2 of the number
-    of documents; the groups do not depend on it. Null keys and texts without words take no part.
+    Groups are the components of all pairs whose sets of distinct shingles are as similar as asked; component is the smallest key of a
+    group and stays marks one row of it (null keys yield). Most copies are found by multi-index hashing: balls in the segments of 64 bits of
+    the fingerprint, as in ``links``. No balls of a payable radius hold all pairs of such similarity, so the rest comes from a search
+    that is complete at any number of rows: in one order of all shingles, sets of n that are that similar share one of their
+    first n - ceil(similarity * n) + 1. Documents are first linked with the pivots of these lists, and only pairs of different
+    components are then looked for. Candidates of either search pass complete distances and then their sets decide. Texts without words take no part.
     """
-    cutoff = distance_for(similarity)
-    docs = docs.where(F.col(key).isNotNull())
-    width = width or min(32, max(12, int(np.ceil(np.log2(max(2, docs.count()))))))
-    whole = [f"w{i}" for i in range(WIDE // 64)]
-    made = stored(wide_entries(docs, words, similarity, width, common_shingles(docs, words, key, text), key, text).withColumnRenamed(key, "node"), "wide-entries")
-
-    def apart(x: str, y: str) -> Column:
-        return sum((F.bit_count(F.col(f"{x}{w}").bitwiseXOR(F.col(f"{y}{w}"))) for w in whole[1:]), F.bit_count(F.col(f"{x}w0").bitwiseXOR(F.col(f"{y}w0"))))
-
-    rows = made.select("node", *whole, F.explode("rows").alias("row"))
-    pivots = rows.groupBy("row").agg(F.min_by(F.struct("node", *whole), "node").alias("p"), F.count(F.lit(1)).alias("k")).where("k > 1").select("row", F.col("p.node").alias("pivot"), *[F.col(f"p.{w}").alias(f"p{w}") for w in whole])
-    stars = rows.join(pivots, "row").where((F.col("node") != F.col("pivot")) & (apart("", "p") <= cutoff)).select(F.col("node").alias("a"), F.col("pivot").alias("b"))
-    linked = verified(stars, docs, words, similarity, key, text)
-
-    # Lists of the documents that share one of their first shingles; ``at`` is its place in the order.
-    heads = made.select("node", "n", F.posexplode("heads").alias("at", "h"))
-    live = stored(heads.withColumn("_k", F.count(F.lit(1)).over(Window.partitionBy("h"))).where("_k > 1").drop("_k"), "shared-heads")
+    made = wide_entries(docs, words, similarity, common_shingles(docs, words, key, text), key, text)
+    made = stored(made.withColumn("node", F.monotonically_increasing_id()), "wide-entries")
+    # Rows equal in key and text are one node.
+    repeats = cut(made.groupBy(key, "digest").agg(F.min("node").alias("_first"), F.count(F.lit(1)).alias("copies")).where("copies > 1").withColumnsRenamed({key: "_key", "digest": "_digest"}))
+    n_repeats = repeats.count()
+    if n_repeats:
+        few = F.broadcast(repeats) if n_repeats <= BROADCAST_KEYS else repeats
+        marked = made.join(few, made[key].eqNullSafe(few["_key"]) & (made["digest"] == few["_digest"]), "left").where("_first is null or node = _first")
+        entries = stored(marked.withColumn("copies", F.coalesce("copies", F.lit(1))).drop("_key", "_digest", "_first"), "wide-entries")
+    else:
+        entries = made.withColumn("copies", F.lit(1))
+    check = lambda pairs: verified(pairs, entries, docs, words, similarity, key, text)
+
+    marks = entries.groupBy(F.col("w0").alias("fp")).agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("weight"))
+    marks = cut(marks)
+    own = spread_join(entries.select("node", F.col("w0").alias("fp")), marks.where("weight > 1"), ["fp"], "weight", entries.count())
+    low = marks.select("fp", "low")
+    near = links(marks.select("fp", "weight"), 4, 3)
+    near = near.join(low.toDF("a", "la"), "a").join(low.toDF("b", "lb"), "b")
+    linked = check(own.where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).union(near.select("la", "lb")))
+
+    # Lists of the documents that share one of their first shingles; ``at`` is its place in the order, ``k`` the length of the list.
+    heads = entries.select("node", "n", F.posexplode("heads").alias("at", "h"))
+    lists = heads.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    live = stored(spread_join(heads, lists, ["h"], "k", entries.agg(F.coalesce(F.sum(F.size("heads")), F.lit(0))).first()[0]), "shared-heads")
+    rows = live.count()
 
     # A pair that is similar enough passes at the first shingle it shares: what follows that one must make up the overlap.
     needed = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("na") + F.col("nb")) - 1e-9)
@@ -291,23 +316,43 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, key
     sizes = F.least("na", "nb") >= F.lit(similarity) * F.greatest("na", "nb") - 1e-9
 
     def placed(groups: DataFrame) -> DataFrame:
-        return live.join(groups, "node", "left").select("h", "node", "n", "at", F.coalesce("component", "node").alias("c"))
+        return live.join(groups, "node", "left").select("h", "node", "n", "at", "k", F.coalesce("component", "node").alias("c"))
 
     listed = placed(components(linked))
-    low = listed.groupBy("h").agg(F.min_by(F.struct("node", "n", "at", "c"), F.struct(-F.col("n"), "node")).alias("p"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1")
-    near = listed.join(low.select("h", "p"), "h").select(F.col("node").alias("a"), F.col("p.node").alias("b"), F.col("n").alias("na"), F.col("p.n").alias("nb"), F.col("at").alias("ia"), F.col("p.at").alias("ib"), "c", F.col("p.c").alias("pc"))
-    linked = linked.union(verified(near.where((F.col("c") != F.col("pc")) & enough & sizes), docs, words, similarity, key, text))
+    low = listed.groupBy("h").agg(F.min_by(F.struct("node", "n", "at", "c"), F.struct(-F.col("n"), "node")).alias("p"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.first("k").alias("k")).where("c0 <> c1")
+    near = spread_join(listed.drop("k"), low.select("h", "p", "k"), ["h"], "k", rows).select(F.col("node").alias("a"), F.col("p.node").alias("b"), F.col("n").alias("na"), F.col("p.n").alias("nb"), F.col("at").alias("ia"), F.col("p.at").alias("ib"), "c", F.col("p.c").alias("pc"))
+    linked = linked.union(check(near.where((F.col("c") != F.col("pc")) & enough & sizes)))
 
     listed = cut(placed(components(linked)))
     present = listed.select("h", "c").distinct()
     ways = present.join(present.withColumnRenamed("c", "other"), "h").where("c < other")
     left = listed.join(ways, ["h", "c"]).select("h", "other", F.col("node").alias("a"), F.col("n").alias("na"), F.col("at").alias("ia"))
     right = listed.select("h", F.col("c").alias("other"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("at").alias("ib"))
-    cross = left.join(right, ["h", "other"]).where(enough & sizes)
-    return components(linked.union(verified(cross, docs, words, similarity, key, text)))
+    found = components(linked.union(check(left.join(right, ["h", "other"]).where(enough & sizes))))
+
+    if n_repeats:
+        found = found.union(entries.where("copies > 1").select("node", F.col("node").alias("component")).join(found, "node", "left_anti"))
+    named = cut(entries.select("node", key, "digest", "copies").join(found, "node"))
+    order = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), "node")
+    heads_of = named.groupBy("component").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("size"))
+    out = cut(spread_join(named, heads_of, ["component"], "size", named.count()).select(key, "digest", F.col("first.key").alias("component"), (F.col("node") == F.col("first.node")).alias("stays"), "copies"))
+    for table in {id(t): t for t in (made, entries, live)}.values():
+        discard(table)
+    return out
 
 
 def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows that stay: of each group of near copies the one with the smallest key, and all others."""
-    gone = similar_groups(docs, words, similarity, key, text).where("node <> component").select(F.col("node").alias("_gone"))
-    return docs.join(gone, docs[key] == F.col("_gone"), "left_anti")
+    """The rows that stay, with all their columns: of each group of near copies the one with the smallest key, and all rows without a near copy.
+
+    Rows are told apart by key and text: a key that other texts have too loses only the copies. Rows equal in both are
+    copies of each other, of which any one stays; null keys yield to all others. Null texts and texts without words stay, repeated or not.
+    """
+    groups = similar_groups(docs, words, similarity, key, text).select(F.col(key).alias("_key"), F.col("digest").alias("_digest"), "stays", "copies")
+    own = F.xxhash64(text)
+    same = lambda g: docs[key].eqNullSafe(g["_key"]) & (own == g["_digest"])
+    gone, some = groups.where("not stays"), groups.where("stays and copies > 1")
+    left = docs.join(gone, same(gone), "left_anti")
+    if some.isEmpty():
+        return left
+    twice = docs.join(some, same(some), "left_semi").withColumn("_digest", own).dropDuplicates([key, "_digest"]).drop("_digest")
+    return left.join(some, same(some), "left_anti").unionByName(twice)
