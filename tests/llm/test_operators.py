@@ -455,19 +455,27 @@ def test_substrings(docs, cells):
     same([tuple(r) for r in substrings.drop_repeats(docs, cells=cells).collect()], want)
 
 
-def test_text_join_by_shuffle_is_the_same(docs, monkeypatch):
-    near = substrings.drop_repeats(docs, cells=1 << 20).collect()
-    monkeypatch.setattr(substrings, "BROADCAST_BYTES", -1)
-    same(substrings.drop_repeats(docs, cells=1 << 20).collect(), near)
+def test_join_by_shuffle_is_the_same(docs, monkeypatch):
     groups = exact.exact_groups(docs).collect()
     monkeypatch.setattr(exact, "BROADCAST_GROUPS", -1)
     same(exact.exact_groups(docs).collect(), groups)
 
 
+def test_many_runs_and_blocks_give_the_same(docs, monkeypatch):
+    one = substrings.drop_repeats(docs).collect()
+    monkeypatch.setattr(substrings, "RUN", 2_000)
+    monkeypatch.setattr(substrings, "BLOCK", 50)
+    monkeypatch.setattr(substrings, "PART", 50)
+    same(substrings.drop_repeats(docs, texts=True).drop("kept_text").collect(), one)
+    assert not docs.sparkSession.catalog.listTables()
+
+
 def test_sketch_blocks():
     rng = np.random.default_rng(1)
-    cells = np.unique(rng.integers(0, 1 << 21, 3000))
-    assert (substrings.unpacked_cells(substrings.packed_cells(cells)) == cells).all()
-    assert (substrings.unpacked_cells(substrings.packed_cells(np.array([0, 255, 510, 511]))) == [0, 255, 510, 511]).all()
-    runs = [substrings.runs_of(np.array(x)) for x in ([1, 2, 3, 9], [4, 20], [10])]
-    assert np.frombuffer(substrings.merged_runs(runs), "<u4").tolist() == [1, 5, 9, 11, 20, 21]
+    for top in (1 << 12, 1 << 21, 1 << 30):
+        cells = np.unique(rng.integers(0, top, 3000))
+        assert (substrings.unpacked_cells(len(cells), *substrings.packed_cells(cells)) == cells).all()
+    for few in ([0], [0, 255, 256, 510, 511], [70_000, 10**9]):
+        assert substrings.unpacked_cells(len(few), *substrings.packed_cells(np.array(few))).tolist() == few
+    starts, lengths = substrings.stretches(np.array([9, 1, 2, 3, 2, 20, 10]))
+    assert np.frombuffer(starts, "<u4").tolist() == [1, 9, 20] and np.frombuffer(lengths, "<u4").tolist() == [3, 2, 1]

@@ -1,17 +1,19 @@
 """Operator 10: substring dedup behind a count-min prefilter.
 
-First pass: every partition counts its windows of words in a sketch of two rows of cells, with counters
-that saturate at two; the sketches are merged block by block. A window's count is at most the least of its
-cells, so one with a cell below two occurs once and is passed over; no repeated window is. Second pass: the
-windows estimated repeated are grouped exactly by 96 bits of a 128-bit hash. Within a run of rows only the
-document with the smallest id of each window needs to ask the others; the rest are decided on the spot. So a window that a
-third of all documents share costs one row a run in the shuffle.
+The texts are first written to the shared folder in runs of some million characters, dealt to buckets by run, so that later
+passes meet a run's texts again without a shuffle. First pass: every run counts its windows of words in a sketch of two rows of
+cells, and hands in the cells it met; the runs' sketches are merged block by block, and each run is told, one bit a cell, which of its cells another run met too. A
+window's count is at most the least of its cells', so one with a cell that was met once occurs once and is passed over; no repeated
+window is. Second pass: the windows estimated repeated are grouped exactly by the 128 bits of their hash. Within a run only the document
+with the smallest id of each window needs to ask the others, if another run may have the window; the rest are decided on the spot. So a window that a
+third of all documents share costs one row a run in the shuffle. The sketch is as wide as the input asks for; no task
+holds more than one block of it.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,22 +23,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, row_groups
+from .common import MEMORY_BYTES, cut, resident, row_groups, shared_dir
 
 #: Words of a window.
 WINDOW = 13
-#: Cells of each of the two sketch rows (a power of two); the merged sketch takes 2 bits a cell and is broadcast, 64 MB at most.
-CELLS = 1 << 28
-#: Cells of a block of the sketch, as it is shuffled and merged.
-BLOCK = 1 << 21
-#: Windows after which a task hands out what it has gathered.
-RUN = 1_500_000
+#: Characters of a run; a longer text is a run of its own.
+RUN = 6_000_000
+#: Cells of a block of the sketch that are meant to be met.
+BLOCK = 1_000_000
 #: Windows that one group of the second pass is meant to hold.
 PART = 1_000_000
-#: Bytes of removal marks that may be broadcast to the texts; more are joined by a shuffle.
-BROADCAST_BYTES = 32 << 20
-#: Words remembered by one Python worker before its memory of them starts anew.
-REMEMBERED = 400_000
+#: Mean gap between cells up to which its low part takes one byte, else two.
+NARROW = 2_000
 #: Stands for a null id: larger than any other, so such a document yields to all with an id.
 NO_ID = np.iinfo(np.int64).max
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
@@ -47,26 +45,24 @@ class WordHashes(dict):
 
     def __init__(self):
         super().__init__()
-        self.data = bytearray()
+        self.data, self.held = bytearray(), 0
 
     def __missing__(self, word: bytes) -> int:
         self.data += xxhash.xxh3_128_digest(word)
+        self.held += len(word) + 200
         self[word] = n = len(self)
         return n
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > REMEMBERED:
+        if self.held > MEMORY_BYTES:
             self.clear()
-            self.data = bytearray()
+            self.data, self.held = bytearray(), 0
         rows = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
         return np.frombuffer(bytes(self.data), "<u8").reshape(-1, 2)[rows]
 
 
-_hashes = WordHashes()
-
-
-def window_hashes(texts: list[bytes], window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes (n, 2), text number, first word) of every window of every text.
+def window_hashes(texts: list[bytes], window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes (n, 2) of every window of every text, in order, and each text's number of words).
 
     A window's hash is a polynomial in its words' hashes modulo 2**64, twice, so equal windows have equal
     hashes and others differ but for a 128-bit accident.
@@ -75,8 +71,8 @@ def window_hashes(texts: list[bytes], window: int = WINDOW) -> tuple[np.ndarray,
     sizes = np.fromiter(map(len, lists), np.int64, len(lists))
     n = int(sizes.sum())
     if n < window:
-        return np.empty((0, 2), np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
-    words = _hashes.of([w for ws in lists for w in ws])
+        return np.empty((0, 2), np.uint64), sizes
+    words = resident("word hashes", WordHashes).of([w for ws in lists for w in ws])
     total = np.zeros((n - window + 1, 2), np.uint64)
     for j in range(window):
         total *= np.array(MIX)
@@ -85,117 +81,123 @@ def window_hashes(texts: list[bytes], window: int = WINDOW) -> tuple[np.ndarray,
     total *= np.array(MIX[::-1])
     total ^= total >> np.uint64(29)
     text = np.repeat(np.arange(len(lists)), sizes)
-    first = np.arange(n) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    whole = (text[: n - window + 1] == text[window - 1 :]).nonzero()[0]
-    return total[whole], text[whole], first[whole]
-
-
-def window_runs(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[tuple]:
-    """(hashes, document number, first word, ids, text hashes) for about RUN windows at a time."""
-    hashes, texts, firsts, ids, marks, n = [], [], [], [], [], 0
-    for batch in batches:
-        for a, b in row_groups(batch.column(1)):
-            data = [(t or "").encode() for t in batch.column(1).slice(a, b - a).to_pylist()]
-            h, t, f = window_hashes(data, window)
-            hashes.append(h)
-            texts.append(t + len(ids))
-            firsts.append(f)
-            ids += [NO_ID if i is None else i for i in batch.column(0).slice(a, b - a).to_pylist()]
-            marks += [xxhash.xxh64_intdigest(d, 42) for d in data]
-            n += len(h)
-            if n >= RUN:
-                yield np.concatenate(hashes), np.concatenate(texts), np.concatenate(firsts), np.array(ids, np.int64), np.array(marks, np.uint64).view(np.int64)
-                hashes, texts, firsts, ids, marks, n = [], [], [], [], [], 0
-    if n:
-        yield np.concatenate(hashes), np.concatenate(texts), np.concatenate(firsts), np.array(ids, np.int64), np.array(marks, np.uint64).view(np.int64)
-
-
-def cells_of(hashes: np.ndarray, row: int, cells: int) -> np.ndarray:
-    """Cell of each window in one row of the sketch."""
-    return (hashes[:, row] >> np.uint64(24)).astype(np.int64) & (cells - 1)
-
-
-def packed_cells(cells: np.ndarray) -> bytes:
-    """Sorted distinct cells of a block as gaps, one byte each; 255 adds 255 and goes on."""
+    return total[text[: n - window + 1] == text[window - 1 :]], sizes
+
+
+def run_windows(table: pa.Table, window: int) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+    """(the run's documents in order, hashes of all its windows, each document's number of words)."""
+    table = table.sort_by("at").combine_chunks()
+    body = table["text"].combine_chunks() if isinstance(table["text"], pa.ChunkedArray) else table["text"]
+    parts = [window_hashes([t.encode() for t in body.slice(a, b - a).to_pylist()], window) for a, b in row_groups(body)]
+    return table, np.concatenate([h for h, _ in parts]), np.concatenate([s for _, s in parts])
+
+
+def packed_cells(cells: np.ndarray) -> tuple[bytes, bytes]:
+    """Sorted distinct cells as gaps: their low bytes, one or two each, and what lies above as ones that end a count of zeros."""
     gaps = np.diff(cells, prepend=0)
-    long = gaps // 255
-    out = np.full(len(gaps) + int(long.sum()), 255, np.uint8)
-    out[np.cumsum(long + 1) - 1] = gaps % 255
-    return out.tobytes()
+    wide = len(gaps) > 0 and gaps.mean() > NARROW
+    bits = np.zeros(int((gaps >> (16 if wide else 8)).sum()) + len(gaps), np.uint8)
+    bits[np.cumsum((gaps >> (16 if wide else 8)) + 1) - 1] = 1
+    return gaps.astype("<u2" if wide else "u1").tobytes(), np.packbits(bits).tobytes()
 
 
-def unpacked_cells(data: bytes) -> np.ndarray:
-    steps = np.frombuffer(data, np.uint8)
-    return np.cumsum(steps, dtype=np.int64)[steps != 255]
+def unpacked_cells(n: int, low: bytes, high: bytes) -> np.ndarray:
+    wide = len(low) == 2 * n
+    ends = np.flatnonzero(np.unpackbits(np.frombuffer(high, np.uint8)))
+    above = np.diff(ends, prepend=-1) - 1
+    return np.cumsum(np.frombuffer(low, "<u2" if wide else "u1").astype(np.int64) + (above << (16 if wide else 8)))
 
 
-def sketch_rows(docs: DataFrame, key: str, text: str, window: int, cells: int) -> DataFrame:
-    """Partition sketches in blocks: block, cells counted, cells counted twice or more, windows seen."""
+def power_of_two(n: float) -> int:
+    return 1 << max(0, int(np.ceil(np.log2(max(1.0, n)))))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for hashes, *_ in window_runs(batches, window):
-            out: dict = {"block": [], "once": [], "twice": [], "windows": []}
-            for row in (0, 1):
-                found, n = np.unique(cells_of(hashes, row, cells), return_counts=True)
-                bounds = np.searchsorted(found, np.arange(0, cells + 1, min(BLOCK, cells)))
-                for k, (a, b) in enumerate(zip(bounds, bounds[1:])):
-                    if a < b:
-                        own, base = found[a:b], k * min(BLOCK, cells)
-                        out["block"].append(row * (cells // min(BLOCK, cells)) + k)
-                        out["once"].append(packed_cells(own - base))
-                        out["twice"].append(packed_cells(own[n[a:b] > 1] - base))
-                        out["windows"].append(0)
-            out["windows"][0] = len(hashes)
-            yield pa.RecordBatch.from_arrays([pa.array(out["block"], pa.int32()), pa.array(out["once"], pa.binary()), pa.array(out["twice"], pa.binary()), pa.array(out["windows"], pa.int64())], names=list(out))
-
-    return docs.select(key, text).mapInArrow(run, "block int, once binary, twice binary, windows long")
-
-
-def merged_blocks(rows: DataFrame, cells: int) -> DataFrame:
-    """The merged sketch: block, a bit a cell that is set if its count is two or more (deflated), windows seen.
-
-    Blocks are merged as their rows stream by; a task's space is its blocks, whatever the number of partitions.
-    """
-    width = min(BLOCK, cells)
+
+class Sketch:
+    """Shape of the two rows of cells: cells of a row and blocks of a row, both powers of two."""
+
+    def __init__(self, cells: int, windows: int):
+        self.cells = min(cells, 1 << 40)
+        self.blocks = min(self.cells, power_of_two(windows / BLOCK))
+        self.width = self.cells // self.blocks
+
+    def of(self, hashes: np.ndarray, row: int) -> np.ndarray:
+        """Cell of each window in one row."""
+        return (hashes[:, row] >> np.uint64(24)).astype(np.int64) & (self.cells - 1)
+
+    def bounds(self, found: np.ndarray) -> np.ndarray:
+        """Where the blocks begin and end among sorted cells."""
+        return np.searchsorted(found, np.arange(0, self.cells + 1, self.width))
+
+
+def runs_of(docs: DataFrame, key: str, text: str) -> tuple[str, DataFrame]:
+    """Name and rows of a table in the shared folder: run, at (a document's place in its run), key, id, n (bytes), text; bucketed by run."""
+    spark, kind = docs.sparkSession, dict(docs.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[int, np.ndarray] = {}
-        seen: dict[int, int] = {}
+        from pyspark import TaskContext
+
+        number, place, held = TaskContext.get().partitionId() << 32, 0, 0
         for batch in batches:
-            for block, once, twice, windows in zip(*[c.to_pylist() for c in batch.columns]):
-                state = counts.setdefault(block, np.zeros(width, np.uint8))
-                for data in (once, twice):
-                    at = unpacked_cells(data)
-                    state[at] = np.minimum(state[at] + 1, 2)
-                seen[block] = seen.get(block, 0) + windows
-        for block, state in counts.items():
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([zlib.compress(np.packbits(state > 1).tobytes(), 1)], pa.binary()), pa.array([seen[block]], pa.int64())], names=["block", "bits", "windows"])
+            sizes = pc.binary_length(batch.column(2)).to_numpy(zero_copy_only=False).astype(np.int64)
+            runs, ats = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int32)
+            for i, n in enumerate(sizes.tolist()):
+                if held and held + n > RUN:
+                    number, place, held = number + 1, 0, 0
+                runs[i], ats[i] = number, place
+                place, held = place + 1, held + n
+            yield pa.RecordBatch.from_arrays([pa.array(runs), pa.array(ats), *batch.columns[:2], pa.array(sizes), batch.column(2)], names=["run", "at", "key", "id", "n", "text"])
+
+    own = docs.select(F.col(key).alias("key"), F.coalesce(F.col(key).cast("long"), F.lit(int(NO_ID))).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    made = own.mapInArrow(run, f"run long, at int, key {kind}, id long, n long, text string")
+    name = f"window_runs_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    made.write.format("parquet").option("compression", "zstd").option("path", f"{shared_dir(spark).rstrip('/')}/{name}").bucketBy(buckets, "run").saveAsTable(name)
+    return name, spark.table(name)
+
+
+def sketch_rows(runs: DataFrame, sketch: Sketch, window: int) -> DataFrame:
+    """The cells that each run met: run, block, n, low, high."""
+
+    def count(table: pa.Table) -> pa.Table:
+        number = table["run"][0].as_py()
+        _, hashes, _ = run_windows(table, window)
+        out: dict = {"run": [], "block": [], "n": [], "low": [], "high": []}
+        for row in (0, 1):
+            found = np.unique(sketch.of(hashes, row))
+            bounds = sketch.bounds(found)
+            for k in np.flatnonzero(np.diff(bounds)).tolist():
+                a, b = bounds[k], bounds[k + 1]
+                for name, v in zip(out, (number, row * sketch.blocks + k, b - a, *packed_cells(found[a:b] - k * sketch.width))):
+                    out[name].append(v)
+        return pa.table([pa.array(c, t) for c, t in zip(out.values(), (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=list(out))
 
-    return rows.repartition("block").mapInArrow(run, "block int, bits binary, windows long")
+    return runs.select("run", "at", "text").groupBy("run").applyInArrow(count, "run long, block int, n int, low binary, high binary")
 
 
-def repeated(hashes: np.ndarray, bits: list[np.ndarray], cells: int) -> np.ndarray:
-    """Whether each window is estimated to occur twice or more."""
-    out = np.ones(len(hashes), bool)
-    for row in (0, 1):
-        at = cells_of(hashes, row, cells)
-        out &= (bits[row][at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
-    return out
+def merged_blocks(rows: DataFrame) -> DataFrame:
+    """run, block, bits: for each cell that a run handed in, whether another run did too. A group is one block of all runs' cells."""
 
+    def merge(table: pa.Table) -> pa.Table:
+        lists = [unpacked_cells(*x) for x in zip(*[table[c].to_pylist() for c in ("n", "low", "high")])]
+        found, times = np.unique(np.concatenate(lists), return_counts=True)
+        bits = [np.packbits(times[np.searchsorted(found, x)] > 1).tobytes() for x in lists]
+        return pa.table([table["run"], table["block"], pa.chunked_array([pa.array(bits, pa.binary())])], names=["run", "block", "bits"])
 
-def runs_of(starts: np.ndarray) -> bytes:
-    """Sorted first words of removed windows as runs (first, last + 1), 32 bits each."""
-    breaks = np.flatnonzero(np.diff(starts) != 1) + 1
-    return np.stack([starts[np.concatenate([[0], breaks])], starts[np.concatenate([breaks - 1, [len(starts) - 1]])] + 1], axis=1).astype("<u4").tobytes()
+    return rows.groupBy("block").applyInArrow(merge, "run long, block int, bits binary")
 
 
-def marks_batch(ids: np.ndarray, texts: np.ndarray, first: np.ndarray) -> tuple[list, list, list]:
-    """One row a document: id, text hash, runs of removed windows. The arrays have a row a removed window."""
-    order = np.lexsort((first, texts, ids))
-    ids, texts, first = ids[order], texts[order], first[order]
-    bounds = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (texts[1:] != texts[:-1])])) if len(ids) else np.empty(0, np.int64)
-    ends = [*bounds[1:].tolist(), len(ids)]
-    return ids[bounds].tolist(), texts[bounds].tolist(), [runs_of(np.unique(first[a:b])) for a, b in zip(bounds.tolist(), ends)]
+def repeated(hashes: np.ndarray, sketch: Sketch, answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each window of a run is estimated to occur twice or more, and whether in another run, from its own cells and the answers of the merged blocks."""
+    bits = dict(zip(answers["block"].to_pylist(), answers["bits"].to_pylist()))
+    out, elsewhere = np.ones(len(hashes), bool), np.ones(len(hashes), bool)
+    for row in (0, 1):
+        found, at, times = np.unique(sketch.of(hashes, row), return_inverse=True, return_counts=True)
+        bounds = sketch.bounds(found)
+        met = [np.unpackbits(np.frombuffer(bits[row * sketch.blocks + k], np.uint8))[: bounds[k + 1] - bounds[k]] for k in np.flatnonzero(np.diff(bounds)).tolist()]
+        other = (np.concatenate(met) if met else np.empty(0, np.uint8)).astype(bool)
+        out &= (other | (times > 1))[at]
+        elsewhere &= other[at]
+    return out, elsewhere
 
 
 def later(h: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -207,162 +209,113 @@ def later(h: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, ids > smallest
 
 
-# Rows of the second pass: asks hold packed columns of one part; decided rows hold a document's marks.
-SECOND = "part int, id long, text_hash long, n int, hashes binary, ids binary, text_hashes binary, firsts binary, runs binary"
+def stretches(windows: np.ndarray) -> tuple[bytes, bytes]:
+    """Numbers of removed windows as stretches: first ones and lengths, 32 bits each."""
+    windows = np.unique(windows)
+    first = np.flatnonzero(np.diff(windows, prepend=-2) != 1)
+    return windows[first].astype("<u4").tobytes(), np.diff(np.append(first, len(windows))).astype("<u4").tobytes()
 
 
-def second_pass(docs: DataFrame, key: str, text: str, window: int, cells: int, bits, parts: int) -> DataFrame:
-    """Asks and decided marks of every run of windows; see SECOND."""
+# Rows of the second pass: asks (run, n and packed columns of one part), and a run's windows decided on the spot.
+SECOND = "part int, run long, n int, hashes binary, ids binary, windows binary, starts binary, lengths binary"
+KINDS = (pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 5)
+MARKS = "run long, starts binary, lengths binary"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [np.frombuffer(x, np.uint8) for x in bits.value]
-        for h, doc, first, ids, texts in window_runs(batches, window):
-            keep = repeated(h, rows, cells).nonzero()[0]
-            if not len(keep):
-                continue
-            h, doc, first = h[keep], doc[keep], first[keep]
-            own = ids[doc]
-            order, is_later = later(h, own)
-            gone = order[is_later]
-            asks = order[~is_later]
-            out = {name.split()[0]: [] for name in SECOND.split(", ")}
-            for i, t, r in zip(*marks_batch(own[gone], texts[doc[gone]], first[gone])):
-                row = [xxhash.xxh32_intdigest(i.to_bytes(8, "little", signed=True)) % parts, i, t, 0, None, None, None, None, r]
-                for name, v in zip(out, row):
-                    out[name].append(v)
-            part = (h[asks, 0] % np.uint64(parts)).astype(np.int64)
-            asks = asks[np.argsort(part, kind="stable")]
-            part = np.sort(part)
-            bounds = np.flatnonzero(np.diff(part, prepend=-1))
-            for a, b in zip(bounds.tolist(), [*bounds[1:].tolist(), len(part)]):
-                some = asks[a:b]
-                some = some[np.lexsort((first[some], doc[some]))]
-                row = [int(part[a]), None, None, b - a, h[some, 0].tobytes() + h[some, 1].astype("<u4").tobytes(), own[some].tobytes(), texts[doc[some]].tobytes(), first[some].astype("<u4").tobytes(), None]
-                for name, v in zip(out, row):
-                    out[name].append(v)
-            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * 5]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out.values(), kinds)], names=list(out))
 
-    return docs.select(key, text).mapInArrow(run, SECOND)
+def second_pass(runs: DataFrame, answers: DataFrame, sketch: Sketch, window: int, parts: int) -> DataFrame:
+    """Asks and decided windows of every run; see SECOND."""
+    names = [x.split()[0] for x in SECOND.split(", ")]
 
+    def ask(table: pa.Table, told: pa.Table) -> pa.Table:
+        number = table["run"][0].as_py() if table.num_rows else 0
+        table, h, sizes = run_windows(table, window)
+        twice, elsewhere = repeated(h, sketch, told)
+        keep = twice.nonzero()[0]
+        h = h[keep]
+        own = np.repeat(table["id"].to_numpy(), np.maximum(sizes - window + 1, 0))[keep]
+        order, is_later = later(h, own)
+        rows: list = []
+        if is_later.any():
+            rows.append((xxhash.xxh32_intdigest(number.to_bytes(8, "little")) % parts, number, 0, None, None, None, *stretches(keep[order[is_later]])))
+        asks = order[~is_later]
+        asks = asks[elsewhere[keep[asks]]]
+        part = (h[asks, 0] % np.uint64(parts)).astype(np.int64)
+        asks = asks[np.lexsort((asks, part))]
+        bounds = np.searchsorted(np.sort(part), np.arange(parts + 1))
+        for k in np.flatnonzero(np.diff(bounds)).tolist():
+            some = asks[bounds[k] : bounds[k + 1]]
+            rows.append((k, number, len(some), h[some].tobytes(), own[some].astype("<i8").tobytes(), keep[some].astype("<u4").tobytes(), None, None))
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * len(KINDS), KINDS)], names=names)
 
-# Marks on their way to their documents: rows of packed columns, one for each pair of a part and a bucket of documents.
-MARKS = "bucket int, n int, ids binary, text_hashes binary, firsts binary, runs_id long, runs_hash long, runs binary"
+    return runs.select("run", "at", "id", "text").groupBy("run").cogroup(answers.groupBy("run")).applyInArrow(ask, SECOND)
 
 
-def answered(rows: DataFrame, buckets: int) -> DataFrame:
-    """Marks of all removed windows; see MARKS. Decided marks pass through as they are."""
+def answered(rows: DataFrame) -> DataFrame:
+    """Removed windows by run; see MARKS. Decided ones pass through as they are."""
 
     def answer(table: pa.Table) -> pa.Table:
-        asks = table.filter(pc.is_valid(table["hashes"]))
-        done = table.filter(pc.is_valid(table["runs"]))
+        asks, done = table.filter(pc.is_valid(table["hashes"])), table.filter(pc.is_valid(table["starts"]))
         join = lambda name, kind: np.frombuffer(b"".join(asks[name].to_pylist()), kind)
-        parts = [(b, 8 * n) for b, n in zip(asks["hashes"].to_pylist(), asks["n"].to_pylist())]
-        h = np.stack([np.frombuffer(b"".join(b[:n] for b, n in parts), "<u8"), np.frombuffer(b"".join(b[n:] for b, n in parts), "<u4").astype("<u8")], axis=1)
-        order, is_later = later(h, join("ids", "<i8"))
-        gone = order[is_later]
-        ids, texts, firsts = join("ids", "<i8")[gone], join("text_hashes", "<i8")[gone], join("firsts", "<u4")[gone]
-        bucket = bucket_of(ids, buckets)
-        order = np.lexsort((firsts, texts, ids, bucket))
-        bucket, ids, texts, firsts = bucket[order], ids[order], texts[order], firsts[order]
-        bounds = [*np.flatnonzero(np.diff(bucket, prepend=-1)).tolist(), len(bucket)]
-        spans = list(zip(bounds, bounds[1:]))
-        columns = [[int(bucket[a]) for a, _ in spans], [b - a for a, b in spans], *[[x[a:b].tobytes() for a, b in spans] for x in (ids, texts, firsts)]]
-        kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-        none = lambda n, kind: pa.nulls(n, kind)
-        names = [x.split()[0] for x in MARKS.split(", ")]
-        own = pa.table([*[pa.array(c, k) for c, k in zip(columns, kinds)], none(len(spans), pa.int64()), none(len(spans), pa.int64()), none(len(spans), pa.binary())], names=names)
-        n = done.num_rows
-        kept = pa.table([pa.array(bucket_of(done["id"].to_numpy(), buckets), pa.int32()), none(n, pa.int32()), none(n, pa.binary()), none(n, pa.binary()), none(n, pa.binary()), done["id"], done["text_hash"], done["runs"]], names=names)
-        return pa.concat_tables([own, kept.cast(own.schema)])
+        order, is_later = later(join("hashes", "<u8").reshape(-1, 2), join("ids", "<i8"))
+        gone = np.sort(order[is_later])
+        row = np.repeat(np.arange(asks.num_rows), asks["n"].to_numpy().astype(np.int64))[gone]
+        windows, runs = join("windows", "<u4").astype(np.int64)[gone], asks["run"].to_numpy()
+        bounds = np.searchsorted(row, np.arange(asks.num_rows + 1))
+        some = np.flatnonzero(np.diff(bounds)).tolist()
+        made = [stretches(windows[bounds[k] : bounds[k + 1]]) for k in some]
+        own = pa.table([pa.array(runs[some], pa.int64()), pa.array([a for a, _ in made], pa.binary()), pa.array([b for _, b in made], pa.binary())], names=["run", "starts", "lengths"])
+        return pa.concat_tables([own, done.select(["run", "starts", "lengths"])])
 
     return rows.groupBy("part").applyInArrow(answer, MARKS)
 
 
-def bucket_of(ids: np.ndarray, buckets: int) -> np.ndarray:
-    mixed = ids.astype(np.int64).view(np.uint64) * MIX[0]
-    return (mixed >> np.uint64(33)).astype(np.int64) % buckets
-
+def kept_words(words: list[bytes], gone: np.ndarray, window: int) -> tuple[int, bytes]:
+    """(removed words, kept words joined by spaces) of a text; ``gone`` has its removed windows."""
+    if not gone.any():
+        return 0, b" ".join(words)
+    edges = np.zeros(len(words) + 1, np.int64)
+    edges[: len(gone)] += gone
+    edges[window:] -= gone
+    cut_out = np.cumsum(edges)[:-1] > 0
+    return int(cut_out.sum()), b" ".join([w for w, g in zip(words, cut_out.tolist()) if not g])
 
-def by_document(marks: DataFrame) -> DataFrame:
-    """_id, _hash, _runs: one row a document that loses words, its removed windows as merged runs."""
 
-    def merge(table: pa.Table) -> pa.Table:
-        packed = table.filter(pc.is_valid(table["ids"]))
-        done = table.filter(pc.is_valid(table["runs"]))
-        join = lambda name, kind: np.frombuffer(b"".join(packed[name].to_pylist()), kind)
-        found: dict[tuple, list[bytes]] = {}
-        for i, t, r in zip(*marks_batch(join("ids", "<i8"), join("text_hashes", "<i8"), join("firsts", "<u4").astype(np.int64))):
-            found.setdefault((i, t), []).append(r)
-        for i, t, r in zip(done["runs_id"].to_pylist(), done["runs_hash"].to_pylist(), done["runs"].to_pylist()):
-            found.setdefault((i, t), []).append(r)
-        return pa.table({"_id": pa.array([i for i, _ in found], pa.int64()), "_hash": pa.array([t for _, t in found], pa.int64()), "_runs": pa.array([merged_runs(r) for r in found.values()], pa.binary())})
-
-    return marks.groupBy("bucket").applyInArrow(merge, "_id long, _hash long, _runs binary")
-
-
-def merged_runs(runs: list[bytes]) -> bytes:
-    """Runs that touch or repeat made one; a document's rows of the second pass hold its windows in scattered pieces."""
-    spans = np.frombuffer(b"".join(runs), "<u4").reshape(-1, 2).astype(np.int64)
-    spans = spans[np.lexsort((spans[:, 1], spans[:, 0]))]
-    reach = np.maximum.accumulate(spans[:, 1])
-    first = np.flatnonzero(np.concatenate([[True], spans[1:, 0] > reach[:-1]]))
-    return np.stack([spans[first, 0], reach[np.append(first[1:] - 1, len(spans) - 1)]], axis=1).astype("<u4").tobytes()
-
-
-def kept_words(data: bytes, runs: bytes | None, window: int) -> tuple[int, int, bytes]:
-    """(words, removed words, kept words joined by spaces) of a text."""
-    words = data.split()
-    if not runs:
-        return len(words), 0, b" ".join(words)
-    edges = np.zeros(len(words) + 1, np.int64)
-    spans = np.frombuffer(runs, "<u4").reshape(-1, 2).astype(np.int64)
-    np.add.at(edges, spans[:, 0], 1)
-    np.add.at(edges, spans[:, 1] + window - 1, -1)
-    gone = np.cumsum(edges)[:-1] > 0
-    return len(words), int(gone.sum()), b" ".join([w for w, g in zip(words, gone.tolist()) if not g])
-
-
-def removal_marks(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, cells: int = CELLS) -> DataFrame:
-    """_id, _hash, _runs: of each document that loses words, the runs of its removed windows."""
-    spark = docs.sparkSession
-    blocks = merged_blocks(sketch_rows(docs, key, text, window, cells), cells).collect()
-    width = min(BLOCK, cells)
-    rows = [bytearray(cells // 8) for _ in (0, 1)]
-    for r in blocks:
-        row, k = divmod(r["block"], cells // width)
-        rows[row][k * width // 8 : (k + 1) * width // 8] = zlib.decompress(r["bits"])
-    windows = sum(r["windows"] for r in blocks)
-    bits = spark.sparkContext.broadcast([bytes(r) for r in rows])
-    del rows, blocks
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), windows // (2 * PART))
-    marks = answered(second_pass(docs, key, text, window, cells, bits, parts), parts)
-    return cut(by_document(marks))
-
-
-def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, cells: int = CELLS, texts: bool = False) -> DataFrame:
+def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, cells: int | None = None, texts: bool = False) -> DataFrame:
     """key, n_words, n_removed, kept_sha256 (and with ``texts``: kept_text) of every document.
 
     A word goes if a window over it also starts in a document with a smaller key; all windows are judged on the
     input. Null text has no words; a text shorter than a window loses none. A null key counts as larger than any
-    other. Rows with one key do not take words from each other. Other columns are not read.
+    other. Rows with one key do not take words from each other. Other columns are not read. ``cells`` of a sketch row:
+    by default as many as the texts have bytes, some six for each window. The result is cut in the shared folder, and what led to it deleted.
     """
-    kind = dict(docs.dtypes)[key]
-    marks = removal_marks(docs, key, text, window, cells)
-    size = marks.agg(F.sum(F.octet_length("_runs") + 48)).first()[0] or 0
-    near = F.broadcast(marks) if size <= BROADCAST_BYTES else marks
-    body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(key, body.alias("_text"), F.coalesce(F.col(key).cast("long"), F.lit(int(NO_ID))).alias("_key"), F.xxhash64(body).alias("_of"))
-    met = rows.join(near, (F.col("_key") == F.col("_id")) & (F.col("_of") == F.col("_hash")), "left").select(key, "_text", "_runs")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [kept_words(t.as_py().encode(), r.as_py(), window) for t, r in zip(batch.column(1), batch.column(2))]
-            columns = [batch.column(0), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([hashlib.sha256(x[2]).hexdigest() for x in out])]
-            names = [key, "n_words", "n_removed", "kept_sha256"]
-            if texts:
-                columns.append(pa.array([x[2].decode() for x in out], pa.string()))
-                names.append("kept_text")
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    return met.mapInArrow(run, f"`{key}` {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * texts)
+    spark, kind = docs.sparkSession, dict(docs.dtypes)[key]
+    name, runs = runs_of(docs, key, text)
+    size = runs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    sketch = Sketch(cells or power_of_two(max(size, 1 << 16)), size // 6)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // (12 * PART))
+    answers = merged_blocks(sketch_rows(runs, sketch, window))
+    marks = answered(second_pass(runs, answers, sketch, window, parts))
+
+    def finish(table: pa.Table, told: pa.Table) -> pa.Table:
+        table = table.sort_by("at")
+        lists = [t.encode().split() for t in table["text"].to_pylist()]
+        sizes = np.maximum(np.fromiter(map(len, lists), np.int64, len(lists)) - window + 1, 0)
+        starts, lengths = (np.frombuffer(b"".join(told[c].to_pylist()), "<u4").astype(np.int64) for c in ("starts", "lengths"))
+        edges = np.zeros(int(sizes.sum()) + 1, np.int64)
+        np.add.at(edges, starts, 1)
+        np.add.at(edges, starts + lengths, -1)
+        gone, ends = np.cumsum(edges)[:-1] > 0, np.cumsum(sizes)
+        out = [kept_words(ws, gone[e - n : e], window) for ws, n, e in zip(lists, sizes.tolist(), ends.tolist())]
+        columns = [table["key"], pa.array([len(ws) for ws in lists], pa.int64()), pa.array([n for n, _ in out], pa.int64()), pa.array([hashlib.sha256(b).hexdigest() for _, b in out], pa.string())]
+        names = [key, "n_words", "n_removed", "kept_sha256"]
+        if texts:
+            columns.append(pa.array([b.decode() for _, b in out], pa.string()))
+            names.append("kept_text")
+        return pa.table(columns, names=names)
+
+    ddl = f"`{key}` {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * texts
+    out = cut(runs.select("run", "at", "key", "text").groupBy("run").cogroup(marks.groupBy("run")).applyInArrow(finish, ddl))
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/{name}")
+    spark.sql(f"DROP TABLE {name}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return out
