@@ -324,28 +324,68 @@ def test_language_model(docs):
     assert {d: sorted(x) for d, x in got.items()} == {d: [pytest.approx(y) for y in sorted(x)] for d, x in want.items()}
 
 
+def brute_probability(p, v, a, b, word, cls):
+    """Probabilities by the definition: softmax over the classes, then over the tokens of a class, the rest of its share for tokens without a vector."""
+    n = v.classes
+    e = np.exp((p["Q"][a] + p["Q"][n + b]) @ p["T"].T + p["b"])
+    members = np.flatnonzero(v.class_of == cls)
+    if cls < v.singles:
+        return e[cls] / e.sum()
+    weights = v.share[members] * np.exp(p["V"][members] @ p["U"][a])
+    rest = 1 - v.share[members].sum()
+    own = weights[members == word][0] if word >= 0 else rest
+    return e[cls] / e.sum() * own / (weights.sum() + rest)
+
+
 def test_probabilities_add_up_and_training_helps():
     rng = np.random.default_rng(1)
     walk = [0]
-    for _ in range(6000):
-        walk.append((walk[-1] + rng.choice([1, 1, 1, 2])) % 12)
-    rows = collections.Counter(f"w{i}" for i in walk)
-    v = lbl.Vocabulary(rows.most_common(), len(walk), 12, classes=16)
-    flat, ends = lbl._classes(v, [[f"w{i}".encode() for i in walk] + [b""]])
-    before = lbl.contexts(flat, ends)
-    trainer = lbl.Trainer(v.noise, 1)
-    first = lbl.Tables(trainer.p).log10(before, flat).mean()
-    for _ in range(30):
-        trainer.step(before, flat)
-    tables = lbl.Tables(trainer.p)
-    total = sum(10.0 ** tables.log10(before[:50], np.full(50, c)) for c in range(16))
-    assert total == pytest.approx(np.ones(50), abs=1e-4)
-    assert tables.log10(before, flat).mean() > first + 0.2
-
-
-def test_the_model_is_as_wide_as_before_the_cut():
-    trainer = lbl.Trainer(np.full(8, 1 / 8, np.float32), 1)
-    assert trainer.p["R"].shape == trainer.p["T"].shape == (8, 24) and lbl.NOISE == 48
+    for _ in range(20_000):
+        walk.append((walk[-1] + rng.choice([1, 1, 1, 2])) % 30)
+    texts = [[f"w{i}{'abc'[i % 3]}".encode() for i in walk[at : at + 100]] + [b""] for at in range(0, 20_000, 100)]
+    rows = collections.Counter(w.decode() for t in texts for w in t)
+    head, rest = rows.most_common(25), rows.most_common()[25:]
+    tail = collections.defaultdict(lambda: (0, 0))
+    for w, c in rest:
+        k = lbl.shared_number(w.encode(), 4)
+        tail[k] = (tail[k][0] + c, tail[k][1] + 1)
+    v = lbl.Vocabulary(head, sum(rows.values()), 4 * 32, tail, singles=8, shared=4)
+    assert v.shared == 4
+    trainer = lbl.Trainer(v, 1)
+    word, cls, ends = v.numbers(texts)
+    before = lbl.contexts(cls, ends)
+    first = lbl.Tables(trainer.p, v).log10(before, word, cls).mean()
+    for _ in range(10):
+        trainer.learn(texts)
+    tables = lbl.Tables(trainer.p, v)
+    assert tables.log10(before, word, cls).mean() > first + 0.2
+    numbers = np.arange(len(v))
+    for a, b in before[:20]:
+        pair = np.tile([a, b], (len(v), 1))
+        got = 10.0 ** tables.log10(pair, numbers, v.class_of)
+        assert got == pytest.approx([brute_probability(trainer.p, v, a, b, w, k) for w, k in zip(numbers, v.class_of)], rel=1e-3)
+        # All tokens without a vector, one never met among them, have the rest.
+        rare = sum(brute_probability(trainer.p, v, a, b, -1, k) for k in range(v.singles, v.classes))
+        assert got.sum() + rare == pytest.approx(1, abs=1e-3)
+    k = int(v.class_of[-1])
+    without = 10.0 ** tables.log10(before[:1], np.array([-1]), np.array([k])) * (v.class_norm[k] * (1 - v.share[v.class_of == k].sum()))
+    assert without == pytest.approx(brute_probability(trainer.p, v, *before[0], -1, k), rel=1e-3)
+
+
+def test_held_out_texts_are_likelier_than_under_counts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(zlib.crc32(str(r["doc_id"]).encode()) % 10 == 0, lbl.tokens(r["text"])) for r in docs.collect()]
+    training = [t for h, t in rows if not h]
+    one = collections.Counter(w for t in training for w in t)
+    two = collections.Counter(x for t in training for x in zip([b"", *t], t))
+    start = collections.Counter(w for t in training for w in [b"", *t[:-1]])
+    total, distinct = sum(one.values()), len(one)
+    alone = lambda w: (one[w] + 0.1) / (total + 0.1 * (distinct + 1))
+    pair = lambda a, w: (two[a, w] + 50 * alone(w)) / (start[a] + 50)
+    bigram = sum(np.log10(pair(a, w)) for h, t in rows if h for a, w in zip([b"", *t], t))
+    got = lbl.score_documents(docs).where("held_out").agg(F.sum("base_score"), F.sum("score"), F.sum("n_tokens")).first()
+    print("per token: base", got[0] / got[2], "bigram counts", bigram / got[2], "model", got[1] / got[2])
+    assert got[1] / got[2] > got[0] / got[2] + 0.15
 
 
 def test_shards(docs):
