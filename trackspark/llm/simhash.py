@@ -324,11 +324,15 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, key
     linked = linked.union(check(near.where((F.col("c") != F.col("pc")) & enough & sizes)))
 
     listed = cut(placed(components(linked)))
-    present = listed.select("h", "c").distinct()
-    ways = present.join(present.withColumnRenamed("c", "other"), "h").where("c < other")
-    left = listed.join(ways, ["h", "c"]).select("h", "other", F.col("node").alias("a"), F.col("n").alias("na"), F.col("at").alias("ia"))
-    right = listed.select("h", F.col("c").alias("other"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("at").alias("ib"))
-    found = components(linked.union(check(left.join(right, ["h", "other"]).where(enough & sizes))))
+    # Of a pair, the smaller text has the shared shingle among the first 1 - 2 * share of its own, so two that have it later need not meet; neither need
+    # texts in size bands (each 1 / similarity wide) that are not neighbours. So a passage that many texts share pairs few of them.
+    share = similarity / (1 + similarity)
+    band = F.floor(F.log(F.col("n")) / F.lit(float(-np.log(similarity))) + 1e-9) if similarity < 1 else F.col("n").cast("long")
+    early = listed.where(F.col("at") <= F.col("n") * F.lit(1 - 2 * share) + 1e-9).select("h", F.explode(F.array(band, band + 1)).alias("band"), "c", F.col("node").alias("a"), F.col("n").alias("na"), F.col("at").alias("ia"))
+    right = listed.select("h", band.alias("band"), F.col("c").alias("other"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("at").alias("ib"))
+    ways = early.select("h", "band", "c").distinct().join(right.select("h", "band", "other").distinct(), ["h", "band"]).where("c <> other")
+    cross = early.join(ways, ["h", "band", "c"]).join(right, ["h", "band", "other"]).where((F.col("na") <= F.col("nb")) & enough & sizes)
+    found = components(linked.union(check(cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))))
 
     if n_repeats:
         found = found.union(entries.where("copies > 1").select("node", F.col("node").alias("component")).join(found, "node", "left_anti"))
