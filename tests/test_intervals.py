@@ -1,16 +1,20 @@
-"""Interval and set algebra: examples with results worked out by hand."""
+"""Interval and set algebra against plain sets of frames, on random inputs, and a few cases with results written out."""
+
+import numpy as np
+import pytest
 
 from trackspark.operators import intervals as iv
 
 N = "trial_id long, n long"
+LENGTH = 24
 
 
 def flags(spark, frames):
-    return spark.createDataFrame([(1, f) for f in frames], "trial_id long, frame long")
+    return spark.createDataFrame([(1, int(f)) for f in frames], "trial_id long, frame long")
 
 
 def segs(spark, pairs):
-    return spark.createDataFrame([(1, a, b) for a, b in pairs], "trial_id long, start_frame long, end_frame long")
+    return spark.createDataFrame([(1, int(a), int(b)) for a, b in pairs], "trial_id long, start_frame long, end_frame long")
 
 
 def pairs(df):
@@ -21,58 +25,97 @@ def frames_of(df):
     return sorted(r["frame"] for r in df.collect())
 
 
-def test_runs(spark):
-    own = flags(spark, [1, 2, 3, 15, 20, 21, 21])
-    assert pairs(iv.consecutive_ranges(own)) == [(1, 3), (15, 15), (20, 21)]
-    assert sorted(r["frames"] for r in iv.consecutive_values(own).collect()) == [[1, 2, 3], [15], [20, 21]]
-    assert sorted((r["start_frame"], r["steps"]) for r in iv.index_steps(own).collect()) == [(1, 2), (15, 0), (20, 1)]
+def runs(frames):
+    """(first, last) of the maximal runs of a set of numbers."""
+    frames = set(frames)
+    firsts = sorted(f for f in frames if f - 1 not in frames)
+    return [(f, next(e for e in range(f, max(frames) + 1) if e + 1 not in frames)) for f in firsts]
 
 
-def test_ranges(spark):
-    own = segs(spark, [(1, 3), (15, 15), (20, 21)])
-    assert frames_of(iv.ranges_to_list(own)) == [1, 2, 3, 15, 20, 21]
-    assert frames_of(iv.ranges_to_edges(segs(spark, [(3, 5), (11, 15)]))) == [3, 6, 11, 16]
-    assert pairs(iv.segments_of_length(own, 2, 4, True)) == [(1, 3), (20, 21)]
+def inside(segments):
+    return {f for a, b in segments for f in range(a, b + 1)}
 
 
-def test_invert(spark):
-    ten = spark.createDataFrame([(1, 10), (2, 4)], N)
-    own = segs(spark, [(1, 2), (5, 7)])
-    assert [(r["trial_id"], r["start_frame"], r["end_frame"]) for r in iv.invert_ranges(own, ten).orderBy("trial_id", "start_frame").collect()] == [(1, 0, 0), (1, 3, 4), (1, 8, 9), (2, 0, 3)]
-    assert pairs(iv.invert_ranges(own, ten.where("trial_id = 1"), True)) == [(0, 1), (2, 5), (7, 9)]
-    twice = iv.invert_ranges(iv.invert_ranges(own, ten.where("trial_id = 1")), ten.where("trial_id = 1"))
-    assert pairs(twice) == [(1, 2), (5, 7)]
+def some_frames(rng):
+    return rng.integers(0, LENGTH, rng.integers(0, 16)).tolist()
 
 
-def test_fuse(spark):
-    a, b = segs(spark, [(7, 9), (2, 3), (16, 18)]), segs(spark, [(14, 15), (1, 4), (9, 12)])
-    assert pairs(iv.fuse_ranges(a, b)) == [(1, 4), (7, 12), (14, 18)]
-    assert pairs(iv.fuse_ranges(a, b, adjacent=False)) == [(1, 4), (7, 12), (14, 15), (16, 18)]
-    assert pairs(iv.fuse_ranges(iv.fuse_ranges(a, b))) == [(1, 4), (7, 12), (14, 18)]
-    assert pairs(iv.filter_ranges(segs(spark, [(1, 5), (7, 10), (13, 20)]), segs(spark, [(10, 15), (2, 3), (19, 20)]))) == [(1, 1), (4, 5), (7, 9), (16, 18)]
+def some_segments(rng):
+    """Segments that may overlap, touch or repeat."""
+    starts = rng.integers(0, LENGTH, rng.integers(0, 6))
+    return [(int(a), int(min(LENGTH - 1, a + rng.integers(0, 6)))) for a in starts]
 
 
-def test_cuts(spark):
-    own, ten = flags(spark, [3, 5, 8]), spark.createDataFrame([(1, 10)], N)
-    assert pairs(iv.indices_to_segments(own, ten)) == [(0, 3), (3, 5), (5, 8), (8, 10)]
-    assert pairs(iv.indices_to_segments(own, ten, inclusive=True, alternating=True)) == [(3, 4), (8, 9)]
-    assert sorted(r["frames"] for r in iv.intervals(own, ten).collect()) == [[0, 1, 2], [3, 4], [5, 6, 7], [8, 9]]
-    assert sorted(r["frames"] for r in iv.intervals(own, ten, True).collect()) == [[3, 4], [8, 9]]
+@pytest.mark.parametrize("seed", range(4))
+def test_runs(spark, seed):
+    own = some_frames(np.random.default_rng(seed))
+    table = flags(spark, own)
+    assert pairs(iv.consecutive_ranges(table)) == runs(own)
+    assert sorted(r["frames"] for r in iv.consecutive_values(table).collect()) == [list(range(a, b + 1)) for a, b in runs(own)]
+    assert sorted((r["start_frame"], r["steps"]) for r in iv.index_steps(table).collect()) == [(a, b - a) for a, b in runs(own)]
 
 
-def test_values(spark):
-    own = spark.createDataFrame([(1, i, v) for i, v in enumerate([2, 0, 1, 1, 1, 0, 1])] + [(2, 0, None)], "trial_id long, frame long, v int")
-    assert pairs(iv.value_segments(own, own["v"] == 1)) == [(2, 4), (6, 6)]
+@pytest.mark.parametrize("seed", range(4))
+def test_ranges(spark, seed):
+    own = runs(some_frames(np.random.default_rng(10 + seed)))
+    table = segs(spark, own)
+    assert frames_of(iv.ranges_to_list(table)) == sorted(inside(own))
+    assert frames_of(iv.ranges_to_edges(table)) == sorted({e for a, b in own for e in (a, b + 1)})
+    ten = spark.createDataFrame([(1, LENGTH)], N)
+    rest = runs(set(range(LENGTH)) - inside(own))
+    assert pairs(iv.invert_ranges(table, ten)) == rest
 
 
-def test_samples(spark):
-    own = spark.createDataFrame([(1, 0, [0, 1, 2]), (1, 1, [3, 4]), (1, 2, [5, 6, 7]), (1, 3, [8])], "trial_id long, sample int, values array<int>")
-    assert [r["value"] for r in iv.flatten_samples(own).orderBy("position").collect()] == list(range(9))
+def test_shared_ends_and_lengths(spark):
+    table = segs(spark, [(4, 6), (11, 11)])
+    assert pairs(iv.invert_ranges(table, spark.createDataFrame([(1, 14)], N), True)) == [(0, 4), (6, 11), (11, 13)]
+    both = iv.invert_ranges(table, spark.createDataFrame([(1, 14), (2, 5)], N))
+    assert sorted((r["trial_id"], r["start_frame"], r["end_frame"]) for r in both.collect()) == [(1, 0, 3), (1, 7, 10), (1, 12, 13), (2, 0, 4)]
+    assert pairs(iv.segments_of_length(segs(spark, [(0, 0), (2, 6), (9, 11), (13, 30)]), 2, 6, True)) == [(2, 6), (9, 11)]
 
 
-def test_sets(spark):
-    a, b = flags(spark, [1, 2, 2, 3]), flags(spark, [3, 4])
-    assert frames_of(iv.merge_flags(a, b)) == [1, 2, 3, 4]
-    assert frames_of(iv.filter_flags(a, b)) == [1, 2, 2]
-    assert frames_of(iv.match_flags(a, b)) == [3]
-    assert frames_of(iv.mismatch_flags(a, b)) == [1, 2, 4]
+@pytest.mark.parametrize("seed", range(4))
+def test_fuse_and_filter(spark, seed):
+    rng = np.random.default_rng(20 + seed)
+    a, b = some_segments(rng), some_segments(rng)
+    both = inside(a) | inside(b)
+    assert pairs(iv.fuse_ranges(segs(spark, a), segs(spark, b))) == runs(both)
+    assert pairs(iv.fuse_ranges(iv.fuse_ranges(segs(spark, a + b)))) == runs(both)
+    # Without fusing neighbours, the same frames are covered, and only pieces that share a frame are one.
+    apart = pairs(iv.fuse_ranges(segs(spark, a), segs(spark, b), adjacent=False))
+    assert inside(apart) == both and sum(y - x + 1 for x, y in apart) == len(both)
+    assert all(any(x <= p and q <= y for x, y in apart) for p, q in a + b)
+    clean = runs(inside(a))
+    assert inside(pairs(iv.filter_ranges(segs(spark, clean), segs(spark, b)))) == inside(a) - inside(b)
+
+
+def test_cuts(spark):
+    own, n = flags(spark, [2, 9, 10]), spark.createDataFrame([(1, 12)], N)
+    assert pairs(iv.indices_to_segments(own, n)) == [(0, 2), (2, 9), (9, 10), (10, 12)]
+    assert sorted(r["frames"] for r in iv.intervals(own, n).collect()) == [[0, 1], [2, 3, 4, 5, 6, 7, 8], [9], [10, 11]]
+    assert sorted(r["frames"] for r in iv.intervals(own, n, True).collect()) == [[2, 3, 4, 5, 6, 7, 8], [10, 11]]
+    assert pairs(iv.indices_to_segments(own, n, inclusive=True, alternating=True)) == [(2, 8), (10, 11)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_values(spark, seed):
+    values = np.random.default_rng(30 + seed).integers(0, 2, 12).tolist()
+    own = spark.createDataFrame([(1, i, v) for i, v in enumerate(values)] + [(2, 0, None)], "trial_id long, frame long, v int")
+    assert pairs(iv.value_segments(own, own["v"] == 1)) == runs([i for i, v in enumerate(values) if v])
+
+
+def test_samples(spark):
+    parts = [[4, 4], [], [7], [1, 2, 3]]
+    own = spark.createDataFrame([(1, i, p) for i, p in enumerate(parts)], "trial_id long, sample int, values array<int>")
+    assert [r["value"] for r in iv.flatten_samples(own).orderBy("position").collect()] == sum(parts, [])
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_sets(spark, seed):
+    rng = np.random.default_rng(40 + seed)
+    x, y = some_frames(rng), some_frames(rng)
+    a, b = flags(spark, x), flags(spark, y)
+    assert frames_of(iv.merge_flags(a, b)) == sorted(set(x) | set(y))
+    assert frames_of(iv.filter_flags(a, b)) == sorted(f for f in x if f not in y)
+    assert frames_of(iv.match_flags(a, b)) == sorted(f for f in x if f in y)
+    assert frames_of(iv.mismatch_flags(a, b)) == sorted(set(x) ^ set(y))

@@ -10,7 +10,7 @@ import __spark_entry__ as entry
 from trackspark.plans import registry
 
 DATA = "/root/testdata/sf0.001"
-SOME = ["bearing", "all_deltas", "unwrap_angle", "local_tortuosity", "flag_table", "overlap_edges_by_type", "filter_sgolay", "segment_tortuosity", "merge_ambiguous", "detect_stops", "swap_parity", "tracking_correction", "batch_correct", "interpolate_gaps", "histogram", "kde", "load_settings", "export_tracks"]
+SOME = ["bearing", "all_deltas", "unwrap_angle", "local_tortuosity", "flag_table", "overlap_edges_by_type", "filter_sgolay", "segment_tortuosity", "merge_ambiguous", "detect_stops", "swap_parity", "tracking_correction", "batch_correct", "interpolate_gaps", "histogram", "kde", "load_settings", "export_tracks", "filter_butter", "filter_kalman", "fft_spectrum", "welch_psd", "swapped_segments", "validate_swaps", "event_vector", "scan_trials", "pick_trial_file", "read_track_csv", "read_analysis", "export_segments", "stream_flags", "stream_kalman"]
 
 
 @pytest.fixture(scope="module")

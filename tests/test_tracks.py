@@ -68,6 +68,35 @@ def test_filters_agree_with_numpy(spark):
     assert values(smoothing.filter_sgolay(line_), "xtail") == pytest.approx(list(range(60)), abs=1e-6)
 
 
+def test_trials_shorter_than_the_reach_are_mirrored_more_than_once(spark):
+    rng = np.random.default_rng(3)
+    own = {n: rng.normal(size=n) for n in [*range(1, 14), 23, 24, 25, 30]}
+    rows = [(n, i, *[float(v)] * 8) for n, x in own.items() for i, v in enumerate(x)]
+    frames = spark.createDataFrame(rows, "trial_id long, frame long, " + ", ".join(f"{c} double" for c in POSITIONS))
+    taps = np.array(smoothing.gaussian_taps(3))
+    windows = lambda x, win: np.lib.stride_tricks.sliding_window_view(np.pad(x, (win // 2, win - 1 - win // 2), "symmetric"), win)
+    for made, want in (
+        (smoothing.filter_gaussian(frames, 3), lambda x: np.convolve(np.pad(x, len(taps) // 2, "symmetric"), taps, "valid")),
+        (smoothing.filter_gaussian(frames, 3, chunk=7), lambda x: np.convolve(np.pad(x, len(taps) // 2, "symmetric"), taps, "valid")),
+        (smoothing.filter_mean(frames, 15), lambda x: windows(x, 15).mean(axis=1)),
+        (smoothing.filter_median(frames, 9), lambda x: np.median(windows(x, 9), axis=1)),
+    ):
+        got = {n: [] for n in own}
+        for r in made.orderBy("trial_id", "frame").collect():
+            got[r["trial_id"]].append(r["xtail"])
+        for n, x in own.items():
+            assert got[n] == pytest.approx(want(x).tolist()), n
+
+
+@pytest.mark.parametrize("n", [4, 11, 40])
+def test_global_swap_of_short_and_long_trials(spark, n):
+    still, moving = [1.0] * n, [float(i * i) for i in range(n)]
+    own = track(spark, [[a, 0, b, 0, 0, 0, 0, 0] for a, b in zip(still, moving)])
+    for chunk in (None, 8):
+        got = correct.correct_global_swap(own, chunk)
+        assert values(got, "xhead") == moving and values(got, "xtail") == still
+
+
 def test_missing_samples_spread(spark):
     own = track(spark, [[None if i == 30 else 1.0] * 8 for i in range(60)])
     got = values(smoothing.filter_gaussian(own, 2), "xhead")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import norm, overlaps, round_positions
@@ -12,8 +12,8 @@ from ..functions.kinematics import delta_between, derivative
 from ..functions.numerics import not_a_knot
 from ..schema import AFTER, BEFORE, POSITIONS, SO_FAR, TRIAL, W
 from . import segments as seg
-from .flags import SWAP, overlap_edges, with_flags
-from .intervals import invert_ranges, ranges_to_list
+from .flags import SWAP, with_flags
+from .intervals import consecutive_ranges, ranges_to_list
 from .smoothing import filter_default, filter_gaussian
 
 KEYS = ["trial_id", "frame"]
@@ -54,29 +54,36 @@ def swap_segments(frames: DataFrame, ranges: DataFrame) -> DataFrame:
     return _swapped(tagged(frames, ranges, "_swap"), F.col("_swap")).select(*frames.columns)
 
 
-def swap_parity(frames: DataFrame, flags: DataFrame) -> DataFrame:
-    """Column ``swapped``: an odd number of distinct flags lies in (0, frame]."""
-    marks = flags.where("frame > 0").select(*KEYS).distinct().withColumn("_flag", F.lit(1))
-    return frames.join(marks, KEYS, "left").withColumn("swapped", F.sum(F.coalesce("_flag", F.lit(0))).over(SO_FAR()) % 2 == 1).drop("_flag")
+def swap_parity(frames: DataFrame, flags: DataFrame | None = None) -> DataFrame:
+    """Column ``swapped``: an odd number of distinct flags lies in (0, frame]. Without ``flags``, all swap flags count, found in the same window pass."""
+    if flags is None:
+        marked = with_flags(frames).withColumn("_flag", F.when(F.expr(SWAP) & (F.col("frame") > 0), 1).otherwise(0))
+    else:
+        marks = flags.where("frame > 0").select(*KEYS).distinct().withColumn("_flag", F.lit(1))
+        marked = frames.join(marks, KEYS, "left").withColumn("_flag", F.coalesce("_flag", F.lit(0)))
+    return marked.withColumn("swapped", F.sum("_flag").over(SO_FAR()) % 2 == 1).select(*frames.columns, "swapped")
 
 
-def correct_global_swap(frames: DataFrame) -> DataFrame:
+def correct_global_swap(frames: DataFrame, chunk: int | None = None) -> DataFrame:
     """Head and tail exchanged in trials whose smoothed tail is faster than the head.
 
     The smoothed columns are set beside the others and averaged over the trial's window: no join, no second shuffle.
+    With ``chunk`` one very long trial is smoothed in chunks with a halo; the speeds are then averaged by an aggregation.
     """
-    own = filter_gaussian(frames, 3, prefix="_g")
+    own = filter_gaussian(frames, 3, chunk, prefix="_g")
     fast = {k: norm((derivative(F.col(f"_gx{k}")), derivative(F.col(f"_gy{k}")))) for k in ("head", "tail")}
     own = own.withColumns({f"_v{k}": v for k, v in fast.items()})
+    if chunk:
+        swap = own.groupBy("trial_id").agg(F.coalesce(F.avg("_vtail") > F.avg("_vhead"), F.lit(False)).alias("_swap"))
+        return _swapped(frames.join(swap, "trial_id"), F.col("_swap")).select(*frames.columns)
     own = own.withColumn("_swap", F.coalesce(F.avg("_vtail").over(TRIAL()) > F.avg("_vhead").over(TRIAL()), F.lit(False)))
     return _swapped(own, F.col("_swap")).select(*frames.columns)
 
 
 def correct_tracking_errors(frames: DataFrame) -> DataFrame:
     """Parity of all swap flags, in the flags' own window pass, and then the global swap."""
-    flagged = with_flags(frames).withColumn("_flag", F.when(F.expr(SWAP) & (F.col("frame") > 0), 1).otherwise(0))
-    by_parity = flagged.withColumn("_odd", F.sum("_flag").over(SO_FAR()) % 2 == 1)
-    return correct_global_swap(_swapped(by_parity, F.col("_odd")).select(*frames.columns))
+    by_parity = _swapped(swap_parity(frames), F.col("swapped"))
+    return correct_global_swap(by_parity.select(*frames.columns))
 
 
 def remove_overlaps(frames: DataFrame, fps: float, speed_threshold: float = 20) -> DataFrame:
@@ -94,6 +101,15 @@ def remove_overlaps(frames: DataFrame, fps: float, speed_threshold: float = 20)
     return made.withColumns(new).select(*frames.columns)
 
 
+def between_overlaps(frames: DataFrame, min_overlap: int = 1) -> DataFrame:
+    """What overlap runs of ``min_overlap`` frames or more leave of the trials that have an overlap, in one pass of windows over the frames."""
+    made = frames.select("trial_id", "frame", overlaps("head", "tail").alias("_over")).withColumn("_any", F.max("_over").over(TRIAL()))
+    run = F.col("frame") - F.row_number().over(Window.partitionBy("trial_id", "_over").orderBy("frame"))
+    length = F.count(F.lit(1)).over(Window.partitionBy("trial_id", "_over", "_run"))
+    made = made.withColumn("_run", run).withColumn("_cut", F.col("_over") & (length >= min_overlap))
+    return consecutive_ranges(made.where("_any and not _cut"))
+
+
 def swapped_segments(frames: DataFrame, fps: float, mode: str = "alignment", swap_following: bool = True, merge: bool = False, ignore_edges: bool = False, min_overlap: int = 1, min_time: float = 1, thresholds: tuple[float, float] = (0.95, 1.05), polarity: str = "observed") -> DataFrame:
     """Stretches between overlaps whose metric says that head and tail are exchanged.
 
@@ -101,9 +117,7 @@ def swapped_segments(frames: DataFrame, fps: float, mode: str = "alignment", swa
     "corrected" a small alignment angle means correct labels. Trials without overlaps have no rows.
     """
     smooth = filter_default(remove_overlaps(frames, fps, 0))
-    runs = overlap_edges(frames).where(F.col("end_frame") - F.col("start_frame") >= min_overlap - 1)
-    lengths = frames.groupBy("trial_id").agg(F.count(F.lit(1)).alias("n")).join(overlap_edges(frames).select("trial_id").distinct(), "trial_id", "left_semi")
-    pieces = invert_ranges(runs, lengths)
+    pieces = between_overlaps(frames, min_overlap)
     if mode == "alignment":
         metric = seg.alignment_angle(smooth, pieces).select(*seg.KEYS, (F.col("angle") / (np.pi / 4)).alias("metric"), (F.col("end_frame") - F.col("start_frame")).alias("n"))
     elif mode == "speed":

@@ -32,11 +32,17 @@ def sgolay_taps(window: int, order: int) -> np.ndarray:
 
 
 def reflect_padded(frames: DataFrame, left: int, right: int) -> DataFrame:
-    """The frames and, before and after them, mirrored rows: frame -k is k - 1, frame n - 1 + k is n - k. Adds n. Trials must be as long as the pads."""
+    """The frames and, before and after them, mirrored rows: frame -k is k - 1, frame n - 1 + k is n - k. Adds n.
+
+    Places repeat with a period of 2 n, so a trial shorter than a pad is mirrored as often as it takes.
+    """
     at, n = F.col("frame"), F.col("n")
-    mirrored = F.array(at, F.when(at < left, -1 - at), F.when(at >= n - right, 2 * n - 1 - at))
+    once = F.array_compact(F.array(at, F.when(at < left, -1 - at), F.when(at >= n - right, 2 * n - 1 - at)))
+    periods = F.sequence(-F.floor(F.lit(left) / (2 * n)) - 1, F.floor(F.lit(right) / (2 * n)) + 1)
+    places = F.flatten(F.transform(periods, lambda k: F.array(at + 2 * n * k, 2 * n * k - 1 - at)))
+    often = F.filter(places, lambda p: (p >= -left) & (p < n + right))
     # Each row goes to its own place and the mirrored ones, so the input is read once.
-    return frames.withColumn("n", n_frames()).withColumn("frame", F.explode(F.array_compact(mirrored)))
+    return frames.withColumn("n", n_frames()).withColumn("frame", F.explode(F.when(n >= max(left, right), once).otherwise(often)))
 
 
 def with_halo(padded: DataFrame, chunk: int, left: int, right: int) -> DataFrame:
@@ -111,7 +117,7 @@ def filter_sgolay(frames: DataFrame, window: int = 45, order: int = 4) -> DataFr
 
 
 def filter_butter(frames: DataFrame, fps: float, cutoff: float, order: int = 5) -> DataFrame:
-    """Causal Butterworth low-pass. A missing sample makes the rest of its column missing."""
+    """Causal Butterworth low-pass. A missing sample makes the rest of its column missing. A recurrence: one trial is one group in one task."""
     columns = [c for c in POSITIONS if c in frames.columns]
     b, a = butter_coefficients(order, cutoff, fps)
 
@@ -124,6 +130,8 @@ def filter_butter(frames: DataFrame, fps: float, cutoff: float, order: int = 5)
 
 
 def filter_kalman(frames: DataFrame, fps: float, derivatives: int = 2, reset_covariance: bool = False) -> DataFrame:
+    """Constant-derivative Kalman filter of each keypoint. A recurrence: one trial is one group in one task; ``stream_kalman`` needs only a point's state."""
+
     def run(trial: pd.DataFrame) -> pd.DataFrame:
         trial = trial.sort_values("frame")
         trial[POSITIONS] = kalman_trial(trial[POSITIONS].to_numpy(float), fps, derivatives, reset_covariance)

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import correct
-from ..operators.flags import flag_all_swaps
 from ..operators.intervals import consecutive_ranges
 from ..schema import POSITIONS
 from .fixture import SQL, pose
@@ -80,7 +79,7 @@ register("swap_segments", f"{SQL} SELECT trial_id, frame, {ALL} FROM {sql_exchan
 @register("swap_parity", f"{SQL}{EDGE}, {sql_flags('edge', 'e')} SELECT trial_id, frame, swp AS swapped FROM {sql_parity('edge', 'eswaps')}")
 def swap_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
     clean = correct.remove_edge_frames(pose(spark, sf_dir))
-    return correct.swap_parity(clean, flag_all_swaps(clean)).select("trial_id", "frame", "swapped")
+    return correct.swap_parity(clean).select("trial_id", "frame", "swapped")
 
 
 def sql_swapped(source: str, mode: str, fps: float, min_frames: int, lo: float, hi: float) -> str:

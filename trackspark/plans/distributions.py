@@ -98,9 +98,13 @@ def gmm_density_minima(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cohort.gmm_density_minima(parts, (0, 400)).select("index", F.round("x", 6).alias("x"), F.round("density", 9).alias("density"))
 
 
-@register("fft_spectrum")
+@register(
+    "fft_spectrum",
+    f"{SQL}, c AS MATERIALIZED (SELECT trial_id, frame, xctr - 640 AS v, count(*) OVER (PARTITION BY trial_id) AS n FROM pose) SELECT trial_id, k, {s6('k / (max(n) * (max(n) / CAST(30 AS DOUBLE)) / (max(n) - 1))')} AS freq, round(sqrt(sum(v*cos(2*pi()*(k*frame%n)/n)) * sum(v*cos(2*pi()*(k*frame%n)/n)) + sum(v*sin(2*pi()*(k*frame%n)/n)) * sum(v*sin(2*pi()*(k*frame%n)/n))), 3) + CAST(0 AS DOUBLE) AS amplitude FROM (SELECT *, unnest(range(n // 2)) AS k FROM c WHERE n > 1) GROUP BY trial_id, k",
+)
 def fft_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cohort.fft_spectrum(pose(spark, sf_dir), "xctr", 30)
+    own = pose(spark, sf_dir).select("trial_id", "frame", (F.col("xctr") - 640).alias("v"))
+    return cohort.fft_spectrum(own, "v", 30).select("trial_id", "k", r6(F.col("freq")).alias("freq"), (F.round("amplitude", 3) + F.lit(0.0)).alias("amplitude"))
 
 
 @register(
@@ -113,9 +117,20 @@ def dft_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("trial_id", "k", r6(F.col("freq")).alias("freq"), (F.round("amplitude", 3) + F.lit(0.0)).alias("amplitude"))
 
 
-@register("welch_psd")
+_HANN = "(0.5 - 0.5 * cos(2 * pi() * (frame - a) / c.size))"
+_WELCH = f"""{SQL}, c AS (SELECT trial_id, frame, xctr - 640 AS v, least(256, count(*) OVER (PARTITION BY trial_id)) AS size, count(*) OVER (PARTITION BY trial_id) AS n FROM pose),
+ parts AS (SELECT DISTINCT trial_id, size, unnest(range(0, n - size + 1, size - size // 2)) AS a FROM c),
+ m AS MATERIALIZED (SELECT c.trial_id, p.a, c.frame, c.size, (v - avg(v) OVER (PARTITION BY c.trial_id, p.a)) * {_HANN} AS v, sum({_HANN} * {_HANN}) OVER (PARTITION BY c.trial_id, p.a) AS w FROM c JOIN parts p ON p.trial_id = c.trial_id AND c.frame >= p.a AND c.frame < p.a + c.size),
+ t AS (SELECT *, unnest(range(size // 2 + 1)) AS k, 2 * pi() * (unnest(range(size // 2 + 1)) * (frame - a) % size) / size AS angle FROM m),
+ q AS (SELECT trial_id, a, k, max(size) AS size, (sum(v * cos(angle)) * sum(v * cos(angle)) + sum(v * sin(angle)) * sum(v * sin(angle))) / (30 * max(w)) * CASE WHEN k = 0 OR 2 * k = max(size) THEN 1 ELSE 2 END AS power FROM t GROUP BY trial_id, a, k),
+ e AS (SELECT trial_id, round(k * CAST(30 AS DOUBLE) / max(size), 6) AS freq, avg(power) AS power FROM q GROUP BY trial_id, k)"""
+
+
+@register("welch_psd", f"{_WELCH} SELECT freq, {s6('avg(power)')} AS mean, {s6('stddev_pop(power)')} AS std FROM e GROUP BY freq")
 def welch_psd(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cohort.welch_psd(pose(spark, sf_dir), "xctr", 30)
+    own = pose(spark, sf_dir).select("trial_id", "frame", (F.col("xctr") - 640).alias("v"))
+    made = cohort.welch_psd(own, "v", 30)
+    return made.select(F.round("freq", 6).alias("freq"), r6(F.col("mean")).alias("mean"), r6(F.col("std")).alias("std"))
 
 
 _METRICS = {"distance": (sql_norm("xtail-xhead", "ytail-yhead"), 0, 60), "orientation": (sql_angle(ONE, TM), 0, math.pi), "rate": (f"abs({sql_angle(ONE, TM)} - lag({sql_angle(ONE, TM)}) OVER (PARTITION BY version, trial_id ORDER BY frame))", 0, 1)}

@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.correct import remove_edge_frames
+from ..operators.intervals import consecutive_ranges
 from ..schema import POSITIONS, RAW_COLUMNS
+from ..scratch import scratch
 from ..sources import tracks
 from .corrections import EDGE
 from .fixture import SQL, pose, trials
 from .frames import s6
+from .ranges import sql_runs
 from .registry import register
 
 _BACK = {v: k for k, v in RAW_COLUMNS.items()}
@@ -74,3 +77,54 @@ def export_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = raw_table(own).withColumnRenamed("Frame", "pos").withColumn("frame", F.col("pos") - 5)
     done = tracks.export_tracks(raw, remove_edge_frames(tracks.to_mm(own, settings)), settings)
     return done.withColumns({_BACK[c]: F.round(F.col(f"`{_BACK[c]}`"), 6) + F.lit(0.0) for c in POSITIONS})
+
+
+def trial_files(spark: SparkSession, sf_dir: str) -> str:
+    """The fixture as one folder of CSV files a trial, named trial_id=<number>."""
+    root = scratch(spark, "trials")
+    tracks.write_tracks(raw_table(pose(spark, sf_dir)).repartition("trial_id").sortWithinPartitions("trial_id", "Frame"), root)
+    return root
+
+
+# Folders whose name ends in 7 stand for those that a user leaves out.
+_LEFT_OUT = ("7",)
+
+
+@register("scan_trials", f"{SQL} SELECT DISTINCT 'trial_id=' || trial_id AS trial_id, TRUE AS is_csv FROM pose WHERE CAST(trial_id AS VARCHAR) NOT LIKE '%7%'")
+def scan_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = tracks.scan_trials(spark, trial_files(spark, sf_dir), tag=".csv", exclude=_LEFT_OUT)
+    return found.select("trial_id", F.endswith("name", F.lit(".csv")).alias("is_csv"))
+
+
+@register("pick_trial_file", f"{SQL} SELECT 'trial_id=' || trial_id AS trial_id, count(*) AS files, min(CASE WHEN trial_id % 2 = 0 THEN 'a' ELSE 'b' END || '_data.csv') AS name FROM (SELECT DISTINCT trial_id FROM pose) GROUP BY trial_id")
+def pick_trial_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three names for every scanned folder, of which one is of a filtered file and one, in every second folder, sorts first."""
+    found = tracks.scan_trials(spark, trial_files(spark, sf_dir), tag=".csv", exclude=())
+    even = F.regexp_extract("trial_id", "[0-9]+$", 0).cast("long") % 2 == 0
+    names = F.array(F.lit("b_data.csv"), F.lit("a_filtered.csv"), F.when(even, F.lit("a_data.csv")).otherwise(F.lit("c_data.csv")))
+    picked = tracks.pick_trial_file(found.withColumn("name", F.explode(names)))
+    return picked.groupBy("trial_id").agg(F.count(F.lit(1)).alias("files"), F.min("name").alias("name"))
+
+
+_RAW = ", ".join(f'{c} AS "{_BACK[c]}"' for c in POSITIONS)
+
+
+@register("read_track_csv", f"""{SQL} SELECT 'trial_id=' || trial_id AS trial_id, frame + 5 AS "Frame", {_RAW}, stimulus AS "Stim Ch1", 'n' || frame AS note FROM pose""")
+def read_track_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = [c for c in raw_table(pose(spark, sf_dir)).columns if c != "trial_id"]
+    return tracks.read_track_csv(spark, f"{trial_files(spark, sf_dir)}/*", names)
+
+
+@register("read_analysis", f"{SQL} SELECT CAST(trial_id AS DOUBLE) AS trial_id, CAST(frame AS DOUBLE) AS frame, CASE WHEN frame > 0 THEN xctr END AS x, CAST(NULL AS DOUBLE) AS note FROM pose")
+def read_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A derived table with a gap and a column of words, written and read."""
+    path = scratch(spark, "analysis")
+    pose(spark, sf_dir).select("trial_id", "frame", F.when(F.col("frame") > 0, F.col("xctr")).alias("x"), F.lit("word").alias("note")).write.csv(path, header=True)
+    return tracks.read_analysis(spark, path)
+
+
+@register("export_segments", f"{SQL} SELECT CAST(trial_id AS VARCHAR) AS trial_id, start_frame, end_frame FROM {sql_runs('(SELECT * FROM pose WHERE stimulus > 0)')}")
+def export_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "segments")
+    tracks.export_segments(consecutive_ranges(pose(spark, sf_dir).where("stimulus > 0")), path)
+    return tracks.read_segments(spark, path)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 # Fixed fixture text. {lineitem} and {supplier} stand for the tables.
@@ -37,8 +39,8 @@ pose AS (
 TRIALS_CTE = """
 trials AS (SELECT CAST(s_suppkey AS BIGINT) AS trial_id, CAST(30 AS DOUBLE) AS fps,
   CAST(CASE WHEN s_suppkey % 2 = 0 THEN 8 ELSE 16 END AS DOUBLE) AS ppmm, CAST(640 AS DOUBLE) AS source_x, CAST(480 AS DOUBLE) AS source_y FROM {supplier})"""
-#: For DuckDB: the head of every statement.
-SQL = "WITH " + (POSE_CTES + "," + TRIALS_CTE).format(lineitem="lineitem", supplier="supplier")
+#: For DuckDB: the head of every statement. Each step is computed once.
+SQL = "WITH " + re.sub(r"^(b|w|p|pose) AS \(", r"\1 AS MATERIALIZED (", (POSE_CTES + "," + TRIALS_CTE).format(lineitem="lineitem", supplier="supplier"), flags=re.MULTILINE)
 
 
 def pose(spark: SparkSession, sf_dir: str) -> DataFrame:
