@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, discard, row_groups, spread_join, stored
@@ -25,6 +25,8 @@ PRIMES = (2147483647, 2147483629)
 BASES = (911382323, 972663749)
 #: Bytes of a chunk, a power of two.
 CHUNK = 1 << 14
+#: Texts of more bytes than this have their chunks hashed as rows of their own, in any tasks; those of fewer are hashed whole.
+LONG = 1 << 16
 #: Duplicate groups that may be broadcast (some 40 bytes each); more are joined by a shuffle.
 BROADCAST_GROUPS = 500_000
 #: Copies of one text that are compared with one replica of its chunks.
@@ -85,26 +87,68 @@ def fingerprints(texts: list[bytes]) -> list[tuple[int, int]]:
     return out
 
 
-def combined_chunks(chunks: DataFrame, key: str, fp: str, length: str, position: str, which: int = 0) -> DataFrame:
-    """Fingerprints of documents from those of their chunks, hashed anywhere: key, fp.
+def combined_chunks(chunks: DataFrame, key: str, fps: tuple[str, str], length: str, position: str) -> DataFrame:
+    """Fingerprints of documents from those of their chunks, hashed anywhere: key and both of ``fps``.
 
-    ``chunks`` has a row a chunk with its fingerprint, byte length and position. Composition is a fold
+    ``chunks`` has a row a chunk with its fingerprints, byte length and position. Composition is a fold
     over the chunks in order; one document's chunk rows (not its text) meet in one task.
     """
-    p, r = PRIMES[which], BASES[which]
+    parts = F.sort_array(F.collect_list(F.struct(F.col(position).alias("at"), F.col(length).cast("long").alias("n"), *[F.col(f).cast("long").alias(f) for f in fps])))
+    met = chunks.groupBy(key).agg(parts.alias("_parts"))
+    return met.select(key, *[_composed("_parts", f, p, r).alias(f) for f, p, r in zip(fps, PRIMES, BASES)])
 
+
+def _composed(parts: str, fp: str, p: int, r: int) -> Column:
+    """The fold over an array of chunks: what there is, shifted by the chunk's length, and the chunk."""
     # r**n by the bits of n: each step of this fold multiplies by one square of r if its bit is set.
     bits = F.array(*[F.struct(F.lit(1 << i).cast("long").alias("unit"), F.lit(pow(r, 1 << i, p)).cast("long").alias("square")) for i in range(31)])
 
     def shift(total, n):
         return F.aggregate(bits, total, lambda t, b: F.when(F.floor(n / b["unit"]) % 2 == 1, t * b["square"] % p).otherwise(t))
 
-    parts = F.sort_array(F.collect_list(F.struct(F.col(position).alias("at"), F.col(fp).cast("long").alias("fp"), F.col(length).cast("long").alias("n"))))
-    return chunks.groupBy(key).agg(F.aggregate(parts, F.lit(0).cast("long"), lambda total, c: (shift(total, c["n"]) + c["fp"]) % p).alias(fp))
+    return F.aggregate(parts, F.lit(0).cast("long"), lambda total, c: (shift(total, c["n"]) + c[fp]) % p)
+
+
+def normalised(text: str) -> Column:
+    """The text with A-Z in lower case, and empty for null. The letters are fixed values."""
+    return F.translate(F.coalesce(F.col(text), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def fingerprint_table(docs: DataFrame, key: str, text: str, others: list[str]) -> DataFrame:
-    """key, others, fp1, fp2, n_bytes, text_sha256, chunks: the normalised text (A-Z in lower case) as byte chunks."""
+    """Stored: key, others, fp1, fp2, n_bytes, text_sha256, chunks: the normalised text (A-Z in lower case) as byte chunks.
+
+    A long text's chunks are hashed as rows dealt over the tasks, once for all its copies, and combined; the others are hashed in place.
+    """
+    size = F.octet_length(F.coalesce(F.col(text), F.lit("")))
+    short = hashed_whole(docs.where(size <= LONG), key, text, others)
+    names = [key, *others]
+    body = F.encode(normalised(text), "UTF-8")
+    starts = F.sequence(F.lit(0), F.octet_length(body) - 1, F.lit(CHUNK))
+    long = docs.where(size > LONG).select(*names, F.octet_length(body).cast("long").alias("n_bytes"), F.sha2(body, 256).alias("text_sha256"), F.transform(starts, lambda a: F.substring(body, a + 1, F.lit(CHUNK))).alias("chunks"))
+    long = stored(long.withColumn("_row", F.monotonically_increasing_id()), "exact-long")
+    one = long.groupBy("text_sha256").agg(F.min("_row").alias("_row")).select("_row")
+    rows = long.join(one, "_row", "left_semi").select("text_sha256", F.posexplode("chunks").alias("at", "chunk"))
+    made = combined_chunks(hashed_chunks(rows.repartition("text_sha256", "at")), "text_sha256", ("fp1", "fp2"), "n", "at")
+    met = long.join(made, "text_sha256").select(*names, "fp1", "fp2", "n_bytes", "text_sha256", "chunks")
+    table = stored(short.unionByName(met), "exact")
+    discard(long)
+    return table
+
+
+def hashed_chunks(rows: DataFrame) -> DataFrame:
+    """text_sha256, at, n (bytes), fp1, fp2 of chunk rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data = batch.column(2).to_pylist()
+            fps = fingerprints(data)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(d) for d in data], pa.int64()), pa.array([a for a, _ in fps], pa.int64()), pa.array([b for _, b in fps], pa.int64())], names=["text_sha256", "at", "n", "fp1", "fp2"])
+
+    return rows.select("text_sha256", "at", "chunk").mapInArrow(run, "text_sha256 string, at int, n long, fp1 long, fp2 long")
+
+
+def hashed_whole(docs: DataFrame, key: str, text: str, others: list[str]) -> DataFrame:
+    """The columns of ``fingerprint_table`` of texts that are hashed in place."""
     kinds = dict(docs.dtypes)
     names = [key, *others]
 
@@ -180,7 +224,7 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", carry
     rows with the key that stays are all marked kept. An empty table gives an empty one.
     """
     carry = carry or []
-    out = _groups(stored(fingerprint_table(docs, key, text, carry), "exact"), key, carry)
+    out = _groups(fingerprint_table(docs, key, text, carry), key, carry)
     return out.select(key, *carry, "keep_id", "group_size", F.col(key).eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
@@ -190,14 +234,12 @@ def drop_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     Rows are told apart by key and text, so a key that other texts have too keeps their rows, and of rows with one key and one
     text any one stays. Null text counts as empty. The fingerprints and chunks are deleted before this returns.
     """
-    table = stored(fingerprint_table(docs.select(key, text), key, text, []), "exact")
+    table = fingerprint_table(docs.select(key, text), key, text, [])
     made = _groups(table, key, []).where(F.col(key).eqNullSafe(F.col("keep_id")))
     kept = cut(made.groupBy(F.col(key).alias("_key"), F.col("text_sha256").alias("_digest")).agg(F.count(F.lit(1)).alias("_rows")))
     discard(table)
     named = docs.columns
-    # A-Z alone changes here; the letters are fixed values.
-    digest = F.sha2(F.translate(F.coalesce(F.col(text), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), 256)
-    rows = docs.withColumn("_digest", digest)
+    rows = docs.withColumn("_digest", F.sha2(F.encode(normalised(text), "UTF-8"), 256))
     same = lambda k: rows[key].eqNullSafe(k["_key"]) & (rows["_digest"] == k["_digest"])
     once, more = kept.where("_rows = 1"), kept.where("_rows > 1")
     single = rows.join(once, same(once), "left_semi").select(*named)
