@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -519,10 +520,11 @@ def features(pcm: bytes, blocks: int) -> str:
 
 
 def media_digests(media: DataFrame, key: str = "doc_id", column: str = "media") -> DataFrame:
-    """Digest columns of stored media, all from the decoded bytes but media_bytes and media_sha256. Null media gives nulls."""
+    """Digest columns of stored media, all from the decoded bytes but media_bytes and media_sha256; n_blocks counts the PCM blocks, whose sample
+    offsets must follow each other without a gap, or the job ends. Null media gives nulls, repeated rows and null keys give rows of their own."""
     kind = dict(media.dtypes)[key]
-    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_blocks"]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -536,8 +538,10 @@ def media_digests(media: DataFrame, key: str = "doc_id", column: str = "media")
                         continue
                     blocks = next(decoded)
                     pcm = b"".join(x for _, x in blocks)
-                    rows.append([len(pcm), hashlib.sha256(pcm).hexdigest(), zlib.crc32(pcm[-64:]), len(s), hashlib.sha256(s).hexdigest(), features(pcm, len(blocks))])
+                    if [offset for offset, _ in blocks] != [0, *accumulate(len(x) for _, x in blocks)][:-1]:
+                        raise ValueError("sample offsets of the PCM blocks leave a gap")
+                    rows.append([len(pcm), hashlib.sha256(pcm).hexdigest(), zlib.crc32(pcm[-64:]), len(s), hashlib.sha256(s).hexdigest(), features(pcm, len(blocks)), len(blocks)])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), *[pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]], names=[key, "n_bytes", *names])
 
-    ddl = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    ddl = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_blocks long"
     return media.select(key, "n_bytes", column).mapInArrow(run, f"`{key}` {kind}, n_bytes long, {ddl}")
