@@ -21,7 +21,7 @@ def op1_confirmed_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_groups(documents(spark, sf_dir), words=4, distance=4, tables=3)
+    return simhash.near_groups(documents(spark, sf_dir), words=4, distance=4)
 
 
 def op3_flac_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

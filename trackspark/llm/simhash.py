@@ -11,6 +11,7 @@ one component, which keeps the links of a dense group in proportion to its size.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +24,8 @@ from .common import components, cut, discard, row_groups, spread_join, stored
 
 BITS = 64
 SEED = 42
+#: Distances that may be computed at the cost of one probe row, which is shuffled.
+PROBE_COST = 50
 #: Shingles whose bits are unpacked at a time.
 UNPACKED = 100_000
 
@@ -80,6 +83,16 @@ def radii(distance: int, count: int) -> list[int]:
     return [whole if i <= rest else whole - 1 for i in range(count)]
 
 
+def tables_for(entries: int, distance: int) -> int:
+    """The number of segments whose probes and expected table matches cost least for so many fingerprints. Every number finds all pairs."""
+
+    def cost(count: int) -> float:
+        each = [sum(math.comb(w, k) for k in range(r + 1)) * (PROBE_COST + entries / 2**w) for (_, w), r in zip(segments(count), radii(distance, count)) if r >= 0]
+        return sum(each)
+
+    return min(range(1, max(2, distance) + 1), key=cost)
+
+
 def _segment(fp: Column, first: int, width: int) -> Column:
     return F.shiftrightunsigned(fp, first).bitwiseAND(F.lit((1 << width) - 1))
 
@@ -129,18 +142,19 @@ def links(entries: DataFrame, distance: int, count: int) -> DataFrame:
     return stars.union(pairs)
 
 
-def near_groups(docs: DataFrame, words: int = 4, distance: int = 4, tables: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_groups(docs: DataFrame, words: int = 4, distance: int = 4, tables: int | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row a document: key, fingerprint (16 lowercase hex digits), component_id (smallest key reachable).
 
     Texts without words have fingerprint zero and are linked like any other. Null text counts as
-    empty. Rows with a null key take part as documents without a claim to name a component; repeated rows are rows of their own.
+    empty. ``tables``, by default, are as many as cost least for the number of distinct fingerprints; the result does not depend on it. Rows with a null key take part as documents without a claim to name a component; repeated rows are rows of their own.
     """
     marks = cut(fingerprints(docs, words, key, text))
     entries = cut(marks.groupBy("fp").agg(F.min(key).alias("low"), F.count(F.lit(1)).alias("weight")))
-    found = components(links(entries.select("fp", "weight"), distance, tables))
+    n_entries = entries.count()
+    found = components(links(entries.select("fp", "weight"), distance, tables or tables_for(n_entries, distance)))
     placed = entries.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("c", F.coalesce("component", "fp"))
     lows = placed.groupBy("c").agg(F.min("low").alias("component_id"), F.count(F.lit(1)).alias("_n"))
-    named = spread_join(placed, lows, ["c"], "_n", entries.count()).select("fp", "component_id", "weight")
+    named = spread_join(placed, lows, ["c"], "_n", n_entries).select("fp", "component_id", "weight")
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0")
     return spread_join(marks, named, ["fp"], "weight", marks.count()).select(key, hexed.alias("fingerprint"), "component_id")
 
@@ -300,7 +314,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, key
     marks = cut(marks)
     own = spread_join(entries.select("node", F.col("w0").alias("fp")), marks.where("weight > 1"), ["fp"], "weight", entries.count())
     low = marks.select("fp", "low")
-    near = links(marks.select("fp", "weight"), 4, 3)
+    near = links(marks.select("fp", "weight"), 4, tables_for(marks.count(), 4))
     near = near.join(low.toDF("a", "la"), "a").join(low.toDF("b", "lb"), "b")
     linked = check(own.where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).union(near.select("la", "lb")))
 
