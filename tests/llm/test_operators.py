@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from trackspark.llm import common, exact, flac, langid, lbl, packing, pieces, secrets, shards, simhash, substrings
 from trackspark.llm.queries import tokenizer
 
+from . import plain
+
 WORD = re.compile("[^\x20\x09-\x0d]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -82,6 +84,28 @@ def test_secrets(spark, docs):
     same([tuple(r) for r in clean.collect()], [tuple(r) for r in docs.collect()])
 
 
+def secret_texts(count, seed):
+    rng = np.random.default_rng(seed)
+    parts = ["password", "PassWD", "secret", "TOKEN", "api_key", "apikey", "api-key", "tok", '"', "'", " ", "  ", ":", "=", "==", "AKIA", "AKIAAKIA", "AKIA" + "Z9" * 8, "0f" * 12, "abcdef", "deadbeef" * 3, "A1b2.c3/", "é", "\n", "\t", "x", "F" * 9, "ſ", "K"]
+    return ["".join(rng.choice(parts, rng.integers(0, 30))) for _ in range(count)]
+
+
+def test_base_spans_are_those_of_a_plain_scan(spark):
+    rows = [(i, t) for i, t in enumerate([None, "", *secret_texts(1500, 6), "token=" + "a" * 50_000])]
+    rows += [rows[5], (None, rows[7][1])]
+    got = secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    want = []
+    for d, t in rows:
+        spans = plain.base_spans(t or "")
+        kinds = collections.Counter(x.split(":")[0] for x in spans.split(",") if x)
+        want.append((d, kinds["assign"], kinds["access"], kinds["hex"], hashlib.sha256(spans.encode()).hexdigest()))
+    same([tuple(r)[:5] for r in got], want)
+    by_id = dict(rows)
+    for r in got:
+        own, base = r["spans"].split(","), [x for x in plain.base_spans(by_id[r["doc_id"]] or "").split(",") if x]
+        assert set(base) <= set(own)
+
+
 def brute_fp(text):
     w = WORD.findall(lower(text))
     sh = [" ".join(w[i : i + 4]) for i in range(len(w) - 3)] if len(w) >= 4 else [" ".join(w)] if w else []
@@ -102,7 +126,12 @@ def test_simhash(docs):
     same([tuple(r) for r in simhash.near_groups(docs).collect()], [(d, f"{f:016x}", low[g]) for (d, _), f, g in zip(rows, fps, group)])
 
 
-@pytest.mark.parametrize(("distance", "count"), [(4, 3), (4, 2), (3, 4), (2, 2), (5, 4)])
+def test_more_fingerprints_take_wider_segments():
+    assert [simhash.tables_for(n, 4) for n in (0, 10**5, 10**7, 10**10, 10**12)] == [4, 4, 3, 2, 2]
+    assert [simhash.tables_for(10**5, d) for d in (0, 1)] == [1, 2]
+
+
+@pytest.mark.parametrize(("distance", "count"), [(4, 3), (4, 2), (4, 4), (3, 4), (5, 4)])
 def test_balls_find_all_links(spark, distance, count):
     rng = np.random.default_rng(distance * 10 + count)
     base = rng.integers(-(2**63), 2**63, 40)
@@ -260,6 +289,34 @@ def test_words_of_unlearned_scripts_are_evidence_for_no_language(spark):
     assert [(s["first"], s["lang"]) for s in row[2]["spans"]] == [(0, "en"), (5, "und")]
 
 
+def test_labels_and_scores_are_those_of_a_plain_scorer(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    odd = [(10**6, "the house and the sea царь и море и дом ζωή 12x", None), (10**6 + 1, "", None), (10**6 + 2, None, "en"), (10**6 + 3, "a", None), (None, "la mer et le roi", None), (10**6 + 4, "é" * 3000 + " 1 2", None)]
+    docs = docs.unionByName(spark.createDataFrame(odd, "doc_id long, text string, lang string"))
+    model = langid.train(docs.where(~langid.held_out("doc_id", 4, 2)))
+    labelled = [r for r in docs.collect() if r["lang"] and r["text"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2]
+    assert model.languages == sorted({r["lang"] for r in labelled})
+    counts = {l: collections.Counter(g for r in labelled if r["lang"] == l for w in r["text"].lower().split() for g in plain.grams(w)) for l in model.languages}
+    for i, l in enumerate(model.languages):
+        total = sum(counts[l].values())
+        some = list(counts[l])[:500] + [0, 1, 2]
+        assert model.scores[some, i] == pytest.approx([np.log((counts[l][b] + 0.5) / (total + 0.5 * langid.BUCKETS)) for b in some], rel=1e-5)
+    got = collections.defaultdict(list)
+    for r in langid.label_languages(docs).collect():
+        got[r["doc_id"]].append(r)
+    for r in docs.collect():
+        found, (label, score) = got[r["doc_id"]].pop(), plain.language(model, r["text"])
+        assert found["lang_pred"] == label and found["score"] == pytest.approx(score, abs=1e-3), r["doc_id"]
+        assert found["held_out"] == (zlib.crc32(str(r["doc_id"] if r["doc_id"] is not None else "").encode()) % 4 == 2)
+
+
+def test_held_out_documents_are_labelled_right(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    met = langid.label_languages(docs).where("held_out and lang_pred <> 'und'").join(docs, "doc_id").where("lang is not null")
+    right, n = met.agg(F.sum((F.col("lang") == F.col("lang_pred")).cast("int")), F.count(F.lit(1))).first()
+    assert n > 200 and right >= 0.98 * n
+
+
 def test_every_language_has_its_quota():
     assert langid.quotas({"a": 10**7, "b": 3, "c": 10**4, "d": 10**6}, 20_000) == {"b": 3, "c": 6665, "d": 6666, "a": 6666}
 
@@ -296,9 +353,21 @@ def test_fingerprints_compose():
 
 def test_chunk_rows_compose(spark):
     data = bytes(range(256)) * 9
-    rows = [(7, i, len(c), exact.fingerprint(c)[0]) for i, c in enumerate([data[:100], data[100:1000], b"", data[1000:]])]
-    got = exact.combined_chunks(spark.createDataFrame(rows[::-1], "doc long, at int, n long, fp long"), "doc", "fp", "n", "at").collect()
-    assert [tuple(r) for r in got] == [(7, exact.fingerprint(data)[0])]
+    rows = [(7, i, len(c), *exact.fingerprint(c)) for i, c in enumerate([data[:100], data[100:1000], b"", data[1000:]])]
+    got = exact.combined_chunks(spark.createDataFrame(rows[::-1], "doc long, at int, n long, a long, b long"), "doc", ("a", "b"), "n", "at").collect()
+    assert [tuple(r) for r in got] == [(7, *exact.fingerprint(data))]
+
+
+def test_long_texts_are_hashed_by_chunk_rows(spark, docs, monkeypatch):
+    """Whatever is long, the table is the same."""
+    want = [(r["doc_id"], r["fp1"], r["fp2"], r["n_bytes"], r["text_sha256"], tuple(map(bytes, r["chunks"]))) for r in exact.fingerprint_table(docs, "doc_id", "text", []).collect()]
+    monkeypatch.setattr(exact, "LONG", 100)
+    monkeypatch.setattr(exact, "CHUNK", 64)
+    got = [(r["doc_id"], r["fp1"], r["fp2"], r["n_bytes"], r["text_sha256"], b"".join(map(bytes, r["chunks"]))) for r in exact.fingerprint_table(docs, "doc_id", "text", []).collect()]
+    same(got, [(*w[:5], b"".join(w[5])) for w in want])
+    groups = exact.exact_groups(docs).collect()
+    monkeypatch.undo()
+    same(groups, exact.exact_groups(docs).collect())
 
 
 def test_equal_fingerprints_of_unequal_texts_part(spark, docs, monkeypatch):
