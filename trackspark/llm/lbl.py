@@ -5,7 +5,7 @@ share of the class after the word before. The most frequent words are classes of
 ending, of which there are more the more distinct tokens there are. A class is predicted by the dot product of its vector with the
 sum of a vector for each context word (by its class and place), plus a bias; a token in its class by its smoothed count, weighted
 with the dot product of its vector and one of the word before. Every Spark task trains on the tokens of its own
-partition, from the same start, and the parameters are averaged by tokens. As the score of a class is a sum of one part for each
+partition, from the same start, and the parameters are averaged by tokens; that in some rounds, each on its part of the documents. As the score of a class is a sum of one part for each
 context word, the normaliser of every pair of context words is one entry of a product of two matrices, and so are the classes' own normalisers
 a table of classes by classes: scores are exact, normalised log-probabilities and cost some look-ups a token.
 """
@@ -30,6 +30,8 @@ SINGLES, SHARED = 768, 768
 WIDTH, INNER, CONTEXT = 24, 8, 2
 #: Noise words that a minibatch of classes shares, its size, that of a minibatch within classes (a noise word each), the Adagrad step and its first square.
 NOISE, BATCH, OWN_BATCH, STEP, FIRST = 64, 2048, 4096, 0.07, 1e-6
+#: Rounds of training and averaging; a document belongs to one.
+ROUNDS = 3
 #: Slots of the table that noise words within classes are drawn from.
 SLOTS = 1 << 20
 #: Most words with a vector of their own, whose counts are sent to the tasks; the counts of others are joined by a shuffle.
@@ -164,9 +166,10 @@ def summed(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Trainer:
     """Noise-contrastive steps on one task's tokens."""
 
-    def __init__(self, v: Vocabulary, seed: int):
-        self.p = start(v)
-        self.squares = {k: np.full(x.shape, FIRST, np.float32) for k, x in self.p.items()}
+    def __init__(self, v: Vocabulary, seed: int, begin: tuple[dict, dict] | None = None):
+        p, squares = begin or (start(v), {})
+        self.p = {k: x.copy() for k, x in p.items()}
+        self.squares = {k: squares[k].copy() if squares else np.full(x.shape, FIRST, np.float32) for k, x in self.p.items()}
         self.v, self.shift = v, np.log(v.noise) + np.float32(np.log(NOISE))
         self.edges = np.cumsum(v.noise.astype(np.float64))
         self.rng = np.random.default_rng(seed)
@@ -242,8 +245,19 @@ def contexts(classes: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return out
 
 
-def train(docs: DataFrame, vocabulary, text: str = "text") -> dict[str, np.ndarray]:
-    """Average, weighted by tokens, of the parameters that the tasks reach in one pass over all tokens.
+def train(docs: DataFrame, vocabulary, key: str = "doc_id", text: str = "text", rounds: int = ROUNDS) -> dict[str, np.ndarray]:
+    """Parameters after one pass over all tokens, in rounds: a round's tasks begin with the average of the round before, and see the documents whose hash names it."""
+    begin = None
+    for k in range(rounds):
+        part = docs.where(F.pmod(F.xxhash64(key, text), F.lit(rounds)) == k)
+        sent = docs.sparkSession.sparkContext.broadcast((begin, k))
+        begin = train_round(part, vocabulary, sent, text) or begin
+        sent.unpersist()
+    return begin[0] if begin else start(vocabulary.value)
+
+
+def train_round(docs: DataFrame, vocabulary, begin, text: str) -> tuple[dict, dict] | None:
+    """Average, weighted by tokens, of the parameters and sums of squares that the tasks reach in one pass over these documents; none without a token.
 
     What a task returns is as large as the model, whose size has a bound; the averages are formed in a tree of tasks, and only the last few rows come to the driver.
     """
@@ -251,12 +265,13 @@ def train(docs: DataFrame, vocabulary, text: str = "text") -> dict[str, np.ndarr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        trainer = Trainer(vocabulary.value, TaskContext.get().partitionId())
+        first, number = begin.value
+        trainer = Trainer(vocabulary.value, TaskContext.get().partitionId() * ROUNDS + number, first)
         for batch in batches:
             for a, b in row_groups(batch.column(0)):
                 trainer.learn([tokens(t) for t in batch.column(0).slice(a, b - a).to_pylist()])
         if trainer.trained:
-            data = np.concatenate([trainer.p[k].ravel() for k in sorted(trainer.p)]).astype("<f4")
+            data = np.concatenate([x[k].ravel() for x in (trainer.p, trainer.squares) for k in sorted(x)]).astype("<f4")
             yield pa.RecordBatch.from_arrays([pa.array([data.tobytes()], pa.binary()), pa.array([trainer.trained], pa.int64())], names=["data", "weight"])
 
     def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,7 +283,6 @@ def train(docs: DataFrame, vocabulary, text: str = "text") -> dict[str, np.ndarr
         if weight:
             yield pa.RecordBatch.from_arrays([pa.array([(total / weight).astype("<f4").tobytes()], pa.binary()), pa.array([weight], pa.int64())], names=["data", "weight"])
 
-    model = start(vocabulary.value)
     parts = stored(docs.select(text).mapInArrow(run, "data binary, weight long"), "lbl-parts")
     made = [parts]
     n = parts.count()
@@ -279,13 +293,15 @@ def train(docs: DataFrame, vocabulary, text: str = "text") -> dict[str, np.ndarr
     for x in made:
         discard(x)
     if not rows:
-        return model
+        return None
     mean = sum(np.frombuffer(r["data"], "<f4").astype(np.float64) * r["weight"] for r in rows) / sum(r["weight"] for r in rows)
-    at = 0
-    for k in sorted(model):
-        model[k] = mean[at : at + model[k].size].reshape(model[k].shape).astype(np.float32)
-        at += model[k].size
-    return model
+    shapes, at, out = {k: x.shape for k, x in start(vocabulary.value).items()}, 0, ({}, {})
+    for made in out:
+        for k in sorted(shapes):
+            n = int(np.prod(shapes[k]))
+            made[k] = mean[at : at + n].reshape(shapes[k]).astype(np.float32)
+            at += n
+    return out
 
 
 class Tables:
@@ -334,7 +350,7 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", pa
     tail = {r["k"]: (r["n"], r["d"]) for r in counts.where((F.col("c") < least) & (F.col("token") != END)).groupBy(number.alias("k")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("d")).collect()}
     head = [(r["token"], r["c"]) for r in counts.where((F.col("c") >= least) | (F.col("token") == END)).collect()]
     vocabulary = spark.sparkContext.broadcast(Vocabulary(head, total, distinct, tail))
-    tables = spark.sparkContext.broadcast(Tables(train(training, vocabulary, text), vocabulary.value))
+    tables = spark.sparkContext.broadcast(Tables(train(training, vocabulary, key, text), vocabulary.value))
     name = uuid.uuid4().hex
     base_norm = float(np.log10(total + ALPHA * (distinct + 1)))
 
