@@ -106,7 +106,7 @@ def sql_kalman(fps: float = 30, derivatives: int = 2, carry: bool = True) -> str
     pairs = list(zip(POSITIONS[0::2], POSITIONS[1::2]))
     long = " UNION ALL ".join(f"SELECT trial_id, frame, {k} AS p, {x} AS vx, {y} AS vy FROM pose WHERE {x} IS NOT NULL AND {y} IS NOT NULL" for k, (x, y) in enumerate(pairs))
     order = "PARTITION BY trial_id ORDER BY p, frame" if carry else "PARTITION BY trial_id, p ORDER BY frame"
-    shown = ", ".join(f"round(coalesce(max(CASE WHEN p = {k} AND a = '{c[0]}' THEN x0 END), max(o.{c})), 3) + CAST(0 AS DOUBLE) AS {c}" for k, pair in enumerate(pairs) for c in pair if c in SHOWN)
+    shown = ", ".join(f"round(coalesce(max(CASE WHEN p = {k} AND a = '{c[0]}' THEN x0 END), max(o.{c})) + 1e-7, 3) + CAST(0 AS DOUBLE) AS {c}" for k, pair in enumerate(pairs) for c in pair if c in SHOWN)
     head = SQL.replace("WITH ", "WITH RECURSIVE ", 1)
     first = ", ".join(("l.v + g.k0 * (l.v - l.v)" if i == 0 else "CAST(0 AS DOUBLE)") + f" AS x{i}" for i in states)
     step = ", ".join(f"{ahead[i]} + g.k{i} * (l.v - ({ahead[0]})) AS x{i}" for i in states)
@@ -124,8 +124,8 @@ def filter_butter(spark, sf_dir: str) -> DataFrame:
 
 
 def r3(c) -> Column:
-    """Three decimals: the recurrence gathers more rounding than one sum does."""
-    return F.round(c, 3) + F.lit(0.0)
+    """Three decimals, as the recurrence gathers more rounding than one sum does; what lies halfway goes up on either side's rounding."""
+    return F.round(c + F.lit(1e-7), 3) + F.lit(0.0)
 
 
 @register("filter_kalman", sql_kalman())
