@@ -1,6 +1,7 @@
 """Corpus pipeline: language ID, exact dedup, SimHash near-dedup, secret scans, best-fit packing.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents, and drop any other.
+Empty tables give empty ones. Null and repeated ids are no obstacle: rows are told apart by id and text.
 """
 
 from __future__ import annotations
@@ -53,5 +54,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-#: No SQL: language models, SimHash links and tokenizers are beyond it; the tests hold the two dedup stages against brute force, the others against what they must keep.
+#: No SQL: language models, SimHash links and tokenizers are beyond it; the tests hold run() against loops over every document of the smallest table.
 ORACLE_SQL = None
