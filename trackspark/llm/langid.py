@@ -282,7 +282,8 @@ def annotated(docs: DataFrame, model: Model, text: str = "text", with_spans: boo
 def label_languages(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", parts: int = 4, part: int = 2, most: int = TRAIN_DOCS) -> DataFrame:
     """key, held_out, lang_pred, score, n_spans of every document; learned only from labelled documents that are not held out.
 
-    Held out are those whose crc32 of the key as text leaves ``part`` on division by ``parts`` (null key: of the empty text).
+    Held out are those whose crc32 of the key as text leaves ``part`` on division by ``parts`` (null key: of the empty text). Repeated rows are rows of
+    their own and count as often as they stand there; other columns are not read; an empty table gives an empty one.
     """
     model = train(docs.where(~held_out(key, parts, part)), key, text, lang, most)
     found = annotated(docs.select(key, text), model, text)

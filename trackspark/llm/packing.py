@@ -164,5 +164,8 @@ def pack(pieces: DataFrame, capacity: int = 1024, key: str = "doc_id") -> DataFr
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Every document's pieces with their place in a sequence of at most ``capacity`` tokens; columns beside key and text are not read."""
+    """Every document's pieces with their place in a sequence of at most ``capacity`` tokens.
+
+    Null keys and repeated rows are documents like any other; columns beside key and text are not read.
+    """
     return pack(token_pieces(docs, path, capacity, end_id, key, text), capacity, key)
