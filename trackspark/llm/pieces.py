@@ -111,12 +111,8 @@ class Coder(dict):
 
     def encode(self, texts: list[str]) -> list[tuple[str, bool]]:
         """(ids joined by commas, whether they are the agenda's own) of each text."""
-        parts = []
-        for t in texts:
-            if self.marks_only and SPACE not in t:
-                parts.append(self.unit.findall(" " + t) if t else [])
-            else:
-                parts.append(None)
+        # The mark of a space in a text is to the model a space like any other.
+        parts = [(self.unit.findall(" " + t.replace(SPACE, " ")) if t else []) if self.marks_only else None for t in texts]
         try:
             return [(self.whole(t), False) if p is None else self.joined(p) for t, p in zip(texts, parts)]
         except KeyError:
@@ -127,7 +123,7 @@ class Coder(dict):
         return ",".join(map(self.__getitem__, units)), not self.unlike or self.unlike.isdisjoint(units)
 
     def whole(self, text: str) -> str:
-        """The ids by the library alone, for texts or models with other marks."""
+        """The ids by the library alone, for models that normalise texts in other ways."""
         return ",".join(map(str, self.library.encode(text)))
 
     def decode(self, ids: str) -> str:
@@ -153,8 +149,8 @@ def coder(path: str) -> Coder:
 def encode_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", ids: bool = False, check_every: int = CHECK_EVERY) -> DataFrame:
     """key, n_tokens, ids_sha256, decoded_sha256, by_agenda (and with ``ids``: ids, decoded) of every whole text.
 
-    by_agenda says whether the agenda alone gave the ids; it is false where the library disagreed on a unit, so that its ids were taken, or where the text has
-    marks of its own and went to the library whole. Null counts as empty: no ids, empty decoded text. Null keys and repeated rows give rows of their own; other columns are not read.
+    by_agenda says whether the agenda alone gave the ids; it is false where the library disagreed on a unit, so that its ids were taken, or where
+    the model normalises texts in other ways than by marking spaces and they went to the library whole. Null counts as empty: no ids, empty decoded text. Null keys and repeated rows give rows of their own; other columns are not read.
     """
     kind = dict(docs.dtypes)[key]
 
