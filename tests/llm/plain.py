@@ -16,9 +16,8 @@ def lower(t):
     return "".join(c.lower() if "A" <= c <= "Z" else c for c in t)
 
 
-def assignment(text, at):
-    """(end, length of the value) of an assignment that begins at a place, or None."""
-    low = lower(text)
+def assignment(text, low, at):
+    """(end, length of the value) of an assignment that begins at a place, or None; ``low``: the text in lower case."""
     word = next((k for k in KEYWORDS if low.startswith(k, at)), None)
     if word is None:
         return None
@@ -40,9 +39,9 @@ def assignment(text, at):
 
 def base_spans(text):
     """Spans of the base kinds as one string in the order asked for."""
-    out, at = [], 0
+    out, at, low = [], 0, lower(text)
     while at < len(text):
-        found = assignment(text, at)
+        found = assignment(text, low, at)
         if found and found[1] >= 6:
             out.append((at, 0, "assign", found[0]))
         at = found[0] if found else at + 1
@@ -99,10 +98,16 @@ def word_scores(model, word):
     return scores, top if plain else 0.0, len(own) if plain else 0, len(letters)
 
 
+_known = {}
+
+
 def language(model, text):
     """(label, score) of a text by full Viterbi over its words."""
     words = (text or "").lower().split()
-    rows = [word_scores(model, w) for w in words]
+    known = _known.setdefault(id(model), {})
+    for w in set(words) - set(known):
+        known[w] = word_scores(model, w)
+    rows = [known[w] for w in words]
     k = len(model.languages) + 1
     if not model.languages or not sum(r[3] for r in rows):
         return "und", 0.0
