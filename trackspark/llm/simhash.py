@@ -167,6 +167,8 @@ COMMON, COMMON_DOCS, COMMON_LEAST = 1 << 16, 5_000, 3
 MARGIN = 6
 #: Texts whose keys are broadcast to choose them for verification; the keys of more are joined by a shuffle.
 BROADCAST_KEYS = 500_000
+#: Most rounds of linking texts with pivots of their lists, and new links for each text below which no further round is made. The groups do not depend on either.
+PIVOT_ROUNDS, ENOUGH_LINKS = 4, 0.01
 #: Fingerprint columns.
 WORDS = [f"w{i}" for i in range(WIDE // 64)]
 
@@ -261,17 +263,19 @@ def shingle_sets(docs: DataFrame, words: int, text: str) -> DataFrame:
     return docs.select("node", text).mapInArrow(run, "node long, shingles array<long>")
 
 
-def verified(pairs: DataFrame, entries: DataFrame, docs: DataFrame, words: int, similarity: float, key: str, text: str) -> DataFrame:
+def verified(pairs: DataFrame, entries: DataFrame, docs: DataFrame, words: int, similarity: float, key: str, text: str, nearest: bool = False) -> DataFrame:
     """The pairs (a, b) of nodes whose texts' sets of distinct shingles have this Jaccard similarity at least.
 
-    Complete distances of the fingerprints come first; only pairs that may be as similar as asked have their sets built from the texts.
+    Complete distances of the fingerprints come first; only pairs that may be as similar as asked have their sets built from the texts. With ``nearest`` only
+    the pair of each ``a`` whose fingerprints are closest is looked at.
     """
     marks = entries.select("node", *WORDS)
     pairs = pairs.select("a", "b").distinct()
     for side in ("a", "b"):
         pairs = pairs.join(marks.select(F.col("node").alias(side), *[F.col(w).alias(f"{side}{w}") for w in WORDS]), side)
     apart = sum((distance_of(f"a{w}", f"b{w}") for w in WORDS[1:]), distance_of("aw0", "bw0"))
-    pairs = cut(pairs.where(apart <= distance_for(similarity)).select("a", "b"))
+    pairs = pairs.where(apart <= distance_for(similarity)).select("a", "b", apart.alias("apart"))
+    pairs = cut(pairs.groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b")) if nearest else pairs.select("a", "b"))
     needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     named = cut(entries.select("node", F.col(key).alias("_key"), F.col("digest").alias("_digest"), "copies").join(needed, "node"))
     few = F.broadcast(named) if named.count() <= BROADCAST_KEYS else named
@@ -308,7 +312,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, key
         entries = stored(marked.withColumn("copies", F.coalesce("copies", F.lit(1))).drop("_key", "_digest", "_first"), "wide-entries")
     else:
         entries = made.withColumn("copies", F.lit(1))
-    check = lambda pairs: verified(pairs, entries, docs, words, similarity, key, text)
+    check = lambda pairs, nearest=False: verified(pairs, entries, docs, words, similarity, key, text, nearest)
 
     marks = entries.groupBy(F.col("w0").alias("fp")).agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("weight"))
     marks = cut(marks)
@@ -332,10 +336,18 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, key
     def placed(groups: DataFrame) -> DataFrame:
         return live.join(groups, "node", "left").select("h", "node", "n", "at", "k", F.coalesce("component", "node").alias("c"))
 
-    listed = placed(components(linked))
-    low = listed.groupBy("h").agg(F.min_by(F.struct("node", "n", "at", "c"), F.struct(-F.col("n"), "node")).alias("p"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.first("k").alias("k")).where("c0 <> c1")
-    near = spread_join(listed.drop("k"), low.select("h", "p", "k"), ["h"], "k", rows).select(F.col("node").alias("a"), F.col("p.node").alias("b"), F.col("n").alias("na"), F.col("p.n").alias("nb"), F.col("at").alias("ia"), F.col("p.at").alias("ib"), "c", F.col("p.c").alias("pc"))
-    linked = linked.union(check(near.where((F.col("c") != F.col("pc")) & enough & sizes)))
+    # Pivots first: each text meets one text of every list it is in, drawn by a hash of both, and is linked with the nearest of these if similar; rounds go on while they link
+    # many, so that dense groups are nearly whole before pairs are looked for.
+    total = entries.count()
+    for turn in range(PIVOT_ROUNDS):
+        listed = placed(components(linked))
+        order = F.struct(F.xxhash64("node", "h", F.lit(turn)), "node")
+        low = listed.groupBy("h").agg(F.min_by(F.struct("node", "n", "at", "c"), order).alias("p"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.first("k").alias("k")).where("c0 <> c1")
+        near = spread_join(listed.drop("k"), low.select("h", "p", "k"), ["h"], "k", rows).select(F.col("node").alias("a"), F.col("p.node").alias("b"), F.col("n").alias("na"), F.col("p.n").alias("nb"), F.col("at").alias("ia"), F.col("p.at").alias("ib"), "c", F.col("p.c").alias("pc"))
+        new = check(near.where((F.col("c") != F.col("pc")) & enough & sizes), True)
+        linked = linked.union(new)
+        if new.count() <= total * ENOUGH_LINKS:
+            break
 
     listed = cut(placed(components(linked)))
     # Of a pair, the smaller text has the shared shingle among the first 1 - 2 * share of its own, so two that have it later need not meet; neither need
