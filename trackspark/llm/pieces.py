@@ -17,9 +17,11 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import MEMORY_BYTES, resident, row_groups
+from .common import resident, row_groups
 
 SPACE = "▁"
+#: Bytes that a Python worker's units may take before it starts anew.
+MEMORY_BYTES = 160 << 20
 #: One text in so many is also compared whole with the library's encode and decode; a difference ends the job.
 CHECK_EVERY = 32
 #: Texts that any other normalisation would change: spaces in runs and at the ends, controls, ligatures, widths, composed and decomposed letters.
