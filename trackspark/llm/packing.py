@@ -19,8 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MEMORY_BYTES, cut, numbered, resident, row_groups
+from .common import cut, numbered, resident, row_groups
 
+#: Bytes that a Python worker's units may take before it starts anew.
+MEMORY_BYTES = 128 << 20
 #: A unit is a run of plain white space and the word after it, or what follows a word of letters before more space; text with other white space is encoded whole.
 UNIT = re.compile(r"[ \t\n\r]*[A-Za-zÀ-ÖØ-öø-ÿ]+(?![^ \t\n\r.,;:|!?$&%*#])|[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
 OTHER_SPACE = re.compile(r"[^\S \t\n\r]")
