@@ -172,7 +172,7 @@ def build_index(docs: DataFrame, vocabulary: list[bytes], key: str = "doc_id", t
                 impacts, _ = _flat(part.column("impacts"))
                 rows: list[tuple] = []
                 for at, (term, members, coords, tops) in enumerate(blocks_of(numbers, terms, impacts, edges, n_vocabulary, size)):
-                    rows.append((int(numbers[0]), at, term, members, coords.astype(kind).tobytes(), tops.tobytes()))
+                    rows.append((int(numbers[0]), at, term, members, np.diff(coords, prepend=0).astype(kind).tobytes(), tops.tobytes()))
                     if len(rows) == 2_000:
                         yield pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*rows)))), schema)
                         rows = []
@@ -181,7 +181,7 @@ def build_index(docs: DataFrame, vocabulary: list[bytes], key: str = "doc_id", t
 
     schema = pa.schema([("segment", pa.int64()), ("at", pa.int32()), ("term", pa.int32()), ("docs", pa.list_(pa.int64())), ("coords", pa.binary()), ("tops", pa.binary())])
     blocks = vectors.select("doc", "terms", "impacts").mapInArrow(run, "segment long, at int, term int, docs array<long>, coords binary, tops binary")
-    return Index(vectors, stored(blocks, "term-blocks"), weights)
+    return Index(vectors, stored(blocks, "term-blocks", "zstd"), weights)
 
 
 def bounds_of(index: Index, queries: Queries) -> DataFrame:
@@ -198,7 +198,7 @@ def bounds_of(index: Index, queries: Queries) -> DataFrame:
         for batch in batches:
             items, bounds, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
             for term, coords, tops in zip(batch.column("term").to_pylist(), batch.column("coords"), batch.column("tops")):
-                at = np.frombuffer(coords.as_buffer(), kind)
+                at = np.cumsum(np.frombuffer(coords.as_buffer(), kind), dtype=np.int64)
                 top[at] = np.frombuffer(tops.as_buffer(), np.uint8).astype(np.int64) * GRAIN
                 own = asking[start[term] : start[term + 1]]
                 items.append(own)
