@@ -33,7 +33,7 @@ def test_round_trip(spark, root, tmp_path):
     trials = tracks.load_settings(spark, root)
     assert [tuple(r) for r in trials.orderBy("trial_id").collect()] == [("t1", 30, 8, 640, 480), ("t2", 30, 16, 0, 0)]
     paths = [r["path"] for r in picked]
-    own = tracks.load_tracks(spark, paths, COLUMNS, trials).where("trial_id = 't1'").orderBy("frame")
+    own = tracks.load_tracks(spark, paths, trials).where("trial_id = 't1'").orderBy("frame")
     assert [(r["frame"], r["xhead"], r["xtail"], r["stimulus"]) for r in own.collect()] == [(i, i / 8, None, i % 2) for i in range(4)]
     raw = tracks.read_track_csv(spark, paths, COLUMNS).withColumn("frame0", F.col("Frame") - 5)
     done = tracks.export_tracks(raw.withColumnRenamed("Frame", "pos").withColumnRenamed("frame0", "frame"), own.select("trial_id", "frame", *POSITIONS), trials)
@@ -46,6 +46,46 @@ def test_round_trip(spark, root, tmp_path):
     assert tracks.read_segments(spark, str(tmp_path / "s")).collect() == segments.collect()
 
 
+def test_files_are_read_by_their_headers(spark, tmp_path):
+    """Other orders, other stimulus names, missing and unknown columns, quotes, a byte-order mark, a header alone."""
+    files = {
+        "a": "Frame,X-Head,Y-Head,stimulation\n7,1.5,2.5,1\n8, ,3.5,0\n",
+        "b": "\ufeff\"Stim Ch1\",note, Y-Head ,X-Head,Frame\n9,\"x, y\",4.5,-1.5,3\n9,,oops,-2.5,4\n",
+        "c": "Y-Head,X-Tail,Frame,stimulation,Stim Ch1\n1,2,3,,5\n",
+        "d": "Frame,X-Head\n",
+    }
+    for trial, text in files.items():
+        (tmp_path / trial).mkdir()
+        (tmp_path / trial / f"{trial}_data.csv").write_text(text)
+    raw = tracks.read_track_csv(spark, f"{tmp_path}/*")
+    assert raw.columns == ["Frame", "X-Head", "Y-Head", "X-Tail", "stimulation", "Stim Ch1", "note", "trial_id"]
+    assert {tuple(r) for r in raw.collect()} == {
+        (7, 1.5, 2.5, None, 1, None, None, "a"), (8, None, 3.5, None, 0, None, None, "a"),
+        (3, -1.5, 4.5, None, None, 9, "x, y", "b"), (4, -2.5, None, None, None, 9, None, "b"), (3, None, 1, 2, None, 5, None, "c"),
+    }
+    got = tracks.load_tracks(spark, f"{tmp_path}/*")
+    assert got.columns == ["trial_id", "frame", "xhead", "yhead", "xtail", "stimulus"]
+    # A file's stimulus is the first of the columns that it has, even where that is empty.
+    assert {tuple(r) for r in got.collect()} == {("a", 0, 1.5, 2.5, None, 1), ("a", 1, None, 3.5, None, 0), ("b", 0, -1.5, 4.5, None, 9), ("b", 1, -2.5, None, None, 9), ("c", 0, None, 1, 2, None)}
+    # The order of the names asked for is the caller's own.
+    some = tracks.read_track_csv(spark, f"{tmp_path}/*", ["Y-Head", "Frame", "missing"])
+    assert some.columns == ["Y-Head", "Frame", "missing", "trial_id"]
+    assert {tuple(r) for r in some.where("trial_id = 'b'").collect()} == {(4.5, 3, None, "b"), (None, 4, None, "b")}
+
+
+def test_a_file_of_many_splits_has_one_header(spark, tmp_path):
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t/t_data.csv").write_text("X-Head,Frame\n" + "".join(f"{i / 2},{i}\n" for i in range(20_000)))
+    held = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        rows = tracks.read_track_csv(spark, f"{tmp_path}/*")
+        assert spark.read.text(f"{tmp_path}/*").rdd.getNumPartitions() > 4
+        assert rows.count() == 20_000 and rows.where("`X-Head` <> Frame / 2").isEmpty()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", held)
+
+
 def test_streams_equal_batches(spark, tmp_path):
     rows = [(t, i, *[float((i * 7 + t + j * 3) % 11 + j) for j in range(8)]) for t in (1, 2) for i in range(12)]
     own = spark.createDataFrame(rows, "trial_id long, frame long, " + ", ".join(f"{c} double" for c in POSITIONS))

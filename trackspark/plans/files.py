@@ -27,9 +27,28 @@ def raw_table(frames: DataFrame, stimulus: str = "Stim Ch1") -> DataFrame:
 _MM = ", ".join(f"(p.{c} - source_{c[0]}) / ppmm AS {c}" for c in POSITIONS)
 
 
-@register("load_tracks", f"{SQL} SELECT trial_id, frame, {_MM}, stimulus FROM pose p JOIN trials USING (trial_id)")
+def mixed_files(spark: SparkSession, sf_dir: str) -> str:
+    """The fixture as one folder of CSV files a trial, in two layouts: odd trials have their columns in reverse, the stimulus under its other name, and no notes."""
+    root, own = scratch(spark, "trials"), pose(spark, sf_dir)
+    plain, other = raw_table(own.where("trial_id % 2 = 0")), raw_table(own.where("trial_id % 2 = 1"), "stimulation").drop("note")
+    for rows in (plain, other.select(*reversed(other.columns))):
+        tracks.write_tracks(rows.repartition("trial_id").sortWithinPartitions("trial_id", "Frame"), root, mode="append")
+    return root
+
+
+def settings_files(spark: SparkSession, sf_dir: str) -> str:
+    """The fixture's settings as JSON files, one or two in each trial's folder; the updated ones are compressed, which tells their names apart."""
+    root = scratch(spark, "settings")
+    for rows, codec in zip(_settings(trials(spark, sf_dir)), (None, "gzip")):
+        rows.repartition("trial_id").write.mode("append").partitionBy("trial_id").json(root, compression=codec)
+    return root
+
+
+@register("load_tracks", f"{SQL} SELECT 'trial_id=' || trial_id AS trial_id, frame, {_MM}, stimulus FROM pose p JOIN trials USING (trial_id)")
 def load_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tracks.to_mm(tracks.canonical(raw_table(pose(spark, sf_dir))), trials(spark, sf_dir))
+    """Files of two layouts in one call, set to mm."""
+    settings = trials(spark, sf_dir).withColumn("trial_id", F.concat(F.lit("trial_id="), "trial_id"))
+    return tracks.load_tracks(spark, f"{mixed_files(spark, sf_dir)}/*", settings)
 
 
 @register("pick_stimulus", f"{SQL} SELECT trial_id, frame, stimulus FROM pose")
@@ -46,9 +65,9 @@ def _settings(own: DataFrame) -> tuple[DataFrame, DataFrame]:
 _PPMM = "CASE WHEN trial_id % 2 = 0 THEN ppmm ELSE 4 END"
 
 
-@register("load_settings", f"{SQL} SELECT trial_id, fps, CAST({_PPMM} AS DOUBLE) AS ppmm, CASE WHEN trial_id % 3 > 0 THEN source_x ELSE 0 END / {_PPMM} AS source_x, CASE WHEN trial_id % 3 > 0 THEN source_y ELSE 0 END / {_PPMM} AS source_y FROM trials")
+@register("load_settings", f"{SQL} SELECT 'trial_id=' || trial_id AS trial_id, fps, CAST({_PPMM} AS DOUBLE) AS ppmm, CASE WHEN trial_id % 3 > 0 THEN source_x ELSE 0 END / {_PPMM} AS source_x, CASE WHEN trial_id % 3 > 0 THEN source_y ELSE 0 END / {_PPMM} AS source_y FROM trials")
 def load_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tracks.merged_settings(*_settings(trials(spark, sf_dir)), source_in_mm=True)
+    return tracks.load_settings(spark, settings_files(spark, sf_dir), True, "*.json", "*.json.gz")
 
 
 @register("trial_fps", f"{SQL} SELECT fps FROM trials ORDER BY trial_id LIMIT 1")
@@ -109,10 +128,13 @@ def pick_trial_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 _RAW = ", ".join(f'{c} AS "{_BACK[c]}"' for c in POSITIONS)
 
 
-@register("read_track_csv", f"""{SQL} SELECT 'trial_id=' || trial_id AS trial_id, frame + 5 AS "Frame", {_RAW}, stimulus AS "Stim Ch1", 'n' || frame AS note FROM pose""")
+@register(
+    "read_track_csv",
+    f"""{SQL} SELECT 'trial_id=' || trial_id AS trial_id, frame + 5 AS "Frame", {_RAW}, CASE WHEN trial_id % 2 = 1 THEN stimulus END AS "stimulation", CASE WHEN trial_id % 2 = 0 THEN stimulus END AS "Stim Ch1", CASE WHEN trial_id % 2 = 0 THEN 'n' || frame END AS note FROM pose""",
+)
 def read_track_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = [c for c in raw_table(pose(spark, sf_dir)).columns if c != "trial_id"]
-    return tracks.read_track_csv(spark, f"{trial_files(spark, sf_dir)}/*", names)
+    """Files of two layouts in one call, each read by its own header."""
+    return tracks.read_track_csv(spark, f"{mixed_files(spark, sf_dir)}/*")
 
 
 @register("read_analysis", f"{SQL} SELECT CAST(trial_id AS DOUBLE) AS trial_id, CAST(frame AS DOUBLE) AS frame, CASE WHEN frame > 0 THEN xctr END AS x, CAST(NULL AS DOUBLE) AS note FROM pose")

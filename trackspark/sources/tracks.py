@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..schema import BOX, POSITIONS, RAW_COLUMNS, STIMULUS_COLUMNS
 
@@ -37,11 +37,52 @@ def pick_trial_file(files: DataFrame, exclude: tuple[str, ...] = ("filtered", "o
     return files.withColumn("_k", first).where("_k = 1").drop("_k")
 
 
-def read_track_csv(spark: SparkSession, paths: str | list[str], columns: list[str]) -> DataFrame:
-    """Files with a header of these columns, in this order; empty and blank cells are missing. Adds trial_id (the folder)."""
-    schema = StructType([StructField(c, LongType() if c == "Frame" else DoubleType() if c in RAW_COLUMNS or c in STIMULUS_COLUMNS else StringType()) for c in columns])
-    raw = spark.read.csv(paths, header=True, schema=schema, enforceSchema=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, nullValue="")
-    return raw.withColumn("trial_id", _parts(F.col("_metadata.file_path"))[0])
+#: A comma outside quotes.
+_COMMA = ',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+
+
+def header_index(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """path, names: the column names in the first line of every file. One row a file; only files' first splits are looked at."""
+    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_start"))
+    # Lines of a split come in the file's order, so the least number among a file's first split is its first line.
+    first = lines.where("_start = 0 AND trim(value) <> ''").withColumn("_at", F.monotonically_increasing_id()).groupBy("path").agg(F.min_by("value", "_at").alias("line"))
+    cells = F.split(F.regexp_replace("line", "^\ufeff", ""), _COMMA)
+    return first.select("path", F.transform(cells, lambda c: F.regexp_replace(F.trim(c), '^"|"$', "")).alias("names"))
+
+
+def _kind(name: str) -> str:
+    return "long" if name == "Frame" else "double" if name in RAW_COLUMNS or name in STIMULUS_COLUMNS else "string"
+
+
+def _by_header(spark: SparkSession, paths: str | list[str], index: DataFrame, wanted: dict[str, tuple[tuple[str, ...], str]]) -> DataFrame:
+    """trial_id and the wanted columns of all files in one scan; ``wanted``: for each the names it may have in a file, of which the first that is there counts, and its type.
+
+    Every row meets its file's index row, which holds the places of the wanted columns; Spark broadcasts a small index and splits a large file's rows otherwise.
+    """
+    width = index.agg(F.max(F.size("names"))).first()[0] or 1
+    places = F.array(*[F.coalesce(*[F.nullif(F.array_position("names", F.lit(n)), F.lit(0).cast("long")) for n in names]).cast("int") for names, _ in wanted.values()])
+    cells = [f"_c{i}" for i in range(width)]
+    rows = spark.read.csv(paths, schema=", ".join(f"{c} string" for c in cells), ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, nullValue="")
+    rows = rows.select(F.array(*cells).alias("_cells"), F.col("_metadata.file_path").alias("path")).join(index.select("path", "names", places.alias("_places")), "path")
+    # A header is no row: its cells are the names themselves.
+    shown = F.transform(F.slice("_cells", 1, F.size("names")), lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), "^\ufeff", ""))
+    rows = rows.where(shown != F.col("names"))
+    picked = [F.get("_cells", F.get("_places", F.lit(i)) - 1).try_cast(kind).alias(out) for i, (out, (_, kind)) in enumerate(wanted.items())]
+    return rows.select(*picked, _parts(F.col("path"))[0].alias("trial_id"))
+
+
+def read_track_csv(spark: SparkSession, paths: str | list[str], columns: list[str] | None = None) -> DataFrame:
+    """Files with a header each, read by the names in it: files may differ in the order and the number of their columns. Adds trial_id (the folder).
+
+    ``columns``: the names to read; by default all that any file has, known ones first. A column that a file lacks is null there; empty, blank and malformed
+    cells are missing. Of a repeated name the first counts. Files of a header alone have no row.
+    """
+    index = header_index(spark, paths)
+    if columns is None:
+        found = {r[0] for r in index.select(F.explode("names").alias("n")).where("n <> ''").distinct().collect()}  # names of columns, not of files
+        known = [c for c in ["Frame", *RAW_COLUMNS, *STIMULUS_COLUMNS] if c in found]
+        columns = known + sorted(found - set(known))
+    return _by_header(spark, paths, index, {c: ((c,), _kind(c)) for c in columns})
 
 
 def pick_stimulus(frames: DataFrame) -> DataFrame:
@@ -73,9 +114,14 @@ def to_pixels(frames: DataFrame, trials: DataFrame) -> DataFrame:
     return _moved(frames, trials, lambda c, source, ppmm: c * ppmm + source)
 
 
-def load_tracks(spark: SparkSession, paths: str | list[str], columns: list[str], trials: DataFrame | None = None) -> DataFrame:
-    """Canonical frames of raw files, in mm if trials are given."""
-    frames = canonical(read_track_csv(spark, paths, columns))
+def load_tracks(spark: SparkSession, paths: str | list[str], trials: DataFrame | None = None) -> DataFrame:
+    """Canonical frames of raw files of any layouts, in mm if trials are given. The stimulus of each file is the first of the stimulus columns that it has."""
+    index = header_index(spark, paths)
+    found = {r[0] for r in index.select(F.explode("names").alias("n")).where(F.col("n").isin("Frame", *RAW_COLUMNS, *STIMULUS_COLUMNS)).distinct().collect()}
+    wanted = {new: ((raw,), "double") for raw, new in RAW_COLUMNS.items() if raw in found}
+    if found & set(STIMULUS_COLUMNS):
+        wanted["stimulus"] = (tuple(STIMULUS_COLUMNS), "double")
+    frames = canonical(_by_header(spark, paths, index, {"Frame": (("Frame",), "long")} | wanted))
     return to_mm(frames, trials) if trials is not None else frames
 
 
@@ -87,12 +133,14 @@ def merged_settings(base: DataFrame, updated: DataFrame, source_in_mm: bool = Fa
     return met.select("trial_id", F.col("Framerate").alias("fps"), "ppmm", *[(F.coalesce(F.col(f"Source {a}"), F.lit(0.0)) / scale).alias(f"source_{a}") for a in "xy"])
 
 
-def load_settings(spark: SparkSession, root: str, source_in_mm: bool = False) -> DataFrame:
+def load_settings(spark: SparkSession, root: str, source_in_mm: bool = False, base: str = SETTINGS, updated: str = UPDATED) -> DataFrame:
+    """Settings of every trial folder of a root, from one file each; ``base`` and ``updated`` are the files' names or patterns of them."""
+
     def read(name: str) -> DataFrame:
         rows = spark.read.option("pathGlobFilter", name).json(f"{root}/*", schema=_SETTINGS_SCHEMA, multiLine=True)
         return rows.select("*", _parts(F.col("_metadata.file_path"))[0].alias("trial_id"))
 
-    return merged_settings(read(SETTINGS), read(UPDATED), source_in_mm)
+    return merged_settings(read(base), read(updated), source_in_mm)
 
 
 def trial_fps(trials: DataFrame) -> DataFrame:
@@ -130,9 +178,9 @@ def export_tracks(raw: DataFrame, corrected: DataFrame, trials: DataFrame | None
     return met.select(*[F.col(f"_{RAW_COLUMNS[c]}").alias(c) if c in back.values() else F.col(f"`{c}`") for c in raw.columns])
 
 
-def write_tracks(rows: DataFrame, path: str, kind: str = "csv") -> None:
+def write_tracks(rows: DataFrame, path: str, kind: str = "csv", mode: str = "overwrite") -> None:
     """One folder a trial."""
-    writer = rows.write.mode("overwrite").partitionBy("trial_id")
+    writer = rows.write.mode(mode).partitionBy("trial_id")
     writer.csv(path, header=True) if kind == "csv" else writer.parquet(path)
 
 
