@@ -1,6 +1,7 @@
 """Files in and out, and streams of frames against the batch operators."""
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -93,8 +94,9 @@ def test_streams_equal_batches(spark, tmp_path):
         own.where((F.col("frame") >= 4 * k) & (F.col("frame") < 4 * k + 4)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     for name, apply in (("kalman", live.stream_kalman), ("flags", lambda f: live.stream_flags(f, 30, 150))):
         source = spark.readStream.schema(own.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-        q = apply(source).writeStream.format("memory").queryName(f"out_{name}").option("checkpointLocation", str(tmp_path / f"c_{name}")).outputMode("append").trigger(availableNow=True).start()
-        q.awaitTermination(120)
+        with live.without_empty_batches(spark):
+            q = apply(source).writeStream.format("memory").queryName(f"out_{name}").option("checkpointLocation", str(tmp_path / f"c_{name}")).outputMode("append").trigger(availableNow=True).start()
+            assert q.awaitTermination(60)
     got = {(r["trial_id"], r["frame"]): r["xmid"] for r in spark.table("out_kalman").collect()}
     want = {(r["trial_id"], r["frame"]): r["xmid"] for r in filter_kalman(own, 30, reset_covariance=True).collect()}
     assert got == pytest.approx(want)
@@ -102,3 +104,34 @@ def test_streams_equal_batches(spark, tmp_path):
     assert flags == {(r["trial_id"], r["frame"]) for r in flag_min_delta_mismatches(own).collect()}
     jumps = {(r["trial_id"], r["frame"]) for r in spark.table("out_flags").where("kind = 'disc_head'").collect()}
     assert jumps == {(r["trial_id"], r["frame"]) for r in flag_discontinuities(own, "head", 30, 150).collect()}
+
+
+def test_state_of_silent_trials_expires(spark, tmp_path):
+    """Trial 1 falls silent and returns; trial 2 goes on."""
+    schema, idle = "trial_id long, frame long, " + ", ".join(f"{c} double" for c in POSITIONS), 4_000
+
+    def feed(*rows):
+        own = spark.createDataFrame([(t, f, *[float(f * f + j) for j in range(8)]) for t, f in rows], schema)
+        own.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        source = spark.readStream.schema(own.schema).parquet(str(tmp_path / "in"))
+        for name, apply in (("filters", live.stream_kalman), ("last", live.stream_flags)):
+            with live.without_empty_batches(spark):
+                q = apply(source, idle_ms=idle).writeStream.format("parquet").option("path", str(tmp_path / name)).option("checkpointLocation", str(tmp_path / f"c_{name}")).trigger(availableNow=True).start()
+                assert q.awaitTermination(60)
+
+    def held(name):
+        rows = spark.read.format("statestore").option("path", str(tmp_path / f"c_{name}")).option("stateVarName", name).load()
+        return {r["key"]["trial_id"] for r in rows.collect()}
+
+    feed((1, 0), (1, 1), (2, 0), (2, 1))
+    assert held("filters") == held("last") == {1, 2}
+    time.sleep(idle / 1000 + 0.5)
+    feed((2, 2))
+    assert held("filters") == held("last") == {2}
+    # A frame that would be late under the old state begins a new one: the first filtered position is the frame's own.
+    feed((1, 0))
+    assert 1 in held("filters")
+    got = spark.read.parquet(str(tmp_path / "filters")).where("trial_id = 1 and frame = 0").select("xhead").collect()
+    assert [r[0] for r in got] == pytest.approx([0.0, 0.0])
+    # Trial 2 was silent for longer than allowed before its third frame, so that began anew too.
+    assert spark.read.parquet(str(tmp_path / "filters")).where("trial_id = 2 and frame = 2").first()["xhead"] == pytest.approx(4.0)

@@ -20,17 +20,19 @@ BATCHES = 3
 
 
 def streamed(spark: SparkSession, sf_dir: str, apply: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """What an operator on a stream gives for the whole fixture, by way of files in and out."""
+    """What an operator on a stream gives for the whole fixture, by way of files in and out: BATCHES times files come in and the stream is started anew."""
     made, out = scratch(spark, "frames"), scratch(spark, "stream")
     frames = pose(spark, sf_dir).select("trial_id", "frame", *POSITIONS)
     lengths = frames.groupBy("trial_id").agg(F.max("frame").alias("last"))
     part = F.least(F.floor(F.col("frame") * BATCHES / (F.col("last") + 1)), F.lit(BATCHES - 1))
     cut = frames.join(lengths, "trial_id").withColumn("part", part).drop("last")
-    for k in range(BATCHES):
-        cut.where(F.col("part") == k).drop("part").coalesce(1).write.mode("append").parquet(made)
-    source = spark.readStream.schema(frames.schema).option("maxFilesPerTrigger", 1).parquet(made)
-    run = apply(source).writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-state").outputMode("append").trigger(availableNow=True).start()
-    run.awaitTermination()
+    with live.without_empty_batches(spark):
+        for k in range(BATCHES):
+            cut.where(F.col("part") == k).drop("part").write.mode("append").parquet(made)
+            # Each start takes up the state that the last one left.
+            source = spark.readStream.schema(frames.schema).parquet(made)
+            run = apply(source).writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-state").outputMode("append").trigger(availableNow=True).start()
+            run.awaitTermination()
     return spark.read.parquet(out)
 
 

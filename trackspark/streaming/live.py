@@ -1,23 +1,27 @@
 """Frames as a stream: stateful operators keyed by trial.
 
-State is small (a filter's vector and covariance, or the last frame's points), lives in the RocksDB provider, and is
-dropped when a trial has been silent for long. Rows of a micro-batch are put in frame order; a frame that is not
-after the last one seen is late and left out.
+State is small (a filter's vector and covariance, or the last frame's points) and lives in the RocksDB provider. Every batch that
+brings rows of a trial sets its timer anew; when a trial has been silent for ``idle_ms`` of processing time, the timer drops its state, and a trial that
+returns after that begins anew. A running query looks at its timers in every batch, with data or without. Under the trigger availableNow batches without data would follow each other
+without end, so turn them off there (``without_empty_batches``); timers then ring when the next data come. Rows of a micro-batch are put in frame order; a frame that is not after the last one seen is late and left out.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.numerics import PointFilter
 from ..names import KEYPOINTS, POSITIONS
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Milliseconds without rows of a trial after which its state is dropped.
+IDLE_MS = 3_600_000
 
 
 def _ordered(rows: Iterator[pd.DataFrame], last: int) -> pd.DataFrame:
@@ -26,21 +30,55 @@ def _ordered(rows: Iterator[pd.DataFrame], last: int) -> pd.DataFrame:
     return all_[all_["frame"] > last]
 
 
-class KalmanProcessor(StatefulProcessor):
-    """Filters each keypoint of a trial frame by frame."""
+class TrialProcessor(StatefulProcessor):
+    """One value of state a trial, which expires. ``due`` is the time at which the trial's timer rings."""
+
+    #: Name and schema of the state.
+    STATE, SCHEMA = "", ""
 
-    def __init__(self, fps: float, derivatives: int = 2, idle_ms: int = 3_600_000):
-        self.fps, self.derivatives, self.idle_ms = fps, derivatives, idle_ms
+    def __init__(self, idle_ms: int = IDLE_MS):
+        self.idle_ms = idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("filters", "last long, begun array<boolean>, x array<double>, p array<double>")
+        self.state = handle.getValueState(self.STATE, f"due long, {self.SCHEMA}")
+
+    def held(self, now: int) -> tuple | None:
+        """The trial's state; none if it has been silent for so long that its timer is due, even if that has yet to ring."""
+        if not self.state.exists():
+            return None
+        due, *rest = self.state.get()
+        self.handle.deleteTimer(due)
+        return tuple(rest) if now < due else None
+
+    def hold(self, now: int, *values: object) -> None:
+        due = now + self.idle_ms
+        self.handle.registerTimer(due)
+        self.state.update((due, *values))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+class KalmanProcessor(TrialProcessor):
+    """Filters each keypoint of a trial frame by frame."""
+
+    STATE, SCHEMA = "filters", "last long, begun array<boolean>, x array<double>, p array<double>"
+
+    def __init__(self, fps: float, derivatives: int = 2, idle_ms: int = IDLE_MS):
+        super().__init__(idle_ms)
+        self.fps, self.derivatives = fps, derivatives
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        clock = timerValues.getCurrentProcessingTimeInMs()
         filters = [PointFilter(self.fps, self.derivatives) for _ in KEYPOINTS]
         size, last, begun = len(filters[0].x), -1, [False] * len(KEYPOINTS)
-        if self.state.exists():
-            last, begun, x, p = self.state.get()
+        if (held := self.held(clock)) is not None:
+            last, begun, x, p = held
             begun = list(begun)
             for i, f in enumerate(filters):
                 f.x, f.p = np.array(x[i * size : (i + 1) * size]), np.array(p[i * size * size : (i + 1) * size * size]).reshape(size, size)
@@ -56,27 +94,26 @@ class KalmanProcessor(StatefulProcessor):
                     begun[i] = True
                 f.predict()
                 row[2 * i : 2 * i + 2] = f.update(z)
+        # A batch of late frames alone keeps the trial alive too.
+        self.hold(clock, int(new["frame"].iloc[-1]) if len(new) else last, begun, np.concatenate([f.x for f in filters]).tolist(), np.concatenate([f.p.ravel() for f in filters]).tolist())
         if len(new):
-            self.state.update((int(new["frame"].iloc[-1]), begun, np.concatenate([f.x for f in filters]).tolist(), np.concatenate([f.p.ravel() for f in filters]).tolist()))
             yield pd.DataFrame({"trial_id": key[0], "frame": new["frame"].to_numpy(), **{c: points[:, i] for i, c in enumerate(POSITIONS)}})
 
-    def close(self) -> None:
-        pass
-
 
-class FlagProcessor(StatefulProcessor):
+class FlagProcessor(TrialProcessor):
     """Flags of each new frame against the one before: discontinuities of head and tail, crossed shortest ways."""
 
-    def __init__(self, fps: float, threshold: float):
-        self.fps, self.threshold = fps, threshold
+    STATE, SCHEMA = "last", "frame long, points array<double>"
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("last", "frame long, points array<double>")
+    def __init__(self, fps: float, threshold: float, idle_ms: int = IDLE_MS):
+        super().__init__(idle_ms)
+        self.fps, self.threshold = fps, threshold
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        clock = timerValues.getCurrentProcessingTimeInMs()
         last, before = -1, np.full(4, np.nan)
-        if self.state.exists():
-            last, before = self.state.get()
+        if (held := self.held(clock)) is not None:
+            last, before = held
             before = np.array([np.nan if v is None else v for v in before], float)
         new, out = _ordered(rows, last), []
         columns = ["xhead", "yhead", "xtail", "ytail"]
@@ -90,25 +127,35 @@ class FlagProcessor(StatefulProcessor):
             if not np.isnan([hh, tt, th, ht]).any() and min(th, ht) < min(tt, hh):
                 out.append((frame, "mdm"))
             before, last = now, int(frame)
-        if len(new):
-            self.state.update((last, [None if np.isnan(v) else float(v) for v in before]))
+        self.hold(clock, last, [None if np.isnan(v) else float(v) for v in before])
         if out:
             yield pd.DataFrame({"trial_id": key[0], "frame": [f for f, _ in out], "kind": [k for _, k in out]})
 
-    def close(self) -> None:
-        pass
+
+@contextmanager
+def without_empty_batches(spark: SparkSession) -> Iterator[None]:
+    """Streams that are started inside run no batches without data."""
+    name = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def _stateful(frames: DataFrame, processor: StatefulProcessor, schema: str) -> DataFrame:
     frames.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
-    return frames.groupBy("trial_id").transformWithStateInPandas(processor, schema, "Append", "None")
+    return frames.groupBy("trial_id").transformWithStateInPandas(processor, schema, "Append", "ProcessingTime")
 
 
-def stream_kalman(frames: DataFrame, fps: float = 30, derivatives: int = 2) -> DataFrame:
+def stream_kalman(frames: DataFrame, fps: float = 30, derivatives: int = 2, idle_ms: int = IDLE_MS) -> DataFrame:
+    """Filtered positions of every new frame. A trial's covariance is its own for each keypoint; state goes after ``idle_ms`` without rows."""
     kind = dict(frames.dtypes)["trial_id"]
-    return _stateful(frames, KalmanProcessor(fps, derivatives), f"trial_id {kind}, frame long, " + ", ".join(f"{c} double" for c in POSITIONS))
+    return _stateful(frames, KalmanProcessor(fps, derivatives, idle_ms), f"trial_id {kind}, frame long, " + ", ".join(f"{c} double" for c in POSITIONS))
 
 
-def stream_flags(frames: DataFrame, fps: float = 30, threshold: float = 24) -> DataFrame:
+def stream_flags(frames: DataFrame, fps: float = 30, threshold: float = 24, idle_ms: int = IDLE_MS) -> DataFrame:
+    """Flags of every new frame against the one before; the frame after a silence of ``idle_ms`` has none before it."""
     kind = dict(frames.dtypes)["trial_id"]
-    return _stateful(frames, FlagProcessor(fps, threshold), f"trial_id {kind}, frame long, kind string")
+    return _stateful(frames, FlagProcessor(fps, threshold, idle_ms), f"trial_id {kind}, frame long, kind string")
