@@ -188,3 +188,22 @@ def test_spectra():
     f, p = numerics.welch(np.sin(2 * np.pi * 6 * np.arange(3000) / 30), 30)
     assert f[p.argmax()] == pytest.approx(6, abs=0.12)
     assert p.sum() * (f[1] - f[0]) == pytest.approx(0.5, rel=0.05)
+
+
+@pytest.mark.parametrize("bandwidth", [0.3, 2.0, 40.0, "scott", "silverman"])
+def test_kernels(spark, bandwidth):
+    """Every kernel against its formula at each value and grid point: ties with grid points, values outside, nulls, NaN."""
+    rng = np.random.default_rng(5)
+    xs = np.concatenate([rng.uniform(-30, 130, 60), [0.0, 10.0, 20.0, 20.0, 100.0, 50.5]])
+    values = spark.createDataFrame([(float(x),) for x in xs] + [(None,), (float("nan"),)], "v double")
+    h = {"scott": len(xs) ** -0.2, "silverman": (len(xs) * 3 / 4) ** -0.2}.get(bandwidth, bandwidth)
+    grid = np.linspace(0, 100, 101)
+    z = np.abs(grid[:, None] - xs) / h
+    want = {
+        "gaussian": np.exp(-z * z / 2) / np.sqrt(2 * np.pi), "tophat": (np.abs(grid[:, None] - xs) < h) / 2, "epanechnikov": np.maximum(0, 1 - z * z) * 0.75,
+        "exponential": np.exp(-z) / 2, "linear": np.maximum(0, 1 - z), "cosine": np.where(z < 1, np.cos(z * np.pi / 2), 0) * np.pi / 4,
+    }
+    for kernel in cohort.KERNELS:
+        got = np.array([r["density"] for r in cohort.kde(values, "v", (0, 100), 101, bandwidth, kernel=kernel).orderBy("x").collect()])
+        np.testing.assert_allclose(got, want[kernel].mean(axis=1) / h, rtol=1e-9, atol=1e-12, err_msg=kernel)
+    assert cohort.kde(values.limit(0), "v", (0, 100), 101, bandwidth).isEmpty()

@@ -83,32 +83,132 @@ def histogram(values: DataFrame, column: str, span: tuple[float, float], bins: i
     return out.withColumn("height", F.col("count") * (F.lit(lo) + (F.col("bin") + 1) * F.lit((hi - lo) / bins))) if scale else out
 
 
-#: Bandwidths from a value out to which ``kde`` evaluates its kernel.
+KERNELS = ("gaussian", "tophat", "epanechnikov", "exponential", "linear", "cosine")
+#: Bandwidths from a value out to which a Gaussian is evaluated.
 REACH = 8
+#: Bandwidths that a block of the exponential kernel's scans is long: what decays over one is lost in a double's rounding, and its inverse is no overflow.
+DECAY = 200
+
+
+def bandwidth_of(n: Column, rule: str) -> Column:
+    """Bandwidth by a rule of thumb for n values; neither rule looks at their spread."""
+    if rule not in ("scott", "silverman"):
+        raise ValueError("bandwidth must be a number, scott or silverman")
+    return F.pow(n * 0.75 if rule == "silverman" else n.cast("double"), F.lit(-0.2))
+
+
+class _Grid:
+    """An even grid of points, and the first of them beyond a place."""
+
+    def __init__(self, span: tuple[float, float], resolution: int):
+        self.lo, self.hi = map(float, span)
+        self.size = resolution
+        self.step = (self.hi - self.lo) / (resolution - 1)
+
+    def x(self, k: Column) -> Column:
+        return F.lit(self.lo) + k * F.lit(self.step)
+
+    def first(self, near: Column, beyond) -> Column:
+        """The least k for which ``beyond(x(k))``, about where x is ``near``; the size of the grid if there is none. Settled by the points themselves, not by the quotient."""
+        k = F.least(F.greatest(F.floor((near - self.lo) / self.step), F.lit(-2)), F.lit(self.size)).cast("long")
+        some = F.filter(F.transform(F.array(*[F.lit(i).cast("long") for i in range(-2, 4)]), lambda i: F.greatest(F.least(k + i, F.lit(self.size)), F.lit(0))), lambda i: beyond(self.x(i)) | (i == self.size))
+        return F.coalesce(F.array_min(some), F.lit(self.size)).cast("long")
+
+
+def _polynomial_sums(counted: DataFrame, grid: _Grid, h: float, kernel: str) -> DataFrame:
+    """k, s for kernels that are sums of products of a function of the value and one of the grid point: every value adds its moments where its
+    support begins and takes them away where it ends, and running sums over the grid give all sums. Two or three rows a value, whatever its support."""
+    v, u = F.col("v"), (F.col("v") - grid.lo) / h
+    g = F.col("k") * (grid.step / h)
+    inner = [lambda x: x - v > -h, lambda x: x - v >= h]
+    half = math.pi / 2
+    if kernel == "tophat":
+        edges, moments, value = inner, [[F.lit(1.0)]], F.col("m0")
+    elif kernel == "epanechnikov":
+        edges, moments, value = inner, [[F.lit(1.0), u, u * u]], F.col("m0") * (1 - g * g) + 2 * g * F.col("m1") - F.col("m2")
+    elif kernel == "cosine":
+        edges, moments, value = inner, [[F.cos(u * half), F.sin(u * half)]], F.col("m0") * F.cos(g * half) + F.col("m1") * F.sin(g * half)
+    else:  # linear, which rises up to the value and falls after it
+        edges, moments = [inner[0], lambda x: x >= v, inner[1]], [[1 - u, F.lit(1.0)], [1 + u, F.lit(-1.0)]]
+        value = F.col("m0") + g * F.col("m1")
+    near = {2: [v - h, v + h], 3: [v - h, v, v + h]}[len(edges)]
+    at = [grid.first(n, e) for n, e in zip(near, edges)]
+    names = [f"m{i}" for i in range(len(moments[0]))]
+    steps = []
+    for piece, (a, b) in zip(moments, zip(at, at[1:])):
+        for k, sign in ((a, 1.0), (b, -1.0)):
+            steps.append(F.struct(k.alias("k"), *[(F.col("w") * sign * m).alias(n) for m, n in zip(piece, names)]))
+    rows = counted.select(F.explode(F.array(*steps)).alias("r")).select("r.*").groupBy("k").agg(*[F.sum(n).alias(n) for n in names])
+    # The grid has ``resolution`` rows, so one ordered window is bounded.
+    so_far = Window.partitionBy(F.lit(0)).orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    line = counted.sparkSession.range(grid.size).select(F.col("id").alias("k")).join(F.broadcast(rows), "k", "left")
+    line = line.select("k", *[F.sum(F.coalesce(n, F.lit(0.0))).over(so_far).alias(n) for n in names])
+    return line.select("k", F.greatest(value, F.lit(0.0)).alias("s"))
+
+
+def _exponential_sums(counted: DataFrame, grid: _Grid, h: float) -> DataFrame:
+    """k, s of exp(-|x - v| / h) by two scans that decay along the grid, forward from the values before a point and backward from those after it.
+
+    In blocks of DECAY bandwidths the terms are weighed by their place and summed up; of the blocks before, only the next can still be felt.
+    """
+    v = F.col("v")
+    rate = grid.step / h
+    i = grid.first(v, lambda x: x >= v)
+    # Of each value what it adds at the point after it and at the point before it.
+    ends = counted.withColumn("i", i).select(
+        F.explode(F.array(F.struct(F.col("i").alias("k"), (F.col("w") * F.exp(-(grid.x(F.col("i")) - v) / h)).alias("f"), F.lit(0.0).alias("b")), F.struct((F.col("i") - 1).alias("k"), F.lit(0.0).alias("f"), (F.col("w") * F.exp(-(v - grid.x(F.col("i") - 1)) / h)).alias("b")))).alias("r")
+    ).select("r.*").where((F.col("k") >= 0) & (F.col("k") < grid.size)).groupBy("k").agg(F.sum("f").alias("f"), F.sum("b").alias("b"))
+    width = max(1, int(DECAY / rate)) if rate < DECAY else 1
+    line = counted.sparkSession.range(grid.size).select(F.col("id").alias("k"), F.floor(F.col("id") / width).alias("block")).join(F.broadcast(ends), "k", "left").fillna(0.0, ["f", "b"])
+    at, last = F.col("k") - F.col("block") * width, width - 1
+    held = Window.partitionBy("block").orderBy("k")
+    before, after = held.rowsBetween(Window.unboundedPreceding, 0), held.rowsBetween(0, Window.unboundedFollowing)
+    own = line.select("k", "block", (F.sum(F.col("f") * F.exp(at * rate)).over(before) * F.exp(-at * rate)).alias("f"), (F.sum(F.col("b") * F.exp(-at * rate)).over(after) * F.exp(at * rate)).alias("b"))
+    # What a block hands on: the forward sum at its last point, the backward sum at its first.
+    sums = line.groupBy("block").agg(F.sum(F.col("f") * F.exp((at - last) * rate)).alias("to_next"), F.sum(F.col("b") * F.exp(-at * rate)).alias("to_before"))
+    met = own.join(F.broadcast(sums.select((F.col("block") + 1).alias("block"), "to_next")), "block", "left").join(F.broadcast(sums.select((F.col("block") - 1).alias("block"), "to_before")), "block", "left")
+    return met.select("k", (F.col("f") + F.col("b") + F.coalesce(F.col("to_next") * F.exp(-(at + 1) * rate), F.lit(0.0)) + F.coalesce(F.col("to_before") * F.exp(-(width - at) * rate), F.lit(0.0))).alias("s"))
+
+
+def _met_sums(counted: DataFrame, grid: _Grid, h: float, kernel: str) -> DataFrame:
+    """k, s by every value's meeting the grid points that it reaches: a Gaussian, or a support narrower than the grid's step."""
+    reach = REACH if kernel == "gaussian" else 1
+    v, size = F.col("v"), grid.size
+    first = F.greatest(F.lit(0), F.ceil((v - reach * h - grid.lo) / grid.step))
+    last = F.least(F.lit(size - 1), F.floor((v + reach * h - grid.lo) / grid.step))
+    near = counted.where(first <= last).withColumn("k", F.explode(F.sequence(first, last)))
+    away = grid.x(F.col("k")) - v
+    z = away / h
+    height = {"gaussian": F.exp(-0.5 * z * z), "tophat": F.lit(1.0), "epanechnikov": 1 - z * z, "linear": 1 - F.abs(z), "cosine": F.cos(z * (math.pi / 2))}[kernel]
+    if kernel != "gaussian":
+        height = F.when(F.abs(away) < h, height).otherwise(0.0)
+    return near.groupBy("k").agg(F.sum(F.col("w") * height).alias("s"))
 
 
-def kde(values: DataFrame, column: str, span: tuple[float, float], resolution: int = 1000, bandwidth: float = 1.0, cell: float | None = None) -> DataFrame:
-    """x, density of a Gaussian kernel estimate on an even grid; missing values are left out.
+def kde(values: DataFrame, column: str, span: tuple[float, float], resolution: int = 1000, bandwidth: float | str = 1.0, cell: float | None = None, kernel: str = "gaussian") -> DataFrame:
+    """x, density of a kernel estimate on an even grid; missing values are left out, and without any there is no row.
 
-    A value meets the grid points within REACH bandwidths only; beyond them its kernel is under 1e-15 of its peak. The sums are formed
+    ``kernel``: one of KERNELS. ``bandwidth``: a number, or the rule scott or silverman. The compact kernels (tophat, epanechnikov, linear, cosine) and the exponential one cost a few rows a
+    distinct value and a running sum over the grid. A Gaussian meets the grid points within REACH bandwidths; beyond them it is under 1e-13 of its peak. All sums are formed
     in the tasks before the shuffle, which carries a row a task and grid point. ``cell`` first counts values
     in cells of that width, which bounds the work for very many values at the price of moving each by half a cell at most.
     """
-    lo, hi = map(float, span)
-    own = values.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v"))
+    if kernel not in KERNELS:
+        raise ValueError(f"kernel must be one of {', '.join(KERNELS)}")
+    grid = _Grid(span, resolution)
+    own = values.where(F.col(column).isNotNull() & ~F.isnan(F.col(column).cast("double"))).select(F.col(column).cast("double").alias("v"))
+    h = bandwidth if not isinstance(bandwidth, str) else own.agg(bandwidth_of(F.count(F.lit(1)), bandwidth)).first()[0]
     if cell:
         own = own.withColumn("v", (F.floor(F.col("v") / cell) + 0.5) * cell)
     counted = own.groupBy("v").agg(F.count(F.lit(1)).alias("w"))
-    step = (hi - lo) / (resolution - 1)
-    first = F.greatest(F.lit(0), F.ceil((F.col("v") - REACH * bandwidth - lo) / step))
-    last = F.least(F.lit(resolution - 1), F.floor((F.col("v") + REACH * bandwidth - lo) / step))
-    near = counted.where(first <= last).withColumn("k", F.explode(F.sequence(first, last)))
-    z = (F.lit(lo) + F.col("k") * F.lit(step) - F.col("v")) / bandwidth
-    sums = near.groupBy("k").agg(F.sum(F.col("w") * F.exp(-0.5 * z * z)).alias("s"))
-    grid = values.sparkSession.range(resolution).select((F.lit(lo) + F.col("id") * F.lit(step)).alias("x"), F.col("id").alias("k"))
     total = counted.agg(F.sum("w").alias("total"))
-    rows = grid.join(F.broadcast(sums), "k", "left").join(F.broadcast(total))
-    return rows.where("total > 0").select("x", (F.coalesce("s", F.lit(0.0)) / (F.col("total") * bandwidth * math.sqrt(2 * math.pi))).alias("density"))
+    if h is None or not math.isfinite(h):
+        h = 1.0  # no value, so no row
+    sums = _exponential_sums(counted, grid, h) if kernel == "exponential" else _met_sums(counted, grid, h, kernel) if kernel == "gaussian" or h < grid.step else _polynomial_sums(counted, grid, h, kernel)
+    mass = {"gaussian": math.sqrt(2 * math.pi), "tophat": 2.0, "epanechnikov": 4 / 3, "exponential": 2.0, "linear": 1.0, "cosine": 4 / math.pi}[kernel]
+    line = values.sparkSession.range(resolution).select(grid.x(F.col("id")).alias("x"), F.col("id").alias("k"))
+    rows = line.join(F.broadcast(sums), "k", "left").join(F.broadcast(total))
+    return rows.where("total > 0").select("x", (F.coalesce("s", F.lit(0.0)) / (F.col("total") * (h * mass))).alias("density"))
 
 
 def gmm_fit(values: DataFrame, column: str, peaks: int, span: tuple[float, float], seed: int = 1) -> DataFrame:
