@@ -207,3 +207,66 @@ def test_kernels(spark, bandwidth):
         got = np.array([r["density"] for r in cohort.kde(values, "v", (0, 100), 101, bandwidth, kernel=kernel).orderBy("x").collect()])
         np.testing.assert_allclose(got, want[kernel].mean(axis=1) / h, rtol=1e-9, atol=1e-12, err_msg=kernel)
     assert cohort.kde(values.limit(0), "v", (0, 100), 101, bandwidth).isEmpty()
+
+
+@pytest.fixture(scope="module")
+def gappy(spark):
+    """Three trials of 97, 40 and 1 frames with gaps, one of them with no head at all and one that begins with a gap."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for trial, n in (("a", 97), ("b", 40), ("c", 1)):
+        points = np.cumsum(rng.normal(size=(n, 8)), axis=0) + 100
+        points[rng.random((n, 8)) < 0.08] = np.nan
+        if trial == "a":
+            points[:23, 2] = np.nan
+        if trial == "b":
+            points[:, 0] = np.nan
+        rows += [(trial, i, "note", *[None if np.isnan(v) else float(v) for v in p]) for i, p in enumerate(points)]
+    return spark.createDataFrame(rows, "trial_id string, frame long, note string, " + ", ".join(f"{c} double" for c in POSITIONS)).repartition(5).cache()
+
+
+def by_trial(frames):
+    own = frames.select("trial_id", "frame", *POSITIONS).toPandas().sort_values(["trial_id", "frame"])
+    return {t: g[POSITIONS].to_numpy(float) for t, g in own.groupby("trial_id")}
+
+
+@pytest.mark.parametrize("chunk", [1000, 49, 2])
+@pytest.mark.parametrize("reset", [False, True])
+def test_kalman_in_chunks(gappy, chunk, reset):
+    got = smoothing.filter_kalman(gappy, 30, 2, reset, chunk)
+    assert got.columns == gappy.columns and got.where("note = 'note'").count() == 138
+    raw, got = by_trial(gappy), by_trial(got)
+    for t, points in raw.items():
+        np.testing.assert_allclose(got[t], numerics.kalman_trial(points, 30, 2, reset), rtol=1e-9, atol=1e-9)
+
+
+@pytest.mark.parametrize("chunk", [1000, 49, 2])
+def test_butterworth_in_chunks(gappy, chunk):
+    b, a = numerics.butter_coefficients(5, 3.0, 30)
+    raw, got = by_trial(gappy), by_trial(smoothing.filter_butter(gappy, 30, 3.0, 5, chunk))
+    filled = by_trial(smoothing.filter_butter(gappy.fillna(7.0), 30, 3.0, 5, chunk))
+    for t, points in raw.items():
+        np.testing.assert_allclose(got[t], numerics.recursive_filter(b, a, points)[0], rtol=1e-9, atol=1e-9)
+        np.testing.assert_allclose(filled[t], numerics.recursive_filter(b, a, np.nan_to_num(points, nan=7.0))[0], rtol=1e-9, atol=1e-9)
+
+
+def test_recurrences_of_empty_tables(gappy):
+    assert smoothing.filter_kalman(gappy.limit(0), 30).isEmpty() and smoothing.filter_butter(gappy.limit(0), 30, 3.0).isEmpty()
+
+
+@pytest.mark.parametrize("chunk", [1000, 20, 7, 1])
+def test_spline_in_chunks(spark, gappy, chunk):
+    """Chunks of any size, some without a known sample, against one solve of the whole trial; few known samples give a polynomial."""
+    few = [("d", i, "note", *([float(i * i) if i in (2, 5, 9) else None] * 4), *([float(i) if i in (3, 19) else None] * 2), *([1.0 if i == 4 else None] * 2)) for i in range(24)]
+    frames = gappy.union(spark.createDataFrame(few, gappy.schema)).repartition(3)
+    raw, got = by_trial(frames), by_trial(correct.interpolate_gaps(frames, "cubicspline", 15, chunk))
+    for t, points in raw.items():
+        want = points.copy()
+        for j in range(8):
+            known = np.flatnonzero(~np.isnan(points[:, j]))
+            for a, b in zip(known, known[1:]):
+                if 1 < b - a <= 17:
+                    at = np.arange(a + 1, b)
+                    want[at, j] = numerics.not_a_knot(known.astype(float), points[known, j], at.astype(float))
+        np.testing.assert_allclose(got[t], want, rtol=1e-8, atol=1e-8)
+    assert (np.isnan(raw["a"]) & ~np.isnan(got["a"])).any()

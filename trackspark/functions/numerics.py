@@ -21,14 +21,14 @@ def butter_coefficients(order: int, cutoff: float, fps: float) -> tuple[np.ndarr
     return b * a.sum() / b.sum(), a
 
 
-def recursive_filter(b: np.ndarray, a: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Causal filter from zero state, in transposed direct form; x is (frames, columns)."""
-    state, out = np.zeros((len(a) - 1, x.shape[1])), np.empty_like(x)
+def recursive_filter(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(result, state at the end) of a causal filter in transposed direct form; x is (frames, columns), the state (order, columns), by default zero."""
+    state, out = np.zeros((len(a) - 1, x.shape[1])) if state is None else state.copy(), np.empty_like(x)
     for i, row in enumerate(x):
         out[i] = b[0] * row + state[0]
         state[:-1] = state[1:] + b[1:-1, None] * row - a[1:-1, None] * out[i]
         state[-1] = b[-1] * row - a[-1] * out[i]
-    return out
+    return out, state
 
 
 class PointFilter:
@@ -79,6 +79,51 @@ def kalman_trial(points: np.ndarray, fps: float, derivatives: int = 2, reset_cov
     return out
 
 
+class GainTable:
+    """Gains of the filter of one coordinate, by the number of updates before; they settle, and are then the same for all that follow."""
+
+    def __init__(self, fps: float, derivatives: int = 2):
+        self.filter = PointFilter(fps, derivatives, dim=1)
+        self.gains: list[np.ndarray] = []
+        self.steady = False
+
+    def upto(self, n: int) -> None:
+        while len(self.gains) < n and not self.steady:
+            f, before = self.filter, self.filter.p
+            f.predict()
+            self.gains.append((f.p @ f.h.T / (f.h @ f.p @ f.h.T + f.r)).ravel())
+            f.update(np.zeros(1))
+            self.steady = bool(np.abs(f.p - before).max() <= 1e-15 * np.abs(f.p).max())
+
+    def some(self, first: int, count: int) -> np.ndarray:
+        """(count, states): gains of the updates after the first so many."""
+        self.upto(first + count)
+        return np.array(self.gains)[np.minimum(np.arange(first, first + count), len(self.gains) - 1)]
+
+    def _step(self, gain: np.ndarray) -> np.ndarray:
+        size = len(gain)
+        return (np.eye(size) - np.outer(gain, np.eye(size)[0])) @ self.filter.f
+
+    def transition(self, first: int, count: int) -> np.ndarray:
+        """The matrix by which the state goes through so many updates of zeros."""
+        self.upto(first + count)
+        early = max(0, min(count, len(self.gains) - first))
+        out = np.eye(len(self.filter.f))
+        for gain in self.gains[first : first + early]:
+            out = self._step(gain) @ out
+        return np.linalg.matrix_power(self._step(self.gains[-1]), count - early) @ out if count > early else out
+
+
+def kalman_run(z: np.ndarray, table: GainTable, first: int, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(filtered, state at the end) of points (frames, 2) without gaps, from a state (states, 2) that ``first`` updates led to."""
+    out, state, f = np.empty_like(z), state.copy(), table.filter.f
+    for i, gain in enumerate(table.some(first, len(z))[:, :, None] if len(z) else ()):
+        state = f @ state
+        state += gain * (z[i] - state[0])
+        out[i] = state[0]
+    return out, state
+
+
 def not_a_knot(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Cubic spline through (x, y) with not-a-knot ends; fewer than four points give the polynomial through them."""
     n = len(x)

@@ -3,18 +3,17 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import norm, overlaps, round_positions
 from ..functions.kinematics import delta_between, derivative
-from ..functions.numerics import not_a_knot
 from ..schema import AFTER, BEFORE, POSITIONS, SO_FAR, TRIAL, W
 from . import segments as seg
 from .flags import SWAP, with_flags
 from .intervals import consecutive_ranges, ranges_to_list
 from .smoothing import filter_default, filter_gaussian
+from .spline import CHUNK, fill_by_spline
 
 KEYS = ["trial_id", "frame"]
 
@@ -144,10 +143,10 @@ def _gap_lengths(c: str) -> tuple[Column, Column]:
     return F.last(known, ignorenulls=True).over(BEFORE()), F.first(known, ignorenulls=True).over(AFTER())
 
 
-def interpolate_gaps(frames: DataFrame, method: str = "cubicspline", max_segment: int = 15) -> DataFrame:
+def interpolate_gaps(frames: DataFrame, method: str = "cubicspline", max_segment: int = 15, chunk: int = CHUNK) -> DataFrame:
     """Gaps of at most max_segment + 1 frames between known samples filled, each column on its own.
 
-    ``linear`` is a window expression; ``cubicspline`` a solve for each trial; ``reference`` leaves the data as they are,
+    ``linear`` is a window expression; ``cubicspline`` one solve for a trial, in chunks of frames that run in tasks of their own; ``reference`` leaves the data as they are,
     which is what the original does in effect.
     """
     columns = [c for c in POSITIONS if c in frames.columns]
@@ -165,20 +164,7 @@ def interpolate_gaps(frames: DataFrame, method: str = "cubicspline", max_segment
     if method != "cubicspline":
         raise ValueError("method is linear, cubicspline or reference")
 
-    def run(trial: pd.DataFrame) -> pd.DataFrame:
-        trial = trial.sort_values("frame")
-        frame = trial["frame"].to_numpy(float)
-        for c in columns:
-            v = trial[c].to_numpy(float).copy()
-            known = np.flatnonzero(~np.isnan(v))
-            gaps = [(a, b) for a, b in zip(known, known[1:]) if 1 < b - a <= max_segment + 2]
-            if gaps:
-                at = np.concatenate([np.arange(a + 1, b) for a, b in gaps])
-                v[at] = not_a_knot(frame[known], v[known], frame[at])
-                trial[c] = v
-        return trial
-
-    return frames.groupBy("trial_id").applyInPandas(run, frames.schema)
+    return fill_by_spline(frames, columns, max_segment, chunk)
 
 
 def tracking_correction(frames: DataFrame, fps: float = 30, swaps: bool = True, errors: bool = True, interpolate: str | None = None, validate: bool = False, smooth: bool = False) -> DataFrame:

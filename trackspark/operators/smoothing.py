@@ -2,7 +2,7 @@
 
 Finite filters are window expressions over reflect-padded rows: one ``collect_list`` of the eight columns for each frame, then
 taps by higher-order functions. With ``chunk`` a trial is cut into chunks with a halo, so one very
-long trial is spread over tasks. Only true recurrences (Butterworth, Kalman) are grouped-map functions, one trial each.
+long trial is spread over tasks. Recurrences (Butterworth, Kalman) run in chunks too, see ``recurrence``.
 """
 
 from __future__ import annotations
@@ -10,12 +10,11 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numerics import butter_coefficients, kalman_trial, recursive_filter
 from ..schema import POSITIONS, W, n_frames
+from .recurrence import CHUNK, butterworth, kalman
 
 
 def gaussian_taps(sigma: float) -> list[float]:
@@ -116,25 +115,11 @@ def filter_sgolay(frames: DataFrame, window: int = 45, order: int = 4) -> DataFr
     return rows.withColumns({c: fitted(c) for c in columns}).select(*frames.columns)
 
 
-def filter_butter(frames: DataFrame, fps: float, cutoff: float, order: int = 5) -> DataFrame:
-    """Causal Butterworth low-pass. A missing sample makes the rest of its column missing. A recurrence: one trial is one group in one task."""
-    columns = [c for c in POSITIONS if c in frames.columns]
-    b, a = butter_coefficients(order, cutoff, fps)
-
-    def run(trial: pd.DataFrame) -> pd.DataFrame:
-        trial = trial.sort_values("frame")
-        trial[columns] = recursive_filter(b, a, trial[columns].to_numpy(float))
-        return trial
-
-    return frames.groupBy("trial_id").applyInPandas(run, frames.schema)
-
-
-def filter_kalman(frames: DataFrame, fps: float, derivatives: int = 2, reset_covariance: bool = False) -> DataFrame:
-    """Constant-derivative Kalman filter of each keypoint. A recurrence: one trial is one group in one task; ``stream_kalman`` needs only a point's state."""
+def filter_butter(frames: DataFrame, fps: float, cutoff: float, order: int = 5, chunk: int = CHUNK) -> DataFrame:
+    """Causal Butterworth low-pass. A missing sample makes the rest of its column missing. A recurrence, in chunks of frames that run in tasks of their own."""
+    return butterworth(frames, [c for c in POSITIONS if c in frames.columns], fps, cutoff, order, chunk)
 
-    def run(trial: pd.DataFrame) -> pd.DataFrame:
-        trial = trial.sort_values("frame")
-        trial[POSITIONS] = kalman_trial(trial[POSITIONS].to_numpy(float), fps, derivatives, reset_covariance)
-        return trial
 
-    return frames.groupBy("trial_id").applyInPandas(run, frames.schema)
+def filter_kalman(frames: DataFrame, fps: float, derivatives: int = 2, reset_covariance: bool = False, chunk: int = CHUNK) -> DataFrame:
+    """Constant-derivative Kalman filter of each keypoint, frames with a missing coordinate left out. A recurrence, in chunks of frames that run in tasks of their own."""
+    return kalman(frames, fps, derivatives, reset_covariance, chunk)

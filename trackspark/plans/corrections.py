@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import correct
+from ..operators.spline import CHUNK
 from ..operators.intervals import consecutive_ranges
 from ..schema import POSITIONS
 from .fixture import SQL, pose
 from .frames import KIN, TM, d2, d3, r6, s6, sql_angle, sql_norm
 from .ranges import lit, sql_runs
-from .registry import register
+from .registry import ORACLES, register
 from .smoothing import sql_gaussian
 
 ALL = ", ".join(POSITIONS)
@@ -126,7 +127,37 @@ def sql_linear(source: str, most: int) -> str:
 
 _GAPS = f"{EDGE}, cut AS MATERIALIZED {sql_overlaps_removed('edge', 30, 600)}"
 _query("interpolate_gaps", lambda f: correct.interpolate_gaps(correct.remove_overlaps(correct.remove_edge_frames(f), 30, 600), "linear"), f"{_GAPS}, done AS {sql_linear('cut', 15)}", "done", rounded=True)
-_query("interpolate_gaps_cubic", lambda f: correct.interpolate_gaps(correct.remove_overlaps(correct.remove_edge_frames(f), 30, 600).select("trial_id", "frame", *POSITIONS), "cubicspline"), "", "", rounded=True)
+def sql_cubic(source: str, most: int) -> str:
+    """CTEs up to ``done``: the spline's tridiagonal system for its slopes at the known samples, solved by a recursive query forward and another one back; each column on its own."""
+    own = ", ".join(POSITIONS)
+    h, h1, h2, d, d1, d2 = "h", "lag(h) OVER w", "lag(h, 2) OVER w", "d", "lag(d) OVER w", "lag(d, 2) OVER w"
+    hn, dn = "lead(h) OVER w", "lead(d) OVER w"
+    filled = ", ".join(f"coalesce(o.{c}, max(CASE WHEN g.c = '{c}' THEN g.v END)) AS {c}" for c in POSITIONS)
+    return f""", l AS MATERIALIZED (UNPIVOT (SELECT trial_id, frame, {own} FROM {source}) ON {own} INTO NAME c VALUE v),
+ k0 AS (SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY trial_id, c) AS n, CAST(lead(frame) OVER w - frame AS DOUBLE) AS h, (lead(v) OVER w - v) / (lead(frame) OVER w - frame) AS d FROM l WINDOW w AS (PARTITION BY trial_id, c ORDER BY frame)),
+ k AS MATERIALIZED (SELECT trial_id, c, i, n, frame, v, h,
+   CASE WHEN i = n THEN {h1} + {h2} ELSE {h} END AS low, CASE WHEN i = 1 THEN {hn} WHEN i = n THEN {h2} ELSE 2 * ({h1} + {h}) END AS mid, CASE WHEN i = 1 THEN {h} + {hn} WHEN i = n THEN 0 ELSE {h1} END AS up,
+   CASE WHEN i = 1 THEN (({h} + 2 * ({h} + {hn})) * {hn} * {d} + {h} * {h} * {dn}) / ({h} + {hn}) WHEN i = n THEN ({h1} * {h1} * {d2} + (2 * ({h1} + {h2}) + {h1}) * {h2} * {d1}) / ({h1} + {h2}) ELSE 3 * ({h} * {d1} + {h1} * {d}) END AS rhs
+   FROM k0 WHERE (trial_id, c) IN (SELECT trial_id, c FROM k0 WHERE h > 1 AND h <= {most + 2}) WINDOW w AS (PARTITION BY trial_id, c ORDER BY frame)),
+ fw AS (SELECT trial_id, c, i, n, mid AS m, rhs AS r, up FROM k WHERE i = 1
+   UNION ALL SELECT k.trial_id, k.c, k.i, k.n, k.mid - k.low / fw.m * fw.up, k.rhs - k.low / fw.m * fw.r, k.up FROM fw JOIN k ON k.trial_id = fw.trial_id AND k.c = fw.c AND k.i = fw.i + 1),
+ el AS MATERIALIZED (SELECT * FROM fw),
+ bk AS (SELECT trial_id, c, i, r / m AS s FROM el WHERE i = n
+   UNION ALL SELECT el.trial_id, el.c, el.i, (el.r - el.up * bk.s) / el.m FROM bk JOIN el ON el.trial_id = bk.trial_id AND el.c = bk.c AND el.i = bk.i - 1),
+ pc AS MATERIALIZED (SELECT trial_id, c, frame AS a, h, v, s, lead(v) OVER w AS v1, lead(s) OVER w AS s1 FROM k JOIN bk USING (trial_id, c, i) WINDOW w AS (PARTITION BY trial_id, c ORDER BY i)),
+ gp AS (SELECT *, unnest(range(1, CAST(h AS INT))) AS x FROM pc WHERE h > 1 AND h <= {most + 2}),
+ g AS (SELECT trial_id, c, a + x AS frame, v + x * (s + x * ((3 * (v1 - v) / h - 2 * s - s1) / h + x * (s + s1 - 2 * (v1 - v) / h) / (h * h))) AS v FROM gp),
+ done AS (SELECT o.trial_id, o.frame, {filled} FROM {source} o LEFT JOIN g ON g.trial_id = o.trial_id AND g.frame = o.frame GROUP BY o.trial_id, o.frame, {", ".join(f"o.{c}" for c in POSITIONS)})"""
+
+
+def _cubic(name: str, chunk: int) -> None:
+    apply = lambda f: correct.interpolate_gaps(correct.remove_overlaps(correct.remove_edge_frames(f), 30, 600).select("trial_id", "frame", *POSITIONS), "cubicspline", 15, chunk)
+    _query(name, apply, f"{_GAPS}{sql_cubic('cut', 15)}", "done", rounded=True)
+    ORACLES[name] = ORACLES[name].replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+_cubic("interpolate_gaps_cubic", CHUNK)
+_cubic("interpolate_gaps_cubic_chunked", 200)
 
 ROUNDED = ", ".join(f"round_even({c} * 10, 0) / 10 AS {c}" for c in POSITIONS)
 DONE = f"{MADE}, done AS (SELECT trial_id, frame, {ROUNDED} FROM {sql_overlaps_removed('fixed', 30, 20)})"

@@ -118,9 +118,15 @@ def sql_kalman(fps: float = 30, derivatives: int = 2, carry: bool = True) -> str
  SELECT o.trial_id, o.frame, {shown} FROM pose o LEFT JOIN r ON r.trial_id = o.trial_id AND r.frame = o.frame GROUP BY o.trial_id, o.frame"""
 
 
-@register("filter_butter", sql_butter(30, 5))
-def filter_butter(spark, sf_dir: str) -> DataFrame:
-    return sm.filter_butter(pose(spark, sf_dir).select("trial_id", "frame", *POSITIONS), 30, 5).select("trial_id", "frame", *[r6(F.col(c)).alias(c) for c in SHOWN])
+def _butter(name: str, chunk: int) -> None:
+    @register(name, sql_butter(30, 5))
+    def query(spark, sf_dir: str) -> DataFrame:
+        return sm.filter_butter(pose(spark, sf_dir).select("trial_id", "frame", *POSITIONS), 30, 5, chunk=chunk).select("trial_id", "frame", *[r6(F.col(c)).alias(c) for c in SHOWN])
+
+
+# A chunk that holds most trials whole, and one that cuts every trial into several.
+_butter("filter_butter", sm.CHUNK)
+_butter("filter_butter_chunked", 150)
 
 
 def r3(c) -> Column:
@@ -128,6 +134,11 @@ def r3(c) -> Column:
     return F.round(c + F.lit(1e-7), 3) + F.lit(0.0)
 
 
-@register("filter_kalman", sql_kalman())
-def filter_kalman(spark, sf_dir: str) -> DataFrame:
-    return sm.filter_kalman(pose(spark, sf_dir).select("trial_id", "frame", *POSITIONS), 30).select("trial_id", "frame", *[r3(F.col(c)).alias(c) for c in SHOWN])
+def _kalman(name: str, chunk: int) -> None:
+    @register(name, sql_kalman())
+    def query(spark, sf_dir: str) -> DataFrame:
+        return sm.filter_kalman(pose(spark, sf_dir).select("trial_id", "frame", *POSITIONS), 30, chunk=chunk).select("trial_id", "frame", *[r3(F.col(c)).alias(c) for c in SHOWN])
+
+
+_kalman("filter_kalman", sm.CHUNK)
+_kalman("filter_kalman_chunked", 150)
