@@ -270,3 +270,49 @@ def test_spline_in_chunks(spark, gappy, chunk):
                     want[at, j] = numerics.not_a_knot(known.astype(float), points[known, j], at.astype(float))
         np.testing.assert_allclose(got[t], want, rtol=1e-8, atol=1e-8)
     assert (np.isnan(raw["a"]) & ~np.isnan(got["a"])).any()
+
+
+@pytest.mark.parametrize("block", [4, 16, 1000])
+def test_long_spectra_are_split(spark, block):
+    """Lengths that factor and lengths that do not, in groups far smaller than they are."""
+    rng = np.random.default_rng(6)
+    data = {n: rng.normal(size=n) for n in (1, 2, 3, 60, 61, 64, 97, 143, 202)}
+    frames = spark.createDataFrame([(n, i, float(v)) for n, x in data.items() for i, v in enumerate(x)], "trial_id long, frame long, v double").repartition(5)
+    got = cohort.fft_spectrum(frames, "v", 30, block=block).toPandas()
+    assert set(got["trial_id"]) == set(data) - {1}
+    for n, own in got.groupby("trial_id"):
+        own = own.sort_values("k")
+        np.testing.assert_allclose(own["amplitude"], np.abs(np.fft.fft(data[n]))[: n // 2], atol=1e-9)
+        np.testing.assert_allclose(own["freq"], np.fft.fftfreq(n, n / 30 / (n - 1))[: n // 2])
+    from trackspark.operators.fourier import split_of
+
+    for n in range(block + 1, 3000):
+        size, parts = split_of(n, block)
+        assert size % parts == 0 and (size == n or size >= 2 * n - 1) and max(parts, size // parts) <= max(block, 4 * math.isqrt(n) + 4)
+
+
+def test_spectra_of_empty_tables(spark):
+    assert cohort.fft_spectrum(line(spark, [1.0]).limit(0), "x").isEmpty()
+
+
+def test_mixture_is_a_stationary_point_of_the_likelihood(spark):
+    rng = np.random.default_rng(9)
+    xs = np.concatenate([rng.normal(0, 1, 500), rng.normal(6, 0.5, 300), rng.normal(12, 2, 200), [100.0, -50.0]])
+    values = spark.createDataFrame([(float(x),) for x in xs] + [(None,), (float(xs[3]),)], "v double").repartition(4)
+    kept = np.append(xs[(xs >= -10) & (xs <= 30)], xs[3])
+    w, m, s = np.array([tuple(r) for r in cohort.gmm_fit(values, "v", 3, (-10, 30), 300, 1e-9).collect()]).T
+    assert w.sum() == pytest.approx(1) and m == pytest.approx([0, 6, 12], abs=0.5) and w == pytest.approx([0.5, 0.3, 0.2], abs=0.03)
+    p = w * np.exp(-0.5 * ((kept[:, None] - m) / s) ** 2) / s / np.sqrt(2 * np.pi)
+    r = p / p.sum(axis=1, keepdims=True)
+    # At a stationary point the parts are the moments of their own shares; and a coarser stop is no likelier.
+    assert r.mean(axis=0) == pytest.approx(w, abs=1e-3)
+    assert (r * kept[:, None]).sum(axis=0) / r.sum(axis=0) == pytest.approx(m, abs=1e-2)
+    assert np.sqrt((r * (kept[:, None] - m) ** 2).sum(axis=0) / r.sum(axis=0)) == pytest.approx(s, abs=1e-2)
+    likelihood = lambda parts: np.log((parts[0] * np.exp(-0.5 * ((kept[:, None] - parts[1]) / parts[2]) ** 2) / parts[2]).sum(axis=1)).mean()
+    early = np.array([tuple(r) for r in cohort.gmm_fit(values, "v", 3, (-10, 30), 1).collect()]).T
+    assert likelihood((w, m, s)) >= likelihood(early)
+    one = cohort.gmm_fit(values, "v", 1, (-10, 30)).first()
+    assert tuple(one) == pytest.approx((1, kept.mean(), kept.std()), abs=1e-6)
+    assert cohort.gmm_fit(values, "v", 2, (1000, 2000)).isEmpty()
+    (same,) = {tuple(r) for r in cohort.gmm_fit(values.where("v = 100"), "v", 1, (0, 200)).collect()}
+    assert same == pytest.approx((1, 100, 1e-3))

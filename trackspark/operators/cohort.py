@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import nan_to_zero
-from ..functions.numerics import one_sided_fft, welch
+from ..functions.numerics import welch
 from ..schema import POSITIONS
+from .fourier import BLOCK, amplitudes
 
 
 def _buffered(low: Column, high: Column, buffer: float) -> tuple[Column, Column]:
@@ -211,15 +212,66 @@ def kde(values: DataFrame, column: str, span: tuple[float, float], resolution: i
     return rows.where("total > 0").select("x", (F.coalesce("s", F.lit(0.0)) / (F.col("total") * (h * mass))).alias("density"))
 
 
-def gmm_fit(values: DataFrame, column: str, peaks: int, span: tuple[float, float], seed: int = 1) -> DataFrame:
-    """weight, mean, sigma of each part of a Gaussian mixture fitted to the values in the span."""
-    from pyspark.ml.clustering import GaussianMixture
-    from pyspark.ml.functions import array_to_vector
+#: Added to every variance of a mixture, so that none is zero.
+LEAST_VARIANCE = 1e-6
 
-    own = values.where(F.col(column).between(*map(float, span))).select(array_to_vector(F.array(F.col(column).cast("double"))).alias("features"))
-    model = GaussianMixture(k=peaks, seed=seed, maxIter=100).fit(own)
-    parts = sorted((float(g["mean"][0]), float(g["cov"].toArray()[0][0]) ** 0.5, w) for g, w in zip(model.gaussiansDF.collect(), model.weights))
-    return values.sparkSession.createDataFrame([(w, m, s) for m, s, w in parts], "weight double, mean double, sigma double")
+
+def _part_sums(counted: DataFrame, shares: list[Column], centres: list[float], more: list[Column]) -> list[list[float]]:
+    """One pass over the counted values: for each part the sums of its shares, of the distances from its centre and of their squares; then the sums of ``more``."""
+    made = []
+    for share, m in zip(shares, centres):
+        d = F.col("v") - F.lit(m)
+        made += [F.sum(F.col("w") * share), F.sum(F.col("w") * share * d), F.sum(F.col("w") * share * d * d)]
+    row = counted.agg(*[F.coalesce(c, F.lit(0.0)).alias(f"c{i}") for i, c in enumerate([*made, *[F.sum(F.col("w") * c) for c in more]])]).first()
+    return [list(row[3 * i : 3 * i + 3]) for i in range(len(shares))] + [list(row[3 * len(shares) :])]
+
+
+def _moments(sums: list[list[float]], centres: list[float]) -> list[tuple[float, float, float]]:
+    """(weight, mean, sigma) of each part from sums about a centre; a part without a share stays where it is."""
+    total = sum(a for a, _, _ in sums)
+    out = []
+    for (a, b, q), m in zip(sums, centres):
+        shift = b / a if a > 0 else 0.0
+        out.append((a / total, m + shift, math.sqrt(max(0.0, q / a - shift * shift if a > 0 else 0.0) + LEAST_VARIANCE)))
+    return out
+
+
+def gmm_fit(values: DataFrame, column: str, peaks: int, span: tuple[float, float], most: int = 100, tolerance: float = 1e-3) -> DataFrame:
+    """weight, mean, sigma, by mean, of each part of a Gaussian mixture fitted to the values in the span; no row without values.
+
+    Expectation and maximisation, each turn one aggregate of every part's sufficient statistics over the distinct values and their counts: what comes to the driver is three numbers a part. It
+    starts from the groups of k-means, that from centres spread evenly over the values, and ends when a turn changes the mean log-likelihood by less than ``tolerance``, after ``most`` turns at the latest.
+    """
+    counted = values.where(F.col(column).between(*map(float, span))).groupBy(F.col(column).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("w")).persist()
+    try:
+        low, high = counted.agg(F.min("v"), F.max("v")).first()
+        if low is None:
+            return values.sparkSession.createDataFrame([], "weight double, mean double, sigma double")
+        centres = [low + (i + 0.5) / peaks * (high - low) for i in range(peaks)]
+        for _ in range(most):
+            away = F.array(*[F.abs(F.col("v") - F.lit(m)) for m in centres])
+            nearest = F.array_position(away, F.array_min(away))
+            sums = _part_sums(counted, [(nearest == i + 1).cast("double") for i in range(peaks)], centres, [])[:-1]
+            parts = _moments(sums, centres)
+            moved = [m for _, m, _ in parts]
+            if max(abs(a - b) for a, b in zip(centres, moved)) <= 1e-12 * max(1.0, abs(high), abs(low)):
+                break
+            centres = moved
+        before = -math.inf
+        for _ in range(most):
+            # Logarithms of the parts' densities, so that a value far from all of them still has shares.
+            logs = [F.lit(math.log(w) - math.log(s)) - 0.5 * ((F.col("v") - F.lit(m)) / s) * ((F.col("v") - F.lit(m)) / s) if w > 0 else F.lit(-math.inf) for w, m, s in parts]
+            top = F.greatest(*logs) if peaks > 1 else logs[0]
+            whole = top + F.log(sum((F.exp(x - top) for x in logs[1:]), F.exp(logs[0] - top)))
+            *sums, (likelihood,) = _part_sums(counted, [F.exp(x - whole) for x in logs], [m for _, m, _ in parts], [whole - 0.5 * math.log(2 * math.pi)])
+            parts = _moments(sums, [m for _, m, _ in parts])
+            now = likelihood / sum(a for a, _, _ in sums)
+            if abs(now - before) < tolerance:
+                break
+            before = now
+    finally:
+        counted.unpersist()
+    return values.sparkSession.createDataFrame(sorted(parts, key=lambda p: p[1]), "weight double, mean double, sigma double")
 
 
 def gmm_density_minima(parts: DataFrame, span: tuple[float, float], resolution: int = 1000) -> DataFrame:
@@ -234,16 +286,24 @@ def gmm_density_minima(parts: DataFrame, span: tuple[float, float], resolution:
     return line.withColumn("_a", F.lag("density").over(w)).withColumn("_b", F.lead("density").over(w)).where("density < _a and density < _b").select("index", "x", "density")
 
 
-def fft_spectrum(samples: DataFrame, value: str, fps: float = 30, sample: str = "trial_id", index: str = "frame") -> DataFrame:
-    """sample, k, freq, amplitude of each sample's one-sided spectrum; samples of one row have none."""
+def fft_spectrum(samples: DataFrame, value: str, fps: float = 30, sample: str = "trial_id", index: str = "frame", block: int = BLOCK) -> DataFrame:
+    """sample, k, freq, amplitude of each sample's one-sided spectrum; samples of one row have none. ``index`` counts from 0 in each sample.
+
+    A sample of up to ``block`` rows is one group; a longer one is dealt to groups of about that size, see ``fourier``.
+    """
     kind = dict(samples.dtypes)[sample]
+    own = samples.select(sample, F.col(index).cast("long").alias("pos"), nan_to_zero(F.col(value)).cast("double").alias("v"))
+    lengths = own.groupBy(sample).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        x = rows.sort_values(index)[value].to_numpy(float)
-        f, a = one_sided_fft(x, fps) if len(x) > 1 else (np.empty(0), np.empty(0))
-        return pd.DataFrame({sample: [rows[sample].iloc[0]] * len(f), "k": np.arange(len(f)), "freq": f, "amplitude": a})
-
-    return samples.select(sample, index, value).groupBy(sample).applyInPandas(run, f"{sample} {kind}, k long, freq double, amplitude double")
+        x = rows.sort_values("pos")["v"].to_numpy(float)
+        a = np.abs(np.fft.fft(x))[: len(x) // 2]
+        return pd.DataFrame({sample: [rows[sample].iloc[0]] * len(a), "n": len(x), "k": np.arange(len(a)), "amplitude": a})
+
+    short = own.join(lengths.where(F.col("n") <= block).select(sample), sample).groupBy(sample).applyInPandas(run, f"{sample} {kind}, n long, k long, amplitude double")
+    made = short.unionByName(amplitudes(own, lengths.where(F.col("n") > block), sample, block))
+    n = F.col("n")
+    return made.select(sample, "k", (F.col("k") / (n * (n / F.lit(float(fps)) / (n - 1)))).alias("freq"), "amplitude")
 
 
 def dft_spectrum(samples: DataFrame, value: str, frequencies: int, fps: float = 30, sample: str = "trial_id", index: str = "frame") -> DataFrame:

@@ -109,9 +109,24 @@ for _name in _HEIGHTS:
     _kde(_name)
 
 
-@register("gmm_fit")
+_PART = lambda i: f"w{i} * exp(-0.5 * ((v - m{i}) / s{i}) * ((v - m{i}) / s{i})) / s{i}"
+_GMM = f"""WITH RECURSIVE v AS MATERIALIZED (SELECT value AS v, count(*) AS c FROM events WHERE value BETWEEN 0 AND 400 GROUP BY value),
+ km AS (SELECT 0 AS i, min(v) + CAST(0.25 AS DOUBLE) * (max(v) - min(v)) AS a, min(v) + CAST(0.75 AS DOUBLE) * (max(v) - min(v)) AS b FROM v
+   UNION ALL SELECT i + 1, sum(CASE WHEN abs(v - a) <= abs(v - b) THEN c * v END) / sum(CASE WHEN abs(v - a) <= abs(v - b) THEN c END), sum(CASE WHEN abs(v - a) > abs(v - b) THEN c * v END) / sum(CASE WHEN abs(v - a) > abs(v - b) THEN c END) FROM km CROSS JOIN v WHERE i < 100 GROUP BY i, a, b),
+ cl AS (SELECT v, c, abs(v - a) <= abs(v - b) AS low FROM v CROSS JOIN (SELECT a, b FROM km WHERE i = 100)),
+ mo AS (SELECT low, CAST(sum(c) AS DOUBLE) AS n, sum(c * v) / sum(c) AS m, sum(c * v * v) / sum(c) - (sum(c * v) / sum(c)) * (sum(c * v) / sum(c)) AS q FROM cl GROUP BY low),
+ em AS (SELECT 0 AS i, x.n / (x.n + y.n) AS w0, x.m AS m0, sqrt(x.q + 1e-6) AS s0, y.n / (x.n + y.n) AS w1, y.m AS m1, sqrt(y.q + 1e-6) AS s1, CAST('-inf' AS DOUBLE) AS ll, FALSE AS done FROM mo x JOIN mo y ON x.low AND NOT y.low
+   UNION ALL SELECT i + 1, a0 / (a0 + a1), m0 + b0 / a0, sqrt(q0 / a0 - (b0 / a0) * (b0 / a0) + 1e-6), a1 / (a0 + a1), m1 + b1 / a1, sqrt(q1 / a1 - (b1 / a1) * (b1 / a1) + 1e-6), l / (a0 + a1), coalesce(abs(l / (a0 + a1) - ll) < 1e-3, FALSE)
+   FROM (SELECT i, m0, m1, ll, sum(c * p0 / (p0 + p1)) AS a0, sum(c * p0 / (p0 + p1) * (v - m0)) AS b0, sum(c * p0 / (p0 + p1) * (v - m0) * (v - m0)) AS q0,
+           sum(c * p1 / (p0 + p1)) AS a1, sum(c * p1 / (p0 + p1) * (v - m1)) AS b1, sum(c * p1 / (p0 + p1) * (v - m1) * (v - m1)) AS q1, sum(c * ln((p0 + p1) / sqrt(2 * pi()))) AS l
+         FROM (SELECT i, m0, m1, ll, v, c, {_PART(0)} AS p0, {_PART(1)} AS p1 FROM em CROSS JOIN v WHERE NOT done AND i < 100) GROUP BY i, m0, m1, ll)),
+ f AS (SELECT * FROM em ORDER BY i DESC LIMIT 1)
+ SELECT {s6('w0')} AS weight, {s6('m0')} AS mean, {s6('s0')} AS sigma FROM f UNION ALL SELECT {s6('w1')}, {s6('m1')}, {s6('s1')} FROM f"""
+
+
+@register("gmm_fit", _GMM)
 def gmm_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cohort.gmm_fit(events(spark, sf_dir), "value", 2, (0, 400))
+    return cohort.gmm_fit(events(spark, sf_dir), "value", 2, (0, 400)).select(*[r6(F.col(c)).alias(c) for c in ("weight", "mean", "sigma")])
 
 
 _PARTS = "p AS (SELECT count(*) / CAST(sum(count(*)) OVER () AS DOUBLE) AS weight, avg(value) AS mean, stddev_pop(value) / 4 AS sigma FROM events GROUP BY value < 150)"
@@ -131,13 +146,19 @@ def gmm_density_minima(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cohort.gmm_density_minima(parts, (0, 400)).select("index", F.round("x", 6).alias("x"), F.round("density", 9).alias("density"))
 
 
-@register(
-    "fft_spectrum",
-    f"{SQL}, c AS MATERIALIZED (SELECT trial_id, frame, xctr - 640 AS v, count(*) OVER (PARTITION BY trial_id) AS n FROM pose) SELECT trial_id, k, {s6('k / (max(n) * (max(n) / CAST(30 AS DOUBLE)) / (max(n) - 1))')} AS freq, round(sqrt(sum(v*cos(2*pi()*(k*frame%n)/n)) * sum(v*cos(2*pi()*(k*frame%n)/n)) + sum(v*sin(2*pi()*(k*frame%n)/n)) * sum(v*sin(2*pi()*(k*frame%n)/n))), 3) + CAST(0 AS DOUBLE) AS amplitude FROM (SELECT *, unnest(range(n // 2)) AS k FROM c WHERE n > 1) GROUP BY trial_id, k",
-)
-def fft_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = pose(spark, sf_dir).select("trial_id", "frame", (F.col("xctr") - 640).alias("v"))
-    return cohort.fft_spectrum(own, "v", 30).select("trial_id", "k", r6(F.col("freq")).alias("freq"), (F.round("amplitude", 3) + F.lit(0.0)).alias("amplitude"))
+_FFT = f"{SQL}, c AS MATERIALIZED (SELECT trial_id, frame, xctr - 640 AS v, count(*) OVER (PARTITION BY trial_id) AS n FROM pose) SELECT trial_id, k, {s6('k / (max(n) * (max(n) / CAST(30 AS DOUBLE)) / (max(n) - 1))')} AS freq, round(sqrt(sum(v*cos(2*pi()*(k*frame%n)/n)) * sum(v*cos(2*pi()*(k*frame%n)/n)) + sum(v*sin(2*pi()*(k*frame%n)/n)) * sum(v*sin(2*pi()*(k*frame%n)/n))), 3) + CAST(0 AS DOUBLE) AS amplitude FROM (SELECT *, unnest(range(n // 2)) AS k FROM c WHERE n > 1) GROUP BY trial_id, k"
+
+
+def _fft(name: str, block: int) -> None:
+    @register(name, _FFT)
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        own = pose(spark, sf_dir).select("trial_id", "frame", (F.col("xctr") - 640).alias("v"))
+        return cohort.fft_spectrum(own, "v", 30, block=block).select("trial_id", "k", r6(F.col("freq")).alias("freq"), (F.round("amplitude", 3) + F.lit(0.0)).alias("amplitude"))
+
+
+# Trials as one group each, and trials dealt to several groups.
+_fft("fft_spectrum", cohort.BLOCK)
+_fft("fft_spectrum_split", 256)
 
 
 @register(
