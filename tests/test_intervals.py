@@ -1,8 +1,13 @@
 """Interval and set algebra against plain sets of frames, on random inputs, and a few cases with results written out."""
 
+import collections
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from trackspark.functions.kinematics import unwrapped
+from trackspark.operators import activity, correct
 from trackspark.operators import intervals as iv
 
 N = "trial_id long, n long"
@@ -119,3 +124,25 @@ def test_sets(spark, seed):
     assert frames_of(iv.filter_flags(a, b)) == sorted(f for f in x if f not in y)
     assert frames_of(iv.match_flags(a, b)) == sorted(f for f in x if f in y)
     assert frames_of(iv.mismatch_flags(a, b)) == sorted(set(x) ^ set(y))
+
+
+@pytest.mark.parametrize("chunk", [1, 7])
+def test_trials_in_chunks(spark, chunk):
+    """Two-level scans against windows over whole trials: runs across many chunks, missing values, a trial of one frame."""
+    rng = np.random.default_rng(chunk)
+    rows = []
+    for trial, n in ((1, 60), (2, 41), (3, 1)):
+        slow = np.repeat(rng.random(n) < 0.5, rng.integers(1, 9, n))[:n]
+        angle = rng.uniform(-3.1, 3.1, n)
+        rows += [(trial, i, None if rng.random() < 0.1 else float(angle[i]), None if i % 17 == 5 else 0.0 if slow[i] else 9.0, bool(slow[i])) for i in range(n)]
+    frames = spark.createDataFrame(rows, "trial_id long, frame long, angle double, v double, flag boolean").repartition(4)
+    same = lambda a, b: collections.Counter(map(tuple, a.collect())) == collections.Counter(map(tuple, b.collect()))
+    flags = frames.where("flag").select("trial_id", "frame")
+    assert same(iv.consecutive_ranges(flags, chunk), iv.consecutive_ranges(flags))
+    own = frames.select("trial_id", "frame")
+    assert same(correct.swap_parity(own, flags, chunk), correct.swap_parity(own, flags))
+    six = lambda df: df.select("trial_id", "frame", F.round("out", 6))
+    assert same(six(unwrapped(frames, "angle", "out", chunk)), six(unwrapped(frames, "angle", "out")))
+    assert same(activity.detect_stops_in_chunks(frames, F.col("v") < 1, 1, 2, chunk), activity.detect_stops(frames, F.col("v"), 1, 1, 2))
+    for none in (iv.consecutive_ranges(flags.limit(0), chunk), activity.detect_stops_in_chunks(frames.limit(0), F.col("v") < 1, 1, 2, chunk)):
+        assert none.isEmpty()

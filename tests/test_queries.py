@@ -10,7 +10,7 @@ import __spark_entry__ as entry
 from trackspark.plans import registry
 
 DATA = "/root/testdata/sf0.001"
-SOME = ["bearing", "all_deltas", "unwrap_angle", "local_tortuosity", "flag_table", "overlap_edges_by_type", "filter_sgolay", "segment_tortuosity", "merge_ambiguous", "detect_stops", "swap_parity", "tracking_correction", "batch_correct", "interpolate_gaps", "histogram", "kde", "kde_tophat", "kde_epanechnikov", "kde_exponential", "kde_linear", "kde_cosine", "kde_scott", "kde_silverman", "load_tracks", "load_settings", "export_tracks", "filter_butter", "filter_kalman", "filter_butter_chunked", "filter_kalman_chunked", "interpolate_gaps_cubic", "interpolate_gaps_cubic_chunked", "import_distance", "correct_global_swap", "fft_spectrum", "fft_spectrum_split", "gmm_fit", "welch_psd", "swapped_segments", "validate_swaps", "event_vector", "scan_trials", "pick_trial_file", "read_track_csv", "read_analysis", "export_segments", "stream_flags", "stream_kalman"]
+SOME = ["bearing", "all_deltas", "unwrap_angle", "local_tortuosity", "flag_table", "overlap_edges_by_type", "filter_sgolay", "segment_tortuosity", "merge_ambiguous", "detect_stops", "swap_parity", "tracking_correction", "batch_correct", "interpolate_gaps", "histogram", "kde", "kde_tophat", "kde_epanechnikov", "kde_exponential", "kde_linear", "kde_cosine", "kde_scott", "kde_silverman", "load_tracks", "load_settings", "export_tracks", "filter_butter", "filter_kalman", "filter_butter_chunked", "filter_kalman_chunked", "interpolate_gaps_cubic", "interpolate_gaps_cubic_chunked", "import_distance", "correct_global_swap", "fft_spectrum", "fft_spectrum_split", "gmm_fit", "welch_psd", "swapped_segments", "validate_swaps", "event_vector", "scan_trials", "pick_trial_file", "read_track_csv", "read_analysis", "export_segments", "stream_flags", "stream_kalman", "unwrap_angle_chunked", "consecutive_ranges_chunked", "swap_parity_chunked", "detect_stops_chunked", "cross_segment_delta_angular", "cross_segment_delta_angular_chunked"]
 
 
 @pytest.fixture(scope="module")

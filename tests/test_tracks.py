@@ -190,7 +190,7 @@ def test_spectra():
     assert p.sum() * (f[1] - f[0]) == pytest.approx(0.5, rel=0.05)
 
 
-@pytest.mark.parametrize("bandwidth", [0.3, 2.0, 40.0, "scott", "silverman"])
+@pytest.mark.parametrize("bandwidth", [0.3, 40.0, "silverman"])
 def test_kernels(spark, bandwidth):
     """Every kernel against its formula at each value and grid point: ties with grid points, values outside, nulls, NaN."""
     rng = np.random.default_rng(5)
@@ -230,8 +230,7 @@ def by_trial(frames):
     return {t: g[POSITIONS].to_numpy(float) for t, g in own.groupby("trial_id")}
 
 
-@pytest.mark.parametrize("chunk", [1000, 49, 2])
-@pytest.mark.parametrize("reset", [False, True])
+@pytest.mark.parametrize(("chunk", "reset"), [(1000, True), (49, False), (2, False)])
 def test_kalman_in_chunks(gappy, chunk, reset):
     got = smoothing.filter_kalman(gappy, 30, 2, reset, chunk)
     assert got.columns == gappy.columns and got.where("note = 'note'").count() == 138
@@ -240,7 +239,7 @@ def test_kalman_in_chunks(gappy, chunk, reset):
         np.testing.assert_allclose(got[t], numerics.kalman_trial(points, 30, 2, reset), rtol=1e-9, atol=1e-9)
 
 
-@pytest.mark.parametrize("chunk", [1000, 49, 2])
+@pytest.mark.parametrize("chunk", [1000, 2])
 def test_butterworth_in_chunks(gappy, chunk):
     b, a = numerics.butter_coefficients(5, 3.0, 30)
     raw, got = by_trial(gappy), by_trial(smoothing.filter_butter(gappy, 30, 3.0, 5, chunk))
@@ -254,7 +253,7 @@ def test_recurrences_of_empty_tables(gappy):
     assert smoothing.filter_kalman(gappy.limit(0), 30).isEmpty() and smoothing.filter_butter(gappy.limit(0), 30, 3.0).isEmpty()
 
 
-@pytest.mark.parametrize("chunk", [1000, 20, 7, 1])
+@pytest.mark.parametrize("chunk", [1000, 20, 1])
 def test_spline_in_chunks(spark, gappy, chunk):
     """Chunks of any size, some without a known sample, against one solve of the whole trial; few known samples give a polynomial."""
     few = [("d", i, "note", *([float(i * i) if i in (2, 5, 9) else None] * 4), *([float(i) if i in (3, 19) else None] * 2), *([1.0 if i == 4 else None] * 2)) for i in range(24)]
@@ -272,7 +271,7 @@ def test_spline_in_chunks(spark, gappy, chunk):
     assert (np.isnan(raw["a"]) & ~np.isnan(got["a"])).any()
 
 
-@pytest.mark.parametrize("block", [4, 16, 1000])
+@pytest.mark.parametrize("block", [4, 1000])
 def test_long_spectra_are_split(spark, block):
     """Lengths that factor and lengths that do not, in groups far smaller than they are."""
     rng = np.random.default_rng(6)

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.prefix import last_before, running_sum
 from ..schema import BEFORE, SO_FAR, W, is_last, n_frames, xy
 from .geometry import Vector, norm
 
@@ -26,17 +27,21 @@ def derivative(x: Column, points: int = 2) -> Column:
     raise ValueError("derivatives use 2, 3 or 5 points")
 
 
-def unwrapped(frames: DataFrame, angle: str, out: str) -> DataFrame:
-    """``out``: the angle without jumps of 2 pi, over the non-missing samples of a trial; missing ones stay missing."""
-    known = F.when(F.col(angle).isNotNull(), F.col("frame"))
-    before = F.last(F.col(angle), ignorenulls=True).over(BEFORE())
-    d = F.col(angle) - before
+def unwrapped(frames: DataFrame, angle: str, out: str, chunk: int | None = None) -> DataFrame:
+    """``out``: the angle without jumps of 2 pi, over the non-missing samples of a trial; missing ones stay missing. With ``chunk`` a trial is unwrapped in chunks of frames, by summaries of these."""
+    known = F.col(angle).isNotNull()
+    if chunk:
+        frames_ = last_before(frames, F.col(angle), "_earlier", chunk)
+    else:
+        frames_ = frames.withColumn("_earlier", F.last(F.col(angle), ignorenulls=True).over(BEFORE()))
+    d = F.col(angle) - F.col("_earlier")
     pi = F.lit(math.pi)
     wrapped = F.pmod(d + pi, 2 * pi) - pi
     wrapped = F.when((wrapped == -pi) & (d > 0), pi).otherwise(wrapped)
     step = F.when(F.abs(d) < pi, F.lit(0.0)).otherwise(wrapped - d)
-    made = frames.withColumn("_step", F.when(known.isNotNull(), F.coalesce(step, F.lit(0.0))))
-    return made.withColumn(out, F.col(angle) + F.sum("_step").over(SO_FAR())).drop("_step")
+    made = frames_.withColumn("_step", F.when(known, F.coalesce(step, F.lit(0.0))))
+    made = running_sum(made, "_step", "_turned", chunk) if chunk else made.withColumn("_turned", F.sum("_step").over(SO_FAR()))
+    return made.withColumn(out, F.col(angle) + F.col("_turned")).drop("_step", "_earlier", "_turned")
 
 
 def speed(key: str, fps: Column | float = 1.0, points: int = 2) -> Column:

@@ -12,6 +12,7 @@ from ..schema import AFTER, BEFORE, POSITIONS, SO_FAR, TRIAL, W
 from . import segments as seg
 from .flags import SWAP, with_flags
 from .intervals import consecutive_ranges, ranges_to_list
+from .prefix import running_sum
 from .smoothing import filter_default, filter_gaussian
 from .spline import CHUNK, fill_by_spline
 
@@ -53,14 +54,20 @@ def swap_segments(frames: DataFrame, ranges: DataFrame) -> DataFrame:
     return _swapped(tagged(frames, ranges, "_swap"), F.col("_swap")).select(*frames.columns)
 
 
-def swap_parity(frames: DataFrame, flags: DataFrame | None = None) -> DataFrame:
-    """Column ``swapped``: an odd number of distinct flags lies in (0, frame]. Without ``flags``, all swap flags count, found in the same window pass."""
+def swap_parity(frames: DataFrame, flags: DataFrame | None = None, chunk: int | None = None) -> DataFrame:
+    """Column ``swapped``: an odd number of distinct flags lies in (0, frame]. Without ``flags``, all swap flags count, found in the same window pass.
+
+    With ``chunk`` flags are counted in chunks of frames, by summaries of these; then ``flags`` must be given, as they are found by windows over whole trials.
+    """
+    if chunk and flags is None:
+        raise ValueError("chunks need the flags")
     if flags is None:
         marked = with_flags(frames).withColumn("_flag", F.when(F.expr(SWAP) & (F.col("frame") > 0), 1).otherwise(0))
     else:
         marks = flags.where("frame > 0").select(*KEYS).distinct().withColumn("_flag", F.lit(1))
         marked = frames.join(marks, KEYS, "left").withColumn("_flag", F.coalesce("_flag", F.lit(0)))
-    return marked.withColumn("swapped", F.sum("_flag").over(SO_FAR()) % 2 == 1).select(*frames.columns, "swapped")
+    counted = running_sum(marked, "_flag", "_flags", chunk) if chunk else marked.withColumn("_flags", F.sum("_flag").over(SO_FAR()))
+    return counted.withColumn("swapped", F.col("_flags") % 2 == 1).select(*frames.columns, "swapped")
 
 
 def correct_global_swap(frames: DataFrame, chunk: int | None = None) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..schema import W
+from .prefix import chunked, inside
 
 BOUNDS = ["trial_id", "start_frame", "end_frame"]
 
@@ -26,9 +27,20 @@ def _S_SO_FAR() -> WindowSpec:
     return S().rowsBetween(Window.unboundedPreceding, 0)
 
 
-def consecutive_ranges(flags: DataFrame) -> DataFrame:
-    """Maximal runs of consecutive frames; repeated frames count once."""
+def consecutive_ranges(flags: DataFrame, chunk: int | None = None) -> DataFrame:
+    """Maximal runs of consecutive frames; repeated frames count once. With ``chunk`` runs are found in chunks of frames, and those that touch a chunk's ends are joined after that."""
     own = flags.select("trial_id", "frame").distinct()
+    if chunk:
+        own = chunked(own, chunk)
+        island = F.col("frame") - F.row_number().over(inside())
+        runs = own.withColumn("_i", island).groupBy("trial_id", "_chunk", "_i").agg(F.min("frame").alias("start_frame"), F.max("frame").alias("end_frame"))
+        first, last = F.col("start_frame") == F.col("_chunk") * chunk, F.col("end_frame") == (F.col("_chunk") + 1) * chunk - 1
+        whole = runs.where(~first & ~last).select("trial_id", "start_frame", "end_frame")
+        # At most two runs a chunk touch its ends; a new run begins where the one before does not end just before it.
+        open_ = runs.where(first | last)
+        new = F.coalesce(F.col("start_frame") - F.lag("end_frame").over(Window.partitionBy("trial_id").orderBy("start_frame")) > 1, F.lit(True))
+        joined = open_.withColumn("_new", new.cast("int")).withColumn("_i", F.sum("_new").over(Window.partitionBy("trial_id").orderBy("start_frame").rowsBetween(Window.unboundedPreceding, 0)))
+        return whole.unionByName(joined.groupBy("trial_id", "_i").agg(F.min("start_frame").alias("start_frame"), F.max("end_frame").alias("end_frame")).drop("_i"))
     island = F.col("frame") - F.row_number().over(W())
     return own.withColumn("_i", island).groupBy("trial_id", "_i").agg(F.min("frame").alias("start_frame"), F.max("frame").alias("end_frame")).drop("_i")
 

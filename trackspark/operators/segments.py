@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import body, head_angle, norm, vector_angle
-from ..functions.kinematics import delta_between, motion_vector, speed
+from ..functions.kinematics import delta_between, motion_vector, speed, unwrapped
 from ..schema import W, xy
 
 KEYS = ["trial_id", "start_frame", "end_frame"]
@@ -48,8 +48,15 @@ def cross_segment_delta_2d(frames: DataFrame, segments: DataFrame, key1: str, ke
     return met.select(*KEYS, norm((F.col("_bx") - F.col("_ax"), F.col("_by") - F.col("_ay"))).alias("delta"))
 
 
-def cross_segment_delta_1d(frames: DataFrame, segments: DataFrame, value: str, offset: int = 1, absolute: bool = False) -> DataFrame:
-    """Value at end + offset less that at start - offset; null where a frame is out of range."""
+def cross_segment_delta_1d(frames: DataFrame, segments: DataFrame, value: str, offset: int = 1, absolute: bool = False, angular: bool = False, chunk: int | None = None) -> DataFrame:
+    """Value at end + offset less that at start - offset; null where a frame is out of range.
+
+    ``angular``: values are angles, whose jumps of 2 pi are taken out first; a missing sample leaves all after it without a value. ``chunk``: see ``unwrapped``.
+    """
+    if angular:
+        gaps = frames.where(F.col(value).isNull()).groupBy("trial_id").agg(F.min("frame").alias("_gap"))
+        turned = unwrapped(frames.select("trial_id", "frame", value), value, "_turn", chunk).join(gaps, "trial_id", "left")
+        frames = turned.select("trial_id", "frame", F.when(F.coalesce(F.col("frame") < F.col("_gap"), F.lit(True)), F.col("_turn")).alias(value))
     at = frames.select("trial_id", F.col("frame").alias("_a"), F.col(value).alias("_va"))
     to = frames.select("trial_id", F.col("frame").alias("_b"), F.col(value).alias("_vb"))
     own = segments.select(*KEYS, (F.col("start_frame") - offset).alias("_a"), (F.col("end_frame") + offset).alias("_b"))

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.geometry import orientation
 from ..functions.kinematics import speed
 from ..operators import flags
 from ..operators import intervals as iv
 from ..operators import segments as seg
 from .fixture import SQL, pose
+from .frames import _WRAP as WRAP
 from .frames import COUNTED, MH, TM, d2, d3, r6, s6, sql_angle, sql_norm
-from .registry import register
+from .registry import ORACLES, register
 
 # Flags: frames of overlap (ov) and of stimulus (st). Pieces: runs without overlap.
 SETS = f"""{SQL},
@@ -112,6 +114,14 @@ _segments(
     lambda f: seg.cross_segment_delta_1d(f, pieces(f), "xctr", 1, True),
     f"SELECT {S}, abs(b.xctr - a.xctr) AS delta FROM seg s LEFT JOIN pose a ON a.trial_id=s.trial_id AND a.frame=s.start_frame-1 LEFT JOIN pose b ON b.trial_id=s.trial_id AND b.frame=s.end_frame+1",
 )
+_TURNED = f"""tu AS MATERIALIZED (SELECT trial_id, frame, angle + sum(step) OVER (PARTITION BY trial_id ORDER BY frame) AS angle FROM {WRAP})"""
+for _name, _chunk in (("cross_segment_delta_angular", None), ("cross_segment_delta_angular_chunked", 100)):
+    _segments(
+        _name,
+        lambda f, chunk=_chunk: _rounded(seg.cross_segment_delta_1d(f.withColumn("turn", orientation(half=False)), pieces(f), "turn", 1, angular=True, chunk=chunk), "delta"),
+        f"SELECT {S}, {s6('b.angle - a.angle')} AS delta FROM seg s LEFT JOIN tu a ON a.trial_id=s.trial_id AND a.frame=s.start_frame-1 LEFT JOIN tu b ON b.trial_id=s.trial_id AND b.frame=s.end_frame+1",
+    )
+    ORACLES[_name] = ORACLES[_name].replace(", ov AS", f", {_TURNED}, ov AS", 1).replace(",\nov AS", f",\n{_TURNED},\nov AS", 1)
 _segments("segment_distance", lambda f: _rounded(seg.segment_distance(f, pieces(f)), "dist"), f"SELECT {S}, {s6('coalesce(sum(v.md), 0)')} AS dist FROM seg s {IN} GROUP BY ALL")
 _segments(
     "segment_distance_combined",

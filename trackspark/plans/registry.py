@@ -21,4 +21,4 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-from . import corrections, distributions, files, frames, ranges, smoothing, streams  # noqa: E402, F401  they register their queries
+from . import corrections, distributions, files, frames, ranges, smoothing, streams, chunks  # noqa: E402, F401  they register their queries
