@@ -66,26 +66,28 @@ def cross_segment_delta_1d(frames: DataFrame, segments: DataFrame, value: str, o
 
 
 def _stepped(frames: DataFrame, segments: DataFrame, key: str, step: int, combined: bool, strict: bool) -> DataFrame:
-    """dist: sum of the ways from frames start, start + step, ...; combined: median over the step's phases. strict: a missing way makes it null."""
-    made = frames.withColumn("_d", delta_between(key)).withColumn("_d", F.lead("_d").over(W()))
-    rows = _sliced(made.withColumn("_n", F.max("frame").over(Window.partitionBy("trial_id"))), segments, {"d": F.col("_d"), "n": F.col("_n")})
-    rows = rows.where(F.col("frame") < F.col("n")).withColumn("phase", (F.col("frame") - F.col("start_frame")) % step)
-    if not combined or step == 1:
-        rows = rows.where("phase = 0")
-    total = F.sum("d")
+    """dist: sum of the ways from frames start, start + step, ...; combined: median over the step's phases. strict: a missing way makes it null.
+
+    Ways are summed up along each trial, for every remainder of the frame by the step, once; a segment's sum is then the difference of two of these sums, whatever its length.
+    """
+    made = frames.withColumn("_d", delta_between(key)).withColumn("_d", F.lead("_d").over(W())).withColumn("_last", F.max("frame").over(Window.partitionBy("trial_id")))
+    inside = F.col("frame") < F.col("_last")
+    so_far = Window.partitionBy("trial_id", F.col("frame") % step).orderBy("frame").rowsBetween(Window.unboundedPreceding, 0)
+    sums = made.select("trial_id", "frame", F.sum(F.when(inside, F.coalesce("_d", F.lit(0.0))).otherwise(0.0)).over(so_far).alias("_sum"), F.sum((inside & F.col("_d").isNull()).cast("int")).over(so_far).alias("_missing"))
+    lasts = frames.groupBy("trial_id").agg(F.max("frame").alias("_last"))
+    phases = F.sequence(F.lit(0).cast("long"), F.lit(step - 1 if combined else 0).cast("long"))
+    own = segments.select(*KEYS).distinct().join(lasts, "trial_id", "left").select(*KEYS, "_last", F.explode(phases).alias("phase"))
+    first, upper = F.col("start_frame") + F.col("phase"), F.least(F.col("end_frame"), F.col("_last")) - 1
+    # Two places each: the last frame of the phase in the segment, and the one before its first. Without a frame in between there is none, and the sum is zero.
+    ends = F.when(first <= upper, F.array(F.struct((first + step * F.floor((upper - first) / step)).alias("frame"), F.lit(1).alias("sign")), F.struct((first - step).alias("frame"), F.lit(-1).alias("sign"))))
+    places = own.select(*KEYS, "phase", F.explode_outer(ends).alias("p")).select(*KEYS, "phase", "p.frame", "p.sign")
+    met = places.join(sums, ["trial_id", "frame"], "left")
+    ways = met.groupBy(*KEYS, "phase").agg(F.coalesce(F.sum(F.col("sign") * F.col("_sum")), F.lit(0.0)).alias("s"), F.coalesce(F.sum(F.col("sign") * F.col("_missing")), F.lit(0)).alias("m"))
     if strict:
-        total = F.when(F.count("d") == F.count(F.lit(1)), total)
-    else:
-        total = F.coalesce(total, F.lit(0.0))
-    phases = rows.groupBy(*KEYS, "phase").agg(total.alias("s"))
-    if not combined or step == 1:
-        found = phases.select(*KEYS, F.col("s").alias("dist"), F.lit(True).alias("_any"))
-    else:
-        # Phases without a frame have sum zero and count in the median.
-        every = segments.select(*KEYS, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(step - 1).cast("long"))).alias("phase"))
-        full = every.join(phases.withColumn("_had", F.lit(True)), [*KEYS, "phase"], "left").withColumn("s", F.when(F.col("_had"), F.col("s")).otherwise(0.0))
-        found = full.groupBy(*KEYS).agg(F.when(F.count("s") == step, F.percentile("s", F.lit(0.5))).alias("dist")).withColumn("_any", F.lit(True))
-    return _with_all(segments, found).withColumn("dist", F.when(F.col("_any"), F.col("dist")).otherwise(0.0)).drop("_any")
+        ways = ways.withColumn("s", F.when(F.col("m") == 0, F.col("s")))
+    # Phases without a frame count in the median.
+    found = ways.groupBy(*KEYS).agg(F.when(F.count("s") == F.count(F.lit(1)), F.percentile("s", F.lit(0.5))).alias("dist")) if combined else ways.select(*KEYS, F.col("s").alias("dist"))
+    return _with_all(segments, found)
 
 
 def segment_distance(frames: DataFrame, segments: DataFrame, key: str = "mid", step: int = 1, combined: bool = False) -> DataFrame:
