@@ -125,7 +125,8 @@ def language(model, text):
     held = [sum(r[3] for r, p in zip(rows, path) if p == i) for i in range(k)]
     best = max(range(k), key=lambda i: (held[i], -i))
     if best == k - 1:
-        return "und", 0.0
+        rest = held[:-1] if any(held[:-1]) else [sum(np.float32(r[0][i]) for r in rows) for i in range(k - 1)]
+        return model.languages[max(range(k - 1), key=lambda i: (rest[i], -i))], 0.0
     mean, blind = model.levels
     likely = full = letters = 0.0
     for (scores, top, n, m), p in zip(rows, path):

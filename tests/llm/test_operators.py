@@ -284,7 +284,10 @@ def test_words_of_unlearned_scripts_are_evidence_for_no_language(spark):
     model = langid.train(spark.createDataFrame(train, "doc_id long, text string, lang string"))
     texts = [(1, "царь и море и дом", None), (2, "the king and the sea", None), (3, "the king and the sea царь и море и дом и дом и море", None), (4, "xq zzvj kkw", None)]
     row = langid.annotated(spark.createDataFrame(texts, "doc_id long, text string, lang string"), model, with_spans=True).orderBy("doc_id").collect()
-    assert [(r["lang_pred"], r["lang_score"]) for r in row if r["doc_id"] in (1, 3)] == [("und", 0), ("und", 0)]
+    # A learned language for every text with a letter, but without a score.
+    assert row[0]["lang_pred"] in ("en", "fr") and (row[2]["lang_pred"], row[0]["lang_score"], row[2]["lang_score"]) == ("en", 0, 0)
+    others = spark.createDataFrame([(i, t) for i, t in enumerate(["Сегодня утром президент встретился с министрами", "η θάλασσα και ο βασιλιάς", "ж", "ทะเล และ พระราชา", "12 34", "", None])], "doc_id long, text string")
+    assert [(r["lang_pred"] in ("en", "fr"), r["lang_score"]) for r in langid.annotated(others, model).orderBy("doc_id").collect()] == [(True, 0)] * 4 + [(False, 0)] * 3
     assert row[1]["lang_pred"] == "en" and row[1]["lang_score"] > 0.9 and row[3]["lang_score"] < 0.3
     assert [(s["first"], s["lang"]) for s in row[2]["spans"]] == [(0, "en"), (5, "und")]
 

@@ -241,10 +241,13 @@ def _labels(sent, name: str, texts: list, with_spans: bool) -> tuple[list, list,
             path = spans(rows[:, :-3])
             held = np.bincount(path, weights=letters, minlength=len(languages) + 1)
             at = int(held.argmax())
+            learned = at < len(languages)
+            if not learned:  # the likeliest language all the same, at a score of zero
+                at = int((held[:-1] if held[:-1].any() else rows[:, : len(languages)].sum(axis=0)).argmax())
             grams, inside = rows[:, -2], (path < len(languages)) & (rows[:, -2] > 0)
             likely = (rows[:, -3] + rows[np.arange(len(path)), path]) / WEIGHT - grams * blind[path]
             full = (grams * (mean - blind)[path])[inside].sum()
-            score = float(np.clip(likely[inside].sum() / full, 0, 1) * letters[inside].sum() / (letters[inside].sum() + held[-1])) if at < len(languages) and full > 0 else 0.0
+            score = float(np.clip(likely[inside].sum() / full, 0, 1) * letters[inside].sum() / (letters[inside].sum() + held[-1])) if learned and full > 0 else 0.0
             bounds = [0, *(np.flatnonzero(np.diff(path)) + 1).tolist(), len(path)]
             found = (names[at], score, len(bounds) - 1, [{"first": x, "end": y, "lang": names[path[x]]} for x, y in zip(bounds, bounds[1:])] if with_spans else [])
         for column, v in zip(out, found):
@@ -255,8 +258,8 @@ def _labels(sent, name: str, texts: list, with_spans: bool) -> tuple[list, list,
 def annotated(docs: DataFrame, model: Model, text: str = "text", with_spans: bool = False) -> DataFrame:
     """All columns, and lang_pred, lang_score, n_spans (and with ``with_spans``: spans, an array of first word, end word, lang).
 
-    lang_pred is ``und``, score 0, if text is null or has no letter, or if words of scripts that no language was learned in
-    hold most letters. lang_score is the mean log-probability of the text's n-grams in their spans' languages, from 0
+    lang_pred is ``und``, score 0, if text is null or has no letter. If words of scripts that no language was learned in
+    hold most letters, it is the language of most of the other letters, or of the best sum of scores, and the score is 0. lang_score is the mean log-probability of the text's n-grams in their spans' languages, from 0
     for n-grams drawn blindly to 1 for the language's own, times the share of letters in spans of a learned language; words with digits are left out of both. Without a learned language every text is ``und``. Input columns with these names are replaced.
     """
     made = ["lang_pred", "lang_score", "n_spans", *["spans"] * with_spans]
