@@ -246,6 +246,11 @@ def wide_entries(docs: DataFrame, words: int, similarity: float, common: np.ndar
     return docs.select(key, F.xxhash64(text).alias("digest"), text).mapInArrow(run, ddl)
 
 
+def apart() -> Column:
+    """Complete distance of the wide fingerprints aw0.. and bw0.. of a pair."""
+    return sum((distance_of(f"a{w}", f"b{w}") for w in WORDS[1:]), distance_of("aw0", "bw0"))
+
+
 def least_overlap(similarity: float, n: int) -> int:
     """Shingles that a text of ``n`` must share with any text as similar as that."""
     return max(1, int(np.ceil(similarity * n - 1e-9)))
@@ -273,8 +278,7 @@ def verified(pairs: DataFrame, entries: DataFrame, docs: DataFrame, words: int,
     pairs = pairs.select("a", "b").distinct()
     for side in ("a", "b"):
         pairs = pairs.join(marks.select(F.col("node").alias(side), *[F.col(w).alias(f"{side}{w}") for w in WORDS]), side)
-    apart = sum((distance_of(f"a{w}", f"b{w}") for w in WORDS[1:]), distance_of("aw0", "bw0"))
-    pairs = pairs.where(apart <= distance_for(similarity)).select("a", "b", apart.alias("apart"))
+    pairs = pairs.where(apart() <= distance_for(similarity)).select("a", "b", apart().alias("apart"))
     pairs = cut(pairs.groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b")) if nearest else pairs.select("a", "b"))
     needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     named = cut(entries.select("node", F.col(key).alias("_key"), F.col("digest").alias("_digest"), "copies").join(needed, "node"))
@@ -349,16 +353,26 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, key
         if new.count() <= total * ENOUGH_LINKS:
             break
 
+    # Lists whose texts are all of one component are done. In the others the heaviest component, a dense group as a rule, does not meet itself; all other texts meet, and
+    # the join's own condition holds the bounds and the complete distance, so it makes rows of likely pairs only and a list of unlike texts makes none.
     listed = cut(placed(components(linked)))
+    sizes_of = listed.groupBy("h", "c").agg(F.count(F.lit(1)).alias("m")).groupBy("h").agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.count(F.lit(1)).alias("parts"), F.sum("m").alias("k"))
+    mixed = spread_join(listed.drop("k"), sizes_of.where("parts > 1").select("h", "main", "k"), ["h"], "k", rows)
+    mixed = stored(mixed.select("h", "node", "n", "at", "c", (F.col("c") == F.col("main")).alias("in_main")).join(entries.select("node", *WORDS), "node"), "mixed-heads")
     # Of a pair, the smaller text has the shared shingle among the first 1 - 2 * share of its own, so two that have it later need not meet; neither need
     # texts in size bands (each 1 / similarity wide) that are not neighbours. So a passage that many texts share pairs few of them.
     share = similarity / (1 + similarity)
     band = F.floor(F.log(F.col("n")) / F.lit(float(-np.log(similarity))) + 1e-9) if similarity < 1 else F.col("n").cast("long")
-    early = listed.where(F.col("at") <= F.col("n") * F.lit(1 - 2 * share) + 1e-9).select("h", F.explode(F.array(band, band + 1)).alias("band"), "c", F.col("node").alias("a"), F.col("n").alias("na"), F.col("at").alias("ia"))
-    right = listed.select("h", band.alias("band"), F.col("c").alias("other"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("at").alias("ib"))
-    ways = early.select("h", "band", "c").distinct().join(right.select("h", "band", "other").distinct(), ["h", "band"]).where("c <> other")
-    cross = early.join(ways, ["h", "band", "c"]).join(right, ["h", "band", "other"]).where((F.col("na") <= F.col("nb")) & enough & sizes)
+    early = mixed.where(F.col("at") <= F.col("n") * F.lit(1 - 2 * share) + 1e-9).select("h", F.explode(F.array(band, band + 1)).alias("band"), "c", "in_main", F.col("node").alias("a"), F.col("n").alias("na"), F.col("at").alias("ia"), *[F.col(w).alias(f"a{w}") for w in WORDS])
+    right = mixed.select("h", band.alias("band"), F.col("c").alias("other"), F.col("in_main").alias("other_main"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("at").alias("ib"), *[F.col(w).alias(f"b{w}") for w in WORDS])
+    likely = (F.col("c") != F.col("other")) & (F.col("na") <= F.col("nb")) & enough & sizes & (apart() <= distance_for(similarity))
+    keys = ["h", "band"]
+    same = lambda x, y: [x[k] == y[k] for k in keys]
+    meet = lambda x, y: x.join(y, [*same(x, y), likely]).select("a", "b")
+    others, few = early.where("not in_main"), right.where("not other_main")
+    cross = meet(others, right).union(meet(early.where("in_main"), few))
     found = components(linked.union(check(cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))))
+    discard(mixed)
 
     if n_repeats:
         found = found.union(entries.where("copies > 1").select("node", F.col("node").alias("component")).join(found, "node", "left_anti"))
