@@ -61,10 +61,46 @@ def test_empty_tables(none):
         assert df.count() == 0
 
 
+def openssh(cipher: bytes = b"none", section: bytes | None = None, tag: int = 0) -> bytes:
+    """A private key blob made by the format's rules."""
+    field = lambda x: len(x).to_bytes(4, "big") + x
+    public = field(b"ssh-ed25519") + field(bytes(range(32)))
+    section = b"abcdabcd" + public + field(bytes(64)) + field(b"me@here") + bytes(range(1, 5)) if section is None else section
+    return b"openssh-key-v1\0" + field(cipher) + field(b"none") + field(b"") + (1).to_bytes(4, "big") + field(public) + field(section) + bytes(tag)
+
+
+def test_wrapped_and_colon_keys_and_any_json_header():
+    der = bytes([0x30, 0x3A, 0x02, 0x01, 0x00, 0x04, 0x35]) + bytes(range(53))
+    kinds = lambda t: [k for *_, k in secrets.confirmed_spans(t)]
+    for data, kind in ((der, "der"), (openssh(), "openssh"), (openssh(b"aes256-ctr", bytes(64)), "openssh"), (openssh(b"aes256-gcm@openssh.com", bytes(64), 16), "openssh")):
+        b64, digits = base64.b64encode(data).decode(), data.hex()
+        lines = lambda x, n: [x[i : i + n] for i in range(0, len(x), n)]
+        for run in (b64, "\n".join(lines(b64, 64)), "\r\n  ".join(lines(b64, 32)), "\\n".join(lines(b64, 64)), digits, digits.upper(), ":".join(lines(digits, 2)), "\n".join(lines(digits, 32)), ":\n    ".join(":".join(lines(x, 2)) for x in lines(digits, 30))):
+            for before, after in (("", ""), ("x ", " y"), ("key/", "\nbe well, Anna"), ('"', '",')):
+                found = secrets.confirmed_spans(before + run + after)
+                assert found == [(len(before), len(before) + len(run), kind)], (run, before, found)
+        # Longer runs and cut ones are something else.
+        assert kinds(b64.rstrip("=") + "AB") == kinds(b64[:-8]) == kinds(digits + "ab") == kinds(digits[:-2]) == []
+    for data in (openssh(section=b"abcdabce" + bytes(64)), openssh(section=b"abcdabcd\0\0\0\7ssh-rsa" + bytes(64)), openssh(b"aes256-ctr", bytes(63)), b"openssh-key-v1\0" + b"\0\0\0\4none\0\0\0\4none\0\0\0\0\0\0\0\1garbage that is no public key at all"):
+        assert kinds(base64.b64encode(data).decode()) == kinds(data.hex()) == []
+    part = lambda x: base64.urlsafe_b64encode(x.encode()).decode().rstrip("=")
+    for header in ('{"alg":"none"}', '{ "alg": "HS256" }', '{\n  "alg": "HS256",\n  "typ": "JWT"\n}', '\n{"alg":"HS256"}', '\t{"alg":"HS256"}', ' {"alg":"HS256"}'):
+        token = f'{part(header)}.{part(json.dumps({"sub": "me"}))}.c2ln'
+        for before in ("", "x ", "Information-about-it.", "eyJub3RhaGVhZGVy.x."):
+            assert secrets.confirmed_spans(before + token + " y") == [(len(before), len(before) + len(token), "jwt")]
+    assert kinds(f'{part("[1, 2, 3, 4]")}.{part("{}")}.c2ln') == kinds("Corporation-wide.documents.example") == []
+
+
+def test_secrets_take_keys_of_any_type(spark):
+    for kind in ("smallint", "int", "decimal(9,0)", "string", "date"):
+        got = secrets.scan_secrets(spark.sql(f"select cast(null as {kind}) doc_id, 'token=abcdef' text")).collect()
+        assert [(r["doc_id"], r["n_assign"]) for r in got] == [(None, 1)]
+
+
 def test_secrets(spark, docs):
     der = bytes([0x30, 0x3A, 0x02, 0x01, 0x00, 0x04, 0x35]) + bytes(range(53))
     b64, jwt = base64.b64encode(der).decode(), ".".join(base64.urlsafe_b64encode(json.dumps(x).encode()).decode().rstrip("=") for x in ({"alg": "HS256"}, {"sub": "me"})) + ".c2ln"
-    ssh = base64.b64encode(b"openssh-key-v1\0" + b"\0\0\0\4none\0\0\0\4none\0\0\0\0\0\0\0\1" + bytes(40)).decode()
+    ssh = base64.b64encode(openssh()).decode()
     pem = f"-----BEGIN PRIVATE KEY-----\n{b64[:40]}\n{b64[40:]}\n-----END PRIVATE KEY-----"
     kinds = lambda t: [k for *_, k in secrets.confirmed_spans(t)]
     assert kinds(f"x {b64} y") == ["der"] and kinds(f"x {der.hex()} y") == ["der"] and kinds(jwt) == ["jwt"] and kinds(ssh) == ["openssh"] and kinds(pem) == ["pem"]

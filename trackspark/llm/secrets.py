@@ -1,8 +1,8 @@
 """Operator 1: secret scans with structural confirmation.
 
 Pattern findings come first; then base64 and hex candidates are decoded, and only those whose bytes parse
-as a private key (DER whose nested lengths fit and whose members are those of a private key, or the length-prefixed fields of an openssh-key-v1 blob) or as a signed
-token (three base64url segments, a JSON header that names an algorithm) are reported as spans of their own. Public keys and certificates are no secrets.
+as a private key (DER whose nested lengths fit and whose members are those of a private key, or an openssh-key-v1 blob whose public keys and private section are walked field by field) or as a signed
+token (three base64url segments, a JSON header that names an algorithm) are reported as spans of their own. A candidate may be wrapped in lines, hex may have colons; where it ends follows from the lengths in it. Public keys and certificates are no secrets.
 """
 
 from __future__ import annotations
@@ -12,10 +12,11 @@ import binascii
 import hashlib
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import by_groups, row_groups
 
@@ -26,11 +27,16 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 #: Order of kinds for spans with the same start.
 KINDS = ["assign", "access", "hex", "pem", "der", "openssh", "jwt"]
 
-# Candidates of the decoders. Both start sets follow from what they must decode to.
-BASE64_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
-HEX_RUN = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){20,}(?![0-9A-Fa-f])")
+# Candidates of the decoders. The first characters follow from what they must decode to: a DER sequence, the openssh magic, a JSON object after white space or none.
+LINE_END = r"(?:\\r)?\\n|\r?\n[\x20\t]*"
+BREAK = re.compile(LINE_END)
+BASE64_START = re.compile(r"(?:M(?<![A-Za-z0-9+]M)[A-I]|b(?<![A-Za-z0-9+]b)3BlbnNzaC1rZXkt)(?=[A-Za-z0-9+/_-]{14}|djEA)")
+BASE64_BODY = re.compile(rf"[A-Za-z0-9+/_-]+(?:(?:{LINE_END})[A-Za-z0-9+/_-]+)*")
+HEX_START = re.compile(r"3(?<![0-9A-Fa-f]3)0(?=:?[0-9A-Fa-f]{2}:?[0-9A-Fa-f]{2})|6(?<![0-9A-Fa-f]6)[Ff](?=:?70:?65:?6[Ee])")
+HEX_BODY = re.compile(rf"[0-9A-Fa-f]+(?:(?::|:?(?:{LINE_END}))[0-9A-Fa-f]+)*")
+HEX_BREAK = re.compile(rf":?(?:{LINE_END})|:")
 PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----([A-Za-z0-9+/=\s\\]+?)-----END \1-----")
-JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
+JWT = re.compile(r"([eICD](?<![A-Za-z0-9_-][eICD])[A-Za-z0-9_-]{12,})(?=\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*))")
 OPENSSH = b"openssh-key-v1\x00"
 
 
@@ -92,18 +98,62 @@ def is_der_key(data: bytes) -> bool:
     return tags == [0x30, 0x04] and parts[0][1][:1] == b"\x06"
 
 
-def is_openssh(data: bytes) -> bool:
-    """The magic, then cipher, kdf and kdf options as length-prefixed strings, a key count, and that many public keys."""
+def ssh_string(data: bytes, at: int, end: int) -> int | None:
+    """End of the length-prefixed string at ``at``, if it ends by ``end``."""
+    if at + 4 > end:
+        return None
+    after = at + 4 + int.from_bytes(data[at : at + 4], "big")
+    return after if after <= end else None
+
+
+def ssh_fields(data: bytes, at: int, end: int) -> list[bytes] | None:
+    """The strings that fill ``data`` from ``at`` to ``end`` exactly."""
+    out = []
+    while at < end:
+        after = ssh_string(data, at, end)
+        if after is None:
+            return None
+        out.append(data[at + 4 : after])
+        at = after
+    return out
+
+
+def openssh_end(data: bytes) -> int | None:
+    """End of the private key blob that ``data`` begins with, if every field of it is right.
+
+    After the magic stand cipher, kdf and its options, a key count, as many public keys (a name of an algorithm and at least one more field, which fill their
+    string exactly) and the private section. A section in the clear has the same check number twice and then the first public key's algorithm; an encrypted one fills whole blocks,
+    and ciphers with a tag of their own have it after the section.
+    """
     if not data.startswith(OPENSSH):
-        return False
-    at = len(OPENSSH)
-    for k in range(3):
-        n = int.from_bytes(data[at : at + 4], "big")
-        at += 4 + n
-        if n > 256 or at > len(data):
-            return False
-    keys = int.from_bytes(data[at : at + 4], "big")
-    return 1 <= keys <= 16 and at + 4 < len(data)
+        return None
+    at, head = len(OPENSSH), []
+    for _ in range(3):
+        after = ssh_string(data, at, min(len(data), at + 260))
+        if after is None:
+            return None
+        head.append(data[at + 4 : after])
+        at = after
+    keys, at = int.from_bytes(data[at : at + 4], "big"), at + 4
+    if not 1 <= keys <= 16:
+        return None
+    kinds = []
+    for _ in range(keys):
+        after = ssh_string(data, at, len(data))
+        fields = ssh_fields(data, at + 4, after) if after else None
+        if not fields or len(fields) < 2 or not re.fullmatch(rb"[a-z0-9@.-]{3,64}", fields[0]):
+            return None
+        kinds.append(fields[0])
+        at = after
+    after = ssh_string(data, at, len(data))
+    if after is None:
+        return None
+    section = data[at + 4 : after]
+    if head[0] == b"none":
+        name = section[12 : 12 + int.from_bytes(section[8:12], "big")]
+        return after if section[:4] == section[4:8] and name == kinds[0] else None
+    tag = 16 if head[0].split(b"@")[0].endswith((b"gcm", b"poly1305")) else 0
+    return after + tag if section and len(section) % 8 == 0 and after + tag <= len(data) else None
 
 
 def decoded(run: str) -> bytes:
@@ -115,6 +165,14 @@ def decoded(run: str) -> bytes:
         return b""
 
 
+def unhexed(run: str) -> bytes:
+    """Bytes of a run of hex digits, an odd last one left out; empty if it does not decode."""
+    try:
+        return bytes.fromhex(run[: len(run) // 2 * 2])
+    except ValueError:
+        return b""
+
+
 def is_jwt(header: str, payload: str) -> bool:
     """The header is a JSON object with an algorithm; the payload is one too, or is encrypted (header names enc)."""
     try:
@@ -126,8 +184,57 @@ def is_jwt(header: str, payload: str) -> bool:
         return False
 
 
+def der_size(head: bytes) -> int | None:
+    """Bytes of the DER sequence that begins with these 10, if its first member can be a private key's: a version of 0 or 1, or a sequence."""
+    if len(head) < 6 or head[0] != 0x30:
+        return None
+    k = head[1] & 0x7F if head[1] & 0x80 else 0
+    n = int.from_bytes(head[2 : 2 + k], "big") if k else head[1]
+    inner = head[2 + k : 5 + k]
+    return 2 + k + n if k <= 4 and (inner in (b"\2\1\0", b"\2\1\1") or inner[:1] == b"\x30") else None
+
+
 def key_kind(data: bytes) -> str | None:
-    return "openssh" if is_openssh(data) else "der" if is_der_key(data) else None
+    return "openssh" if openssh_end(data) == len(data) else "der" if is_der_key(data) else None
+
+
+def key_spans(text: str, start: re.Pattern, body: re.Pattern, breaks: re.Pattern, decode: Callable[[str], bytes], chars: Callable[[int], int], padding: str = "") -> Iterator[tuple[int, int, str]]:
+    """Spans of bare keys whose characters begin where ``start`` matches. ``chars``: how many encode so many bytes. A key ends with its line or piece."""
+    done = 0
+    for m in start.finditer(text):
+        if m.start() < done:
+            continue
+        first = decode(breaks.sub("", text[m.start() : m.start() + 32])[:20])
+        size = der_size(first)
+        if size is None:
+            # The magic, and the length of a cipher's name.
+            head = decode(breaks.sub("", text[m.start() : m.start() + 96])[: chars(21) // 4 * 4]) if first.startswith(OPENSSH[:4]) else b""
+            if not head.startswith(OPENSSH + b"\0\0"):
+                continue
+        # All pieces up to the stated length; an openssh blob states its length only in its fields.
+        most = len(text) if size is None else m.start() + 4 * chars(size) + 64
+        run = body.match(text, m.start(), most)
+        pieces, at = [], m.start()
+        for x in breaks.finditer(text, m.start(), run.end()):
+            pieces.append((at, x.start()))
+            at = x.end()
+        pieces.append((at, run.end()))
+        joint = "".join(text[a:b] for a, b in pieces)
+        if size is None:
+            size, kind = openssh_end(decode(joint[: len(joint) - (len(joint) % 4 == 1)])), "openssh"
+        else:
+            kind = "der"
+        if size is None or len(joint) < chars(size) or kind == "der" and not is_der_key(decode(joint[: chars(size)])):
+            continue
+        left = chars(size)
+        for a, b in pieces:
+            if left <= b - a:
+                break
+            left -= b - a
+        if left == b - a:
+            after = text[b : b + 2]
+            done = b + len(after) - len(after.lstrip(padding) if padding else after)
+            yield m.start(), done, kind
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -143,14 +250,14 @@ def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
     """What the decoders confirm: PEM blocks, bare base64 or hex keys outside them, signed tokens."""
     out = []
     if "-----BEGIN" in text:
-        out = [(*m.span(), "pem") for m in PEM.finditer(text) if key_kind(decoded(re.sub(r"\\n|\s", "", m[2])))]
-    if "eyJ" in text:
-        out += [(*m.span(), "jwt") for m in JWT.finditer(text) if is_jwt(m[1], m[2])]
-    for pattern, decode in ((BASE64_RUN, decoded), (HEX_RUN, bytes.fromhex)):
-        for m in pattern.finditer(text):
-            if not any(a <= m.start() < b for a, b, _ in out) and (kind := key_kind(decode(m[0]))):
-                out.append((*m.span(), kind))
-    return out
+        out = [(*m.span(), "pem") for m in PEM.finditer(text) if key_kind(decoded(re.sub(r"\\[nr]|\s", "", m[2])))]
+    last = 0
+    for m in JWT.finditer(text):
+        if m.start() >= last and is_jwt(m[1], m[2]):
+            last = m.end(3)
+            out.append((m.start(), last, "jwt"))
+    bare = [*key_spans(text, BASE64_START, BASE64_BODY, BREAK, decoded, lambda n: (4 * n + 2) // 3, "="), *key_spans(text, HEX_START, HEX_BODY, HEX_BREAK, unhexed, lambda n: 2 * n)]
+    return out + [x for x in bare if not any(a <= x[0] < b for a, b, _ in out)]
 
 
 def joined(spans: list[tuple[int, int, str]]) -> str:
@@ -194,12 +301,13 @@ def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     """One row a document: key, counts of the base kinds, the digest of the base spans, all spans.
 
     Null text counts as empty (no spans). Null keys and repeated rows give rows of their own; other
-    columns are not read. Overlapping findings of different kinds are all kept. Offsets are code points.
+    columns are not read. Overlapping findings of different kinds are all kept. Offsets are code points. An empty table gives an empty
+    one; a text is scanned whole, by one task, however long.
     """
     kind = dict(docs.dtypes)[key]
-    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    arrow = to_arrow_type(docs.schema[key].dataType)
     work, schema = _rows(key, arrow, False)
-    ddl = f"{key} {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
+    ddl = f"`{key}` {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
     return docs.select(key, text).mapInArrow(by_groups(work, schema, key, text), ddl)
 
 
