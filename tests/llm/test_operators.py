@@ -491,9 +491,20 @@ def test_held_out_texts_are_likelier_than_under_counts(spark):
     alone = lambda w: (one[w] + 0.1) / (total + 0.1 * (distinct + 1))
     pair = lambda a, w: (two[a, w] + 50 * alone(w)) / (start[a] + 50)
     bigram = sum(np.log10(pair(a, w)) for h, t in rows if h for a, w in zip([b"", *t], t))
-    got = lbl.score_documents(docs).where("held_out").agg(F.sum("base_score"), F.sum("score"), F.sum("n_tokens")).first()
+    sums = lambda parts: lbl.score_documents(docs.repartition(parts)).where("held_out").agg(F.sum("base_score"), F.sum("score"), F.sum("n_tokens")).first()
+    got, more = sums(4), sums(64)
     print("per token: base", got[0] / got[2], "bigram counts", bigram / got[2], "model", got[1] / got[2])
-    assert got[1] / got[2] > got[0] / got[2] + 0.15
+    assert got[1] / got[2] > got[0] / got[2] + 0.25
+    # The model depends on the documents, not on their partitions.
+    assert more[2] == got[2] and abs(more[1] - got[1]) < 1e-6 * abs(got[1])
+
+
+def test_more_shards_still_learn(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    monkeypatch.setattr(lbl.train, "__defaults__", (*lbl.train.__defaults__[:-1], 30_000))
+    got = [lbl.score_documents(docs.repartition(n)).where("held_out").agg(F.sum("base_score"), F.sum("score"), F.sum("n_tokens")).first() for n in (3, 17)]
+    print("per token, shards of 30,000 tokens: base", got[0][0] / got[0][2], "model", got[0][1] / got[0][2])
+    assert got[0][1] / got[0][2] > got[0][0] / got[0][2] + 0.1 and abs(got[0][1] - got[1][1]) < 1e-6 * abs(got[0][1])
 
 
 def test_shards(docs):

@@ -4,8 +4,9 @@ Token counts cover the whole training part and are kept as a table. A token's pr
 share of the class after the word before. The most frequent words are classes of their own; all others share classes by their
 ending, of which there are more the more distinct tokens there are. A class is predicted by the dot product of its vector with the
 sum of a vector for each context word (by its class and place), plus a bias; a token in its class by its smoothed count, weighted
-with the dot product of its vector and one of the word before. Every Spark task trains on the tokens of its own
-partition, from the same start, and the parameters are averaged by tokens; that in some rounds, each on its part of the documents. As the score of a class is a sum of one part for each
+with the dot product of its vector and one of the word before. Training documents are dealt to shards by a hash of key and text, so many that a shard
+has SHARD_TOKENS tokens or so: the shards, and so the model, depend on the documents alone, not on partitions or tasks. Every shard is trained on from the same start, and the parameters are averaged by tokens; that in some rounds, each on
+its part of the documents. As the score of a class is a sum of one part for each
 context word, the normaliser of every pair of context words is one entry of a product of two matrices, and so are the classes' own normalisers
 a table of classes by classes: scores are exact, normalised log-probabilities and cost some look-ups a token.
 """
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, resident, row_groups, stored
+from .common import GROUP_CHARS, discard, resident, row_groups, stored
 
 #: Words that are classes of their own, and the most classes that others share (one for each 32 distinct tokens below that).
 SINGLES, SHARED = 768, 768
@@ -30,8 +31,10 @@ SINGLES, SHARED = 768, 768
 WIDTH, INNER, CONTEXT = 24, 8, 2
 #: Noise words that a minibatch of classes shares, its size, that of a minibatch within classes (a noise word each), the Adagrad step and its first square.
 NOISE, BATCH, OWN_BATCH, STEP, FIRST = 64, 2048, 4096, 0.07, 1e-6
-#: Rounds of training and averaging; a document belongs to one.
-ROUNDS = 3
+#: Rounds of training and averaging; a document belongs to one. Tokens of a shard, about; the number of shards grows with the corpus.
+ROUNDS, SHARD_TOKENS = 3, 1_000_000
+#: Characters that a token counts for when texts are grouped.
+CHARS_A_TOKEN = 6
 #: Slots of the table that noise words within classes are drawn from.
 SLOTS = 1 << 20
 #: Most words with a vector of their own, whose counts are sent to the tasks; the counts of others are joined by a shuffle.
@@ -245,34 +248,49 @@ def contexts(classes: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return out
 
 
-def train(docs: DataFrame, vocabulary, key: str = "doc_id", text: str = "text", rounds: int = ROUNDS) -> dict[str, np.ndarray]:
-    """Parameters after one pass over all tokens, in rounds: a round's tasks begin with the average of the round before, and see the documents whose hash names it."""
-    begin = None
+def train(docs: DataFrame, vocabulary, key: str = "doc_id", text: str = "text", rounds: int = ROUNDS, shard_tokens: int = SHARD_TOKENS) -> dict[str, np.ndarray]:
+    """Parameters after one pass over all tokens, in rounds: a round's shards begin with the average of the round before, and hold the documents whose hash names it.
+
+    Rows equal in key and text go to one shard.
+    """
+    begin, shards = None, max(1, round(vocabulary.value.total / rounds / shard_tokens))
+    dealt = docs.select(text, F.xxhash64(key, text).alias("_hash"))
     for k in range(rounds):
-        part = docs.where(F.pmod(F.xxhash64(key, text), F.lit(rounds)) == k)
+        part = dealt.where(F.pmod("_hash", F.lit(rounds)) == k).withColumn("_shard", F.pmod(F.xxhash64("_hash"), F.lit(shards)))
         sent = docs.sparkSession.sparkContext.broadcast((begin, k))
-        begin = train_round(part, vocabulary, sent, text) or begin
+        begin = train_round(part.repartition(shards, "_shard").sortWithinPartitions("_shard", "_hash"), vocabulary, sent, text) or begin
         sent.unpersist()
     return begin[0] if begin else start(vocabulary.value)
 
 
 def train_round(docs: DataFrame, vocabulary, begin, text: str) -> tuple[dict, dict] | None:
-    """Average, weighted by tokens, of the parameters and sums of squares that the tasks reach in one pass over these documents; none without a token.
+    """Average, weighted by tokens, of the parameters and sums of squares that the shards reach in one pass over these documents, sorted by ``_shard`` in their partitions; none without a token.
 
-    What a task returns is as large as the model, whose size has a bound; the averages are formed in a tree of tasks, and only the last few rows come to the driver.
+    What a shard returns is as large as the model, whose size has a bound; the averages are formed in a tree of tasks, and only the last few rows come to the driver.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+    def packed(trainer: Trainer) -> pa.RecordBatch:
+        data = np.concatenate([x[k].ravel() for x in (trainer.p, trainer.squares) for k in sorted(x)]).astype("<f4")
+        return pa.RecordBatch.from_arrays([pa.array([data.tobytes()], pa.binary()), pa.array([trainer.trained], pa.int64())], names=["data", "weight"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, number = begin.value
-        trainer = Trainer(vocabulary.value, TaskContext.get().partitionId() * ROUNDS + number, first)
+        trainer, shard, held, size = None, None, [], 0
+        # Texts are learned in groups of GROUP_CHARS that end with their shard, wherever the batches end.
         for batch in batches:
-            for a, b in row_groups(batch.column(0)):
-                trainer.learn([tokens(t) for t in batch.column(0).slice(a, b - a).to_pylist()])
-        if trainer.trained:
-            data = np.concatenate([x[k].ravel() for x in (trainer.p, trainer.squares) for k in sorted(x)]).astype("<f4")
-            yield pa.RecordBatch.from_arrays([pa.array([data.tobytes()], pa.binary()), pa.array([trainer.trained], pa.int64())], names=["data", "weight"])
+            for t, k in zip(batch.column(0), batch.column(1).to_pylist()):
+                if held and (k != shard or size > GROUP_CHARS):
+                    trainer.learn(held)
+                    held, size = [], 0
+                if k != shard:
+                    if trainer:
+                        yield packed(trainer)
+                    trainer, shard = Trainer(vocabulary.value, k * ROUNDS + number, first), k
+                held.append(tokens(t.as_py()))
+                size += len(held[-1]) * CHARS_A_TOKEN
+        if trainer:
+            trainer.learn(held)
+            yield packed(trainer)
 
     def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, weight = None, 0
@@ -283,7 +301,7 @@ def train_round(docs: DataFrame, vocabulary, begin, text: str) -> tuple[dict, di
         if weight:
             yield pa.RecordBatch.from_arrays([pa.array([(total / weight).astype("<f4").tobytes()], pa.binary()), pa.array([weight], pa.int64())], names=["data", "weight"])
 
-    parts = stored(docs.select(text).mapInArrow(run, "data binary, weight long"), "lbl-parts")
+    parts = stored(docs.select(text, "_shard").mapInArrow(run, "data binary, weight long"), "lbl-parts")
     made = [parts]
     n = parts.count()
     while n > 4:
