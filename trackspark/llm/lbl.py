@@ -270,8 +270,8 @@ def train_round(docs: DataFrame, vocabulary, begin, text: str) -> tuple[dict, di
     """
 
     def packed(trainer: Trainer) -> pa.RecordBatch:
-        data = np.concatenate([x[k].ravel() for x in (trainer.p, trainer.squares) for k in sorted(x)]).astype("<f4")
-        return pa.RecordBatch.from_arrays([pa.array([data.tobytes()], pa.binary()), pa.array([trainer.trained], pa.int64())], names=["data", "weight"])
+        data = np.concatenate([x[k].ravel() for x in (trainer.p, trainer.squares) for k in sorted(x)]).astype("<f4", copy=False)
+        return pa.RecordBatch.from_arrays([pa.array([memoryview(data).cast("B")], pa.binary()), pa.array([trainer.trained], pa.int64())], names=["data", "weight"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, number = begin.value
@@ -285,6 +285,7 @@ def train_round(docs: DataFrame, vocabulary, begin, text: str) -> tuple[dict, di
                 if k != shard:
                     if trainer:
                         yield packed(trainer)
+                        trainer = None  # before the next one takes memory
                     trainer, shard = Trainer(vocabulary.value, k * ROUNDS + number, first), k
                 held.append(tokens(t.as_py()))
                 size += len(held[-1]) * CHARS_A_TOKEN
