@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -65,6 +66,13 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Have shuffle files of plans that nothing refers to any more deleted: Spark's cleaner acts only when the driver's heap is
+    collected, which a long row of small plans may not bring about before the disks are full."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def spread_join(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
     """Inner join of ``rows`` with ``groups``, one row a key, whose column ``size`` says how many of the ``total`` rows have the key.
 

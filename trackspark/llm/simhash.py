@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, discard, row_groups, spread_join, stored
+from .common import components, cut, discard, release, row_groups, spread_join, stored
 
 BITS = 64
 SEED = 42
@@ -292,6 +292,7 @@ def verified(pairs: DataFrame, entries: DataFrame, docs: DataFrame, words: int,
     both = pairs.join(left, "a").join(right, "b").withColumn("both", F.size(F.array_intersect("sa", "sb")))
     good = cut(both.where(F.col("both") >= F.lit(similarity) * (F.size("sa") + F.size("sb") - F.col("both")) - 1e-9).select("a", "b").distinct())
     discard(sets)
+    release(docs.sparkSession)
     return good
 
 
@@ -331,6 +332,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, key
     lists = heads.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
     live = stored(spread_join(heads, lists, ["h"], "k", entries.agg(F.coalesce(F.sum(F.size("heads")), F.lit(0))).first()[0]), "shared-heads")
     rows = live.count()
+    release(docs.sparkSession)
 
     # A pair that is similar enough passes at the first shingle it shares: what follows that one must make up the overlap.
     needed = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("na") + F.col("nb")) - 1e-9)
