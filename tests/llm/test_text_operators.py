@@ -215,7 +215,7 @@ def test_keys_of_any_type(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the given tables")
-@pytest.mark.parametrize("name", ["op11_fenwick_infill", "op12_geometric_blocks"])
+@pytest.mark.parametrize("name", ["op10_repeated_windows", "op11_fenwick_infill", "op12_geometric_blocks"])
 def test_queries_give_the_rows_of_their_sql(spark, name):
     con = duckdb.connect()
     for f in ("documents", "benchmark"):

@@ -94,6 +94,14 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(body) AS text_sha256
         FROM t WINDOW same AS (PARTITION BY body)""",
+    "op10_repeated_windows": rf"""
+        WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, 9223372036854775807) AS id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        p AS (SELECT r, id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM t),
+        s AS (SELECT r, id, i, word, {" || ' ' || ".join(f"lead(word, {j}) OVER o" for j in range(13))} AS win FROM p WINDOW o AS (PARTITION BY r ORDER BY i)),
+        x AS (SELECT r, i, word, win IS NOT NULL AND id > min(id) OVER (PARTITION BY win) AS later FROM s),
+        g AS (SELECT r, i, word, max(later) OVER (PARTITION BY r ORDER BY i ROWS 12 PRECEDING) AS gone FROM x),
+        k AS (SELECT r, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS body FROM g GROUP BY r)
+        SELECT doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(body, '')) AS kept_sha256 FROM t LEFT JOIN k USING (r)""",
     "op11_fenwick_infill": """
         WITH t AS (SELECT doc_id, coalesce(text, '') AS body, length(coalesce(text, '')) AS n, sha256('1:' || doc_id) AS h FROM documents),
         d AS (SELECT *, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (n + 1) AS a, CAST('0x' || substr(h, 9, 8) AS BIGINT) % (n + 1) AS b,
