@@ -315,3 +315,12 @@ def test_mixture_is_a_stationary_point_of_the_likelihood(spark):
     assert cohort.gmm_fit(values, "v", 2, (1000, 2000)).isEmpty()
     (same,) = {tuple(r) for r in cohort.gmm_fit(values.where("v = 100"), "v", 1, (0, 200)).collect()}
     assert same == pytest.approx((1, 100, 1e-3))
+
+
+def test_no_window_reads_a_trial_to_its_end_for_every_row(spark):
+    """Such a window is read anew for every row, which is quadratic in a trial's frames."""
+    own = track(spark, [[float(i)] * 8 for i in range(5)])
+    ambiguous = spark.createDataFrame([(1, 0, 1)], "trial_id long, start_frame long, flag int")
+    made = [correct.remove_edge_frames(own), correct.remove_overlaps(own, 30), correct.interpolate_gaps(own, "linear"), *[ambiguous.withColumn("f", of()) for of in (segments.fill_ambiguous_following, segments.merge_ambiguous)]]
+    for df in made:
+        assert "unboundedfollowing$()))" not in df._jdf.queryExecution().analyzed().toString().replace("unboundedpreceding$(), unboundedfollowing$()", "")
