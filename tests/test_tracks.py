@@ -324,3 +324,23 @@ def test_no_window_reads_a_trial_to_its_end_for_every_row(spark):
     made = [correct.remove_edge_frames(own), correct.remove_overlaps(own, 30), correct.interpolate_gaps(own, "linear"), *[ambiguous.withColumn("f", of()) for of in (segments.fill_ambiguous_following, segments.merge_ambiguous)]]
     for df in made:
         assert "unboundedfollowing$()))" not in df._jdf.queryExecution().analyzed().toString().replace("unboundedpreceding$(), unboundedfollowing$()", "")
+
+
+def test_batches_end_with_a_group(spark):
+    from trackspark.operators.batches import in_batches, lists
+
+    rows = spark.range(1000).selectExpr("concat('t', id % 7) trial_id", "id % 3 _chunk", "id frame").repartition(3)
+
+    def of(table, groups):
+        return table.select(["trial_id", "_chunk"]).take(groups.first.tolist()).append_column("frames", lists(np.stack([groups.size, table["frame"].to_numpy()[groups.first]], axis=1)))
+
+    got = in_batches(rows, ["trial_id", "_chunk"], [F.col("frame")], of, "trial_id string, _chunk long, frames array<double>", most=20)
+    want = rows.groupBy("trial_id", "_chunk").agg(F.count("frame").alias("n"), F.min("frame").alias("first"))
+    assert {(r[0], r[1], *r[2]) for r in got.collect()} == {tuple(r) for r in want.collect()} and got.count() == 21
+
+
+def test_recurrences_call_python_by_batch(gappy):
+    """A call for each group of frames costs more than its work, and a step of numpy for a single frame more still."""
+    for made in (smoothing.filter_kalman(gappy, 30, chunk=20), smoothing.filter_butter(gappy, 30, 3.0, chunk=20)):
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInArrow" in plan and "GroupsIn" not in plan
