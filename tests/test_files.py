@@ -135,3 +135,27 @@ def test_state_of_silent_trials_expires(spark, tmp_path):
     assert [r[0] for r in got] == pytest.approx([0.0, 0.0])
     # Trial 2 was silent for longer than allowed before its third frame, so that began anew too.
     assert spark.read.parquet(str(tmp_path / "filters")).where("trial_id = 2 and frame = 2").first()["xhead"] == pytest.approx(4.0)
+
+
+def test_a_streams_filter_keeps_numbers_of_updates_and_skips_gaps():
+    """One small state for all keypoints, without covariances; gaps leave it as it is, over two batches."""
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pandas as pd
+
+    from trackspark.functions import numerics
+
+    box = []
+    state = SimpleNamespace(exists=lambda: bool(box), get=lambda: box[-1], update=box.append)
+    handle = SimpleNamespace(getValueState=lambda name, schema: state, deleteTimer=lambda t: None, registerTimer=lambda t: None)
+    clock = SimpleNamespace(getCurrentProcessingTimeInMs=lambda: 0)
+    points = np.cumsum(np.random.default_rng(4).normal(size=(50, 8)), axis=0)
+    points[np.random.default_rng(5).random((50, 8)) < 0.1] = np.nan
+    points[:30, 2] = np.nan
+    own = pd.DataFrame(points, columns=POSITIONS).assign(trial_id=1, frame=range(50))
+    run = live.KalmanProcessor(30)
+    run.init(handle)
+    got = pd.concat([df for part in (own[:20], own[20:]) for df in run.handleInputRows((1,), iter([part]), clock)])
+    np.testing.assert_allclose(got[POSITIONS].to_numpy(float), numerics.kalman_trial(points, 30, reset_covariance=True), rtol=1e-9, atol=1e-9)
+    assert sum(len(v) for v in box[-1] if isinstance(v, list)) == 4 + 24

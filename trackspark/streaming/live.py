@@ -1,6 +1,6 @@
 """Frames as a stream: stateful operators keyed by trial.
 
-State is small (a filter's vector and covariance, or the last frame's points) and lives in the RocksDB provider. Every batch that
+State is small (filters' vectors and numbers of updates, or the last frame's points) and lives in the RocksDB provider. Every batch that
 brings rows of a trial sets its timer anew; when a trial has been silent for ``idle_ms`` of processing time, the timer drops its state, and a trial that
 returns after that begins anew. A running query looks at its timers in every batch, with data or without. Under the trigger availableNow batches without data would follow each other
 without end, so turn them off there (``without_empty_batches``); timers then ring when the next data come. Rows of a micro-batch are put in frame order; a frame that is not after the last one seen is late and left out.
@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..functions.numerics import PointFilter
+from ..functions.numerics import GainTable
 from ..names import KEYPOINTS, POSITIONS
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -65,37 +65,46 @@ class TrialProcessor(StatefulProcessor):
 
 
 class KalmanProcessor(TrialProcessor):
-    """Filters each keypoint of a trial frame by frame."""
+    """Filters all keypoints of a trial together, frame by frame. Gains depend on the number of updates alone, so that is what is kept of a filter, beside its vector."""
 
-    STATE, SCHEMA = "filters", "last long, begun array<boolean>, x array<double>, p array<double>"
+    STATE, SCHEMA = "filters", "last long, updates array<long>, x array<double>"
 
     def __init__(self, fps: float, derivatives: int = 2, idle_ms: int = IDLE_MS):
         super().__init__(idle_ms)
         self.fps, self.derivatives = fps, derivatives
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.table = GainTable(self.fps, self.derivatives)
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         clock = timerValues.getCurrentProcessingTimeInMs()
-        filters = [PointFilter(self.fps, self.derivatives) for _ in KEYPOINTS]
-        size, last, begun = len(filters[0].x), -1, [False] * len(KEYPOINTS)
+        size = len(KEYPOINTS)
+        last, updates, x = -1, np.zeros(size, int), np.zeros((self.derivatives + 1, 2 * size))
         if (held := self.held(clock)) is not None:
-            last, begun, x, p = held
-            begun = list(begun)
-            for i, f in enumerate(filters):
-                f.x, f.p = np.array(x[i * size : (i + 1) * size]), np.array(p[i * size * size : (i + 1) * size * size]).reshape(size, size)
+            last, updates, x = held[0], np.array(held[1], int), np.array(held[2], float).reshape(x.shape)
         new = _ordered(rows, last)
         points = new[POSITIONS].to_numpy(float)
-        for row in points:
-            for i, f in enumerate(filters):
-                z = row[2 * i : 2 * i + 2].copy()
-                if np.isnan(z).any():
-                    continue
-                if not begun[i]:
-                    f.begin(z)
-                    begun[i] = True
-                f.predict()
-                row[2 * i : 2 * i + 2] = f.update(z)
+        known = ~np.isnan(points.reshape(-1, size, 2)).any(axis=2)
+        ahead = updates + np.cumsum(known, axis=0) - known
+        for i in np.flatnonzero((updates == 0) & known.any(axis=0)):
+            x[0, 2 * i : 2 * i + 2] = points[known[:, i].argmax(), 2 * i : 2 * i + 2]
+        self.table.upto(int(ahead.max(initial=0)) + 1)
+        gains = np.array(self.table.gains)
+        # (frames, states, columns): both coordinates of a point have its gain.
+        gains = gains[np.minimum(ahead, len(gains) - 1)].transpose(0, 2, 1).repeat(2, axis=2)
+        f, known_, whole = self.table.filter.f, known.repeat(2, axis=1), known.all(axis=1).tolist()
+        for row, gain, now, all_ in zip(points, gains, known_, whole):
+            moved = f @ x
+            moved += gain * (row - moved[0])
+            if all_:
+                x = moved
+                row[:] = x[0]
+            else:
+                x = np.where(now, moved, x)
+                row[now] = x[0, now]
         # A batch of late frames alone keeps the trial alive too.
-        self.hold(clock, int(new["frame"].iloc[-1]) if len(new) else last, begun, np.concatenate([f.x for f in filters]).tolist(), np.concatenate([f.p.ravel() for f in filters]).tolist())
+        self.hold(clock, int(new["frame"].iloc[-1]) if len(new) else last, (updates + known.sum(axis=0)).tolist(), x.ravel().tolist())
         if len(new):
             yield pd.DataFrame({"trial_id": key[0], "frame": new["frame"].to_numpy(), **{c: points[:, i] for i, c in enumerate(POSITIONS)}})
 
