@@ -159,3 +159,25 @@ def test_a_streams_filter_keeps_numbers_of_updates_and_skips_gaps():
     got = pd.concat([df for part in (own[:20], own[20:]) for df in run.handleInputRows((1,), iter([part]), clock)])
     np.testing.assert_allclose(got[POSITIONS].to_numpy(float), numerics.kalman_trial(points, 30, reset_covariance=True), rtol=1e-9, atol=1e-9)
     assert sum(len(v) for v in box[-1] if isinstance(v, list)) == 4 + 24
+
+
+def test_folders_are_written_by_many_tasks_and_headers_read_once(spark):
+    """A small table of many trials would be one task's work, and every use of the index one more scan of all files."""
+    import glob
+    import os
+    import re
+
+    from trackspark.plans import registry
+
+    assert registry.QUERIES
+    from trackspark.plans.files import mixed_files, settings_files
+    from trackspark.sources import tracks
+
+    data = "/root/testdata/sf0.001"
+    if not os.path.isdir(data):
+        pytest.skip("needs the given tables")
+    root = settings_files(spark, data)
+    assert len({re.search(r"part-(\d+)", f).group(1) for f in glob.glob(f"{root}/*/*.json")}) > 1
+    frames = tracks.load_tracks(spark, f"{mixed_files(spark, data)}/*")
+    plan = frames._jdf.queryExecution().optimizedPlan().toString()
+    assert " csv" in plan and " text" not in plan

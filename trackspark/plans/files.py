@@ -32,7 +32,7 @@ def mixed_files(spark: SparkSession, sf_dir: str) -> str:
     root, own = scratch(spark, "trials"), pose(spark, sf_dir)
     plain, other = raw_table(own.where("trial_id % 2 = 0")), raw_table(own.where("trial_id % 2 = 1"), "stimulation").drop("note")
     for rows in (plain, other.select(*reversed(other.columns))):
-        tracks.write_tracks(rows.repartition("trial_id").sortWithinPartitions("trial_id", "Frame"), root, mode="append")
+        tracks.write_tracks(rows, root, mode="append")
     return root
 
 
@@ -40,7 +40,7 @@ def settings_files(spark: SparkSession, sf_dir: str) -> str:
     """The fixture's settings as JSON files, one or two in each trial's folder; the updated ones are compressed, which tells their names apart."""
     root = scratch(spark, "settings")
     for rows, codec in zip(_settings(trials(spark, sf_dir)), (None, "gzip")):
-        rows.repartition("trial_id").write.mode("append").partitionBy("trial_id").json(root, compression=codec)
+        tracks.by_folder(rows).mode("append").json(root, compression=codec)
     return root
 
 
@@ -101,7 +101,7 @@ def export_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def trial_files(spark: SparkSession, sf_dir: str) -> str:
     """The fixture as one folder of CSV files a trial, named trial_id=<number>."""
     root = scratch(spark, "trials")
-    tracks.write_tracks(raw_table(pose(spark, sf_dir)).repartition("trial_id").sortWithinPartitions("trial_id", "Frame"), root)
+    tracks.write_tracks(raw_table(pose(spark, sf_dir)), root)
     return root
 
 
