@@ -341,6 +341,6 @@ def test_batches_end_with_a_group(spark):
 
 def test_recurrences_call_python_by_batch(gappy):
     """A call for each group of frames costs more than its work, and a step of numpy for a single frame more still."""
-    for made in (smoothing.filter_kalman(gappy, 30, chunk=20), smoothing.filter_butter(gappy, 30, 3.0, chunk=20)):
+    for made in (smoothing.filter_kalman(gappy, 30, chunk=20), smoothing.filter_butter(gappy, 30, 3.0, chunk=20), correct.interpolate_gaps(gappy, "cubicspline", 15, 20)):
         plan = made._jdf.queryExecution().optimizedPlan().toString()
         assert "MapInArrow" in plan and "GroupsIn" not in plan
