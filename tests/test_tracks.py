@@ -344,3 +344,13 @@ def test_recurrences_call_python_by_batch(gappy):
     for made in (smoothing.filter_kalman(gappy, 30, chunk=20), smoothing.filter_butter(gappy, 30, 3.0, chunk=20), correct.interpolate_gaps(gappy, "cubicspline", 15, 20)):
         plan = made._jdf.queryExecution().optimizedPlan().toString()
         assert "MapInArrow" in plan and "GroupsIn" not in plan
+
+
+def test_distributions_are_counted_in_one_pass(spark):
+    raw = line(spark, [0.0, 1.0, 10.0, None, 11.0])
+    got = cohort.compare_distributions(raw, line(spark, [5.0]), {"a": (F.col("x"), (0, 10)), "b": (F.col("x") * 2, (0, 4))}, 2)
+    assert {(r["metric"], r["version"], r["bin"], r["count"], r["height"]) for r in got.collect()} == {
+        ("a", "raw", 0, 2, 10.0), ("a", "raw", 1, 1, 10.0), ("b", "raw", 0, 1, 2.0), ("b", "raw", 1, 1, 4.0),
+        ("a", "processed", 0, 0, 0.0), ("a", "processed", 1, 1, 10.0), ("b", "processed", 0, 0, 0.0), ("b", "processed", 1, 0, 0.0),
+    }
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0

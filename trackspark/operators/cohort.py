@@ -69,14 +69,18 @@ def cohort_timeseries(samples: DataFrame, value: str, sample: str = "trial_id",
     return rows.groupBy(index).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), (F.percentile(value, F.lit(0.5)) if exact else F.percentile_approx(value, 0.5)).alias("median"))
 
 
+def _bin(x: Column, span: tuple[float, float], bins: int) -> Column:
+    """The equal bin (from 0) of a value, null outside the span; its right end is in the last one."""
+    lo, hi = map(float, span)
+    place = F.when(x == hi, F.lit(bins).cast("long")).otherwise(F.width_bucket(x, F.lit(lo), F.lit(hi), F.lit(bins)))
+    return F.when((x >= lo) & (x <= hi), (place - 1).cast("int"))
+
+
 def histogram(values: DataFrame, column: str, span: tuple[float, float], bins: int = 100, scale: bool = False, by: list[str] | None = None) -> DataFrame:
     """bin (from 0), count in equal bins; values outside the span are left out, its right end is in the last bin. ``scale`` adds height: count times the bin's upper edge."""
     lo, hi = map(float, span)
     by = by or []
-    x = F.col(column)
-    place = F.width_bucket(x, F.lit(lo), F.lit(hi), F.lit(bins))
-    place = F.when(x == hi, F.lit(bins).cast("long")).otherwise(place)
-    counted = values.where((x >= lo) & (x <= hi)).groupBy(*by, (place - 1).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    counted = values.withColumn("bin", _bin(F.col(column), span, bins)).where("bin IS NOT NULL").groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("n"))
     spine = values.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
     if by:
         spine = values.select(*by).distinct().join(F.broadcast(spine))
@@ -342,16 +346,18 @@ def welch_psd(samples: DataFrame, value: str, fps: float = 30, sample: str = "tr
 
 
 def compare_distributions(raw: DataFrame, processed: DataFrame, metrics: dict[str, tuple[Column, tuple[float, float]]], bins: int = 100) -> DataFrame:
-    """metric, version (raw or processed), bin, count, height: scaled histograms of each metric."""
+    """metric, version (raw or processed), bin, count, height: scaled histograms of each metric, all counted in one pass over both versions."""
     both = None
     for version, frames in (("raw", raw), ("processed", processed)):
         own = frames.select(F.lit(version).alias("version"), *[c.alias(n) for n, (c, _) in metrics.items()])
         both = own if both is None else both.unionByName(own)
-    out = None
-    for name, (_, span) in metrics.items():
-        part = histogram(both, name, span, bins, True, ["version"]).withColumn("metric", F.lit(name))
-        out = part if out is None else out.unionByName(part)
-    return out.select("metric", "version", "bin", "count", "height")
+    placed = F.array(*[F.struct(F.lit(n).alias("metric"), _bin(F.col(n), span, bins).alias("bin")) for n, (_, span) in metrics.items()])
+    counted = both.select("version", F.inline(placed)).groupBy("version", "metric", "bin").agg(F.count(F.lit(1)).alias("n"))
+    # A version's counts of a metric are one row for a moment, at most ``bins`` of them, so that empty bins need no second look at the rows.
+    held = counted.groupBy("version", "metric").agg(F.map_from_entries(F.collect_list(F.when(F.col("bin").isNotNull(), F.struct("bin", "n")))).alias("_counts"))
+    out = held.select("*", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin")).withColumn("count", F.coalesce(F.try_element_at("_counts", F.col("bin")), F.lit(0).cast("long")))
+    height = F.coalesce(*[F.when(F.col("metric") == n, F.col("count") * (F.lit(float(lo)) + (F.col("bin") + 1) * F.lit((float(hi) - float(lo)) / bins))) for n, (_, (lo, hi)) in metrics.items()])
+    return out.select("metric", "version", "bin", "count", height.alias("height"))
 
 
 def compare_tracks(raw: DataFrame, processed: DataFrame) -> DataFrame:
