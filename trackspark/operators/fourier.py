@@ -1,7 +1,7 @@
 """Fourier transforms of samples of any length, in groups of bounded size.
 
-A transform of P * Q values is P transforms of every P-th value, each of Q values, whose results are turned by their twiddle factors and put through Q transforms of P values. Both steps are
-grouped functions. A length with no such divisor is a convolution with a chirp, by three transforms of a power of two.
+A transform of P * Q values is P transforms of every P-th value, each of Q values, whose results are turned by their twiddle factors and put through Q transforms of P values. Both steps
+take many groups at a time in Arrow. A length with no such divisor is a convolution with a chirp, by three transforms of a power of two.
 """
 
 from __future__ import annotations
@@ -11,9 +11,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .batches import Groups, in_batches
+
 #: Values of a group; only lengths over its square need larger ones, of about twice the root of the length.
 BLOCK = 16_384
 
@@ -33,33 +36,60 @@ def _twist(a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
 
 
 def transformed(rows: DataFrame, sample: str, block: int = BLOCK) -> DataFrame:
-    """sample, n, size, parts, k, re, im: the transform of ``size`` values of each sample, given as sample, n, size, parts, pos, re, im; places without a row are zero."""
+    """sample, n, size, parts, k, re, im: the transform of ``size`` values of each sample, given as sample, n, size, parts, pos, re, im; places without a row are zero.
+
+    Groups of equal shape are transformed side by side, some thousands of rows at a time.
+    """
     kind = dict(rows.dtypes)[sample]
 
-    def first(own: pd.DataFrame) -> pd.DataFrame:
-        size, parts, part = (int(own[c].iloc[0]) for c in ("size", "parts", "_part"))
-        x = np.zeros(size // parts, complex)
-        x[own["pos"].to_numpy() // parts] = own["re"].to_numpy() + 1j * own["im"].to_numpy()
-        at = np.arange(len(x))
-        y = np.fft.fft(x) * _twist(np.int64(part), at, size)
-        return pd.DataFrame({sample: [own[sample].iloc[0]] * len(x), "n": own["n"].iloc[0], "size": size, "parts": parts, "_part": part, "_at": at, "re": y.real, "im": y.imag})
-
-    def second(own: pd.DataFrame) -> pd.DataFrame:
-        size, parts = int(own["size"].iloc[0]), int(own["parts"].iloc[0])
-        own = own.sort_values(["_at", "_part"])
-        y = np.zeros((own["_at"].nunique(), parts), complex)
-        at = own["_at"].to_numpy()
-        first_at = at.min()
-        y[at - first_at, own["_part"].to_numpy()] = own["re"].to_numpy() + 1j * own["im"].to_numpy()
-        x = np.fft.fft(y, axis=1)
-        k = (first_at + np.arange(len(y)))[:, None] + size // parts * np.arange(parts)
-        return pd.DataFrame({sample: [own[sample].iloc[0]] * k.size, "n": own["n"].iloc[0], "size": size, "parts": parts, "k": k.ravel(), "re": x.real.ravel(), "im": x.imag.ravel()})
+    def shapes(table: pa.Table, groups: Groups, *more: np.ndarray) -> Iterator[tuple[np.ndarray, list[int], np.ndarray, np.ndarray]]:
+        """For each shape of groups: their numbers, the shape (size, parts, ...), their rows and of these the number of the group among them."""
+        about = np.stack([*(table[c].to_numpy()[groups.first] for c in ("size", "parts")), *more], axis=1)
+        each = groups.each()
+        for shape in np.unique(about, axis=0):
+            same = (about == shape).all(axis=1)
+            at = np.flatnonzero(same[each])
+            yield np.flatnonzero(same), [int(v) for v in shape], at, (np.cumsum(same) - 1)[each[at]]
+
+    def made(table: pa.Table, groups: Groups, found: list[tuple], names: list[str], schema: list[str]) -> pa.Table:
+        """Rows of all shapes: of each its groups, rows a group, and columns."""
+        first = np.concatenate([np.repeat(groups.first[own], width) for own, width, *_ in found])
+        kept = table.select(schema).take(pa.array(first))
+        for i, name in enumerate(names):
+            kept = kept.append_column(name, pa.array(np.concatenate([f[2 + i] for f in found])))
+        return kept
+
+    def first(table: pa.Table, groups: Groups) -> pa.Table:
+        values = table["re"].to_numpy() + 1j * table["im"].to_numpy()
+        pos, part, found = table["pos"].to_numpy(), table["_part"].to_numpy()[groups.first], []
+        for own, (size, parts), rows_, of in shapes(table, groups):
+            x = np.zeros((len(own), size // parts), complex)
+            x[of, pos[rows_] // parts] = values[rows_]
+            at = np.arange(x.shape[1])
+            y = np.fft.fft(x, axis=1) * _twist(part[own][:, None], at, size)
+            found.append((own, len(at), np.tile(at, len(own)), y.real.ravel(), y.imag.ravel()))
+        return made(table, groups, found, ["_at", "re", "im"], [sample, "n", "size", "parts", "_part"])
+
+    def second(table: pa.Table, groups: Groups) -> pa.Table:
+        values = table["re"].to_numpy() + 1j * table["im"].to_numpy()
+        at, part, found = table["_at"].to_numpy(), table["_part"].to_numpy(), []
+        # Sorted by place, and a place has a row of every part.
+        low, width = at[groups.first], at[groups.first + groups.size - 1] - at[groups.first] + 1
+        begins = low[groups.each()]
+        for own, (size, parts, wide), rows_, of in shapes(table, groups, width):
+            y = np.zeros((len(own), wide, parts), complex)
+            y[of, at[rows_] - begins[rows_], part[rows_]] = values[rows_]
+            x = np.fft.fft(y, axis=2)
+            k = (low[own][:, None] + np.arange(wide))[:, :, None] + size // parts * np.arange(parts)
+            found.append((own, wide * parts, k.ravel(), x.real.ravel(), x.imag.ravel()))
+        return made(table, groups, found, ["k", "re", "im"], [sample, "n", "size", "parts"])
 
     about = f"{sample} {kind}, n long, size long, parts long"
-    one = rows.withColumn("_part", F.col("pos") % F.col("parts")).groupBy(sample, "_part").applyInPandas(first, f"{about}, _part long, _at long, re double, im double")
+    own = rows.select(sample, *[F.col(c).cast("long").alias(c) for c in ("n", "size", "parts", "pos")], "re", "im", (F.col("pos") % F.col("parts")).cast("long").alias("_part"))
+    one = in_batches(own, [sample, "_part"], [], first, f"{about}, _part long, _at long, re double, im double")
     # Neighbouring places share a group, as far as it has room.
     room = F.greatest(F.lit(1).cast("long"), F.floor(F.lit(block) / F.col("parts")))
-    return one.withColumn("_group", F.floor(F.col("_at") / room)).groupBy(sample, "_group").applyInPandas(second, f"{about}, k long, re double, im double")
+    return in_batches(one.withColumn("_group", F.floor(F.col("_at") / room)), [sample, "_group"], [F.col("_at")], second, f"{about}, k long, re double, im double")
 
 
 def _chirp(at: Column) -> tuple[Column, Column]:
@@ -85,8 +115,10 @@ def amplitudes(values: DataFrame, lengths: DataFrame, sample: str, block: int =
     c, s = _chirp(F.col("pos"))
     a = transformed(odd.select(sample, "n", "size", "parts", "pos", (F.col("v") * c).alias("re"), (F.col("v") * s).alias("im")), sample, block)
     places = F.explode(F.when(F.col("pos") == 0, F.array(F.col("pos"))).otherwise(F.array(F.col("pos"), F.col("size") - F.col("pos"))))
-    b = transformed(odd.select(sample, "n", "size", "parts", places.alias("_to"), c.alias("re"), (-s).alias("im")).withColumnRenamed("_to", "pos"), sample, block)
-    both = a.join(b.select(sample, "k", F.col("re").alias("_re"), F.col("im").alias("_im")), [sample, "k"])
+    # What the chirp gives depends on the length alone, so samples of one length share it.
+    chirps = odd.select("n", "size", "parts", "pos").distinct()
+    b = transformed(chirps.select(F.col("n").alias("_length"), "n", "size", "parts", places.alias("_to"), c.alias("re"), (-s).alias("im")).withColumnRenamed("_to", "pos"), "_length", block)
+    both = a.join(b.select("n", "k", F.col("re").alias("_re"), F.col("im").alias("_im")), ["n", "k"])
     # The way back is the same transform of the conjugates; turning and conjugating the result once more does not change an amplitude.
     product = both.select(sample, "n", "size", "parts", F.col("k").alias("pos"), (F.col("re") * F.col("_re") - F.col("im") * F.col("_im")).alias("re"), (-(F.col("re") * F.col("_im") + F.col("im") * F.col("_re"))).alias("im"))
     back = transformed(product, sample, block)
