@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -507,6 +508,40 @@ def test_more_shards_still_learn(spark, monkeypatch):
     assert got[0][1] / got[0][2] > got[0][0] / got[0][2] + 0.1 and abs(got[0][1] - got[1][1]) < 1e-6 * abs(got[0][1])
 
 
+def test_trained_models_travel_in_pieces():
+    v = lbl.Vocabulary([(f"w{i}", 9_000 - i) for i in range(9_000)], 50_000_000, 9_000)
+    trainers = [lbl.Trainer(v, seed) for seed in (1, 2, 3)]
+    for n, t in enumerate(trainers, 1):
+        t.learn([[b"w%d" % (i * n % 8_999) for i in range(4_000)]])
+    sent = [b for t in trainers for b in lbl.packed(t)]
+    assert len(sent) > 3 and all(b.num_rows == 1 and b.nbytes <= 4 * lbl.PIECE + 64 for b in sent)
+    got = {b.column(0)[0].as_py(): np.frombuffer(b.column(1)[0].as_py(), "<f4") for b in lbl.average(iter(sent[::-1]))}
+    whole = [np.concatenate([x[k].ravel() for x in (t.p, t.squares) for k in sorted(x)]).astype(np.float64) for t in trainers]
+    mean = np.average(whole, axis=0, weights=[t.trained for t in trainers])
+    assert np.allclose(np.concatenate([got[i] for i in sorted(got)]), mean, rtol=1e-6, atol=1e-9)
+
+
+def test_small_batches(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+    try:
+        spark.conf.set(name, str(64 << 20))
+        common.small_batches(spark)
+        texts = spark.range(0, 400, 1, 1).select(F.repeat(F.lit("0123456789"), 5_000).alias("text"))
+        got = [r["n"] for r in texts.mapInArrow(sizes, "n long").collect()]
+        assert sum(got) > 20_000_000 and max(got) < common.BATCH_BYTES + 200_000
+        spark.conf.set(name, "1000000")
+        common.small_batches(spark)
+        assert spark.conf.get(name) == "1000000"
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_shards(docs):
     def jump(key, n):
         b, j = -1, 0

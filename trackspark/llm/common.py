@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Texts are handled in groups of about so many characters, which bounds the numpy work space of a task.
 GROUP_CHARS = 1_000_000
+#: Bytes of an Arrow batch that ``small_batches`` allows; Spark's own bound is 64 MB, which a task holds several times over on both sides.
+BATCH_BYTES = 4 << 20
 #: Bytes that a Python worker's memory of words may take before it starts anew.
 MEMORY_BYTES = 48 << 20
 #: A key with over a thousandth of all rows is hot. There are fewer than a thousand of these, so their rows of a table by key may be broadcast.
@@ -30,6 +32,13 @@ def resident(name: str, make: Callable[[], Any]) -> Any:
     return _resident[name]
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on this session gives Python tasks Arrow batches of BATCH_BYTES or so (a longer row is a batch of its own). A smaller bound stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name).rstrip("bB")) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

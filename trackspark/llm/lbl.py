@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import GROUP_CHARS, discard, resident, row_groups, stored
+from .common import GROUP_CHARS, release, resident, row_groups, small_batches, stored
 
 #: Words that are classes of their own, and the most classes that others share (one for each 32 distinct tokens below that).
 SINGLES, SHARED = 768, 768
@@ -33,6 +33,8 @@ WIDTH, INNER, CONTEXT = 24, 8, 2
 NOISE, BATCH, OWN_BATCH, STEP, FIRST = 64, 2048, 4096, 0.07, 1e-6
 #: Rounds of training and averaging; a document belongs to one. Tokens of a shard, about; the number of shards grows with the corpus.
 ROUNDS, SHARD_TOKENS = 3, 1_000_000
+#: Numbers of a trained model that are one row on their way to the average.
+PIECE = 1 << 15
 #: Characters that a token counts for when texts are grouped.
 CHARS_A_TOKEN = 6
 #: Slots of the table that noise words within classes are drawn from.
@@ -260,19 +262,39 @@ def train(docs: DataFrame, vocabulary, key: str = "doc_id", text: str = "text",
         sent = docs.sparkSession.sparkContext.broadcast((begin, k))
         begin = train_round(part.repartition(shards, "_shard").sortWithinPartitions("_shard", "_hash"), vocabulary, sent, text) or begin
         sent.unpersist()
+        # The texts and models that this round shuffled are not needed again.
+        release(docs.sparkSession)
     return begin[0] if begin else start(vocabulary.value)
 
 
+def packed(trainer: Trainer) -> Iterator[pa.RecordBatch]:
+    """The trainer's parameters and sums of squares in a row: piece, data (PIECE numbers at most), weight (the tokens learned). A batch a piece."""
+    data = np.concatenate([x[k].ravel() for x in (trainer.p, trainer.squares) for k in sorted(x)]).astype("<f4", copy=False)
+    for i in range(0, len(data), PIECE):
+        yield pa.RecordBatch.from_arrays([pa.array([i // PIECE], pa.int32()), pa.array([data[i : i + PIECE].tobytes()], pa.binary()), pa.array([trainer.trained], pa.int64())], names=["piece", "data", "weight"])
+
+
+def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """piece, data: the average of each piece, weighted by ``weight``. Long doubles, so that the order of the rows does not show in the result."""
+    totals: dict = {}
+    for batch in batches:
+        for i, d, w in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+            x = np.frombuffer(d.as_buffer(), "<f4") * np.longdouble(w)
+            if i in totals:
+                totals[i][0] += x
+                totals[i][1] += w
+            else:
+                totals[i] = [x, w]
+    for i, (total, weight) in totals.items():
+        yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([(total / weight).astype("<f4").tobytes()], pa.binary())], names=["piece", "data"])
+
+
 def train_round(docs: DataFrame, vocabulary, begin, text: str) -> tuple[dict, dict] | None:
     """Average, weighted by tokens, of the parameters and sums of squares that the shards reach in one pass over these documents, sorted by ``_shard`` in their partitions; none without a token.
 
-    What a shard returns is as large as the model, whose size has a bound; the averages are formed in a tree of tasks, and only the last few rows come to the driver.
+    What a shard returns is as large as the model, whose size has a bound. It goes in pieces to tasks that hold sums only, whatever the number of shards, and one model comes to the driver.
     """
 
-    def packed(trainer: Trainer) -> pa.RecordBatch:
-        data = np.concatenate([x[k].ravel() for x in (trainer.p, trainer.squares) for k in sorted(x)]).astype("<f4", copy=False)
-        return pa.RecordBatch.from_arrays([pa.array([memoryview(data).cast("B")], pa.binary()), pa.array([trainer.trained], pa.int64())], names=["data", "weight"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, number = begin.value
         trainer, shard, held, size = None, None, [], 0
@@ -284,41 +306,25 @@ def train_round(docs: DataFrame, vocabulary, begin, text: str) -> tuple[dict, di
                     held, size = [], 0
                 if k != shard:
                     if trainer:
-                        yield packed(trainer)
+                        yield from packed(trainer)
                         trainer = None  # before the next one takes memory
                     trainer, shard = Trainer(vocabulary.value, k * ROUNDS + number, first), k
                 held.append(tokens(t.as_py()))
                 size += len(held[-1]) * CHARS_A_TOKEN
         if trainer:
             trainer.learn(held)
-            yield packed(trainer)
+            yield from packed(trainer)
 
-    def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, weight = None, 0
-        for batch in batches:
-            for d, w in zip(batch.column(0), batch.column(1)):
-                x, w = np.frombuffer(d.as_buffer(), "<f4") * np.float64(w.as_py()), w.as_py()
-                total, weight = x if total is None else total + x, weight + w
-        if weight:
-            yield pa.RecordBatch.from_arrays([pa.array([(total / weight).astype("<f4").tobytes()], pa.binary()), pa.array([weight], pa.int64())], names=["data", "weight"])
-
-    parts = stored(docs.select(text, "_shard").mapInArrow(run, "data binary, weight long"), "lbl-parts")
-    made = [parts]
-    n = parts.count()
-    while n > 4:
-        n = -(-n // 16)
-        made.append(stored(made[-1].repartition(n).mapInArrow(average, "data binary, weight long"), "lbl-parts"))
-    rows = made[-1].collect()
-    for x in made:
-        discard(x)
-    if not rows:
+    parts = docs.select(text, "_shard").mapInArrow(run, "piece int, data binary, weight long")
+    rows = parts.repartition("piece").mapInArrow(average, "piece int, data binary").toArrow().sort_by("piece")
+    if not len(rows):
         return None
-    mean = sum(np.frombuffer(r["data"], "<f4").astype(np.float64) * r["weight"] for r in rows) / sum(r["weight"] for r in rows)
+    mean = np.concatenate([np.frombuffer(x.as_buffer(), "<f4") for x in rows["data"]])
     shapes, at, out = {k: x.shape for k, x in start(vocabulary.value).items()}, 0, ({}, {})
     for made in out:
         for k in sorted(shapes):
             n = int(np.prod(shapes[k]))
-            made[k] = mean[at : at + n].reshape(shapes[k]).astype(np.float32)
+            made[k] = mean[at : at + n].reshape(shapes[k]).copy()
             at += n
     return out
 
@@ -359,6 +365,7 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", pa
     their own; other columns are not read. With no training document every word is unknown and shares one class.
     """
     spark, kind = docs.sparkSession, dict(docs.dtypes)[key]
+    small_batches(spark)
     own = docs.select(key, text)
     training = own.where(~held_out(key, parts, part))
     counts = stored(count_tokens(training, text), "lbl-counts")
