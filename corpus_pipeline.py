@@ -6,11 +6,14 @@ Empty tables give empty ones. Null and repeated ids are no obstacle: rows are to
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackspark.llm import exact, langid, packing, secrets, simhash
-from trackspark.llm.common import stored
+from trackspark.llm.common import small_batches, stored
 from trackspark.llm.queries import tokenizer
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -18,27 +21,41 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 LEAST_SCORE = 0.75
 
 
+def in_small_batches(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+@in_small_batches
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose n-grams are likely in learned languages, one or several; null texts and texts without letters go."""
     found = langid.annotated(docs.select(*COLUMNS), langid.train(docs))
     return found.where((F.col("lang_pred") != langid.UND) & (F.col("lang_score") >= LEAST_SCORE)).select(*COLUMNS)
 
 
+@in_small_batches
 def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts (A-Z in lower case), the document with the largest id."""
     return exact.drop_copies(docs).select(*COLUMNS)
 
 
+@in_small_batches
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near copies (five words, similarity 0.8), the document with the smallest id."""
     return simhash.drop_near_copies(docs, 5, 0.8).select(*COLUMNS)
 
 
+@in_small_batches
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets replaced in their texts."""
     return secrets.redact_secrets(docs.select(*COLUMNS))
 
 
+@in_small_batches
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The place of every piece in sequences of at most 1024 tokens."""
     return packing.pack_documents(docs, tokenizer("byte_bpe_50k.json"), 1024, 2)

@@ -13,6 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from trackspark.llm import common, exact, flac, langid, lbl, packing, pieces, secrets, shards, simhash, substrings
 from trackspark.llm.queries import tokenizer
 
@@ -542,6 +543,21 @@ def test_small_batches(spark):
         spark.conf.set(name, before)
 
 
+def test_pipeline_stages_bound_batches_and_workers_forget(spark, docs):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for _, stage in corpus_pipeline.STAGES[1:4:2]:
+            spark.conf.set(name, str(64 << 20))
+            stage(spark, docs, "")
+            assert int(spark.conf.get(name)) == common.BATCH_BYTES
+    finally:
+        spark.conf.set(name, before)
+    common.resident("large", list)
+    common.let_go()
+    assert not common._resident
+
+
 def test_shards(docs):
     def jump(key, n):
         b, j = -1, 0

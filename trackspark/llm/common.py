@@ -39,6 +39,11 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
+def let_go() -> None:
+    """Forget the object of ``resident``: for tasks that need none, whose worker may have served an earlier operator."""
+    _resident.clear()
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, discard, release, row_groups, spread_join, stored
+from .common import components, cut, discard, let_go, release, row_groups, spread_join, stored
 
 BITS = 64
 SEED = 42
@@ -205,6 +205,7 @@ def common_shingles(docs: DataFrame, words: int, key: str, text: str) -> np.ndar
     some = docs if n <= COMMON_DOCS else docs.where(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < int(1_000_000 * COMMON_DOCS / n))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             for a, b in row_groups(batch.column(0)):
                 for t in batch.column(0).slice(a, b - a):
@@ -223,6 +224,7 @@ def wide_entries(docs: DataFrame, words: int, similarity: float, common: np.ndar
     sent = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         late = sent.value
         for batch in batches:
             for a, b in row_groups(batch.column(2)):
@@ -260,6 +262,7 @@ def shingle_sets(docs: DataFrame, words: int, text: str) -> DataFrame:
     """node, shingles: the distinct hashes of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             for a, b in row_groups(batch.column(1)):
                 sets = [distinct_shingles(t, words).view("<i8") for t in batch.column(1).slice(a, b - a).to_pylist()]
