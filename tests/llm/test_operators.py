@@ -558,6 +558,28 @@ def test_pipeline_stages_bound_batches_and_workers_forget(spark, docs):
     assert not common._resident
 
 
+def test_tasks_of_components_follow_the_edges(spark):
+    sc, tasks = spark.sparkContext, lambda: sum(tracker.getStageInfo(i).numCompletedTasks for j in tracker.getJobIdsForGroup(group) for i in tracker.getJobInfo(j).stageIds if tracker.getStageInfo(i))
+    tracker, group = sc.statusTracker(), "components-of-few-edges"
+    conf = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {name: spark.conf.get(name) for name in conf}
+    try:
+        for name, value in conf.items():
+            spark.conf.set(name, value)
+        sc.setJobGroup(group, "")
+        chains = spark.range(40).where("id % 4 < 3").select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+        found = common.components(chains)
+        assert found.rdd.getNumPartitions() <= 2 * sc.defaultParallelism
+        rows = found.collect()
+        made = tasks()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert sorted((r["node"], r["component"]) for r in rows) == [(i, i // 4 * 4) for i in range(40)]
+    assert 0 < made < 800
+
+
 def test_shards(docs):
     def jump(key, n):
         b, j = -1, 0

@@ -21,6 +21,8 @@ BATCH_BYTES = 4 << 20
 MEMORY_BYTES = 48 << 20
 #: A key with over a thousandth of all rows is hot. There are fewer than a thousand of these, so their rows of a table by key may be broadcast.
 HOT_PARTS, HOT_LEAST = 1_000, 1_000
+#: Narrow rows (a few numbers each) that one task of ``fitting`` may get.
+TASK_ROWS = 50_000
 _resident: dict[str, Any] = {}
 
 
@@ -80,6 +82,11 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def fitting(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, which has about so many narrow rows, in as many tasks as these need and one a core at least, however many shuffle partitions are set."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS)))
+
+
 def release(spark: SparkSession) -> None:
     """Have shuffle files of plans that nothing refers to any more deleted: Spark's cleaner acts only when the driver's heap is
     collected, which a long row of small plans may not bring about before the disks are full."""
@@ -150,19 +157,21 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) of an edge table (a, b) of longs; component is the smallest node reachable.
 
     Alternates large-star and small-star contraction, each a grouped minimum and a join on the node;
-    every round is cut in the shared folder. Nodes without an edge do not appear.
+    every round is cut in the shared folder. A round's tasks follow the number of edges. Nodes without an edge do not appear.
     """
     edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    if edges.isEmpty():
+    n = edges.count()
+    if not n:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    state = None
+    few = lambda table: fitting(table, 2 * n)
+    edges, state = few(edges), None
     for _ in range(rounds):
         both = edges.union(edges.select("b", "a"))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a")
-        edges = cut(small.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(low.select("a", F.col("m").alias("b"))).distinct())
+        low = few(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
+        large = few(few(both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct())
+        low = few(large.groupBy("a").agg(F.min("b").alias("m")))
+        small = few(large.join(low, "a"))
+        edges = cut(few(small.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(low.select("a", F.col("m").alias("b"))).distinct()))
         now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
         if state == tuple(now):
             break
@@ -170,4 +179,4 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     nodes = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return nodes.union(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    return nodes.union(few(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()))

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, discard, let_go, release, row_groups, spread_join, stored
+from .common import components, cut, discard, fitting, let_go, release, row_groups, spread_join, stored
 
 BITS = 64
 SEED = 42
@@ -128,13 +128,16 @@ def links(entries: DataFrame, distance: int, count: int) -> DataFrame:
     with that value, if near enough; components of these links come next, and only pairs of
     different components are then looked for with complete balls. Join rows are links, never candidates.
     """
-    rows = table_rows(entries, distance, count)
+    n = entries.count()
+    few = lambda table: fitting(table, count * n)
+    rows = table_rows(few(entries), distance, count)
     pivot = F.max_by("fp", F.struct("weight", "fp"))
-    pivots = rows.groupBy("seg", "value").agg(pivot.alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    pivots = few(rows.groupBy("seg", "value").agg(pivot.alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1"))
     stars = rows.join(pivots, ["seg", "value"]).where((distance_of("fp", "pivot") <= distance) & (F.col("fp") != F.col("pivot"))).select(F.col("fp").alias("a"), F.col("pivot").alias("b")).distinct()
-    stars = cut(stars)
+    stars = cut(few(stars))
     first = components(stars)
-    known = cut(entries.select("fp").join(first.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("c")))
+    known = entries.select("fp").join(first.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("c"))
+    known = cut(fitting(known, PROBE_COST * n))
     table = table_rows(known, distance, count).select("seg", "value", F.col("fp").alias("a"), F.col("c").alias("ca"))
     probes = probe_rows(known, distance, count).select("seg", "value", F.col("fp").alias("b"), F.col("c").alias("cb"))
     near = [table["seg"] == probes["seg"], table["value"] == probes["value"], F.col("ca") < F.col("cb"), distance_of("a", "b") <= distance]
@@ -271,20 +274,25 @@ def shingle_sets(docs: DataFrame, words: int, text: str) -> DataFrame:
     return docs.select("node", text).mapInArrow(run, "node long, shingles array<long>")
 
 
-def verified(pairs: DataFrame, entries: DataFrame, docs: DataFrame, words: int, similarity: float, key: str, text: str, nearest: bool = False) -> DataFrame:
+def verified(pairs: DataFrame, entries: DataFrame, docs: DataFrame, words: int, similarity: float, key: str, text: str, nearest: bool = False, most: int | None = None) -> DataFrame:
     """The pairs (a, b) of nodes whose texts' sets of distinct shingles have this Jaccard similarity at least.
 
     Complete distances of the fingerprints come first; only pairs that may be as similar as asked have their sets built from the texts. With ``nearest`` only
-    the pair of each ``a`` whose fingerprints are closest is looked at.
+    the pair of each ``a`` whose fingerprints are closest is looked at. ``most``: there are no more pairs than that, if known.
     """
+    few = (lambda table: table) if most is None else lambda table: fitting(table, most)
     marks = entries.select("node", *WORDS)
-    pairs = pairs.select("a", "b").distinct()
+    pairs = few(few(pairs.select("a", "b")).distinct())
     for side in ("a", "b"):
-        pairs = pairs.join(marks.select(F.col("node").alias(side), *[F.col(w).alias(f"{side}{w}") for w in WORDS]), side)
+        pairs = few(pairs.join(marks.select(F.col("node").alias(side), *[F.col(w).alias(f"{side}{w}") for w in WORDS]), side))
     pairs = pairs.where(apart() <= distance_for(similarity)).select("a", "b", apart().alias("apart"))
-    pairs = cut(pairs.groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b")) if nearest else pairs.select("a", "b"))
-    needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    named = cut(entries.select("node", F.col(key).alias("_key"), F.col("digest").alias("_digest"), "copies").join(needed, "node"))
+    pairs = cut(few(pairs.groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b"))) if nearest else pairs.select("a", "b"))
+    n = pairs.count()
+    if not n:
+        return pairs
+    pairs = fitting(pairs, n)
+    needed = fitting(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), 2 * n)
+    named = cut(fitting(entries.select("node", F.col(key).alias("_key"), F.col("digest").alias("_digest"), "copies").join(needed, "node"), 2 * n))
     few = F.broadcast(named) if named.count() <= BROADCAST_KEYS else named
     body = docs.select(F.col(key).alias("_own"), F.col(text).alias("_text"))
     met = body.join(few, body["_own"].eqNullSafe(few["_key"]) & (F.xxhash64("_text") == few["_digest"])).select("node", "_text", "copies")
@@ -294,6 +302,7 @@ def verified(pairs: DataFrame, entries: DataFrame, docs: DataFrame, words: int,
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     both = pairs.join(left, "a").join(right, "b").withColumn("both", F.size(F.array_intersect("sa", "sb")))
     good = cut(both.where(F.col("both") >= F.lit(similarity) * (F.size("sa") + F.size("sb") - F.col("both")) - 1e-9).select("a", "b").distinct())
+    good = fitting(good, n)
     discard(sets)
     release(docs.sparkSession)
     return good
@@ -320,11 +329,12 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, key
         entries = stored(marked.withColumn("copies", F.coalesce("copies", F.lit(1))).drop("_key", "_digest", "_first"), "wide-entries")
     else:
         entries = made.withColumn("copies", F.lit(1))
-    check = lambda pairs, nearest=False: verified(pairs, entries, docs, words, similarity, key, text, nearest)
+    check = lambda pairs, nearest=False, most=None: verified(pairs, entries, docs, words, similarity, key, text, nearest, most)
+    total = entries.count()
 
     marks = entries.groupBy(F.col("w0").alias("fp")).agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("weight"))
-    marks = cut(marks)
-    own = spread_join(entries.select("node", F.col("w0").alias("fp")), marks.where("weight > 1"), ["fp"], "weight", entries.count())
+    marks = cut(fitting(marks, total))
+    own = spread_join(entries.select("node", F.col("w0").alias("fp")), marks.where("weight > 1"), ["fp"], "weight", total)
     low = marks.select("fp", "low")
     near = links(marks.select("fp", "weight"), 4, tables_for(marks.count(), 4))
     near = near.join(low.toDF("a", "la"), "a").join(low.toDF("b", "lb"), "b")
@@ -343,17 +353,17 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, key
     sizes = F.least("na", "nb") >= F.lit(similarity) * F.greatest("na", "nb") - 1e-9
 
     def placed(groups: DataFrame) -> DataFrame:
-        return live.join(groups, "node", "left").select("h", "node", "n", "at", "k", F.coalesce("component", "node").alias("c"))
+        return fitting(live.join(groups, "node", "left").select("h", "node", "n", "at", "k", F.coalesce("component", "node").alias("c")), rows)
 
     # Pivots first: each text meets one text of every list it is in, drawn by a hash of both, and is linked with the nearest of these if similar; rounds go on while they link
     # many, so that dense groups are nearly whole before pairs are looked for.
-    total = entries.count()
     for turn in range(PIVOT_ROUNDS):
         listed = placed(components(linked))
         order = F.struct(F.xxhash64("node", "h", F.lit(turn)), "node")
         low = listed.groupBy("h").agg(F.min_by(F.struct("node", "n", "at", "c"), order).alias("p"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.first("k").alias("k")).where("c0 <> c1")
+        low = fitting(low, rows)
         near = spread_join(listed.drop("k"), low.select("h", "p", "k"), ["h"], "k", rows).select(F.col("node").alias("a"), F.col("p.node").alias("b"), F.col("n").alias("na"), F.col("p.n").alias("nb"), F.col("at").alias("ia"), F.col("p.at").alias("ib"), "c", F.col("p.c").alias("pc"))
-        new = check(near.where((F.col("c") != F.col("pc")) & enough & sizes), True)
+        new = check(near.where((F.col("c") != F.col("pc")) & enough & sizes), True, rows)
         linked = linked.union(new)
         if new.count() <= total * ENOUGH_LINKS:
             break
@@ -381,7 +391,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, key
 
     if n_repeats:
         found = found.union(entries.where("copies > 1").select("node", F.col("node").alias("component")).join(found, "node", "left_anti"))
-    named = cut(entries.select("node", key, "digest", "copies").join(found, "node"))
+    named = cut(fitting(entries.select("node", key, "digest", "copies").join(found, "node"), total))
     order = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), "node")
     heads_of = named.groupBy("component").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("size"))
     out = cut(spread_join(named, heads_of, ["component"], "size", named.count()).select(key, "digest", F.col("first.key").alias("component"), (F.col("node") == F.col("first.node")).alias("stays"), "copies"))
