@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+from pyspark.sql import functions as F
+
 import __spark_entry__
 from trackspark.operators import segments as seg
 from trackspark.plans import fixture
+from trackspark.schema import POSITIONS
 
 SF = "/root/testdata/sf0.001"
 
@@ -55,3 +59,27 @@ def test_large_tables_have_partitions_of_bounded_size(spark, monkeypatch):
 def test_smoothing_makes_no_list_of_neighbours(spark):
     for name in ("filter_gaussian", "tracking_correction", "swapped_segments"):
         assert "collect_list" not in plan(spark, name), name
+
+
+def test_batch_correction_makes_and_deals_the_frames_once(spark):
+    text = plan(spark, "batch_correct")
+    assert text.count("MapInArrow") == 1 and text.count("Exchange hashpartitioning") == 1
+
+
+def test_batch_correction_fills_short_gaps(spark):
+    done = __spark_entry__.queries()["batch_correct"](spark, SF).toPandas().sort_values(["trial_id", "frame"])
+    for _, own in done.groupby("trial_id"):
+        for c in POSITIONS:
+            steps = np.diff(own["frame"].to_numpy()[own[c].notna()])
+            assert not ((steps > 1) & (steps <= 17)).any(), c
+
+
+def test_batch_correction_takes_each_trial_at_its_own_rate(spark, monkeypatch):
+    """At a rate of zero no point is fast, so that overlaps stay in such trials."""
+    own, known = fixture.trials, fixture.trials(spark, SF)
+    monkeypatch.setattr(fixture, "trials", lambda *a: own(*a).withColumn("fps", F.when(F.col("trial_id") % 2 == 0, F.col("fps")).otherwise(0.0)))
+    overlaps = "sum(CASE WHEN xhead = xtail AND yhead = ytail THEN 1 ELSE 0 END)"
+    done = __spark_entry__.queries()["batch_correct"](spark, SF).groupBy("trial_id").agg(F.expr(f"{overlaps} AS n")).collect()
+    assert {r["trial_id"] for r in known.collect()} == {r["trial_id"] for r in done}
+    few, many = ([r["n"] for r in done if r["trial_id"] % 2 == k] for k in (0, 1))
+    assert max(few) < min(many), (few, many)

@@ -271,6 +271,32 @@ def test_spline_in_chunks(spark, gappy, chunk):
     assert (np.isnan(raw["a"]) & ~np.isnan(got["a"])).any()
 
 
+def test_spline_of_short_trials_beside_long_ones(spark, gappy):
+    """Trials of one chunk, one of them with few known samples, take no part in the scans of the others."""
+    few = [("d", i, "note", *[float(i * i) if i in (2, 5, 9) else None] * 8) for i in range(12)]
+    frames = gappy.union(spark.createDataFrame(few, gappy.schema))
+    mixed, whole = (by_trial(correct.interpolate_gaps(frames, "cubicspline", 15, chunk)) for chunk in (41, 1000))
+    for t, points in whole.items():
+        np.testing.assert_allclose(mixed[t], points, rtol=1e-8, atol=1e-8)
+    assert mixed["d"][2:10, 0] == pytest.approx([float(i * i) for i in range(2, 10)]) and np.isnan(mixed["d"][[0, 1, 10, 11]]).all()
+    spread = correct.interpolate_gaps(frames, "cubicspline", 15)
+    assert spread._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
+@pytest.mark.parametrize("validate", [False, True])
+def test_correction_at_rates_of_the_trials(spark, validate):
+    """One table of trials of two rates is corrected as each trial is by itself."""
+    rng = np.random.default_rng(5)
+    points = np.cumsum(rng.normal(size=(90, 8)), axis=0)
+    points[20:23, :2], points[50:52, :2] = points[20:23, 2:4], points[50:52, 2:4]
+    rows = [(t, i, fps, *map(float, p)) for t, fps in ((1, 2.0), (2, 60.0)) for i, p in enumerate(points)]
+    frames = spark.createDataFrame(rows, "trial_id long, frame long, fps double, " + ", ".join(f"{c} double" for c in POSITIONS))
+    got = by_trial(correct.tracking_correction(frames, F.col("fps"), interpolate="cubicspline", validate=validate))
+    for t, fps in ((1, 2), (2, 60)):
+        np.testing.assert_array_equal(got[t], by_trial(correct.tracking_correction(frames.where(F.col("trial_id") == t), fps, interpolate="cubicspline", validate=validate))[t])
+    assert not np.array_equal(got[1], got[2])
+
+
 @pytest.mark.parametrize("block", [4, 1000])
 def test_long_spectra_are_split(spark, block):
     """Lengths that factor and lengths that do not, in groups far smaller than they are."""
